@@ -18,10 +18,15 @@ def first_text(blocks: Column) -> Column:
     return web_trim(F.coalesce(found["text"], F.lit("")))
 
 
-def strip_fences(text: Column) -> Column:
-    """Content of a code fence that spans the whole text, else the text unchanged."""
-    trimmed = web_trim(text)
-    return F.when(trimmed.rlike(FENCE_PATTERN), F.regexp_extract(trimmed, FENCE_PATTERN, 1)).otherwise(text)
+def strip_fences(text: Column, trimmed: bool = False) -> Column:
+    """Content of a code fence that spans the whole text, else the text unchanged.
+
+    Texts known to be ``trimmed`` take one replacement instead of a test and an extraction.
+    """
+    if trimmed:
+        return F.regexp_replace(text, FENCE_PATTERN, "$1")
+    bare = web_trim(text)
+    return F.when(bare.rlike(FENCE_PATTERN), F.regexp_extract(bare, FENCE_PATTERN, 1)).otherwise(text)
 
 
 def data_url_parts(url: Column) -> Column:

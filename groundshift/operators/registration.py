@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
+from ..session import ensure_checkpoint_dir
 
 BLOCK_KEYPOINTS = 2048
 BLOCK_MATCHES = 4096
@@ -194,15 +195,20 @@ def _inliers(h: np.ndarray, src: np.ndarray, dst: np.ndarray, threshold: float)
 
 
 def fit_homography(
-    matches: DataFrame, threshold: float = K.RANSAC_PX, hypotheses: int = HYPOTHESES, pool: int = POOL
+    matches: DataFrame, threshold: float = K.RANSAC_PX, hypotheses: int = HYPOTHESES, pool: int = POOL,
+    store: bool = True,
 ) -> DataFrame:
     """Homography (later to earlier) per scene by random sample consensus, refined on its inliers.
 
     ``matches`` comes from ``match_gate``. Samples are drawn deterministically from a hash-chosen pool
     of about ``pool`` matches; support is counted over all matches, in blocks, so a scene of any size
     spreads over tasks. The refinement is a least-squares fit from summed normal equations. Scenes
-    without a usable sample give no row.
+    without a usable sample give no row. Matches are read three times, so they are checkpointed here
+    unless ``store`` is False.
     """
+    if store:
+        ensure_checkpoint_dir(matches.sparkSession)
+        matches = matches.checkpoint()
     key = matches.schema["scene_id"].dataType.simpleString()
     points = ["sx", "sy", "dx", "dy"]
     share = F.pmod(F.xxhash64("scene_id", "q_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -231,21 +237,24 @@ def fit_homography(
                 h = np.asarray(r.hyps).reshape(-1, 3, 3)
                 count = _inliers(h, src, dst, threshold).sum(1)
                 # A scene in one block needs only its winner; otherwise blocks are added up first.
-                keep = [int(count.argmax())] if r.n_blk == 1 else range(len(h))
+                keep = [int(count.argmax())] if r.n_blk == 1 else list(range(len(h)))
                 yield pd.DataFrame({
-                    "scene_id": r.scene_id, "hyp": list(keep), "count": count[list(keep)],
+                    "scene_id": r.scene_id, "hyp": keep, "count": count[keep], "rough": list(h[keep].reshape(-1, 9)),
+                    "ts": [r.ts] * len(keep), "td": [r.td] * len(keep),
                 })
 
-    counts = blocks.join(hyps.select("scene_id", "hyps"), "scene_id").mapInPandas(
-        support, f"scene_id {key}, hyp int, count bigint")
-    best = (
-        counts.groupBy("scene_id", "hyp").agg(F.sum("count").alias("count"))
-        .groupBy("scene_id").agg(F.max(F.struct("count", (-F.col("hyp")).alias("neg"))).alias("_b"))
-        .where(F.col("_b.count") >= 4)
-        .select("scene_id", F.col("_b.count").alias("inliers"), (-F.col("_b.neg")).alias("hyp"))
+    counts = blocks.join(hyps, "scene_id").mapInPandas(
+        support,
+        f"scene_id {key}, hyp int, count bigint, rough array<double>, ts array<double>, td array<double>",
     )
-    winner = best.join(hyps, "scene_id").select(
-        "scene_id", "inliers", F.slice("hyps", F.col("hyp") * 9 + 1, 9).alias("rough"), "ts", "td"
+    # The winner carries its numbers along, so the hypotheses are computed and read once.
+    winner = (
+        counts.groupBy("scene_id", "hyp").agg(
+            F.sum("count").alias("count"), *[F.first(c).alias(c) for c in ("rough", "ts", "td")])
+        .groupBy("scene_id").agg(
+            F.max(F.struct("count", (-F.col("hyp")).alias("neg"), "rough", "ts", "td")).alias("_b"))
+        .where(F.col("_b.count") >= 4)
+        .select("scene_id", F.col("_b.count").alias("inliers"), "_b.rough", "_b.ts", "_b.td")
     )
 
     upper = [(i, j) for i in range(9) for j in range(i, 9)]
@@ -259,12 +268,16 @@ def fit_homography(
                 ts, td = np.asarray(r.ts).reshape(3, 3), np.asarray(r.td).reshape(3, 3)
                 a = _equations(_apply(ts, src[good]), _apply(td, dst[good]))
                 product = a.T @ a
-                out.append((r.scene_id, [product[i, j] for i, j in upper]))
-            yield pd.DataFrame(out, columns=["scene_id", "part"])
+                out.append((r.scene_id, r.inliers, r.rough, r.ts, r.td, [product[i, j] for i, j in upper]))
+            yield pd.DataFrame(out, columns=["scene_id", "inliers", "rough", "ts", "td", "part"])
 
-    parts = blocks.join(winner, "scene_id").mapInPandas(normal, f"scene_id {key}, part array<double>")
+    parts = blocks.join(winner, "scene_id").mapInPandas(
+        normal,
+        f"scene_id {key}, inliers bigint, rough array<double>, ts array<double>, td array<double>, part array<double>",
+    )
     sums = parts.groupBy("scene_id").agg(
-        F.array(*[F.sum(F.get("part", F.lit(i))) for i in range(len(upper))]).alias("total")
+        *[F.first(c).alias(c) for c in ("inliers", "rough", "ts", "td")],
+        F.array(*[F.sum(F.get("part", F.lit(i))) for i in range(len(upper))]).alias("total"),
     )
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,8 +293,7 @@ def fit_homography(
                 out.append((r.scene_id, h.ravel(), r.inliers))
             yield pd.DataFrame(out, columns=["scene_id", "homography", "inliers"])
 
-    return winner.join(sums, "scene_id").mapInPandas(
-        solve, f"scene_id {key}, homography array<double>, inliers bigint")
+    return sums.mapInPandas(solve, f"scene_id {key}, homography array<double>, inliers bigint")
 
 
 def project_points(points: DataFrame, x: str = "x", y: str = "y", homography: str = "homography") -> DataFrame:

@@ -148,13 +148,13 @@ def parse_responses(df: DataFrame, text: str = "raw_text", error: str = "error")
     """
     # Needed for "last duplicate key wins"; without it such texts would be rejected.
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    raw = web_trim(F.coalesce(F.col(text), F.lit("")))
-    # Wrapping in brackets makes trailing text after the value a syntax error.
-    one = F.expr("try_cast(_list as array<variant>)")
+    # Wrapping in brackets makes trailing text after the value a syntax error. The one-element explode
+    # holds the parsed list fast: filters above it read the list and never repeat the parsing.
+    body = strip_fences(F.col("_raw"), trimmed=True)
+    values = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).try_cast("array<variant>")
     parsed = (
-        df.withColumn("_raw", raw)
-        .withColumn("_list", F.try_parse_json(F.concat(F.lit("["), strip_fences(F.col("_raw")), F.lit("]"))))
-        .withColumn("_list", one)
+        df.withColumn("_raw", web_trim(F.coalesce(F.col(text), F.lit(""))))
+        .withColumn("_list", F.explode(F.array(values)))
         .withColumn("_v", F.when(F.size("_list") == 1, F.get("_list", F.lit(0))))
         .withColumn("_c", F.expr("try_variant_get(_v, '$.changes', 'variant')"))
         .withColumn("_items", F.expr("try_variant_get(_v, '$.changes', 'array<variant>')"))
@@ -209,14 +209,18 @@ def explode_changes(parsed: DataFrame) -> DataFrame:
     return (
         rows.withColumns(named)
         .withColumn("_b", F.expr("try_variant_get(_e, '$.bbox', 'array<variant>')"))
-        .withColumn("bbox", F.transform("_b", _number))
+        .withColumn("bbox", F.transform(F.transform("_b", _typed), _number))
         .drop("_e", "_b")
     )
 
 
-def _number(value: Column) -> Column:
+def _typed(value: Column) -> Column:
+    return F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind"))
+
+
+def _number(typed: Column) -> Column:
     """Coerce one JSON value to a number the way the web client did; NaN if impossible."""
-    kind = F.schema_of_variant(value)
+    value, kind = typed["value"], typed["kind"]
     nan = F.lit(float("nan"))
     text = value.try_cast("string")
     inner = value.try_cast("array<variant>")

@@ -20,6 +20,7 @@ from ..operators import registration as REG
 from ..operators import report as REP
 from ..operators import responses as RE
 from ..operators.detector import detect
+from ..session import ensure_checkpoint_dir
 from ..sources import images as S
 from ..sources.reports import report_rows
 from . import fixtures as fx
@@ -657,12 +658,13 @@ def r5_fallback_resize(spark, sf):
 
 @query
 def r6_align_status(spark, sf):
-    matches = _matches(spark, sf)
+    ensure_checkpoint_dir(spark)
+    matches = _matches(spark, sf).checkpoint()
     pairs = fx.table(spark, sf, "embeddings").groupBy(F.col("label").alias("scene_id")).agg(
         (F.count(F.lit(1)) + 200).alias("work_w"), F.lit(256).cast("bigint").alias("work_h"),
         F.lit(256).cast("bigint").alias("tgt_w"), F.lit(256).cast("bigint").alias("tgt_h"),
     )
-    return REG.align_status(pairs, matches, REG.fit_homography(matches)).select(
+    return REG.align_status(pairs, matches, REG.fit_homography(matches, store=False)).select(
         bigint("scene_id"), "work_w", "work_h", "aligned", "match_count")
 
 
