@@ -38,7 +38,8 @@ UNKNOWN_ERROR = "unknown error"
 # --- fixed values: patterns ----------------------------------------------------------
 # Characters that web string trimming and the response pattern treat as white space.
 WEB_SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-DATA_URL_PATTERN = r"(?s)^data:(image/[a-zA-Z0-9.+-]+);base64,(.*)\z"
+DATA_URL_MARKER = ";base64,"
+DATA_URL_HEAD = r"^data:(image/[a-zA-Z0-9.+-]+)\z"
 FENCE_PATTERN = r"(?s)^```(?:json)?" + WEB_SPACE + r"*(.*?)" + WEB_SPACE + r"*```\z"
 AUTH_STATUSES = [401, 403]
 AUTH_PATTERN = r"(?i)\b40[13]\b|authentication|invalid x-api-key|api key not valid|permission"

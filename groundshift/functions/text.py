@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..constants import DATA_URL_PATTERN, FENCE_PATTERN, WEB_SPACE
+from ..constants import DATA_URL_HEAD, DATA_URL_MARKER, FENCE_PATTERN, WEB_SPACE
 
 
 def web_trim(text: Column) -> Column:
@@ -30,12 +30,17 @@ def strip_fences(text: Column, trimmed: bool = False) -> Column:
 
 
 def data_url_parts(url: Column) -> Column:
-    """Struct (media_type, data) of an image data URL; null if it is not one."""
+    """Struct (media_type, data) of an image data URL; null if it is not one.
+
+    Only the part before the marker meets a regular expression, however long the data is.
+    """
+    head = F.substring_index(url, DATA_URL_MARKER, 1)
+    valid = head.rlike(DATA_URL_HEAD) & (F.length(head) < F.length(url))
     return F.when(
-        url.rlike(DATA_URL_PATTERN),
+        valid,
         F.struct(
-            F.regexp_extract(url, DATA_URL_PATTERN, 1).alias("media_type"),
-            F.regexp_extract(url, DATA_URL_PATTERN, 2).alias("data"),
+            F.regexp_extract(head, DATA_URL_HEAD, 1).alias("media_type"),
+            F.substr(url, F.length(head) + len(DATA_URL_MARKER) + 1).alias("data"),
         ),
     )
 
@@ -43,7 +48,7 @@ def data_url_parts(url: Column) -> Column:
 def to_data_url(content: Column, media_type: str | Column = "image/jpeg") -> Column:
     """Encode bytes as a data URL, without the line breaks of Spark's MIME base64."""
     kind = F.lit(media_type) if isinstance(media_type, str) else media_type
-    body = F.translate(F.base64(content), "\r\n", "")
+    body = F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
     return F.concat(F.lit("data:"), kind, F.lit(";base64,"), body)
 
 

@@ -87,7 +87,7 @@ def merge_detections(det: DataFrame, threshold: float = K.DEDUPE_IOU, limit: int
 
 def _ranked(det: DataFrame) -> DataFrame:
     """Pack rows as (scene_id, change_type, row); comparing ``row`` gives the visiting order."""
-    rest = [c for c in det.columns if c not in ("task_idx", "pos")]
+    rest = [c for c in det.columns if c not in ("task_idx", "pos", *GROUP)]
     rank = F.coalesce(confidence_rank(F.col("confidence")), F.lit(0))
     row = F.struct(
         (-rank).alias("_rank"), (-area(box())).alias("_area"), "task_idx", "pos", box().alias("_box"), *rest
@@ -96,7 +96,8 @@ def _ranked(det: DataFrame) -> DataFrame:
 
 
 def _unpack(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(*[F.col(f"row.{c}").alias(c) for c in columns])
+    # The group columns are taken as they are, so that the partitioning by scene stays known.
+    return rows.select(*[F.col(c) if c in GROUP else F.col(f"row.{c}").alias(c) for c in columns])
 
 
 def _fold(det: DataFrame, threshold: float) -> DataFrame:

@@ -8,10 +8,10 @@ many rows, keyed by place, so no scene is bound to one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import KEPT_BANDS
@@ -25,7 +25,9 @@ DIRECT_DTYPES = ("u8", "u16")
 
 def to_blocks(pixels: DataFrame, size: int = BLOCK) -> DataFrame:
     """Gather complete rasters given as rows (scene_id, epoch, band, px, py, v) into blocks."""
-    sample = F.struct("py", "px", F.col("v").cast("double").alias("v"))
+    # One number gives the row-major place inside the block, so the sort compares single numbers.
+    place = (F.pmod("py", F.lit(size)) * size + F.pmod("px", F.lit(size))).cast("int")
+    sample = F.struct(place.alias("at"), F.col("v").cast("double").alias("v"))
     placed = pixels.withColumn("bx", F.floor(F.col("px") / size)).withColumn("by", F.floor(F.col("py") / size))
     extra = [c for c in pixels.columns if c not in ("scene_id", "epoch", "band", "px", "py", "v")]
     gathered = placed.groupBy(*PLACE).agg(
@@ -165,32 +167,64 @@ def crop(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK) -> DataFrame:
 # --- warping ------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=4)
-def _taps(inverse: tuple, x0: int, y0: int, w: int, h: int, src_w: int, src_h: int) -> tuple:
-    """Source columns, rows and weights of the four bilinear taps of a block of output pixels."""
-    m = np.array(inverse).reshape(3, 3)
+def _back(homography: Column) -> list[Column]:
+    """Frame-to-source mapping up to scale: the adjugate of the homography, which needs no division."""
+    def h(i: int) -> Column:
+        return F.get(homography, F.lit(i))
+
+    def minor(a: int, b: int, c: int, d: int) -> Column:
+        return h(a) * h(d) - h(b) * h(c)
+
+    return [
+        minor(4, 5, 7, 8), minor(2, 1, 8, 7), minor(1, 2, 4, 5),
+        minor(5, 3, 8, 6), minor(0, 2, 6, 8), minor(2, 0, 5, 3),
+        minor(3, 4, 6, 7), minor(1, 0, 7, 6), minor(0, 1, 3, 4),
+    ]
+
+
+def _reached(size: int) -> tuple[Column, Column]:
+    """Ranges of source block columns and rows the pixels of an output block can sample.
+
+    A block whose corners all lie on one side of the horizon maps into the box around its mapped
+    corners; otherwise the whole source is in reach.
+    """
+    m = [F.get("back", F.lit(i)) for i in range(9)]
+    xs = [(F.col("bx") * size).cast("double"), (F.col("bx") * size + F.col("bw") - 1).cast("double")]
+    ys = [(F.col("by") * size).cast("double"), (F.col("by") * size + F.col("bh") - 1).cast("double")]
+    corners = [(x, y) for x in xs for y in ys]
+    depths = [m[6] * x + m[7] * y + m[8] for x, y in corners]
+    proper = (F.least(*depths) > 0) | (F.greatest(*depths) < 0)
+
+    def blocks(row: int, extent: str) -> Column:
+        at = [(m[row] * x + m[row + 1] * y + m[row + 2]) / F.nullif(d, F.lit(0.0)) for (x, y), d in zip(corners, depths)]
+        last = F.col(extent) - 1
+        # One pixel of slack covers rounding at the corners.
+        low = F.when(proper, F.greatest(F.lit(0.0), F.floor(F.least(*at)) - 1)).otherwise(F.lit(0.0))
+        high = F.when(proper, F.least(last.cast("double"), F.floor(F.greatest(*at)) + 2)).otherwise(last.cast("double"))
+        first, final = F.floor(low / size), F.floor(high / size)
+        return F.when(low <= high, F.sequence(first, F.greatest(first, final))).otherwise(
+            F.array(F.lit(-1).cast("bigint")))
+
+    return blocks(0, "tgt_w"), blocks(3, "tgt_h")
+
+
+def _taps(back: np.ndarray, x0: int, y0: int, w: int, h: int, src_w: int, src_h: int) -> tuple:
+    """Source columns, rows and weights of the four bilinear taps of each pixel of a block."""
     xs, ys = np.meshgrid(np.arange(x0, x0 + w, dtype=float), np.arange(y0, y0 + h, dtype=float))
+    sx, sy, depth = (back[i] * xs + back[i + 1] * ys + back[i + 2] for i in (0, 3, 6))
     with np.errstate(all="ignore"):
-        depth = m[2, 0] * xs + m[2, 1] * ys + m[2, 2]
-        sx = (m[0, 0] * xs + m[0, 1] * ys + m[0, 2]) / depth
-        sy = (m[1, 0] * xs + m[1, 1] * ys + m[1, 2]) / depth
-    near = np.isfinite(sx) & np.isfinite(sy) & (sx > -1) & (sy > -1) & (sx < src_w) & (sy < src_h)
-    sx, sy = np.where(near, sx, -2.0).ravel(), np.where(near, sy, -2.0).ravel()
+        sx, sy = (sx / depth).ravel(), (sy / depth).ravel()
+        near = (sx > -1) & (sy > -1) & (sx < src_w) & (sy < src_h)
+    sx, sy = np.where(near, sx, -2.0), np.where(near, sy, -2.0)
     fx, fy = np.floor(sx), np.floor(sy)
-    cols, rows, weights = [], [], []
-    for dy in (0, 1):
-        for dx in (0, 1):
-            tx, ty = (fx + dx).astype(np.int64), (fy + dy).astype(np.int64)
-            weight = np.where(dx, sx - fx, 1 - (sx - fx)) * np.where(dy, sy - fy, 1 - (sy - fy))
-            inside = (tx >= 0) & (ty >= 0) & (tx < src_w) & (ty < src_h)
-            cols.append(tx)
-            rows.append(ty)
-            weights.append(np.where(inside, weight, 0.0))
-    return np.array(cols), np.array(rows), np.array(weights)
-
-
-def _inverse(homography) -> tuple:
-    return tuple(np.linalg.inv(np.array(homography, float).reshape(3, 3)).ravel())
+    part_x, part_y = sx - fx, sy - fy
+    fx, fy = fx.astype(np.int64), fy.astype(np.int64)
+    cols = np.stack([fx, fx + 1, fx, fx + 1])
+    rows = np.stack([fy, fy, fy + 1, fy + 1])
+    weights = np.stack([
+        (1 - part_x) * (1 - part_y), part_x * (1 - part_y), (1 - part_x) * part_y, part_x * part_y,
+    ])
+    return cols, rows, np.where((cols >= 0) & (rows >= 0) & (cols < src_w) & (rows < src_h), weights, 0.0)
 
 
 def warp(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "later", rounded: bool = True) -> DataFrame:
@@ -198,72 +232,70 @@ def warp(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "
 
     ``frames`` has scene_id, tgt_w, tgt_h (source extent), work_w, work_h, n_bands and ``homography``
     (nine numbers, source to frame). Each output block is joined to just the source blocks its pixels
-    sample, and the partial sums are added up per output block; all shuffles are keyed by place.
+    can sample, and the partial sums are added up per output block; all shuffles are keyed by place.
     """
     key = blocks.schema["scene_id"].dataType.simpleString()
 
     def steps(extent: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(extent) - 1) / size)))
 
+    across, down = _reached(size)
     outputs = (
-        frames.select("scene_id", "tgt_w", "tgt_h", "work_w", "work_h", "n_bands", "homography", steps("work_h").alias("by"))
+        frames.withColumn("back", F.array(*_back(F.col("homography"))))
+        .select("scene_id", "tgt_w", "tgt_h", "work_w", "work_h", "n_bands", "back", steps("work_h").alias("by"))
         .withColumn("bx", steps("work_w"))
         .withColumn("bw", F.least(F.lit(size), F.col("work_w") - F.col("bx") * size).cast("int"))
         .withColumn("bh", F.least(F.lit(size), F.col("work_h") - F.col("by") * size).cast("int"))
         .drop("work_w", "work_h")
-        .repartition("scene_id", "by", "bx")
-    )
-
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for r in batch.itertuples(index=False):
-                inverse = _inverse(r.homography)
-                cols, rows, weights = _taps(inverse, r.bx * size, r.by * size, r.bw, r.bh, r.tgt_w, r.tgt_h)
-                used = weights != 0
-                pairs = np.unique(np.stack([cols[used] // size, rows[used] // size], 1), axis=0)
-                if not len(pairs):
-                    pairs = np.array([[-1, -1]])
-                part = pd.DataFrame(pairs, columns=["sbx", "sby"])
-                parts.append(part.assign(
-                    scene_id=r.scene_id, bx=r.bx, by=r.by, bw=r.bw, bh=r.bh, tgt_w=r.tgt_w, tgt_h=r.tgt_h,
-                    n_bands=r.n_bands, inverse=[inverse] * len(part)))
-            if parts:
-                yield pd.concat(parts)[planned_names]
-
-    planned_schema = (
-        f"scene_id {key}, bx bigint, by bigint, bw int, bh int, tgt_w bigint, tgt_h bigint, n_bands int, "
-        "sbx bigint, sby bigint, inverse array<double>"
-    )
-    planned_names = ["scene_id", "bx", "by", "bw", "bh", "tgt_w", "tgt_h", "n_bands", "sbx", "sby", "inverse"]
-    planned = outputs.mapInPandas(plan, planned_schema).withColumn(
-        "band", F.explode(F.sequence(F.lit(0), F.col("n_bands") - 1))
+        .withColumn("sbx", F.explode(across)).withColumn("sby", F.explode(down))
     )
     source = blocks.where(F.col("epoch") == epoch).select(
-        "scene_id", "band", F.col("bx").alias("sbx"), F.col("by").alias("sby"),
+        "scene_id", F.col("band").cast("int").alias("band"), F.col("bx").alias("sbx"), F.col("by").alias("sby"),
         F.col("bw").alias("sbw"), F.col("v").alias("sv"),
     )
-    met = planned.join(source, ["scene_id", "band", "sbx", "sby"], "left")
+    # Output blocks without any source still give black blocks in every band.
+    met = outputs.join(source, ["scene_id", "sbx", "sby"], "left").withColumn(
+        "band", F.explode(F.when(F.col("band").isNull(), F.sequence(F.lit(0), F.col("n_bands") - 1)).otherwise(
+            F.array("band")))
+    ).select("scene_id", "band", "bx", "by", "bw", "bh", "tgt_w", "tgt_h", "back", "sbx", "sby", "sbw", "sv")
+
+    kept = ["scene_id", "band", "bx", "by", "bw", "bh", "sbx", "sby"]
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = []
-            for r in batch.itertuples(index=False):
-                if r.sv is None:
-                    sums.append(np.zeros(r.bw * r.bh))
+            scene = batch.column("scene_id").to_pylist()
+            whole = {
+                n: batch.column(n).to_numpy(zero_copy_only=False).tolist()
+                for n in ("bx", "by", "bw", "bh", "tgt_w", "tgt_h", "sbx", "sby")
+            }
+            stride = batch.column("sbw").fill_null(0).to_numpy().tolist()
+            back = batch.column("back").flatten().to_numpy().reshape(-1, 9)
+            source, found = batch.column("sv"), batch.column("sv").is_valid().to_pylist()
+            starts, values = source.offsets.to_numpy().tolist(), source.values.to_numpy(zero_copy_only=False)
+            sums, place, index, share = [], None, None, None
+            for i, row in enumerate(zip(*whole.values())):
+                bx, by, bw, bh, src_w, src_h, sbx, sby = row
+                if not found[i]:
+                    sums.append(np.zeros(bw * bh))
                     continue
-                cols, rows, weights = _taps(
-                    tuple(r.inverse), r.bx * size, r.by * size, r.bw, r.bh, r.tgt_w, r.tgt_h)
-                here = (weights != 0) & (cols // size == r.sbx) & (rows // size == r.sby)
-                at = np.where(here, (rows % size) * int(r.sbw) + cols % size, 0)
-                sums.append((np.asarray(r.sv)[at] * np.where(here, weights, 0.0)).sum(0))
-            yield batch[["scene_id", "band", "bx", "by", "bw", "bh", "sbx", "sby"]].assign(part=sums)
-
-    partial = met.mapInPandas(
+                # The bands of one place follow each other and share their taps.
+                if (scene[i], row) != place:
+                    cols, rows, weights = _taps(back[i], bx * size, by * size, bw, bh, src_w, src_h)
+                    cols, rows = cols - sbx * size, rows - sby * size
+                    inside = (cols >= 0) & (cols < size) & (rows >= 0) & (rows < size) & (weights != 0)
+                    index = np.where(inside, rows * stride[i] + cols, 0)
+                    share = np.where(inside, weights, 0.0)
+                    place = (scene[i], row)
+                sums.append((values[starts[i]:starts[i + 1]][index] * share).sum(0))
+            ends = np.cumsum([0, *map(len, sums)], dtype=np.int32)
+            part = pa.ListArray.from_arrays(ends, np.concatenate(sums) if sums else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], part], names=[*kept, "part"])
+
+    partial = met.mapInArrow(
         sample,
         f"scene_id {key}, band int, bx bigint, by bigint, bw int, bh int, sbx bigint, sby bigint, part array<double>",
     )
-    # An output block samples at most a few source blocks; the sort fixes the order of the sum.
+    # The sort fixes the order of the sum, so that results do not depend on the order of arrival.
     summed = partial.groupBy("scene_id", "band", "bx", "by", "bw", "bh").agg(
         F.array_sort(F.collect_list(F.struct("sby", "sbx", "part"))).alias("_p")
     )
@@ -271,7 +303,8 @@ def warp(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "
         F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(1))), F.get("_p", F.lit(0))["part"],
         lambda acc, p: F.zip_with(acc, p["part"], lambda a, b: a + b),
     )
-    out = summed.withColumn("v", total).drop("_p")
     if rounded:
-        out = out.withColumn("v", F.transform("v", lambda s: round_half_up(s).cast("double")))
-    return out.withColumn("epoch", F.lit(epoch)).select(*PLACE, "bw", "bh", "v")
+        total = F.transform(total, lambda s: round_half_up(s).cast("double"))
+    return summed.select(
+        "scene_id", F.lit(epoch).alias("epoch"), "band", "bx", "by", "bw", "bh", total.alias("v")
+    )

@@ -19,7 +19,6 @@ BLOCK_KEYPOINTS = 2048
 BLOCK_MATCHES = 4096
 POOL = 1024
 HYPOTHESES = 512
-NEIGHBOUR = "struct<d:int,t_id:bigint,tx:double,ty:double>"
 
 
 def _blocked(keypoints: DataFrame, block: int, prefix: str) -> DataFrame:
@@ -53,17 +52,13 @@ def _nearest_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     bits += np.bitwise_count(q[at:at + 256, word, None] ^ t[None, :, word])
                 # Train rows are in id order, so distance and position in one number break ties by id.
                 code = bits * len(ids) + np.arange(len(ids))
-                found.append(np.sort(np.partition(code, k - 1, axis=1)[:, :k], axis=1))
-            code = np.concatenate(found)
-            pos, dist = code % len(ids), code // len(ids)
-            near = [
-                [{"d": int(d), "t_id": int(ids[p]), "tx": float(r.t_x[p]), "ty": float(r.t_y[p])}
-                 for d, p in zip(ds, ps)]
-                for ds, ps in zip(dist, pos)
-            ]
+                found.append(np.partition(code, k - 1, axis=1)[:, :k])
+            code = np.concatenate(found).ravel()
+            pos = code % len(ids)
             yield pd.DataFrame({
-                "scene_id": r.scene_id, "q_id": r.q_id, "qx": r.q_x, "qy": r.q_y, "near": near,
-                "t_blocks": r.t_blocks,
+                "scene_id": r.scene_id, "q_id": np.repeat(r.q_id, k), "qx": np.repeat(r.q_x, k),
+                "qy": np.repeat(r.q_y, k), "d": code // len(ids), "t_id": ids[pos],
+                "tx": np.asarray(r.t_x)[pos], "ty": np.asarray(r.t_y)[pos],
             })
 
 
@@ -80,15 +75,15 @@ def nearest_two(query: DataFrame, train: DataFrame, block: int = BLOCK_KEYPOINTS
         "t_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))
     )
     met = spread.join(t, ["scene_id", "t_blk"]).select(
-        "scene_id", "q_id", "q_x", "q_y", "q_desc", "t_id", "t_x", "t_y", "t_desc", "t_blocks"
+        "scene_id", "q_id", "q_x", "q_y", "q_desc", "t_id", "t_x", "t_y", "t_desc"
     )
     per_block = met.mapInPandas(
         _nearest_two,
-        f"scene_id {key}, q_id bigint, qx double, qy double, near array<{NEIGHBOUR}>, t_blocks bigint",
+        f"scene_id {key}, q_id bigint, qx double, qy double, d int, t_id bigint, tx double, ty double",
     )
     # Each list holds two rows per train block of the scene.
     return per_block.groupBy("scene_id", "q_id", "qx", "qy").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, 2).alias("near")
+        F.slice(F.array_sort(F.collect_list(F.struct("d", "t_id", "tx", "ty"))), 1, 2).alias("near")
     )
 
 

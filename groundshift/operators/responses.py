@@ -148,25 +148,30 @@ def parse_responses(df: DataFrame, text: str = "raw_text", error: str = "error")
     """
     # Needed for "last duplicate key wins"; without it such texts would be rejected.
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    # Wrapping in brackets makes trailing text after the value a syntax error. The one-element explode
-    # holds the parsed list fast: filters above it read the list and never repeat the parsing.
+    # The parser stops after the first complete value. In a list that must end with a number known
+    # from the text, anything that follows the value, or closes the list early, shows. The one-element
+    # explode holds the parsed list fast: filters above it read the list and never repeat the parsing.
     body = strip_fences(F.col("_raw"), trimmed=True)
-    values = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).try_cast("array<variant>")
+    seal = F.xxhash64("_raw")
+    values = F.try_parse_json(
+        F.concat(F.lit("["), body, F.lit(","), seal.cast("string"), F.lit("]"))
+    ).try_cast("array<variant>")
+    sealed = (F.size("_list") == 2) & (F.get("_list", F.lit(1)).try_cast("bigint") == seal)
     parsed = (
         df.withColumn("_raw", web_trim(F.coalesce(F.col(text), F.lit(""))))
         .withColumn("_list", F.explode(F.array(values)))
-        .withColumn("_v", F.when(F.size("_list") == 1, F.get("_list", F.lit(0))))
+        .withColumn("_ok", F.coalesce(sealed, F.lit(False)))
+        .withColumn("_v", F.when(F.col("_ok"), F.get("_list", F.lit(0))))
         .withColumn("_c", F.expr("try_variant_get(_v, '$.changes', 'variant')"))
         .withColumn("_items", F.expr("try_variant_get(_v, '$.changes', 'array<variant>')"))
         .withColumn("_s", F.expr("try_variant_get(_v, '$.summary', 'variant')"))
     )
-    valid = F.coalesce(F.size("_list") == 1, F.lit(False))
     no_list = F.col("_c").isNull() | F.is_variant_null("_c")
     excerpt = F.concat(
         F.lit("Detector did not return valid JSON. Raw: "), F.substring(F.col("_raw"), 1, K.RAW_EXCERPT)
     )
     problem = (
-        F.when(~valid, excerpt)
+        F.when(~F.col("_ok"), excerpt)
         .when(F.is_variant_null("_v"), F.lit("Response is null"))
         .when(~no_list & F.col("_items").isNull(), F.lit("Changes is not a list"))
         .when(F.exists("_items", lambda e: F.is_variant_null(e)), F.lit("Change entry is null"))
@@ -179,7 +184,7 @@ def parse_responses(df: DataFrame, text: str = "raw_text", error: str = "error")
         .withColumn("failure", F.coalesce(call_error, F.col("parse_error")))
         .withColumn("summary", F.when(F.col("failed"), F.lit("")).otherwise(_summary(F.col("_s"))))
         .withColumn("changes", F.when(~F.col("failed"), F.col("_items")))
-        .drop("_raw", "_list", "_v", "_c", "_items", "_s")
+        .drop("_raw", "_list", "_ok", "_v", "_c", "_items", "_s")
     )
 
 

@@ -23,7 +23,7 @@ def canonical(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return float(f"{value:.12g}") + 0.0
+        return value + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(canonical(v) for v in value)
     return value
