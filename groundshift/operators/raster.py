@@ -40,28 +40,47 @@ def to_blocks(pixels: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def image_blocks(decoded: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Cut decoded images (scene_id, epoch, width, height, n_channels, data) into blocks, RGB order."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cut decoded images (scene_id, epoch, width, height, n_channels, data) into blocks, RGB order.
+
+    The bytes of each block are cut out on the JVM side, so no whole image enters a Python batch.
+    """
+    key = decoded.schema["scene_id"].dataType.simpleString()
+    valid = decoded.where("reject_reason is null") if "reject_reason" in decoded.columns else decoded
+
+    def extent(cell: str, full: str) -> Column:
+        return F.least(F.lit(size), F.col(full) - F.col(cell) * size).cast("int")
+
+    across = F.ceil(F.col("width") / size)
+    cells = F.sequence(F.lit(0).cast("bigint"), across * F.ceil(F.col("height") / size) - 1)
+    placed = (
+        valid.select("scene_id", "epoch", "width", "height", "n_channels", "data", F.explode(cells).alias("_i"))
+        .withColumn("bx", F.pmod("_i", across)).withColumn("by", F.floor(F.col("_i") / across))
+        .withColumn("bw", extent("bx", "width")).withColumn("bh", extent("by", "height"))
+    )
+    line = F.transform(
+        F.sequence(F.lit(0), F.col("bh") - 1),
+        lambda y: F.substring(
+            "data",
+            (((F.col("by") * size + y) * F.col("width") + F.col("bx") * size) * F.col("n_channels") + 1).cast("int"),
+            F.col("bw") * F.col("n_channels"),
+        ),
+    )
+    pieces = placed.select("scene_id", "epoch", "bx", "by", "bw", "bh", "n_channels", line.alias("lines"))
+
+    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for r in batch.itertuples(index=False):
-                samples = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.n_channels)
-                if r.n_channels >= 3:
-                    samples = samples[:, :, [2, 1, 0, *range(3, r.n_channels)]]
-                rows = []
-                for y in range(0, r.height, size):
-                    for x in range(0, r.width, size):
-                        part = samples[y:y + size, x:x + size].astype(float)
-                        rows += [
-                            (r.scene_id, r.epoch, b, x // size, y // size, part.shape[1], part.shape[0],
-                             part[:, :, b].ravel())
-                            for b in range(r.n_channels)
-                        ]
-                yield pd.DataFrame(rows, columns=[*PLACE, "bw", "bh", "v"])
-
-    key_type = decoded.schema["scene_id"].dataType.simpleString()
-    valid = decoded.where("reject_reason is null") if "reject_reason" in decoded.columns else decoded
-    return valid.select("scene_id", "epoch", "width", "height", "n_channels", "data").mapInPandas(
-        cut, f"scene_id {key_type}, epoch string, band int, bx bigint, by bigint, bw int, bh int, v array<double>"
+                samples = np.frombuffer(b"".join(r.lines), np.uint8).reshape(-1, r.n_channels).astype(float)
+                order = [2, 1, 0, *range(3, r.n_channels)] if r.n_channels >= 3 else range(r.n_channels)
+                rows += [
+                    (r.scene_id, r.epoch, band, r.bx, r.by, r.bw, r.bh, samples[:, at].copy())
+                    for band, at in enumerate(order)
+                ]
+            yield pd.DataFrame(rows, columns=[*PLACE, "bw", "bh", "v"])
+
+    return pieces.mapInPandas(
+        bands, f"scene_id {key}, epoch string, band int, bx bigint, by bigint, bw int, bh int, v array<double>"
     )
 
 

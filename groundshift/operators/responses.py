@@ -28,29 +28,21 @@ def resolve_model(df: DataFrame, providers: DataFrame, default_provider: str, st
     An unknown provider falls back to the default, or gets a ``provider_error`` when ``strict``. A
     model that its provider does not list falls back to the provider's default model.
     """
-    known = providers.select(
-        F.col("provider").alias("_p"), F.col("models").alias("_models"), F.col("default_model").alias("_default")
+    names = providers.select(F.col("provider").alias("_p"))
+    dims = providers.select(
+        F.col("provider").alias("resolved_provider"), F.col("models").alias("_models"),
+        F.col("default_model").alias("_default"),
     )
-    fallback = known.where(F.col("_p") == default_provider).select(
-        F.col("_models").alias("_fb_models"), F.col("_default").alias("_fb_default"), F.lit(1).alias("_one")
-    )
-    joined = df.join(known, df["provider"] == F.col("_p"), "left")
-    if strict:
-        out = joined.withColumn(
-            "provider_error",
-            F.when(F.col("_p").isNull(), F.concat(F.lit("Unknown provider: "), F.coalesce("provider", F.lit("null")))),
-        )
-        models, default, chosen = F.col("_models"), F.col("_default"), F.col("provider")
-    else:
-        out = joined.withColumn("_one", F.lit(1)).join(fallback, "_one", "left")
-        models = F.coalesce("_models", "_fb_models")
-        default = F.coalesce("_default", "_fb_default")
-        chosen = F.coalesce("_p", F.lit(default_provider))
-    listed = F.coalesce(F.array_contains(models, F.col("model")), F.lit(False))
-    return (
-        out.withColumn("resolved_model", F.when(listed, F.col("model")).otherwise(default))
-        .withColumn("resolved_provider", chosen)
-        .select(*df.columns, "resolved_provider", "resolved_model", *(["provider_error"] if strict else []))
+    known = df.join(names, df["provider"] == F.col("_p"), "left")
+    chosen = F.col("provider") if strict else F.coalesce("_p", F.lit(default_provider))
+    out = known.withColumn("resolved_provider", chosen).join(dims, "resolved_provider", "left")
+    listed = F.coalesce(F.array_contains("_models", F.col("model")), F.lit(False))
+    out = out.withColumn("resolved_model", F.when(listed, F.col("model")).otherwise(F.col("_default")))
+    if not strict:
+        return out.select(*df.columns, "resolved_provider", "resolved_model")
+    unknown = F.concat(F.lit("Unknown provider: "), F.coalesce("provider", F.lit("null")))
+    return out.withColumn("provider_error", F.when(F.col("_p").isNull(), unknown)).select(
+        *df.columns, "resolved_provider", "resolved_model", "provider_error"
     )
 
 

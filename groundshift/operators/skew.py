@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import ensure_checkpoint_dir
 
 HOT_ROWS = 4096
+# Lists of hot keys up to this length are broadcast; longer ones join by shuffle.
+BROADCAST_KEYS = 100_000
 
 
 @dataclass
@@ -30,7 +32,10 @@ def split_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> HotSplit
     found = hot_keys.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n")).first()
     if not found["k"]:
         return HotSplit(df, None, 0)
-    hot_keys = hot_keys.select(*keys)
+    ensure_checkpoint_dir(df.sparkSession)
+    hot_keys = hot_keys.select(*keys).checkpoint()
+    if found["k"] <= BROADCAST_KEYS:
+        hot_keys = F.broadcast(hot_keys)
     return HotSplit(
         df.join(hot_keys, keys, "left_anti"),
         df.join(hot_keys, keys, "left_semi"),

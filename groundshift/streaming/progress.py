@@ -15,5 +15,5 @@ def stream_progress(responses: DataFrame, totals: DataFrame) -> DataFrame:
     ``totals`` (scene_id, total) is a static table with one row per scene. State is one counter per
     scene; failed responses count as done.
     """
-    joined = responses.select("scene_id").join(totals, "scene_id")
-    return joined.groupBy("scene_id", "total").agg(F.count(F.lit(1)).alias("done"))
+    done = responses.groupBy("scene_id").agg(F.count(F.lit(1)).alias("done"))
+    return done.join(totals, "scene_id").select("scene_id", "done", "total")
