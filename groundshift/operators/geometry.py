@@ -109,17 +109,32 @@ def iou_pairs(boxes: DataFrame, threshold: float = K.DEDUPE_IOU) -> DataFrame:
         .groupBy(*keys, *BOX_FIELDS).agg(F.count(F.lit(1)).alias("n"))
         .select(*keys, box().alias("b"), "n")
     )
-    left = distinct.select(*keys, F.col("b").alias("a"), F.col("n").alias("a_n"),
-                           F.explode(cells.around(F.col("b"))).alias("cell"))
-    right = distinct.select(*keys, "b", F.col("n").alias("b_n"), cells.own(F.col("b")).alias("cell"))
-    same = F.col("a") == F.col("b")
-    value = iou(F.col("a"), F.col("b"))
-    pairs = left.join(right, [*keys, "cell"]).where(
-        ((F.col("a") < F.col("b")) | (same & (F.col("a_n") > 1))) & (value > threshold)
+    own = cells.own(F.col("b"))
+    # A pair is found once: from its box of the higher extent class, or from the left one of a class.
+    size, place = F.struct("own.kw", "own.kh"), F.col("own.cx")
+    ahead = F.filter(
+        cells.around(F.col("b")),
+        lambda c: (F.struct(c["kw"], c["kh"]) < size) | ((F.struct(c["kw"], c["kh"]) == size) & (c["cx"] >= place)),
     )
-    return pairs.select(
+    filed = distinct.withColumn("own", own)
+    left = filed.select(*keys, F.col("b").alias("p"), F.col("n").alias("p_n"), size.alias("p_size"),
+                        F.explode(ahead).alias("cell"))
+    right = filed.select(*keys, F.col("b").alias("q"), F.col("n").alias("q_n"), size.alias("q_size"),
+                         F.col("own").alias("cell"))
+    p, q = F.col("p"), F.col("q")
+    once = (F.col("p_size") > F.col("q_size")) | (p < q) | ((p == q) & (F.col("p_n") > 1))
+    found = left.join(right, [*keys, "cell"]).where(once & (iou(p, q) > threshold))
+    ordered = p <= q
+
+    def side(low: str, high: str) -> Column:
+        return F.when(ordered, F.col(low)).otherwise(F.col(high))
+
+    return found.select(
+        *keys, side("p", "q").alias("a"), side("p_n", "q_n").alias("a_n"),
+        side("q", "p").alias("b"), side("q_n", "p_n").alias("b_n"),
+    ).select(
         *keys, *[F.col(f"a.{f}").alias(f"a_{f}") for f in BOX_FIELDS], "a_n",
-        *[F.col(f"b.{f}").alias(f"b_{f}") for f in BOX_FIELDS], "b_n", value.alias("iou"),
+        *[F.col(f"b.{f}").alias(f"b_{f}") for f in BOX_FIELDS], "b_n", iou(F.col("a"), F.col("b")).alias("iou"),
     )
 
 

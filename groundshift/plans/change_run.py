@@ -42,20 +42,22 @@ def run_changes(
 ) -> ChangeRun:
     """Detect and merge the changes of all pairs.
 
-    Responses carry the fractions of their tile, so mapping to scene coordinates needs no join. They
-    are checkpointed when ``store`` is set: detector calls are costly, and both the changes and the
-    summary read them.
+    Responses carry the fractions of their tile, so mapping to scene coordinates needs no join.
     """
     raw = detect(plan_tasks(pairs), make_detector, ["scene_id", "task_idx", *TILE_FRACTIONS], parallelism)
-    if store:
-        ensure_checkpoint_dir(raw.sparkSession)
-        raw = raw.checkpoint()
-    return merge_responses(raw.withColumn("model", F.lit(model)))
+    return merge_responses(raw.withColumn("model", F.lit(model)), store)
+
 
+def merge_responses(raw: DataFrame, store: bool = True) -> ChangeRun:
+    """Parse, map and merge task responses (scene_id, task_idx, raw_text, error, model, gx, gy, gw, gh).
 
-def merge_responses(raw: DataFrame) -> ChangeRun:
-    """Parse, map and merge task responses (scene_id, task_idx, raw_text, error, model, gx, gy, gw, gh)."""
+    Changes and summary both read the parsed responses, so these are checkpointed when ``store`` is
+    set: every detector call and every parse then happens once.
+    """
     parsed = parse_responses(raw)
+    if store:
+        ensure_checkpoint_dir(raw.sparkSession)
+        parsed = parsed.checkpoint()
     local = explode_changes(parsed.where(~F.col("failed")).select("scene_id", "task_idx", *TILE_FRACTIONS, "changes"))
     changes = merge_detections(map_in_place(normalise_changes(local)))
     responses = parsed.drop("changes")

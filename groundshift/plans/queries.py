@@ -63,8 +63,9 @@ def _parsed(spark, sf):
 
 
 def _tasks(spark, sf):
-    """Responses with their task number, counted within the scene."""
-    parsed = _parsed(spark, sf)
+    """Responses with their task number, counted within the scene; parsed once and stored."""
+    ensure_checkpoint_dir(spark)
+    parsed = _parsed(spark, sf).checkpoint()
     numbered = D.number_rows(parsed, ["scene_id"], [F.col("event_id").asc()], "_n")
     return numbered.withColumn("task_idx", (F.col("_n") - 1).cast("int")).drop("_n")
 
