@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions.boxes import area, box, iou
 from ..session import ensure_checkpoint_dir
-from .geometry import BOX_FIELDS, OverlapCells, has_extent
+from .geometry import CELL, OverlapCells, has_extent
 from .skew import HOT_ROWS, number_hot_rows, number_rows, split_hot
 
 SMALL_CELL = 32
@@ -140,8 +140,7 @@ def _rounds(det: DataFrame, threshold: float, limit: int) -> DataFrame:
         .select(*GROUP, "row")
     )
     open_rows = (
-        first.unionByName(extended.where(~copies))
-        .withColumn("cell", cells.own(b))
+        cells.file(first.unionByName(extended.where(~copies)), b)
         .withColumn("salt", F.pmod(F.hash("row.task_idx", "row.pos"), F.lit(SALTS)))
         .checkpoint()
     )
@@ -169,7 +168,7 @@ def _safe_rows(open_rows: DataFrame, cells: OverlapCells) -> DataFrame:
     Cells of up to SMALL_CELL rows are compared box by box; a fuller cell is represented by its first
     row alone, which blocks every later row near it whether or not they overlap.
     """
-    place = [*GROUP, "cell"]
+    place = [*GROUP, *CELL]
     counts = open_rows.groupBy(*place).agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("top"))
     full = counts.where(F.col("size") > SMALL_CELL).select(*place, "top")
     loose = open_rows.join(full.select(*place), place, "left_anti")
@@ -183,9 +182,8 @@ def _safe_rows(open_rows: DataFrame, cells: OverlapCells) -> DataFrame:
         *place, F.array().cast(contents.schema["others"].dataType).alias("others"), _order(F.col("top")).alias("first")
     ))
     candidates = loose.select(*GROUP, "row").unionByName(full.select(*GROUP, F.col("top").alias("row")))
-    probes = candidates.select(
-        *GROUP, _order(F.col("row")).alias("me"), F.col("row._box").alias("b"),
-        F.explode(cells.around(F.col("row._box"))).alias("cell"),
+    probes = cells.around(
+        candidates.select(*GROUP, _order(F.col("row")).alias("me"), F.col("row._box").alias("b")), F.col("b")
     )
     me, mine = F.col("me"), F.col("b")
     blocked = probes.join(contents, place).where(
@@ -203,17 +201,16 @@ def _remaining(open_rows: DataFrame, safe: DataFrame, cells: OverlapCells) -> Da
     Kept rows are spread over the cells and salts around them; undecided rows stay in place, so a
     crowded cell is shared by SALTS tasks.
     """
-    reach = safe.select(
-        *[F.col(k).alias(f"k_{k}") for k in GROUP], F.col("row._box").alias("k_box"),
-        F.col("row.task_idx").alias("k_task"), F.col("row.pos").alias("k_pos"),
-        F.explode(cells.around(F.col("row._box"))).alias("k_cell"),
-    ).withColumn("k_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    itself = (F.col("row.task_idx") == F.col("k_task")) & (F.col("row.pos") == F.col("k_pos"))
-    hit = (
-        (F.col("scene_id") == F.col("k_scene_id")) & (F.col("change_type") == F.col("k_change_type"))
-        & (F.col("cell") == F.col("k_cell")) & (F.col("salt") == F.col("k_salt"))
-        & (itself | (iou(F.col("row._box"), F.col("k_box")) > cells.threshold))
+    boxes = safe.select(
+        *GROUP, F.col("row._box").alias("k_box"), F.col("row.task_idx").alias("k_task"),
+        F.col("row.pos").alias("k_pos"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
+    place = [*GROUP, *CELL, "salt"]
+    reach = cells.around(boxes, F.col("k_box")).withColumnsRenamed({c: f"k_{c}" for c in place})
+    itself = (F.col("row.task_idx") == F.col("k_task")) & (F.col("row.pos") == F.col("k_pos"))
+    hit = itself | (iou(F.col("row._box"), F.col("k_box")) > cells.threshold)
+    for c in place:
+        hit = hit & (F.col(c) == F.col(f"k_{c}"))
     return open_rows.join(reach, hit, "left_anti")
 
 

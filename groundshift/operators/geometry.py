@@ -46,8 +46,14 @@ def rescale_boxes(df: DataFrame, px: int = 1000, width: str = "width", height: s
 # position at the pitch of that class), and every partner lies in a small set of cells around it.
 
 
+CELL = ["kw", "cx", "kh", "cy"]
+
+
 class OverlapCells:
-    """Cells such that boxes with IoU above ``threshold`` can be found by equality of cells."""
+    """Cells such that boxes with IoU above ``threshold`` can be found by equality of cells.
+
+    A cell is four plain columns, and all steps are codegen expressions and explodes of sequences.
+    """
 
     def __init__(self, threshold: float):
         if not 0.0 < threshold < 1.0:
@@ -61,33 +67,34 @@ class OverlapCells:
     def _pitch(self, cls: Column) -> Column:
         return F.pow(F.lit(self.base), (cls + 1).cast("double"))
 
-    def own(self, b: Column) -> Column:
-        """The cell of a box with positive extents."""
-        kw, kh = self._class(b["w"]), self._class(b["h"])
-        return F.struct(
-            kw.alias("kw"), F.floor(b["x"] / self._pitch(kw)).alias("cx"),
-            kh.alias("kh"), F.floor(b["y"] / self._pitch(kh)).alias("cy"),
+    def file(self, df: DataFrame, b: Column) -> DataFrame:
+        """Add the cell of a box with positive extents."""
+        filed = df.withColumn("kw", self._class(b["w"])).withColumn("kh", self._class(b["h"]))
+        return filed.withColumn("cx", F.floor(b["x"] / self._pitch(F.col("kw")))).withColumn(
+            "cy", F.floor(b["y"] / self._pitch(F.col("kh")))
         )
 
-    def _axis(self, start: Column, extent: Column) -> Column:
-        """Array of (class, position) a partner of this interval can have along one axis."""
-        # Half a class either way, and a little more against rounding at the class borders.
-        low, high = self._class(extent, -0.5 - 1e-9), self._class(extent, 0.5 + 1e-9)
-
-        def positions(cls: Column) -> Column:
-            pitch = self._pitch(cls)
-            longest = F.greatest(extent, F.least(extent / F.lit(self.threshold), pitch))
-            reach = F.lit((1.0 - self.threshold) * (1.0 + 1e-9)) * longest
-            cells = F.sequence(F.floor((start - reach) / pitch), F.floor((start + reach) / pitch))
-            return F.transform(cells, lambda c: F.struct(cls.alias("k"), c.alias("c")))
-
-        return F.flatten(F.transform(F.sequence(low, high), positions))
+    def classes_around(self, df: DataFrame, b: Column) -> DataFrame:
+        """One row per pair of extent classes that partners of a box can have."""
+        def near(extent: Column) -> Column:
+            # Half a class either way, and a little more against rounding at the class borders.
+            return F.sequence(self._class(extent, -0.5 - 1e-9), self._class(extent, 0.5 + 1e-9))
+
+        return df.withColumn("kw", F.explode(near(b["w"]))).withColumn("kh", F.explode(near(b["h"])))
+
+    def places_around(self, df: DataFrame, start: Column, extent: Column, cls: str, out: str) -> DataFrame:
+        """One row per position of class ``cls`` that partners can have along one axis."""
+        pitch = self._pitch(F.col(cls))
+        longest = F.greatest(extent, F.least(extent / F.lit(self.threshold), pitch))
+        reach = F.lit((1.0 - self.threshold) * (1.0 + 1e-9)) * longest
+        return df.withColumn(
+            out, F.explode(F.sequence(F.floor((start - reach) / pitch), F.floor((start + reach) / pitch)))
+        )
 
-    def around(self, b: Column) -> Column:
-        """Array of all cells in which partners of a box can lie."""
-        across, down = self._axis(b["x"], b["w"]), self._axis(b["y"], b["h"])
-        return F.flatten(F.transform(across, lambda i: F.transform(down, lambda j: F.struct(
-            i["k"].alias("kw"), i["c"].alias("cx"), j["k"].alias("kh"), j["c"].alias("cy")))))
+    def around(self, df: DataFrame, b: Column) -> DataFrame:
+        """One row per cell in which partners of a box can lie."""
+        spread = self.places_around(self.classes_around(df, b), b["x"], b["w"], "kw", "cx")
+        return self.places_around(spread, b["y"], b["h"], "kh", "cy")
 
 
 def has_extent(b: Column) -> Column:
@@ -109,21 +116,20 @@ def iou_pairs(boxes: DataFrame, threshold: float = K.DEDUPE_IOU) -> DataFrame:
         .groupBy(*keys, *BOX_FIELDS).agg(F.count(F.lit(1)).alias("n"))
         .select(*keys, box().alias("b"), "n")
     )
-    own = cells.own(F.col("b"))
+    filed = cells.file(distinct, F.col("b"))
     # A pair is found once: from its box of the higher extent class, or from the left one of a class.
-    size, place = F.struct("own.kw", "own.kh"), F.col("own.cx")
-    ahead = F.filter(
-        cells.around(F.col("b")),
-        lambda c: (F.struct(c["kw"], c["kh"]) < size) | ((F.struct(c["kw"], c["kh"]) == size) & (c["cx"] >= place)),
-    )
-    filed = distinct.withColumn("own", own)
-    left = filed.select(*keys, F.col("b").alias("p"), F.col("n").alias("p_n"), size.alias("p_size"),
-                        F.explode(ahead).alias("cell"))
-    right = filed.select(*keys, F.col("b").alias("q"), F.col("n").alias("q_n"), size.alias("q_size"),
-                         F.col("own").alias("cell"))
+    own = filed.select(*keys, F.col("b").alias("p"), F.col("n").alias("p_n"), F.col("kw").alias("p_kw"),
+                       F.col("kh").alias("p_kh"), F.col("cx").alias("p_cx"))
+    lower = (F.col("kw") < F.col("p_kw")) | ((F.col("kw") == F.col("p_kw")) & (F.col("kh") < F.col("p_kh")))
+    equal = (F.col("kw") == F.col("p_kw")) & (F.col("kh") == F.col("p_kh"))
     p, q = F.col("p"), F.col("q")
-    once = (F.col("p_size") > F.col("q_size")) | (p < q) | ((p == q) & (F.col("p_n") > 1))
-    found = left.join(right, [*keys, "cell"]).where(once & (iou(p, q) > threshold))
+    across = cells.places_around(
+        cells.classes_around(own, p).where(lower | equal), p["x"], p["w"], "kw", "cx"
+    ).where(lower | (F.col("cx") >= F.col("p_cx")))
+    left = cells.places_around(across, p["y"], p["h"], "kh", "cy").withColumn("lower", lower).drop("p_kw", "p_kh", "p_cx")
+    right = filed.select(*keys, F.col("b").alias("q"), F.col("n").alias("q_n"), *CELL)
+    once = F.col("lower") | (p < q) | ((p == q) & (F.col("p_n") > 1))
+    found = left.join(right, [*keys, *CELL]).where(once & (iou(p, q) > threshold))
     ordered = p <= q
 
     def side(low: str, high: str) -> Column:
@@ -201,6 +207,6 @@ def _spotlight(points: DataFrame, boxes: DataFrame, cells: int, how: str) -> Dat
 
 
 __all__ = [
-    "BOX_TYPE", "OverlapCells", "dim_points", "has_extent", "iou_pairs", "lit_points", "map_in_place",
+    "BOX_TYPE", "CELL", "OverlapCells", "dim_points", "has_extent", "iou_pairs", "lit_points", "map_in_place",
     "map_to_global", "rescale_boxes",
 ]
