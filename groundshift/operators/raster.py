@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import KEPT_BANDS
-from ..functions.numeric import round_half_up
 from ..functions.pixels import stretch_u8, to_grey, u16_to_u8
 
 BLOCK = 64
@@ -291,39 +290,55 @@ def warp(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "
             back = batch.column("back").flatten().to_numpy().reshape(-1, 9)
             source, found = batch.column("sv"), batch.column("sv").is_valid().to_pylist()
             starts, values = source.offsets.to_numpy().tolist(), source.values.to_numpy(zero_copy_only=False)
-            sums, place, index, share = [], None, None, None
+            shares, at, place = [], [], None
             for i, row in enumerate(zip(*whole.values())):
                 bx, by, bw, bh, src_w, src_h, sbx, sby = row
                 if not found[i]:
-                    sums.append(np.zeros(bw * bh))
+                    shares.append(np.zeros(0))
+                    at.append(np.zeros(0, np.int32))
                     continue
                 # The bands of one place follow each other and share their taps.
                 if (scene[i], row) != place:
                     cols, rows, weights = _taps(back[i], bx * size, by * size, bw, bh, src_w, src_h)
                     cols, rows = cols - sbx * size, rows - sby * size
                     inside = (cols >= 0) & (cols < size) & (rows >= 0) & (rows < size) & (weights != 0)
-                    index = np.where(inside, rows * stride[i] + cols, 0)
-                    share = np.where(inside, weights, 0.0)
+                    pixel = np.nonzero(inside)[1].astype(np.int32)
+                    index, weight = (rows * stride[i] + cols)[inside], weights[inside]
                     place = (scene[i], row)
-                sums.append((values[starts[i]:starts[i + 1]][index] * share).sum(0))
-            ends = np.cumsum([0, *map(len, sums)], dtype=np.int32)
-            part = pa.ListArray.from_arrays(ends, np.concatenate(sums) if sums else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], part], names=[*kept, "part"])
+                shares.append(values[starts[i]:starts[i + 1]][index] * weight)
+                at.append(pixel)
+            ends = np.cumsum([0, *map(len, at)], dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(ends, np.concatenate(parts)) for parts in (at, shares)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *lists], names=[*kept, "at", "share"])
 
     partial = met.mapInArrow(
         sample,
-        f"scene_id {key}, band int, bx bigint, by bigint, bw int, bh int, sbx bigint, sby bigint, part array<double>",
-    )
-    # The sort fixes the order of the sum, so that results do not depend on the order of arrival.
-    summed = partial.groupBy("scene_id", "band", "bx", "by", "bw", "bh").agg(
-        F.array_sort(F.collect_list(F.struct("sby", "sbx", "part"))).alias("_p")
-    )
-    total = F.aggregate(
-        F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(1))), F.get("_p", F.lit(0))["part"],
-        lambda acc, p: F.zip_with(acc, p["part"], lambda a, b: a + b),
-    )
-    if rounded:
-        total = F.transform(total, lambda s: round_half_up(s).cast("double"))
-    return summed.select(
-        "scene_id", F.lit(epoch).alias("epoch"), "band", "bx", "by", "bw", "bh", total.alias("v")
+        f"scene_id {key}, band int, bx bigint, by bigint, bw int, bh int, sbx bigint, sby bigint,"
+        " at array<int>, share array<double>",
     )
+    out_keys = ["scene_id", "band", "bx", "by", "bw", "bh"]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = (batch.column("bw").to_numpy() * batch.column("bh").to_numpy()).tolist()
+            starts = batch.column("at").offsets.to_numpy().tolist()
+            at = batch.column("at").values.to_numpy(zero_copy_only=False)
+            share_starts = batch.column("share").offsets.to_numpy().tolist()
+            share = batch.column("share").values.to_numpy(zero_copy_only=False)
+            sums = [
+                np.bincount(at[starts[i]:starts[i + 1]], share[share_starts[i]:share_starts[i + 1]], n)
+                for i, n in enumerate(counts)
+            ]
+            flat = np.concatenate(sums).astype(np.float64) if sums else np.zeros(0)
+            flat = np.floor(flat + 0.5) if rounded else flat
+            v = pa.ListArray.from_arrays(np.cumsum([0, *counts], dtype=np.int32), flat)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in out_keys], v], names=[*out_keys, "v"])
+
+    # A pixel has at most four shares, so an output block gathers at most 4 * size^2 of them however
+    # many source blocks they come from. The sort fixes the order of the sum.
+    gathered = partial.groupBy(*out_keys).agg(
+        F.array_sort(F.collect_list(F.struct("sby", "sbx", "at", "share"))).alias("_p")
+    ).select(*out_keys, F.flatten("_p.at").alias("at"), F.flatten("_p.share").alias("share"))
+    summed = gathered.mapInArrow(
+        add_up, f"scene_id {key}, band int, bx bigint, by bigint, bw int, bh int, v array<double>")
+    return summed.select("scene_id", F.lit(epoch).alias("epoch"), "band", "bx", "by", "bw", "bh", "v")
