@@ -7,7 +7,7 @@ IoU above the threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions.boxes import area, box, iou
@@ -15,7 +15,7 @@ from ..session import ensure_checkpoint_dir
 from .geometry import CELL, OverlapCells, has_extent
 from .skew import HOT_ROWS, number_hot_rows, number_rows, split_hot
 
-SMALL_CELL = 32
+CELL_ROWS = 32
 SALTS = 8
 GROUP = ["scene_id", "change_type"]
 
@@ -165,30 +165,24 @@ def _rounds(det: DataFrame, threshold: float, limit: int) -> DataFrame:
 def _safe_rows(open_rows: DataFrame, cells: OverlapCells) -> DataFrame:
     """Undecided rows that no earlier undecided row can suppress.
 
-    Cells of up to SMALL_CELL rows are compared box by box; a fuller cell is represented by its first
-    row alone, which blocks every later row near it whether or not they overlap.
+    Of each cell the first CELL_ROWS rows are looked at, box by box; the limit on the row number is applied
+    before the shuffle, so a crowded cell moves few rows. Later rows of such a cell wait, and so does
+    any row nearby that they might precede.
     """
     place = [*GROUP, *CELL]
-    counts = open_rows.groupBy(*place).agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("top"))
-    full = counts.where(F.col("size") > SMALL_CELL).select(*place, "top")
-    loose = open_rows.join(full.select(*place), place, "left_anti")
-    brief = F.struct(
-        F.col("row._rank"), F.col("row._area"), F.col("row.task_idx"), F.col("row.pos"), F.col("row._box")
+    first = W.partitionBy(*place).orderBy("row._rank", "row._area", "row.task_idx", "row.pos")
+    candidates = open_rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= CELL_ROWS)
+    brief = F.struct(_order(F.col("row")).alias("order"), F.col("row._box").alias("box"))
+    contents = candidates.groupBy(*place).agg(
+        F.collect_list(brief).alias("others"), F.max(_order(F.col("row"))).alias("last")
     )
-    contents = loose.groupBy(*place).agg(F.collect_list(brief).alias("others")).withColumn(
-        "first", F.lit(None).cast(open_rows.select(_order(F.col("row")).alias("o")).schema["o"].dataType)
-    )
-    contents = contents.unionByName(full.select(
-        *place, F.array().cast(contents.schema["others"].dataType).alias("others"), _order(F.col("top")).alias("first")
-    ))
-    candidates = loose.select(*GROUP, "row").unionByName(full.select(*GROUP, F.col("top").alias("row")))
     probes = cells.around(
         candidates.select(*GROUP, _order(F.col("row")).alias("me"), F.col("row._box").alias("b")), F.col("b")
     )
     me, mine = F.col("me"), F.col("b")
     blocked = probes.join(contents, place).where(
-        F.coalesce(F.col("first") < me, F.lit(False))
-        | F.exists("others", lambda o: (_order(o) < me) & (iou(o["_box"], mine) > cells.threshold))
+        ((F.size("others") == CELL_ROWS) & (F.col("last") < me))
+        | F.exists("others", lambda o: (o["order"] < me) & (iou(o["box"], mine) > cells.threshold))
     )
     ids = blocked.select(*GROUP, F.col("me.task_idx").alias("t"), F.col("me.pos").alias("p"))
     return candidates.withColumn("t", F.col("row.task_idx")).withColumn("p", F.col("row.pos")).join(
