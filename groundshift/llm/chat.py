@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 TURN_HEAD = "### "
 HEAD_END = ": "
 TURN_END = "</turn>\n"
+ROLE_MARKS = "#<:"
 
 
-def escape(text: Column) -> Column:
-    """Put a backslash before every backslash, `#` and `<`, so that no mark of the template can occur in a text."""
-    for char in ("\\", "#", "<"):
-        text = F.replace(text, F.lit(char), F.lit("\\" + char))
+def escape(text: Column, marks: str = "#<") -> Column:
+    """Put a backslash after every backslash and mark, so that no control string of the template can occur in a text."""
+    for char in "\\" + marks:
+        text = F.replace(text, F.lit(char), F.lit(char + "\\"))
     return text
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, marks: str = "#<") -> Column:
     """Undo `escape`."""
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    return F.regexp_replace(text, rf"([\\{marks}])\\", "$1")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     which each turn begins; `loss` has (start, length) per turn, the escaped text for turns of role `learn`, length 0
     for others. Turns are ordered by seq; equal ones by role, text and message id.
     """
-    head = F.concat(F.lit(TURN_HEAD), F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\:")), F.lit(HEAD_END))
+    head = F.concat(F.lit(TURN_HEAD), escape(F.col("role"), ROLE_MARKS), F.lit(HEAD_END))
     body = escape(F.col("text"))
     turns = messages.select(
         "conv_id", "seq", "role", "text", "message_id", F.concat(head, body, F.lit(TURN_END)).alias("turn"),
@@ -95,12 +96,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
     parts = formatted.select("conv_id", "formatted", "loss", "turn_starts", whole.alias("pieces"))
 
     def turn(piece: Column, i: Column) -> Column:
-        role = F.regexp_extract(piece, rf"(?s)\A{TURN_HEAD}((?:[^\\:]++|\\.)*+){HEAD_END}", 1)
-        at = F.char_length(role) + len(TURN_HEAD) + len(HEAD_END) + 1
+        end = F.instr(piece, HEAD_END)  # a colon inside a role has a backslash after it
+        role = F.substr(piece, F.lit(len(TURN_HEAD) + 1), end - len(TURN_HEAD) - 1)
         span = F.get("loss", i)
         under = F.substr(piece, (span["start"] - F.get("turn_starts", i) + 1).cast("int"), span["length"].cast("int"))
         return F.struct(
-            unescape(role).alias("role"), unescape(F.substr(piece, at)).alias("text"), unescape(under).alias("learned")
+            unescape(role, ROLE_MARKS).alias("role"), unescape(F.substr(piece, end + len(HEAD_END))).alias("text"),
+            unescape(under).alias("learned"),
         )
 
     return parts.select(

@@ -39,7 +39,7 @@ NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\
 SPACE = re.compile(r"\s+")
 HIDDEN = re.compile(r"""(?:\s|^)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 # Weights before any page is seen: a word, a tag, and the tags whose weight is learned apart.
-DEFAULT_WEIGHTS = {"word": 1.0, "tag": -0.5}
+DEFAULT_WEIGHTS = {"word": 1.0, "tag": -0.1}
 
 
 def furniture(name: str, attributes: str, in_article: bool) -> bool:
@@ -202,8 +202,9 @@ def fit_weights(pages: DataFrame, html_col: str = "html", train_pages: int = 200
         if r["token"] == "word":
             weights["word"] = max(1.0, odds)
         else:
-            # A tag may never outweigh the one word that a block holds at least, unless it is foreign to content.
-            weights[r["token"]] = max(-8.0, odds) if odds < -1 else -0.25
+            # The tags between two blocks may not outweigh the one word that a block holds at least, unless they are
+            # foreign to content on the labelled pages.
+            weights[r["token"]] = max(-1.0, odds) if odds < -0.5 else -0.05
     return weights
 
 

@@ -192,7 +192,7 @@ def top_k(
     with them to all other shards as the bound below which boxes are not opened. What a shard emits per query is at
     most k rows. An exact search compares queries with candidates by definition, so work grows with their product.
 
-    Vectors of another length than the query's take no part. Fewer than k candidates give fewer rows, empty tables none.
+    Scores beyond the range of long stop at its ends. Vectors of another length than the query's take no part. Fewer than k candidates give fewer rows, empty tables none.
     """
     n_shards = max(1, math.ceil(vectors.count() / shard_rows))
     search = _searcher(k, leaf_rows)

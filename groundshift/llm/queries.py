@@ -138,8 +138,8 @@ ORACLES = {
             UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
             UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
         ), marked AS (
-            SELECT *, replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '<', '\<'), ':', '\:') AS role_out,
-                   replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<') AS text_out
+            SELECT *, replace(replace(replace(replace(role, '\', '\\'), '#', '#\'), '<', '<\'), ':', ':\') AS role_out,
+                   replace(replace(replace(text, '\', '\\'), '#', '#\'), '<', '<\') AS text_out
             FROM rows
         )
         SELECT conv_id, count(*) AS n_turns,

@@ -182,25 +182,13 @@ class Scanner:
                 yield m.start(), m.end()
 
 
-def find_secrets(
-    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text",
-    keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """All secrets of every text: the kept columns, `doc_id`, and `spans array<struct<start, end, kind>>`.
-
-    Spans are code points, end exclusive, ordered by start, then by the order of the rules. Each slice of some
-    megabytes of texts is a segment with its own inverted index: postings of those trigrams that some rule asks for,
-    over the folded bytes of whole texts. A rule's Boolean query is answered by intersecting postings, and only admitted
-    texts are searched with its pattern; rules without mandatory trigrams (long hexadecimal runs) search every text.
-    Rows never leave their partition, so there is no shuffle and no skew.
-
-    Null and empty texts have no spans, repeated rows are scanned each, an empty table gives no rows.
-    """
+def _scan(docs: DataFrame, rules: tuple[Rule, ...], text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """The kept columns as keep_0, keep_1, ... and the spans of every row."""
     source = docs.select(
-        *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(id_col).alias("doc_id"),
+        *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    kept = [f.name for f in source.schema.fields if f.name != "text"]
+    kept = [f"keep_{i}" for i in range(len(keep))]
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
     key = f"scanner_{abs(hash(rules))}"
 
@@ -225,32 +213,42 @@ def find_secrets(
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, span_type)], names=[*kept, "spans"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "text")
-    scanned = source.mapInArrow(scan, f"{fields}, spans array<struct<start: int, end: int, kind: string>>")
-    return scanned.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "doc_id", "spans")
+    return source.mapInArrow(scan, f"{fields}, spans array<struct<start: int, end: int, kind: string>>")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """All secrets of every text: `doc_id` and `spans array<struct<start, end, kind>>`.
+
+    Spans are code points, end exclusive, ordered by start, then by the order of the rules. Each slice of some
+    megabytes of texts is a segment with its own inverted index: postings of those trigrams that some rule asks for,
+    over the folded bytes of whole texts. A rule's Boolean query is answered by intersecting postings, and only admitted
+    texts are searched with its pattern; rules without mandatory trigrams (long hexadecimal runs) search every text.
+    Rows never leave their partition, so there is no shuffle and no skew.
+
+    Null and empty texts have no spans, repeated rows are scanned each, an empty table gives no rows.
+    """
+    return _scan(docs, rules, text_col, (id_col,)).withColumnRenamed("keep_0", "doc_id")
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The same rows and columns with every found span replaced by `[kind]`; overlapping spans become one mark.
 
     A mark names the first kind of a run of overlapping spans. Null texts stay null.
     """
-    columns = docs.columns
-    spotted = find_secrets(docs, rules, id_col, text_col, keep=tuple(columns)).select(*columns, "spans")
+    spotted = _scan(docs, rules, text_col, tuple(docs.columns))
+    raw = F.col(f"keep_{docs.columns.index(text_col)}")
     # Fold the ordered spans into (text so far, end of what is copied); texts without spans are untouched.
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
     folded = F.aggregate(
-        "spans", start,
+        "spans", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
             F.struct(
-                F.concat(
-                    acc["done"], F.substr(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")
-                ).alias("done"),
+                F.concat(acc["done"], F.substr(raw, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]")).alias("done"),
                 s["end"].alias("at"),
             ),
         ).otherwise(F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))),
     )
-    text = F.when(F.size("spans") == 0, F.col(text_col)).otherwise(
-        F.concat(folded["done"], F.substr(F.col(text_col), folded["at"] + 1))
-    )
-    return spotted.withColumn("_clean", text).select(*[F.col("_clean").alias(c) if c == text_col else c for c in columns])
+    text = F.when(F.size("spans") == 0, raw).otherwise(F.concat(folded["done"], F.substr(raw, folded["at"] + 1)))
+    return spotted.select(*[(text if c == text_col else F.col(f"keep_{i}")).alias(c) for i, c in enumerate(docs.columns)])

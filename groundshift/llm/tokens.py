@@ -87,7 +87,7 @@ def write_token_files(
     written = ordered.mapInArrow(encode, "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
     (
         written.write.option("orc.compress", "ZSTD").option("orc.stripe.size", stripe_bytes)
-        .option("orc.row.index.stride", index_rows).option("orc.create.index", "true")
+        .option("orc.rows.between.memory.checks", 500).option("orc.row.index.stride", index_rows).option("orc.create.index", "true")
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", 0.01).orc(f"{path}/docs")
     )
     spark = docs.sparkSession
