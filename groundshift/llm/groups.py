@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from groundshift.llm.tables import stored
 
 EDGE = "a string, b string"
-# Rows of a group that one task compares at once; larger groups are cut into blocks.
-BLOCK_ROWS = 256
+# Rows that one task compares at once; larger groups are cut into blocks.
+BLOCK_ROWS = 1024
+HUBS = 16
 
 
 class Forest:
@@ -92,70 +93,102 @@ def _edges(rows: list[tuple[str, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["a", "b"])
 
 
-def _to_hub(prepare: Callable, linked: Callable):
-    """mapInArrow over node, hub, payload, hub_payload: whether each row is linked to its group's hub."""
+def _to_hubs(prepare: Callable, linked: Callable, rows_at_once: int):
+    """mapInArrow over rows sorted by `deal`, hubs first: group, deal, node, payload, is_hub.
+
+    Gives (group, node, hub) with the first hub that the row is linked to, null if there is none, and pairs of hubs that are
+    linked to one row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal, hubs, hub_rows = None, [], []
+        waiting: list[tuple] = []
+        pairs: set[tuple] = set()
+
+        def judge(out: list) -> None:
+            if waiting:
+                features = prepare([*hub_rows, *(payload for _, _, payload in waiting)])
+                index = np.arange(len(hubs))
+                for n, (group, node, _) in enumerate(waiting):
+                    met = [hubs[h] for h in index[linked(features, len(hubs) + n, index)].tolist()] if len(hubs) else []
+                    out.append((group, node, met[0] if met else None))
+                    pairs.update((group, h, met[0]) for h in met[1:])
+                waiting.clear()
+
         for batch in batches:
-            payloads, hubs = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            said, known = [], {}
-            for payload, hub in zip(payloads, hubs, strict=True):
-                if hub not in known:
-                    known = {hub: prepare([hub])}
-                features = _pair(known[hub], prepare([payload]))
-                said.append(bool(np.asarray(linked(features, 0, np.array([1])))[0]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(said, pa.bool_())], names=["group", "node", "hub", "linked"])
+            out: list[tuple] = []
+            for group, d, node, payload, is_hub in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if d != deal:
+                    judge(out)
+                    out += sorted(pairs)
+                    pairs.clear()
+                    deal, hubs, hub_rows = d, [], []
+                if is_hub:
+                    hubs.append(node)
+                    hub_rows.append(payload)
+                else:
+                    waiting.append((group, node, payload))
+                    if len(waiting) >= rows_at_once:
+                        judge(out)
+            judge(out)
+            yield _rows(out, batch.schema.field("group").type)
+        if deal is not None:
+            yield _rows(sorted(pairs), batch.schema.field("group").type)
 
     return run
 
 
-def _pair(a, b):
-    return np.concatenate([a, b]) if isinstance(a, np.ndarray) else [*a, *b]
+def _rows(rows: list[tuple], group_type: pa.DataType) -> pa.RecordBatch:
+    types = (group_type, pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["group", "node", "hub"])
 
 
 def links(members: DataFrame, prepare: Callable, linked: Callable, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges `a, b` that connect, in every group, exactly what its linked pairs connect.
 
-    `members` has group (any type), node (string), payload, and n (rows of the group). Groups of up to `block_rows` are
-    compared inside one task each. In larger ones every row is compared with the group's hub (its smallest node); rows
-    not linked to it, which a tight group has few of, are compared with all rows, block against block, so no link is
-    lost and no task holds more than two blocks.
+    `members` has group (any type), node (string), payload, and blocks (how many blocks of at most about `block_rows` rows the
+    group fills). Groups of one block are compared inside one task each. In larger ones every row is compared with
+    `HUBS` hubs, rows of the group chosen by hash; rows not linked to any hub, which a tight group has few of, are
+    compared with all rows, block against block. So no link is lost, no task holds more than two blocks and the hubs, and
+    tight groups of any size take linear work.
     """
-    small = members.filter(F.col("n") <= block_rows).select("group", "node", "payload", F.lit(True).alias("left"))
+    small = members.filter("blocks <= 1").select("group", "node", "payload", F.lit(True).alias("left"))
     run = _per_group(prepare, linked)
     found = small.repartition("group").sortWithinPartitions("group").mapInArrow(run, EDGE)
-    large = members.filter(F.col("n") > block_rows)
+    large = members.filter("blocks > 1")
     if large.select("group").isEmpty():
         return found
-    hubs = stored(large.groupBy("group").agg(F.min(F.struct("node", "payload")).alias("hub")), "hubs")
-    asked = large.join(hubs, "group").select(
-        "group", "node", F.col("hub.node").alias("hub"), "payload", F.col("hub.payload").alias("hub_payload")
-    )
+    slot = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(HUBS))
+    hubs = large.groupBy("group", slot.alias("slot")).agg(F.min(F.struct("node", "payload")).alias("hub"), F.max("blocks").alias("blocks"))
+    deal = lambda part: F.xxhash64("group", part)
+    asked = hubs.select(
+        "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "hub.node", "hub.payload", F.lit(True).alias("is_hub")
+    ).unionByName(
+        large.select("group", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("part"), "node", "payload", F.lit(False).alias("is_hub"))
+    ).select("group", deal(F.col("part")).alias("deal"), "node", "payload", "is_hub")
     group_type = members.schema["group"].dataType.simpleString()
     judged = stored(
-        asked.mapInArrow(_to_hub(prepare, linked), f"group {group_type}, node string, hub string, linked boolean"), "judged"
+        asked.repartition("deal").sortWithinPartitions("deal", F.desc("is_hub")).mapInArrow(
+            _to_hubs(prepare, linked, block_rows), f"group {group_type}, node string, hub string"
+        ),
+        "judged",
     )
-    stars = judged.filter("linked AND node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    apart = judged.filter(~F.col("linked")).select("group", "node")
-    counts = apart.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / (block_rows // 2)).cast("int").alias("left_blocks"))
-    rest = large.join(counts, "group")
-    block = lambda blocks: F.pmod(F.xxhash64("node"), blocks)
-    right_blocks = F.ceil(F.col("n") / (block_rows // 2)).cast("int")
-    as_left = rest.join(apart, ["group", "node"], "left_semi").select(
-        "group", block(F.col("left_blocks")).alias("i"), F.explode(F.sequence(F.lit(0), right_blocks - 1)).alias("j"),
-        "node", "payload", F.lit(True).alias("left"),
-    )
-    as_right = rest.join(apart, ["group", "node"], "left_anti").select(
-        "group", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), block(right_blocks).alias("j"),
-        "node", "payload", F.lit(False).alias("left"),
+    stars = judged.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    apart = judged.filter("hub IS NULL").select("group", "node")
+    counts = apart.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    # Half blocks on either side, so that a task holds about one block.
+    rest = large.join(counts, "group").withColumn("left_blocks", F.ceil(F.col("n") * 2 / block_rows).cast("int")).withColumn(
+        "right_blocks", F.col("blocks") * 2
     )
-    # Rows apart meet each other too: the copy of a left row in its own right block stands for it there.
-    as_both = rest.join(apart, ["group", "node"], "left_semi").select(
-        "group", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"), block(right_blocks).alias("j"),
-        "node", "payload", F.lit(False).alias("left"),
+    as_left = rest.join(apart, ["group", "node"], "left_semi").select(
+        "group", F.pmod(F.xxhash64("node"), "left_blocks").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("right_blocks") - 1)).alias("j"), "node", "payload", F.lit(True).alias("left"),
     )
-    blocks = as_left.unionByName(as_right).unionByName(as_both).select(
-        F.xxhash64("group", "i", "j").alias("group"), "node", "payload", "left"
+    # All rows stand on the right, those apart too, so that they meet each other.
+    as_right = rest.select(
+        "group", F.explode(F.sequence(F.lit(0), F.col("left_blocks") - 1)).alias("i"),
+        F.pmod(F.xxhash64("node"), "right_blocks").alias("j"), "node", "payload", F.lit(False).alias("left"),
     )
+    blocks = as_left.unionByName(as_right).select(deal(F.struct("i", "j")).alias("group"), "node", "payload", "left")
     crossed = blocks.repartition("group").sortWithinPartitions("group").mapInArrow(run, EDGE)
     return found.unionByName(stars).unionByName(crossed.filter("a <> b"))

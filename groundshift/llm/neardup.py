@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundshift.llm.graph import components
-from groundshift.llm.groups import links
+from groundshift.llm.groups import BLOCK_ROWS, links
 from groundshift.llm.tables import slices, stored
 from groundshift.llm.words import mixed, shingle_hashes, word_hashes
 
@@ -22,6 +22,9 @@ ROWS = 4
 # samples below the similarity asked for.
 AGREEMENT = 0.58
 DF_BUCKETS = 1 << 17
+# Texts, and their bytes, that one task compares exactly at once.
+TEXT_ROWS = 512
+TEXT_BYTES = 8 << 20
 # Inverse document frequency is ln(1 + N / (df + N)): it falls from 0.69 for rare shingles to 0.41 for those of every
 # document. A steeper one would part large groups of near copies, whose common shingles are frequent for no other
 # reason than the copies, from each other.
@@ -150,13 +153,13 @@ def text_key(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """`node, pos, doc_id` rows with `bands array<long>` and `samples binary`; both null for texts without words."""
+    """`doc_id, node, pos, bytes` rows with `bands array<long>` and `samples binary`; both null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * rows)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                text, hashes, tf, numbers = weights.features(part.column(3).to_pylist())
+                text, hashes, tf, numbers = weights.features(part.column(4).to_pylist())
                 full = np.flatnonzero(numbers)
                 starts = (np.cumsum(numbers) - numbers)[full]
                 logs = weights.log_weight(hashes, tf)
@@ -175,12 +178,12 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
                     band_rows[i] = keys[n].view(np.int64)
                     sample_rows[i] = short[n].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array(band_rows, pa.list_(pa.int64())), pa.array(sample_rows, pa.binary())],
-                    names=["doc_id", "node", "pos", "bands", "samples"],
+                    [*part.columns[:4], pa.array(band_rows, pa.list_(pa.int64())), pa.array(sample_rows, pa.binary())],
+                    names=["doc_id", "node", "pos", "bytes", "bands", "samples"],
                 )
 
-    return docs.select("doc_id", "node", "pos", "text").mapInArrow(
-        run, "doc_id long, node string, pos long, bands array<long>, samples binary"
+    return docs.select("doc_id", "node", "pos", "bytes", "text").mapInArrow(
+        run, "doc_id long, node string, pos long, bytes int, bands array<long>, samples binary"
     )
 
 
@@ -192,31 +195,32 @@ def _agree(least: float):
     return lambda samples, i, js: (samples[js] == samples[i]).mean(axis=1) >= least
 
 
-def _weighted_sets(weights: Weights):
-    def prepare(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-        _, hashes, tf, numbers = weights.features(texts)
-        weight = weights.weigh(hashes, tf)
-        ends = np.cumsum(numbers)
-        return [(hashes[e - n:e], weight[e - n:e], float(weight[e - n:e].sum())) for e, n in zip(ends, numbers, strict=True)]
+class WeightedSets:
+    """Weighted shingle sets of a block of texts with postings from shingles to texts."""
 
-    return prepare
+    def __init__(self, weights: Weights, texts: list[str]):
+        self.text, hashes, tf, self.numbers = weights.features(texts)
+        self.weight = weights.weigh(hashes, tf)
+        self.starts = np.cumsum(self.numbers) - self.numbers
+        self.totals = np.bincount(self.text, self.weight, minlength=len(texts))
+        _, self.shingle, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        self.order = np.argsort(self.shingle, kind="stable")
+        self.lists = np.concatenate([[0], np.cumsum(counts)])
+
+    def similarity(self, i: int) -> np.ndarray:
+        """Weighted Jaccard similarity of text i with every text."""
+        mine = slice(self.starts[i], self.starts[i] + self.numbers[i])
+        first, last = self.lists[self.shingle[mine]], self.lists[self.shingle[mine] + 1]
+        sizes = last - first
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+        entry = self.order[at]
+        least = np.minimum(self.weight[entry], np.repeat(self.weight[mine], sizes))
+        shared = np.bincount(self.text[entry], least, minlength=len(self.totals))
+        return shared / np.maximum(self.totals + self.totals[i] - shared, 1e-12)
 
 
 def _jaccard_at_least(least: float):
-    def linked(sets: list, i: int, js: np.ndarray) -> np.ndarray:
-        hashes, weight, total = sets[i]
-        out = np.zeros(len(js), bool)
-        for n, j in enumerate(js.tolist()):
-            other, other_weight, other_total = sets[j]
-            if min(total, other_total) < least * max(total, other_total) or not len(hashes):
-                continue
-            at = np.minimum(np.searchsorted(hashes, other), len(hashes) - 1)
-            same = hashes[at] == other
-            shared = float(np.minimum(weight[at[same]], other_weight[same]).sum())
-            out[n] = shared >= least * (total + other_total - shared) - 1e-9
-        return out
-
-    return linked
+    return lambda sets, i, js: sets.similarity(i)[js] >= least - 1e-9
 
 
 def near_duplicates(
@@ -241,24 +245,33 @@ def near_duplicates(
     """
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col).cast("string")).alias("node"),
-        F.monotonically_increasing_id().alias("pos"), F.col(text_col).cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("pos"), F.octet_length(F.col(text_col).cast("string")).alias("bytes"),
+        F.col(text_col).cast("string").alias("text"),
     )
     weights = Weights(*document_frequencies(docs, text_col))
     signed = stored(signatures(source, weights, bands, rows), "signatures")
     nodes = signed.filter(F.col("bands").isNotNull()).dropDuplicates(["node"])
     member = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("group"))
     crowded = member.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    in_bands = stored(member.join(crowded, "group"), "bands")
+    in_bands = stored(
+        member.join(crowded, "group").select("node", "group", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "bands"
+    )
     met = in_bands.join(nodes.select("node", F.col("samples").alias("payload")), "node")
     coarse = components(links(met, _sample_matrix, _agree(AGREEMENT)))
-    sizes = coarse.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    candidates = stored(coarse.join(sizes, "root").select("node", F.col("root").alias("group"), "n"), "candidates")
     # One row of each candidate text: the one whose position is smallest.
-    chosen = signed.join(candidates, "node").groupBy("node").agg(
-        F.min("pos").alias("pos"), F.first("group").alias("group"), F.first("n").alias("n")
+    chosen = stored(
+        signed.join(coarse, "node").groupBy("node").agg(
+            F.min("pos").alias("pos"), F.first("root").alias("group"), F.max("bytes").alias("bytes")
+        ),
+        "candidates",
+    )
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / TEXT_ROWS), F.ceil(F.sum("bytes") / TEXT_BYTES)).cast("int")
+    sizes = chosen.groupBy("group").agg(blocks.alias("blocks"))
+    placed = stored(chosen.join(sizes, "group").select("group", "node", "pos", "blocks"), "placed")
+    texts = source.select("pos", F.col("text").alias("payload")).join(placed, "pos").select("group", "node", "payload", "blocks")
+    edges = links(
+        texts, lambda rows: WeightedSets(weights, rows), _jaccard_at_least(similarity), block_rows=TEXT_ROWS
     )
-    texts = source.select("pos", F.col("text").alias("payload")).join(chosen, "pos").select("group", "node", "payload", "n")
-    edges = links(texts, _weighted_sets(weights), _jaccard_at_least(similarity), block_rows=64)
     roots = components(edges)
     classes = signed.select("doc_id", "pos", F.coalesce("node", F.concat(F.lit("null-"), "pos")).alias("node")).join(
         roots, "node", "left"
