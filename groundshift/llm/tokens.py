@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,23 +23,53 @@ CACHED_CHARS = 48
 class WordEncoder(dict):
     """Ids of space-free pieces of text as little-endian bytes, remembered for the first `CACHED_WORDS` pieces.
 
-    For tokenizers that drop white space and never merge across it, a text's ids are those of its pieces in order.
+    For tokenizers that drop white space and never merge across it, a text's ids are those of its pieces in order. Shortcuts
+    are taken only where probes show that the tokenizer allows them: Latin-1 texts are lower-cased first, and plain
+    words go to the merges directly, without the surrounding steps.
     """
 
+    LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+    PROBES = ("a", "the", "zebra", "caf\u00e9", "stra\u00dfe", "se\u00f1or", "\u00e9\u00e8\u00e7", "qxzjkv", "m\u00fc\u00b5\u00aa\u00ba", "word" * 9)
+
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode, tokenizer.model.tokenize
+        self.table = {}
+        for c in self.LETTERS:
+            shown = tokenizer.pre_tokenizer.pre_tokenize_str(c) if tokenizer.pre_tokenizer else []
+            self.table[ord(c)] = shown[0][0] if len(shown) == 1 else c
+        slow = lambda w: self.encode(w, add_special_tokens=False).ids
+        self.folds = all(slow(c.upper()) == slow(c) for c in "az\u00e9\u00fc") and all(
+            slow(c) == slow(c.lower()) for c in map(chr, range(32, 256))
+        )
+        self.plain = self.folds and all([t.id for t in self.merge(w.translate(self.table))] == slow(w) for w in self.PROBES)
+        self.pack = {n: struct.Struct(f"<{n}I").pack for n in range(64)}
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) < CACHED_WORDS and len(word) <= CACHED_CHARS:
+        n = len(word)
+        if n > 1 and word[-1] in ".," and word[-2].isalpha() and self.plain:
+            ids = self[word[:-1]] + self[word[-1]]
+        else:
+            if self.plain and word.isalpha() and word.islower() and max(word) < "\u0100":
+                found = [t.id for t in self.merge(word.translate(self.table))]
+            else:
+                found = self.encode(word, add_special_tokens=False).ids
+            ids = self.pack[len(found)](*found) if len(found) < 64 else np.array(found, dtype="<u4").tobytes()
+        if len(self) < CACHED_WORDS and n <= CACHED_CHARS:
             self[word] = ids
         return ids
 
     def document(self, text: str, end: bytes) -> bytes:
+        if self.folds:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass  # folding such texts before composing them could change them
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + end
 
 
