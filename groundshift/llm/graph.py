@@ -28,11 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: both directions; larger neighbours move to the smallest neighbour.
         ways = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = ways.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = large.filter("u <> v").distinct()
         # Small star: smaller neighbours, and the node itself, move to the smallest of them.
         low = kept.groupBy("u").agg(F.min("v").alias("m"))
-        small = kept.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = kept.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         both = small.filter("u <> v").distinct().checkpoint()
     else:
         raise RuntimeError("components did not converge")

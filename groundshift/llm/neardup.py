@@ -173,7 +173,7 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
                         keys[:, b] = mixed(keys[:, b] * np.uint64(31) + drawn[:, k])
                 band_rows: list = [None] * len(numbers)
                 sample_rows: list = [None] * len(numbers)
-                short = drawn.astype(np.uint32)
+                short = drawn.astype(np.uint16)
                 for n, i in enumerate(full.tolist()):
                     band_rows[i] = keys[n].view(np.int64)
                     sample_rows[i] = short[n].tobytes()
@@ -188,7 +188,7 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
 
 
 def _sample_matrix(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), dtype=np.uint32).reshape(len(rows), -1)
+    return np.frombuffer(b"".join(rows), dtype=np.uint16).reshape(len(rows), -1)
 
 
 def _agree(least: float):
@@ -250,35 +250,38 @@ def near_duplicates(
     )
     weights = Weights(*document_frequencies(docs, text_col))
     signed = stored(signatures(source, weights, bands, rows), "signatures")
-    nodes = signed.filter(F.col("bands").isNotNull()).dropDuplicates(["node"])
-    member = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("group"))
-    crowded = member.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Tables that grow with the corpus are joined by shuffles at every size, never by broadcast.
+    nodes = signed.filter(F.col("bands").isNotNull())
+    member = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("group")).repartition("group")
+    short = F.xxhash64("node")
+    crowded = member.groupBy("group").agg(F.min(short).alias("low"), F.max(short).alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
     in_bands = stored(
-        member.join(crowded, "group").select("node", "group", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "bands"
-    )
-    met = in_bands.join(nodes.select("node", F.col("samples").alias("payload")), "node")
+        member.join(crowded.hint("merge"), "group").select("node", "group", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "bands"
+    ).dropDuplicates(["group", "node"])
+    samples = nodes.select("node", F.col("samples").alias("payload")).join(in_bands.select("node").distinct().hint("merge"), "node", "left_semi")
+    met = stored(in_bands.join(samples.dropDuplicates(["node"]).hint("merge"), "node"), "met")
     coarse = components(links(met, _sample_matrix, _agree(AGREEMENT)))
     # One row of each candidate text: the one whose position is smallest.
     chosen = stored(
-        signed.join(coarse, "node").groupBy("node").agg(
+        signed.select("node", "pos", "bytes").join(coarse.hint("merge"), "node").groupBy("node").agg(
             F.min("pos").alias("pos"), F.first("root").alias("group"), F.max("bytes").alias("bytes")
         ),
         "candidates",
     )
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / TEXT_ROWS), F.ceil(F.sum("bytes") / TEXT_BYTES)).cast("int")
     sizes = chosen.groupBy("group").agg(blocks.alias("blocks"))
-    placed = stored(chosen.join(sizes, "group").select("group", "node", "pos", "blocks"), "placed")
-    texts = source.select("pos", F.col("text").alias("payload")).join(placed, "pos").select("group", "node", "payload", "blocks")
+    placed = stored(chosen.join(sizes.hint("merge"), "group").select("group", "node", "pos", "blocks"), "placed")
+    texts = source.select("pos", F.col("text").alias("payload")).join(placed.hint("merge"), "pos").select("group", "node", "payload", "blocks")
     edges = links(
         texts, lambda rows: WeightedSets(weights, rows), _jaccard_at_least(similarity), block_rows=TEXT_ROWS
     )
     roots = components(edges)
     classes = signed.select("doc_id", "pos", F.coalesce("node", F.concat(F.lit("null-"), "pos")).alias("node")).join(
-        roots, "node", "left"
+        roots.hint("merge"), "node", "left"
     ).select("doc_id", "pos", F.coalesce("root", "node").alias("class"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos")
     heads = classes.groupBy("class").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("copies"))
-    return classes.join(heads, "class").select(
+    return classes.join(heads.hint("merge"), "class").select(
         "doc_id", F.col("head.doc_id").alias("class_id"), "copies", "pos", (F.col("pos") == F.col("head.pos")).alias("stays")
     )
 
@@ -288,4 +291,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     position = "__row_position"
     kept = near_duplicates(docs, **options).filter("stays").select(F.col("pos").alias(position))
     numbered = docs.withColumn(position, F.monotonically_increasing_id())
-    return numbered.join(kept, position, "left_semi").drop(position)
+    return numbered.join(kept.hint("merge"), position, "left_semi").drop(position)
