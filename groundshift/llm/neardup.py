@@ -271,7 +271,11 @@ def near_duplicates(
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / TEXT_ROWS), F.ceil(F.sum("bytes") / TEXT_BYTES)).cast("int")
     sizes = chosen.groupBy("group").agg(blocks.alias("blocks"))
     placed = stored(chosen.join(sizes.hint("merge"), "group").select("group", "node", "pos", "blocks"), "placed")
-    texts = source.select("pos", F.col("text").alias("payload")).join(placed.hint("merge"), "pos").select("group", "node", "payload", "blocks")
+    # Written once, as links() reads it several times: texts of the whole corpus are shuffled a single time.
+    texts = stored(
+        source.select("pos", F.col("text").alias("payload")).join(placed.hint("merge"), "pos").select("group", "node", "payload", "blocks"),
+        "texts",
+    )
     edges = links(
         texts, lambda rows: WeightedSets(weights, rows), _jaccard_at_least(similarity), block_rows=TEXT_ROWS
     )
