@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundshift.llm.tables import slices
+from groundshift.llm.tables import slices, worker_state
 from groundshift.llm.words import hash_words, word_hashes
 
 # An item counts as found within this share of its words in edits (insert, delete, replace a word).
@@ -213,7 +214,7 @@ def find_passages(
 
 def _finder(shipped: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = pickle.loads(shipped)
+        index = worker_state(f"items_{zlib.crc32(shipped)}", lambda: pickle.loads(shipped))
         for batch in batches:
             rows = []
             for part in slices(batch, "text", 2 << 20):

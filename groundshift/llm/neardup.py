@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundshift.llm.graph import components
 from groundshift.llm.groups import BLOCK_ROWS, links
-from groundshift.llm.tables import slices, stored
+from groundshift.llm.tables import slices, stored, worker_state
 from groundshift.llm.words import mixed, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -156,7 +156,7 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
     """`doc_id, node, pos, bytes` rows with `bands array<long>` and `samples binary`; both null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(bands * rows)
+        sampler = worker_state(f"sampler_{bands * rows}", lambda: Sampler(bands * rows))
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 text, hashes, tf, numbers = weights.features(part.column(4).to_pylist())

@@ -38,11 +38,16 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def worker_state(key: str, make: Callable):
-    """An object that a reused Python worker keeps from task to task, such as a loaded vocabulary."""
+    """An object that a reused Python worker keeps from task to task, such as a loaded vocabulary.
+
+    A worker keeps one such object at a time, so operators that follow each other do not add up in memory.
+    """
     home = sys.modules.setdefault("_groundshift_worker_state", types.ModuleType("_groundshift_worker_state"))
-    if not hasattr(home, key):
-        setattr(home, key, make())
-    return getattr(home, key)
+    kept = vars(home).setdefault("kept", {})
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

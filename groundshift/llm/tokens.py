@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from groundshift.llm.tables import slices, small_side, worker_state
 
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 CACHED_CHARS = 48
 
 
