@@ -16,6 +16,7 @@ BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
 DIM = 16
 UNKNOWN = "und"
+REJECT_SHARE = 0.1
 # Multiplier of the bucket hash, an odd number near 2**32 divided by the golden ratio.
 MIX = np.uint32(2654435769)
 GAP = b"     "
@@ -98,9 +99,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 30, rate: float = 8.0, batch: int = 32) -> Model:
     """Stochastic gradient descent over rows of bucket shares; one row in five is kept for calibration.
 
-    Rows are cut in two at a fixed shuffle. The temperature minimises the calibration rows' loss; the threshold lies
-    halfway between a blind guess and the lowest probability of a calibration row that is predicted rightly, so texts
-    are rejected only if they look less like any language than everything seen there.
+    Rows are cut in two at a fixed shuffle. The temperature minimises the calibration rows' loss; the threshold lies a tenth
+    of the way from a blind guess to the lowest probability of a calibration row that is predicted rightly. So texts
+    are rejected only if they hardly look like one language more than like any other; texts that mix two learned
+    languages stay.
     """
     rng = np.random.default_rng(7)
     order = rng.permutation(len(x))
@@ -135,7 +137,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 30,
         p = softmax(z / model.temperature)
         right = p.argmax(axis=1) == y[held]
         lowest = float(p.max(axis=1)[right].min()) if right.any() else 1 / n
-        model.reject_below = (1 / n + lowest) / 2 if n > 1 else 0.0
+        model.reject_below = 1 / n + REJECT_SHARE * max(0.0, lowest - 1 / n) if n > 1 else 0.0
     return model
 
 
