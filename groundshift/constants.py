@@ -24,7 +24,6 @@ RATIO_TEST = 0.75
 MIN_FEATURES = 8
 MIN_MATCHES = 12
 RANSAC_PX = 5.0
-DETECT_PARALLELISM = 4
 MAX_OUTPUT_TOKENS = 8000
 RAW_EXCERPT = 300
 KEPT_BANDS = 3
@@ -49,15 +48,6 @@ LABELS = [
     ("en", "type.added", "added"),
     ("en", "type.removed", "removed"),
     ("en", "type.modified", "modified"),
-    ("en", "th.num", "#"),
-    ("en", "th.type", "Type"),
-    ("en", "th.category", "Category"),
-    ("en", "th.description", "Description"),
-    ("en", "th.conf", "Confidence"),
-    ("en", "conf.any", "any"),
-    ("en", "conf.low", "35%"),
-    ("en", "conf.medium", "65%"),
-    ("en", "conf.high", "90%"),
     ("en", "cat.building", "building"),
     ("en", "cat.house", "house"),
     ("en", "cat.road", "road"),
@@ -74,15 +64,6 @@ LABELS = [
     ("de", "type.added", "hinzugefügt"),
     ("de", "type.removed", "entfernt"),
     ("de", "type.modified", "verändert"),
-    ("de", "th.num", "#"),
-    ("de", "th.type", "Typ"),
-    ("de", "th.category", "Kategorie"),
-    ("de", "th.description", "Beschreibung"),
-    ("de", "th.conf", "Konfidenz"),
-    ("de", "conf.any", "beliebig"),
-    ("de", "conf.low", "35%"),
-    ("de", "conf.medium", "65%"),
-    ("de", "conf.high", "90%"),
     ("de", "cat.building", "Gebäude"),
     ("de", "cat.house", "Haus"),
     ("de", "cat.road", "Straße"),

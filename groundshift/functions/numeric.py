@@ -16,7 +16,7 @@ def round_half_up(value: Column) -> Column:
 
 
 def shrink_to(width: Column, height: Column, bound: int | float) -> tuple[Column, Column]:
-    """Scale a size so that its longer side is at most ``bound``; never enlarge."""
-    longest = F.greatest(width, height).cast("double")
-    scale = F.least(F.lit(1.0), F.lit(float(bound)) / longest)
+    """Scale a size so that its longer side is at most ``bound``; never enlarge. Sizes below 1 stay as they are."""
+    longest, limit = F.greatest(width, height).cast("double"), F.lit(float(bound))
+    scale = F.when(longest > limit, F.try_divide(limit, longest)).otherwise(1.0)
     return round_half_up(width * scale), round_half_up(height * scale)

@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
 
-from ..constants import DETECT_PARALLELISM
-
 Detector = Callable[[dict], str]
 
 
@@ -16,13 +14,14 @@ def detect(
     tasks: DataFrame,
     make_detector: Callable[[], Detector],
     carry: list[str],
-    parallelism: int | None = DETECT_PARALLELISM,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Call a detector once per row and return ``carry`` columns plus raw_text and error.
 
     ``make_detector`` runs once per partition and returns a callable from a row (as a dict) to the
     response text. An exception becomes the row's ``error``; other rows are not affected.
-    ``parallelism`` bounds the calls in flight; None keeps the partitioning of ``tasks``. Filter
+    ``parallelism`` bounds the calls in flight over the whole table, for a detector that cannot take
+    more; None keeps the partitioning of ``tasks``, so calls follow the cluster's cores. Filter
     before this operator: predicates do not move through it. Calls repeat when a task is retried or
     the result is read twice, so store the result (see ``plans.change_run``).
     """

@@ -11,12 +11,22 @@ from ..functions.numeric import shrink_to
 def pair_scenes(images: DataFrame) -> DataFrame:
     """Scenes that have both an earlier and a later image.
 
-    One row per (scene_id, epoch) is expected. A single aggregation replaces the self-join: one
-    shuffle, combined map-side.
+    Rows with a ``reject_reason`` take no part. Of several images of one (scene_id, epoch) the newest by
+    ``modificationTime`` counts (else the largest row); ``surplus_images`` lists such scenes. A single
+    aggregation replaces the self-join: one shuffle, combined map-side.
     """
     return _by_epoch(images).where(F.col("earlier").isNotNull() & F.col("later").isNotNull())
 
 
+def surplus_images(images: DataFrame) -> DataFrame:
+    """Scenes and epochs with more than one usable image: (scene_id, epoch, n)."""
+    return _usable(images).groupBy("scene_id", "epoch").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def _usable(images: DataFrame) -> DataFrame:
+    return images.where(F.col("reject_reason").isNull()) if "reject_reason" in images.columns else images
+
+
 def unpaired_scenes(images: DataFrame) -> DataFrame:
     """Scenes that miss one of the two images, with the epoch they do have."""
     lonely = _by_epoch(images).where(F.col("earlier").isNull() | F.col("later").isNull())
@@ -28,11 +38,26 @@ def unpaired_scenes(images: DataFrame) -> DataFrame:
 def _by_epoch(images: DataFrame) -> DataFrame:
     fields = [c for c in images.columns if c not in ("scene_id", "epoch")]
     image = F.struct(*(fields or [F.lit(True).alias("present")]))
-    return images.groupBy("scene_id").agg(
-        *[F.min(F.when(F.col("epoch") == e, image)).alias(e) for e in ("earlier", "later")]
+    age = [c for c in ("modificationTime",) if c in fields]
+    order = F.struct(*age, *[c for c in fields if c not in age and c not in ("content", "data")])
+    order = order if fields else F.struct(F.lit(True))
+    return _usable(images).groupBy("scene_id").agg(
+        *[F.max_by(image, F.when(F.col("epoch") == e, order)).alias(e) for e in ("earlier", "later")]
     )
 
 
+def split_frames(frames: DataFrame, extents: tuple[str, ...] = ("width", "height", "work_w", "work_h")) -> DataFrame:
+    """Add ``reject_reason`` to frames with an extent below one pixel; null when usable.
+
+    Tiling drops such frames, so list them from here.
+    """
+    there = [c for c in extents if c in frames.columns]
+    usable = F.lit(True)
+    for c in there:
+        usable = usable & F.coalesce(F.col(c) >= 1, F.lit(False))
+    return frames.withColumn("reject_reason", F.when(~usable, "no pixels"))
+
+
 def working_frame(df: DataFrame, width="width", height="height", max_dim: int = K.FRAME_MAX_DIM) -> DataFrame:
     """Add work_w and work_h: the size both images of a pair are brought to."""
     w, h = shrink_to(F.col(width), F.col(height), max_dim)
@@ -83,7 +108,7 @@ def plan_grid(
 def crop_size(sw: Column, sh: Column, max_px: Column | int) -> tuple[Column, Column]:
     """Output size of a crop: longer side at most ``max_px``, at least one pixel."""
     limit = F.lit(float(max_px)) if isinstance(max_px, int) else max_px.cast("double")
-    scale = F.least(F.lit(1.0), limit / F.greatest(sw, sh).cast("double"))
+    scale = F.least(F.lit(1.0), F.coalesce(F.try_divide(limit, F.greatest(sw, sh).cast("double")), F.lit(1.0)))
     one = F.lit(1).cast("bigint")
     return F.greatest(one, F.floor(sw * scale + 0.5)), F.greatest(one, F.floor(sh * scale + 0.5))
 
@@ -99,9 +124,10 @@ def explode_tiles(
     """One row per task of a scene with work_w and work_h: the overview (task 0), then the tiles.
 
     A single generator emits all tasks, so the pairs are read once and nothing is shuffled. Tiles are
-    row-major; every column of ``pairs`` is kept.
+    row-major; every column of ``pairs`` is kept. Frames without a pixel give no task (see
+    ``split_frames``).
     """
-    grid = plan_grid(pairs, tile_px=tile_px, max_tiles=max_tiles)
+    grid = plan_grid(pairs.where("work_w >= 1 and work_h >= 1"), tile_px=tile_px, max_tiles=max_tiles)
     tasks = grid.withColumn(
         "task_idx", F.explode(F.sequence(F.lit(0), (F.col("n_cols") * F.col("n_rows")).cast("int")))
     )

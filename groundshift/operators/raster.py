@@ -23,19 +23,34 @@ DIRECT_DTYPES = ("u8", "u16")
 
 
 def to_blocks(pixels: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Gather complete rasters given as rows (scene_id, epoch, band, px, py, v) into blocks."""
+    """Gather rasters given as rows (scene_id, epoch, band, px, py, v) into blocks.
+
+    Samples stand where their px and py say. Places without a sample hold NaN; of several samples of one place the
+    largest counts. A block ends at its outermost sample.
+    """
     # One number gives the row-major place inside the block, so the sort compares single numbers.
     place = (F.pmod("py", F.lit(size)) * size + F.pmod("px", F.lit(size))).cast("int")
     sample = F.struct(place.alias("at"), F.col("v").cast("double").alias("v"))
     placed = pixels.withColumn("bx", F.floor(F.col("px") / size)).withColumn("by", F.floor(F.col("py") / size))
     extra = [c for c in pixels.columns if c not in ("scene_id", "epoch", "band", "px", "py", "v")]
     gathered = placed.groupBy(*PLACE).agg(
-        (F.max("px") - F.min("px") + 1).cast("int").alias("bw"),
-        (F.max("py") - F.min("py") + 1).cast("int").alias("bh"),
+        (F.max(F.pmod("px", F.lit(size))) + 1).cast("int").alias("bw"),
+        (F.max(F.pmod("py", F.lit(size))) + 1).cast("int").alias("bh"),
         *[F.min(c).alias(c) for c in extra],
         F.array_sort(F.collect_list(sample)).alias("_s"),
     )
-    return gathered.withColumn("v", F.col("_s.v")).drop("_s")
+    # A full block has its samples in order already; only others are placed one by one.
+    whole = (F.size("_s") == F.col("bw") * F.col("bh")) & (F.size(F.array_distinct("_s.at")) == F.size("_s"))
+    by_place = F.map_from_entries(F.filter("_s", lambda s, i: ~F.coalesce(
+        F.get(F.col("_s.at"), i + 1) == s["at"], F.lit(False))))
+    filled = F.transform(
+        F.sequence(F.lit(0), F.col("bw") * F.col("bh") - 1),
+        lambda i: F.coalesce(
+            F.try_element_at(by_place, (F.floor(i / F.col("bw")) * size + F.pmod(i, F.col("bw"))).cast("int")),
+            F.lit(float("nan")),
+        ),
+    )
+    return gathered.withColumn("v", F.when(whole, F.col("_s.v")).otherwise(filled)).drop("_s")
 
 
 def image_blocks(decoded: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -80,7 +95,7 @@ def image_blocks(decoded: DataFrame, size: int = BLOCK) -> DataFrame:
 
     return pieces.mapInPandas(
         bands, f"scene_id {key}, epoch string, band int, bx bigint, by bigint, bw int, bh int, v array<double>"
-    )
+    ).withColumn("dtype", F.lit("u8"))
 
 
 def explode_blocks(blocks: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -117,8 +132,8 @@ def rescale_u8(blocks: DataFrame, bands: int = KEPT_BANDS) -> DataFrame:
     Only stretched images need their range; eight- and sixteen-bit ones bypass that aggregation.
     """
     kept = keep_bands(blocks, bands)
-    direct = kept.where(F.col("dtype").isin(*DIRECT_DTYPES))
-    other = kept.where(~F.col("dtype").isin(*DIRECT_DTYPES))
+    known = F.coalesce(F.col("dtype").isin(*DIRECT_DTYPES), F.lit(False))
+    direct, other = kept.where(known), kept.where(~known)
     as_u8 = F.when(
         F.col("dtype") == "u16", F.transform("v", lambda s: u16_to_u8(s).cast("double"))
     ).otherwise(F.col("v"))

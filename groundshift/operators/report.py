@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
@@ -110,9 +111,11 @@ def run_summary(responses: DataFrame, changes: DataFrame) -> DataFrame:
 def label_table(spark: SparkSession) -> DataFrame:
     """The built-in label dimension (lang, key, template).
 
-    A fixed, small table, so Spark broadcasts it by size; a larger table of the caller's is not forced.
+    A local relation, whose size Spark knows, so it is broadcast without shuffling what it is joined to; a larger
+    table of the caller's is not forced.
     """
-    return spark.createDataFrame(K.LABELS, "lang string, key string, template string")
+    columns = ("lang", "key", "template")
+    return spark.createDataFrame(pa.table(dict(zip(columns, map(list, zip(*K.LABELS))))))
 
 
 def translate(df: DataFrame, labels: DataFrame, key: Column, lang: Column | str, out: str) -> DataFrame:

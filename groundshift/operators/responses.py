@@ -40,7 +40,7 @@ def resolve_model(df: DataFrame, providers: DataFrame, default_provider: str, st
     out = out.withColumn("resolved_model", F.when(listed, F.col("model")).otherwise(F.col("_default")))
     if not strict:
         return out.select(*df.columns, "resolved_provider", "resolved_model")
-    unknown = F.concat(F.lit("Unknown provider: "), F.coalesce("provider", F.lit("null")))
+    unknown = F.concat(F.lit("no such provider: "), F.coalesce("provider", F.lit("null")))
     return out.withColumn("provider_error", F.when(F.col("_p").isNull(), unknown)).select(
         *df.columns, "resolved_provider", "resolved_model", "provider_error"
     )
@@ -138,8 +138,9 @@ def parse_responses(df: DataFrame, text: str = "raw_text", error: str = "error")
     ``changes`` value that is neither null nor a list and a null list element fail; any other
     top-level value is a response without changes.
     """
-    # Needed for "last duplicate key wins"; without it such texts would be rejected.
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # "Last duplicate key wins" is a setting of the session; without it such texts would be rejected.
+    if df.sparkSession.conf.get("spark.sql.variant.allowDuplicateKeys", "false").lower() != "true":
+        raise RuntimeError("call groundshift.session.configure(spark) before parsing responses")
     # The parser stops after the first complete value. In a list that must end with a number known
     # from the text, anything that follows the value, or closes the list early, shows. The one-element
     # explode holds the parsed list fast: filters above it read the list and never repeat the parsing.

@@ -37,7 +37,7 @@ def run_changes(
     pairs: DataFrame,
     make_detector: Callable[[], Detector],
     model: str = "",
-    parallelism: int | None = K.DETECT_PARALLELISM,
+    parallelism: int | None = None,
     store: bool = True,
 ) -> ChangeRun:
     """Detect and merge the changes of all pairs.

@@ -153,20 +153,21 @@ def _word(low: int) -> str:
     )
 
 
-def keypoints(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def keypoints(spark: SparkSession, sf_dir: str, odd: bool = False) -> tuple[DataFrame, DataFrame]:
     """Later and earlier keypoints: same vectors with one bit flipped, positions related by HOMOGRAPHY.
 
-    Every fifth earlier keypoint sits elsewhere; scene 0 has too few earlier keypoints to register.
+    Every fifth earlier keypoint sits elsewhere. With ``odd``, scene 0 has too few earlier keypoints to register, and all
+    later keypoints of scene 1 share one place, so that no fit exists.
     """
     configure(spark)
     later = table(spark, sf_dir, "embeddings").selectExpr(
         "label as scene_id", "vec_id as kp_id",
-        "cast(vec_id * 17 % 256 as double) as x", "cast(vec_id * 29 % 256 as double) as y",
+        *[f"{e} as {n}" for e, n in zip(_places(odd), "xy")],
         f"array({_word(0)}, {_word(32)}) as desc",
     )
     a = HOMOGRAPHY
     depth = f"({a[6]!r}d * x + {a[7]!r}d * y + {a[8]}d)"
-    moved = later.where("scene_id <> 0 or kp_id % 100 = 0").selectExpr(
+    moved = later.where("scene_id <> 0 or kp_id % 100 = 0" if odd else "true").selectExpr(
         "scene_id", "kp_id",
         f"case when kp_id % 5 = 0 then cast(kp_id * 31 % 251 as double) else ({a[0]}d * x + {a[1]}d * y + {a[2]}d) / {depth} end as hx",
         f"case when kp_id % 5 = 0 then cast(kp_id * 43 % 241 as double) else ({a[3]}d * x + {a[4]}d * y + {a[5]}d) / {depth} end as hy",
@@ -182,17 +183,23 @@ def _duck_word(low: int) -> str:
     )
 
 
-def keypoints_sql() -> str:
+def _places(odd: bool) -> list[str]:
+    """Positions of the later keypoints."""
+    spread = [f"cast(vec_id * {step} % 256 as double)" for step in (17, 29)]
+    return [f"case when label = 1 then cast(40 as double) else {p} end" for p in spread] if odd else spread
+
+
+def keypoints_sql(odd: bool = False) -> str:
     """CTEs ``later`` and ``earlier`` (scene_id, kp_id, x, y, d0, d1)."""
     a = HOMOGRAPHY
     n = [f"cast({v!r} as double)" for v in a]
     depth = f"({n[6]} * x + {n[7]} * y + {n[8]})"
     return f"""
-later as (select label as scene_id, vec_id as kp_id, cast(vec_id * 17 % 256 as double) as x,
-  cast(vec_id * 29 % 256 as double) as y, {_duck_word(0)} as d0, {_duck_word(32)} as d1 from embeddings),
+later as (select label as scene_id, vec_id as kp_id, {_places(odd)[0]} as x,
+  {_places(odd)[1]} as y, {_duck_word(0)} as d0, {_duck_word(32)} as d1 from embeddings),
 earlier as (select scene_id, kp_id,
   case when kp_id % 5 = 0 then cast(kp_id * 31 % 251 as double) else ({n[0]} * x + {n[1]} * y + {n[2]}) / {depth} end as x,
   case when kp_id % 5 = 0 then cast(kp_id * 43 % 241 as double) else ({n[3]} * x + {n[4]} * y + {n[5]}) / {depth} end as y,
   case when kp_id % 64 < 32 then xor(d0, 1::bigint << cast(kp_id % 64 as int)) else d0 end as d0,
   case when kp_id % 64 >= 32 then xor(d1, 1::bigint << cast(kp_id % 64 - 32 as int)) else d1 end as d1
-  from later where scene_id <> 0 or kp_id % 100 = 0)"""
+  from later where {"scene_id <> 0 or kp_id % 100 = 0" if odd else "true"})"""

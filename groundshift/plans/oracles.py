@@ -225,7 +225,8 @@ select scene_id, band, {CHECK} from summed group by 1, 2"""
 
 # --- registration -------------------------------------------------------------------------------
 
-KNN = f"""{fx.keypoints_sql()},
+def _knn(odd: bool) -> str:
+    return f"""{fx.keypoints_sql(odd)},
 dist as (select q.scene_id, q.kp_id as q_id, t.kp_id as t_id, q.x as sx, q.y as sy, t.x as dx, t.y as dy,
   cast(bit_count(xor(q.d0, t.d0)) as bigint) + cast(bit_count(xor(q.d1, t.d1)) as bigint) as distance
   from later q join earlier t on q.scene_id = t.scene_id),
@@ -237,6 +238,9 @@ gated as (select scene_id from later group by 1 having count(*) >= 8
 good as (select r.*, count(*) over (partition by scene_id) as match_count from ratio r where scene_id in (select scene_id from gated)
   qualify count(*) over (partition by scene_id) >= 12)"""
 
+
+KNN, KNN_ODD = _knn(False), _knn(True)
+
 _H = [f"cast({v!r} as double)" for v in fx.HOMOGRAPHY]
 _depth = f"({_H[6]} * x + {_H[7]} * y + {_H[8]})"
 
@@ -287,14 +291,22 @@ imgs as (select scene_id, 'earlier' as epoch, width, height from scenes where ep
 WRAPPED = "cast(floor(event_id / 12) as bigint) % 2 = 0"
 TILE_SELECT = "select scene_id, task_idx, label, x0, y0, sw, sh, out_w, out_h, gx, gy, gw, gh from tiles"
 HEADING_LANG = "case when scene_id % 2 = 0 then 'de' else 'en' end"
-KEY4 = "case when det_id % 5 = 0 then 'th.' || category else 'cat.' || category end"
+KEY4 = "case when det_id % 5 = 0 then 'report.' || category else 'cat.' || category end"
+
+
+def _under(x: str, y: str) -> str:
+    """Columns hx, hy: a point under the homography of the keypoint fixture."""
+    n = [f"cast({v!r} as double)" for v in fx.HOMOGRAPHY]
+    depth = f"({n[6]} * {x} + {n[7]} * {y} + {n[8]})"
+    return f"({n[0]} * {x} + {n[1]} * {y} + {n[2]}) / {depth} as hx, ({n[3]} * {x} + {n[4]} * {y} + {n[5]}) / {depth} as hy"
+
 
 ORACLES: dict[str, str] = {
     "s1_scan_gate": f"""select page_id, path, ext from (select *, lower(regexp_extract(path, '[^.]*$')) as ext from
         (select page_id, url || case page_id % 6 when 0 then '.PNG' when 1 then '.jpeg' when 2 then '.html' when 3 then ''
           when 4 then '.tar.TIFF' else '.webp' end as path from pages)) where ext in ({_listed(K.IMAGE_EXTENSIONS)})""",
-    "s3_size_guard": f"""with {SCENES} select scene_id, byte_len, case when byte_len is null then 'No file provided.'
-        when byte_len > 157286400 then 'File too large (' || cast(cast(floor(byte_len / 1e6 + 0.5e0) as bigint) as varchar) || ' MB). Maximum is 150 MB.' end as reject_reason from scenes""",
+    "s3_size_guard": f"""with {SCENES} select scene_id, byte_len, case when byte_len is null then 'missing'
+        when byte_len > 157286400 then 'size ' || cast(byte_len as varchar) || ' exceeds 157286400 bytes' end as reject_reason from scenes""",
     "s4_pair_scenes": f"""with {IMAGES} select e.scene_id, e.width as ref_w, e.height as ref_h, l.width as tgt_w, l.height as tgt_h
         from imgs e join imgs l on e.scene_id = l.scene_id and e.epoch = 'earlier' and l.epoch = 'later'""",
     "j9_unpaired_scenes": f"""with {IMAGES} select scene_id, epoch from imgs a
@@ -309,7 +321,7 @@ ORACLES: dict[str, str] = {
         from asked a left join dims d on d.provider = a.provider left join dims f on f.provider = 'north'""",
     "n8_resolve_model_strict": f"""with {_providers_sql()} select event_id, a.provider, a.model, a.provider as resolved_provider,
         case when list_contains(d.models, a.model) then a.model else d.default_model end as resolved_model,
-        case when d.provider is null then 'Unknown provider: ' || coalesce(a.provider, 'null') end as provider_error
+        case when d.provider is null then 'no such provider: ' || coalesce(a.provider, 'null') end as provider_error
         from asked a left join dims d on d.provider = a.provider""",
     "s8_build_requests": _request_sql(),
     "s9_report_rows": f"""{MERGED}, {LABELS} select scene_id, n, 'chg-' || cast(n as varchar) as id,
@@ -329,8 +341,11 @@ ORACLES: dict[str, str] = {
         cast(greatest(1, floor(height * least(1.0e0, 1100.0e0 / greatest(width, height)) + 0.5e0)) as bigint) as out_h from scenes""",
     "u1_ordered_tasks": f"""with {TILES} select scene_id, count(*) as n_tasks, arg_min(label, task_idx) as first_label,
         arg_max(label, task_idx) as last_label from tiles group by 1""",
-    "g8_map_to_global": f"""with {NORM}, {TILES} select d.det_id, d.scene_id % 200 as scene_id, cast(d.task_idx as bigint) as task_idx, {mapped_sql('d')}
-        from det d join tiles t on t.scene_id = d.scene_id % 200 and t.task_idx = d.task_idx""",
+    "g8_map_to_global": f"""with {NORM}, {TILES}, sizes as (select scene_id, count(*) as n_tasks from tiles group by 1),
+        placed as (select d.* replace (d.scene_id % (select count(*) from part) as scene_id) from det d),
+        asked as (select p.* replace (p.det_id % s.n_tasks as task_idx) from placed p join sizes s on s.scene_id = p.scene_id)
+        select d.det_id, d.scene_id, cast(d.task_idx as bigint) as task_idx, {mapped_sql('d')}
+        from asked d join tiles t on t.scene_id = d.scene_id and t.task_idx = d.task_idx""",
     "g9_box_area": f"with {NORM} select det_id, w * h as area from det",
     "g10_iou": f"""with {NORM}, two as (select det_id, {{'x': x, 'y': y, 'w': w, 'h': h}} as a, {{'x': y, 'y': x, 'w': h, 'h': w}} as b from det)
         select det_id, {iou_sql('a.', 'b.')} as iou from two""",
@@ -374,7 +389,7 @@ ORACLES: dict[str, str] = {
         count(*) filter (change_type = 'removed') as n_removed, count(*) filter (change_type = 'modified') as n_modified from merged group by 1""",
     "a2_visible_counts": f"{MERGED} select scene_id, count(*) filter ({VISIBLE}) as n_visible, count(*) as n_total from merged group by 1",
     "a3_failed_count": f"{RUN} select scene_id, n_tasks, n_failed from run",
-    "a4_run_status": f"""with {RESP}, picked as (select * from parsed where scene_id % 3 = 0 or (scene_id % 3 = 1 and failed) or (scene_id % 3 = 2 and not failed))
+    "a4_run_status": f"""with {RESP}, picked as (select scene_id, case scene_id % 3 when 0 then failed when 1 then true else false end as failed from parsed)
         select scene_id, case when count(*) filter (failed) = 0 then 'none' when count(*) filter (not failed) = 0 then 'all' else 'some' end as status
         from picked group by 1""",
     "a5_first_error": f"{RUN} select scene_id, first_error from run",
@@ -423,16 +438,19 @@ ORACLES: dict[str, str] = {
     "d6_top_two": f"""with {KNN} select cast(scene_id as bigint) as scene_id, q_id, max(case when k = 1 then distance end) as d1,
         max(case when k = 2 then distance end) as d2 from near where k <= 2 group by 1, 2""",
     "f6_ratio_test": f"with {KNN} select cast(scene_id as bigint) as scene_id, q_id, t_id, distance from ratio",
-    "f5_match_gate": f"with {KNN} select distinct cast(scene_id as bigint) as scene_id, match_count from good",
+    "f5_match_gate": f"with {KNN_ODD} select distinct cast(scene_id as bigint) as scene_id, match_count from good",
     "r1_match_descriptors": f"with {KNN} select cast(scene_id as bigint) as scene_id, q_id, t_id, sx, sy, dx, dy from good",
     "r3_project_points": f"""with {fx.keypoints_sql()} select cast(scene_id as bigint) as scene_id, kp_id,
         ({_H[0]} * x + {_H[1]} * y + {_H[2]}) / {_depth} as hx, ({_H[3]} * x + {_H[4]} * y + {_H[5]}) / {_depth} as hy from later""",
     "r4_warp_shift": _warp_sql(40, 30, "px - 3.0e0", "py - 2.0e0"),
     "r5_fallback_resize": _warp_sql(64, 48, "px * 0.5e0", "py * 0.5e0"),
-    "r6_align_status": f"""with {KNN}, frames as (select label as scene_id, count(*) + 200 as work_w from embeddings group by 1),
-        fit as (select distinct scene_id, match_count from good)
+    "r2_fit_homography": f"""with {KNN}, placed as (select *, {_under('sx', 'sy')} from good)
+        select cast(scene_id as bigint) as scene_id, count(*) filter ((hx - dx) ** 2 + (hy - dy) ** 2 <= 25) as inliers, true as corners_agree
+        from placed group by 1""",
+    "r6_align_status": f"""with {KNN_ODD}, frames as (select label as scene_id, count(*) + 200 as work_w from embeddings group by 1),
+        fit as (select distinct scene_id, match_count from good where scene_id <> 1)
         select cast(f.scene_id as bigint) as scene_id, work_w, cast(256 as bigint) as work_h, g.scene_id is not null as aligned,
-          coalesce(g.match_count, 0) as match_count from frames f left join fit g on g.scene_id = f.scene_id""",
+          coalesce(g.match_count, 0) as match_count, true as corners_agree from frames f left join fit g on g.scene_id = f.scene_id""",
     "v1_detect": f"""with {TILES}, coded as (select scene_id, task_idx, scene_id + task_idx as code from tiles)
         select scene_id, task_idx, case when code % 5 <> 0 then '{{"summary":"","changes":[{{"category":"house","change_type":"' ||
           case code % 3 when 0 then 'added' when 1 then 'removed' else 'modified' end || '","description":"tile ' || cast(task_idx as varchar) ||

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
 from ..functions import boxes as B
@@ -147,7 +148,8 @@ PROVIDERS = [("north", ["n-large", "n-small"], "n-large"), ("south", ["s-one"],
 
 
 def _providers(spark):
-    return spark.createDataFrame(PROVIDERS, "provider string, models array<string>, default_model string")
+    names, models, defaults = map(list, zip(*PROVIDERS))
+    return spark.createDataFrame(pa.table({"provider": names, "models": models, "default_model": defaults}))
 
 
 def _asked(spark, sf):
@@ -247,8 +249,12 @@ def u1_ordered_tasks(spark, sf):
 
 @query
 def g8_map_to_global(spark, sf):
-    det = fx.detections(spark, sf).withColumn("scene_id", F.expr("scene_id % 200"))
     tiles = FR.explode_tiles(_frames(spark, sf))
+    # Every box gets a scene and a task that exist.
+    sizes = tiles.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_tasks"))
+    n_scenes = fx.table(spark, sf, "part").count()
+    det = fx.detections(spark, sf).withColumn("scene_id", F.col("scene_id") % n_scenes).join(sizes, "scene_id")
+    det = det.withColumn("task_idx", (F.col("det_id") % F.col("n_tasks")).cast("int")).drop("n_tasks")
     return G.map_to_global(det, tiles).select("det_id", "scene_id", bigint("task_idx"), *"xywh")
 
 
@@ -384,7 +390,7 @@ def _lang():
 
 @query
 def j4_translate(spark, sf):
-    key = F.expr("case when det_id % 5 = 0 then concat('th.', category) else concat('cat.', category) end")
+    key = F.expr("case when det_id % 5 = 0 then concat('report.', category) else concat('cat.', category) end")
     return REP.translate(
         _normalised(spark, sf).select("det_id", "category"), REP.label_table(spark), key, _lang(), "words"
     ).select("det_id", "words")
@@ -416,9 +422,9 @@ def a3_failed_count(spark, sf):
 
 @query
 def a4_run_status(spark, sf):
-    # Only tasks of one kind remain for every third scene, so that all three states occur.
-    tasks = _tasks(spark, sf).where(
-        "scene_id % 3 = 0 or (scene_id % 3 = 1 and failed) or (scene_id % 3 = 2 and not failed)")
+    # Every third scene fails as a whole, every third one not at all, so that all three states occur.
+    tasks = _tasks(spark, sf).withColumn(
+        "failed", F.expr("case scene_id % 3 when 0 then failed when 1 then true else false end"))
     merged = D.merge_detections(_response_changes(tasks).drop("event_id"))
     return REP.run_summary(tasks, merged).select("scene_id", "status")
 
@@ -593,11 +599,24 @@ def g7_crop(spark, sf):
 # --- registration ------------------------------------------------------------------------------------
 
 
-def _matches(spark, sf):
-    later, earlier = fx.keypoints(spark, sf)
+def _matches(spark, sf, odd=False):
+    later, earlier = fx.keypoints(spark, sf, odd)
     return REG.match_descriptors(later, earlier)
 
 
+def _corners_agree(found, wanted) -> Column:
+    """Whether two nine-number homographies place the corners of a 256 x 256 image within half a pixel."""
+    def place(h, x, y):
+        depth = h[6] * x + h[7] * y + h[8]
+        return (h[0] * x + h[1] * y + h[2]) / depth, (h[3] * x + h[4] * y + h[5]) / depth
+
+    close = F.lit(True)
+    for x, y in ((0.0, 0.0), (255.0, 0.0), (0.0, 255.0), (255.0, 255.0)):
+        (u, v), (s, t) = place(found, x, y), place(wanted, x, y)
+        close = close & (F.abs(u - s) < 0.5) & (F.abs(v - t) < 0.5)
+    return close
+
+
 @query
 def j7_knn_hamming(spark, sf):
     later, earlier = fx.keypoints(spark, sf)
@@ -623,7 +642,7 @@ def f6_ratio_test(spark, sf):
 
 @query
 def f5_match_gate(spark, sf):
-    return _matches(spark, sf).select(bigint("scene_id"), "match_count").distinct()
+    return _matches(spark, sf, odd=True).select(bigint("scene_id"), "match_count").distinct()
 
 
 @query
@@ -634,7 +653,9 @@ def r1_match_descriptors(spark, sf):
 @query
 def r2_fit_homography(spark, sf):
     fits = REG.fit_homography(_matches(spark, sf))
-    return fits.select(bigint("scene_id"), "inliers", F.transform("homography", lambda v: F.round(v, 3)).alias("h"))
+    known = [F.lit(v) for v in fx.HOMOGRAPHY]
+    found = [F.get("homography", F.lit(i)) for i in range(9)]
+    return fits.select(bigint("scene_id"), "inliers", _corners_agree(found, known).alias("corners_agree"))
 
 
 @query
@@ -660,13 +681,18 @@ def r5_fallback_resize(spark, sf):
 @query
 def r6_align_status(spark, sf):
     ensure_checkpoint_dir(spark)
-    matches = _matches(spark, sf).checkpoint()
+    matches = _matches(spark, sf, odd=True).checkpoint()
     pairs = fx.table(spark, sf, "embeddings").groupBy(F.col("label").alias("scene_id")).agg(
         (F.count(F.lit(1)) + 200).alias("work_w"), F.lit(256).cast("bigint").alias("work_h"),
         F.lit(256).cast("bigint").alias("tgt_w"), F.lit(256).cast("bigint").alias("tgt_h"),
     )
-    return REG.align_status(pairs, matches, REG.fit_homography(matches, store=False)).select(
-        bigint("scene_id"), "work_w", "work_h", "aligned", "match_count")
+    status = REG.align_status(pairs, matches, REG.fit_homography(matches, store=False))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    scaling = [F.col("work_w") / F.col("tgt_w"), zero, zero, zero, F.col("work_h") / F.col("tgt_h"), zero, zero, zero, one]
+    wanted = [F.when(F.col("aligned"), F.lit(k)).otherwise(s) for k, s in zip(fx.HOMOGRAPHY, scaling)]
+    found = [F.get("homography", F.lit(i)) for i in range(9)]
+    return status.select(
+        bigint("scene_id"), "work_w", "work_h", "aligned", "match_count", _corners_agree(found, wanted).alias("corners_agree"))
 
 
 # --- detector --------------------------------------------------------------------------------------------
@@ -697,7 +723,7 @@ def v1_detect(spark, sf):
 
 
 def _run(spark, sf):
-    pairs = fx.scenes(spark, sf).where("epoch_mask = 3").select("scene_id", "width", "height")
+    pairs = FR.pair_scenes(fx.images(spark, sf)).select("scene_id", "earlier.width", "earlier.height")
     return run_changes(pairs, make_stub, "stub")
 
 

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..constants import IMAGE_EXTENSIONS, MAX_IMAGE_BYTES
 
 
+# The extensions in any case, so that other files are not opened.
+IMAGE_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in IMAGE_EXTENSIONS) + "}"
+
+
 def extension(path: Column) -> Column:
     """Text after the last dot, lower case; the whole path if it has no dot."""
     return F.lower(F.element_at(F.split(path, r"\."), -1))
@@ -17,22 +21,28 @@ def gate_extension(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("ext", extension(F.col(path))).where(F.col("ext").isin(IMAGE_EXTENSIONS))
 
 
-def scan_images(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:
-    """Image files below ``path``. Without content only the listing is read."""
+def scan_images(
+    spark: SparkSession, path: str, with_content: bool = False, max_bytes: int = MAX_IMAGE_BYTES
+) -> DataFrame:
+    """Image files below ``path``: the listing of all, or contents of those up to ``max_bytes``.
+
+    The limit is pushed to the source, so larger files are never read. List without content and use
+    ``split_accepted`` to report them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if with_content:
+        files = files.where(F.col("length") <= max_bytes)
     columns = ["path", F.col("length").alias("byte_len"), "modificationTime"]
     return gate_extension(files.select(*columns, *(["content"] if with_content else [])))
 
 
 def split_accepted(df: DataFrame, size: str = "byte_len") -> DataFrame:
     """Add ``reject_reason``: missing file, too large, or null when accepted."""
-    megabytes = F.floor(F.col(size) / F.lit(1e6) + 0.5).cast("string")
-    limit = str(MAX_IMAGE_BYTES // (1024 * 1024))
     return df.withColumn(
         "reject_reason",
-        F.when(F.col(size).isNull(), "No file provided.").when(
+        F.when(F.col(size).isNull(), "missing").when(
             F.col(size) > MAX_IMAGE_BYTES,
-            F.concat(F.lit("File too large ("), megabytes, F.lit(f" MB). Maximum is {limit} MB.")),
+            F.concat(F.lit("size "), F.col(size).cast("string"), F.lit(f" exceeds {MAX_IMAGE_BYTES} bytes")),
         ),
     )
 
@@ -44,7 +54,7 @@ def decode_images(spark: SparkSession, path: str, drop_invalid: bool = False) ->
     """
     decoded = (
         spark.read.format("image").option("recursiveFileLookup", "true")
-        .option("dropInvalid", str(drop_invalid).lower()).load(path)
+        .option("dropInvalid", str(drop_invalid).lower()).option("pathGlobFilter", IMAGE_GLOB).load(path)
     )
     return gate_extension(decoded.select(
         F.col("image.origin").alias("path"), F.col("image.width").alias("width"),

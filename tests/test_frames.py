@@ -63,3 +63,20 @@ def test_pairs(spark):
 def test_tiling_does_not_shuffle(spark):
     df = spark.createDataFrame([(1, 10, 10)], "scene_id int, work_w bigint, work_h bigint")
     assert "Exchange" not in FR.explode_tiles(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frames_without_pixels_do_not_stop_the_others(spark):
+    sizes = [(1, 6000, 1), (2, 0, 0), (3, -1, -1), (4, None, 5), (5, 800, 600), (6, 1, 1)]
+    frames = FR.working_frame(spark.createDataFrame(sizes, "scene_id int, width bigint, height bigint"))
+    reasons = {r.scene_id: r.reject_reason for r in FR.split_frames(frames).collect()}
+    tiled = {r.scene_id for r in FR.explode_tiles(frames).collect()}
+    assert {s for s, r in reasons.items() if r is None} == tiled == {5, 6}
+
+
+def test_rejected_and_surplus_images(spark):
+    rows = [(1, "earlier", 10, 1, None), (1, "earlier", 7, 2, None), (1, "later", 9, 1, None),
+            (2, "earlier", -1, 1, "broken"), (2, "later", 5, 1, None)]
+    images = spark.createDataFrame(rows, "scene_id int, epoch string, width int, modificationTime int, reject_reason string")
+    assert [(r.scene_id, r.earlier.width) for r in FR.pair_scenes(images).collect()] == [(1, 7)]
+    assert [tuple(r) for r in FR.surplus_images(images).collect()] == [(1, "earlier", 2)]
+    assert [(r.scene_id, r.epoch) for r in FR.unpaired_scenes(images).collect()] == [(2, "later")]

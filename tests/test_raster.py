@@ -60,7 +60,7 @@ def test_scan_and_decode(spark, tmp_path):
 def test_size_guard(spark):
     df = spark.createDataFrame([(None,), (157286400,), (157286401,)], "byte_len bigint")
     got = [r.reject_reason for r in S.split_accepted(df).collect()]
-    assert got == ["No file provided.", None, "File too large (157 MB). Maximum is 150 MB."]
+    assert got == ["missing", None, "size 157286401 exceeds 157286400 bytes"]
 
 
 def raster(spark, samples, size, scene=0):
@@ -142,3 +142,19 @@ def test_grey_of_one_and_three_bands(spark):
     rows = [(0, "later", b, 0, 0, v) for b, v in enumerate([10.0, 20.0, 30.0])] + [(1, "later", 0, 0, 0, 9.0)]
     got = {r.scene_id: r.v[0] for r in R.grey_blocks(R.to_blocks(spark.createDataFrame(rows, PIX))).collect()}
     assert got[0] == pytest.approx(0.299 * 10 + 0.587 * 20 + 0.114 * 30) and got[1] == 9.0
+
+
+def test_blocks_keep_places_with_missing_and_double_samples(spark):
+    pixels = [(0, "later", 0, x, y, float(10 * y + x)) for y in range(3) for x in range(3) if (x, y) != (1, 1)]
+    pixels.append((0, "later", 0, 2, 2, 5.0))
+    blocks = R.to_blocks(spark.createDataFrame(pixels, "scene_id int, epoch string, band int, px int, py int, v double"), 4)
+    row = blocks.first()
+    assert (row.bw, row.bh) == (3, 3)
+    assert [v for i, v in enumerate(row.v) if i != 4] == [0, 1, 2, 10, 12, 20, 21, 22] and np.isnan(row.v[4])
+
+
+def test_rasters_without_a_type_are_stretched(spark):
+    pixels = spark.createDataFrame(
+        [(0, "later", 0, x, 0, float(x), None) for x in range(3)],
+        "scene_id int, epoch string, band int, px int, py int, v double, dtype string")
+    assert [list(r.v) for r in R.rescale_u8(R.to_blocks(pixels)).collect()] == [[0.0, 128.0, 255.0]]

@@ -57,7 +57,7 @@ def test_large_scene_is_scored_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(REG, "BLOCK_MATCHES", 64)
     later, earlier = keypoints(400, outliers=0.3)
     matches = REG.match_descriptors(spark.createDataFrame(later, KP), spark.createDataFrame(earlier, KP))
-    fit = REG.fit_homography(matches, pool=100).first()
+    fit = REG.fit_homography(matches).first()
     assert np.allclose(np.array(fit.homography).reshape(3, 3), H, atol=1e-4, rtol=1e-3)
 
 
@@ -75,3 +75,34 @@ def test_gates(spark):
     assert REG.match_descriptors(spark.createDataFrame(a, KP), spark.createDataFrame(b, KP)).count() == 12
     assert REG.match_descriptors(spark.createDataFrame(a[:11], KP), spark.createDataFrame(b, KP)).count() == 0
     assert REG.match_descriptors(spark.createDataFrame(a, KP), spark.createDataFrame(b[:7], KP)).count() == 0
+
+
+def test_many_matches_and_outliers(spark):
+    """20,000 matches of one scene, 60 % of them wrong: samples come from all matches."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    src = rng.random((n, 2)) * 1000
+    q = np.c_[src, np.ones(n)] @ H.T
+    dst = q[:, :2] / q[:, 2:]
+    wrong = rng.random(n) < 0.6
+    dst[wrong] = rng.random((int(wrong.sum()), 2)) * 1000
+    rows = [(0, i, i, float(a), float(b), float(c), float(d), n) for i, ((a, b), (c, d)) in enumerate(zip(src, dst))]
+    matches = spark.createDataFrame(
+        rows, "scene_id int, q_id bigint, t_id bigint, sx double, sy double, dx double, dy double, match_count bigint")
+    fit = REG.fit_homography(matches).first()
+    assert np.allclose(np.array(fit.homography).reshape(3, 3), H, atol=1e-3, rtol=1e-2)
+    assert fit.inliers >= 0.99 * (~wrong).sum()
+
+
+def test_samples_hold_four_different_matches():
+    picks = REG._draws(3, 4, 500)
+    assert all(sorted(p) == [0, 1, 2, 3] for p in picks.tolist())
+    wide = REG._draws(3, 10**9, 500)
+    assert len({tuple(p) for p in wide.tolist()}) == 500 and wide.max() > 9 * 10**8
+
+
+def test_points_on_the_horizon_are_null(spark):
+    points = spark.createDataFrame([(1.0, 0.0)], "x double, y double").selectExpr(
+        "*", "array(1d, 0d, 0d, 0d, 1d, 0d, -1d, 0d, 1d) as homography")
+    row = REG.project_points(points).first()
+    assert row.hx is None and row.hy is None
