@@ -260,6 +260,20 @@ def _taps(back: np.ndarray, x0: int, y0: int, w: int, h: int, src_w: int, src_h:
     return cols, rows, np.where((cols >= 0) & (rows >= 0) & (cols < src_w) & (rows < src_h), weights, 0.0)
 
 
+def resize(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "earlier") -> DataFrame:
+    """Bring one epoch to the working frame by scaling alone; ``frames`` as for ``warp`` without ``homography``."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    across, down = (F.try_divide(F.col(f"work_{c}"), F.col(f"tgt_{c}")) for c in "wh")
+    scaling = F.array(across, zero, zero, zero, down, zero, zero, zero, one)
+    return warp(blocks, frames.withColumn("homography", scaling), size, epoch)
+
+
+def tile_pieces(crops: DataFrame) -> DataFrame:
+    """One row per task with ``pieces``: (epoch, band, ox, oy, pw, ph, v). A row holds one tile pair, whose size is bounded."""
+    piece = F.struct("epoch", "band", "oy", "ox", "pw", "ph", "v")
+    return crops.groupBy("scene_id", "task_idx").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+
+
 def warp(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "later", rounded: bool = True) -> DataFrame:
     """Warp one epoch to the working frame: bilinear, black outside the source.
 
@@ -317,10 +331,11 @@ def warp(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "
                     cols, rows, weights = _taps(back[i], bx * size, by * size, bw, bh, src_w, src_h)
                     cols, rows = cols - sbx * size, rows - sby * size
                     inside = (cols >= 0) & (cols < size) & (rows >= 0) & (rows < size) & (weights != 0)
-                    pixel = np.nonzero(inside)[1].astype(np.int32)
+                    # Taps of one pixel are added up here, so one number per pixel and source block is shuffled.
+                    pixel, tap = np.unique(np.nonzero(inside)[1].astype(np.int32), return_inverse=True)
                     index, weight = (rows * stride[i] + cols)[inside], weights[inside]
                     place = (scene[i], row)
-                shares.append(values[starts[i]:starts[i + 1]][index] * weight)
+                shares.append(np.bincount(tap, values[starts[i]:starts[i + 1]][index] * weight, len(pixel)))
                 at.append(pixel)
             ends = np.cumsum([0, *map(len, at)], dtype=np.int32)
             lists = [pa.ListArray.from_arrays(ends, np.concatenate(parts)) for parts in (at, shares)]

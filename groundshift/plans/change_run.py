@@ -11,6 +11,8 @@ from .. import constants as K
 from ..operators.dedupe import merge_detections
 from ..operators.detector import Detector, detect
 from ..operators.frames import explode_tiles, working_frame
+from ..operators.raster import BLOCK, crop, resize, tile_pieces, warp
+from ..operators.registration import align_status, fit_homography, match_descriptors
 from ..operators.geometry import map_in_place
 from ..operators.report import run_summary
 from ..operators.responses import explode_changes, normalise_changes, parse_responses
@@ -48,6 +50,43 @@ def run_changes(
     return merge_responses(raw.withColumn("model", F.lit(model)), store)
 
 
+def align_pairs(pairs: DataFrame, later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Pairs (scene_id, width, height, tgt_w, tgt_h) with working frame, homography and alignment status.
+
+    ``later`` and ``earlier`` are keypoint tables. Scenes that cannot be registered take the scaling of the later
+    image to the frame.
+    """
+    frames = working_frame(pairs, max_dim=K.RUN_FRAME_MAX_DIM).where("work_w >= 1 and work_h >= 1")
+    ensure_checkpoint_dir(pairs.sparkSession)
+    matches = match_descriptors(later, earlier).checkpoint()
+    return align_status(frames, matches, fit_homography(matches, store=False))
+
+
+def run_images(
+    pairs: DataFrame,
+    blocks: DataFrame,
+    later: DataFrame,
+    earlier: DataFrame,
+    make_detector: Callable[[], Detector],
+    model: str = "",
+    parallelism: int | None = None,
+    size: int = BLOCK,
+) -> ChangeRun:
+    """The whole run on pixels: align, bring both images to the working frame, cut tiles, detect, merge.
+
+    ``pairs`` has scene_id, width, height (earlier image), tgt_w, tgt_h (later image) and n_bands; ``blocks`` the pixel
+    blocks of both epochs. A detector row carries its tile and ``pieces``, the pixels of both epochs in it.
+    Answers that fail are kept with their error, see ``merge_responses``.
+    """
+    aligned = align_pairs(pairs, later, earlier)
+    as_earlier = aligned.withColumns({"tgt_w": F.col("width"), "tgt_h": F.col("height")}).drop("homography")
+    scene = warp(blocks, aligned, size, "later").unionByName(resize(blocks, as_earlier, size, "earlier"))
+    tiles = explode_tiles(aligned.select("scene_id", "work_w", "work_h"))
+    tasks = tiles.join(tile_pieces(crop(scene, tiles, size)), ["scene_id", "task_idx"], "left")
+    raw = detect(tasks, make_detector, ["scene_id", "task_idx", *TILE_FRACTIONS], parallelism)
+    return merge_responses(raw.withColumn("model", F.lit(model)))
+
+
 def merge_responses(raw: DataFrame, store: bool = True) -> ChangeRun:
     """Parse, map and merge task responses (scene_id, task_idx, raw_text, error, model, gx, gy, gw, gh).
 

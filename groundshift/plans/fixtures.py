@@ -135,6 +135,25 @@ def pixels_sql(sample: str = U16_SAMPLE) -> str:
     )
 
 
+# A second date of the eight-bit rasters: some samples are 9 higher.
+EARLIER_U8_SAMPLE = f"({U8_SAMPLE}) + case when (px + scene_id) % 7 = 0 then 9 else 0 end"
+
+
+def dated_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both dates of the eight-bit rasters."""
+    later = pixels(spark, sf_dir, U8_SAMPLE)
+    return later.unionByName(pixels(spark, sf_dir, EARLIER_U8_SAMPLE).withColumn("epoch", F.lit("earlier")))
+
+
+def raster_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen keypoints in every even raster scene, at equal places at both dates; none in the others."""
+    scenes_ = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as scene_id").where("scene_id % 2 = 0")
+    return scenes_.withColumn("kp_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint")))).select(
+        "scene_id", "kp_id", (F.col("kp_id") * 5 % 31).cast("double").alias("x"), (F.col("kp_id") * 7 % 23).cast("double").alias("y"),
+        F.array(F.xxhash64("kp_id"), F.xxhash64("kp_id", F.lit(1))).alias("desc"),
+    )
+
+
 def raster_pairs(spark: SparkSession, sf_dir: str, work_w: int, work_h: int) -> DataFrame:
     """Frames of the raster scenes: source extent and a working frame."""
     return table(spark, sf_dir, "supplier").select(

@@ -204,7 +204,7 @@ def _range_cte(where: str = "band < 3") -> str:
     return f"lim as (select scene_id, min(v) as lo, max(v) as hi from pix where {where} and not isnan(v) group by 1)"
 
 
-def _warp_sql(w: int, h: int, sx: str, sy: str) -> str:
+def _warp_sql(w: int, h: int, sx: str, sy: str, sample: str = fx.U16_SAMPLE) -> str:
     """Bilinear sampling of the raster fixture at (sx, sy) for every pixel of a w x h frame."""
     taps = []
     for dy in (0, 1):
@@ -213,7 +213,7 @@ def _warp_sql(w: int, h: int, sx: str, sy: str) -> str:
             wy = "(sy - fy)" if dy else "(1 - (sy - fy))"
             taps.append(f"select scene_id, band, px, py, fx + {dx} as tx, fy + {dy} as ty, {wx} * {wy} as weight from spots")
     return f"""
-with pix as ({fx.pixels_sql()}),
+with pix as ({fx.pixels_sql(sample)}),
 outp as (select *, {sx} as sx, {sy} as sy from (select *, unnest(range({fx.RASTER_BANDS})) as band from
   (select *, unnest(range({h})) as py from (select s_suppkey as scene_id, unnest(range({w})) as px from supplier)))),
 spots as (select *, floor(sx) as fx, floor(sy) as fy from outp),
@@ -444,6 +444,14 @@ ORACLES: dict[str, str] = {
         ({_H[0]} * x + {_H[1]} * y + {_H[2]}) / {_depth} as hx, ({_H[3]} * x + {_H[4]} * y + {_H[5]}) / {_depth} as hy from later""",
     "r4_warp_shift": _warp_sql(40, 30, "px - 3.0e0", "py - 2.0e0"),
     "r5_fallback_resize": _warp_sql(64, 48, "px * 0.5e0", "py * 0.5e0"),
+    "r4_resize_earlier": _warp_sql(16, 12, "px * 2.0e0", "py * 2.0e0", fx.EARLIER_U8_SAMPLE),
+    "e3_run_images": f"""with late as ({fx.pixels_sql(fx.U8_SAMPLE)}), early as ({fx.pixels_sql(fx.EARLIER_U8_SAMPLE)}),
+        sums as (select scene_id, sum(v) as s from late where band = 0 group by 1),
+        diffs as (select e.scene_id, cast(sum(e.v) - any_value(l.s) as bigint) as brighter from early e join sums l on l.scene_id = e.scene_id
+          where e.band = 0 group by 1)
+        select scene_id, cast(1 as bigint) as n, case brighter % 3 when 0 then 'added' when 1 then 'removed' else 'modified' end as change_type,
+          'high' as confidence, 'brighter by ' || cast(brighter as varchar) as description,
+          0.25e0 as x, 0.25e0 as y, 0.5e0 as w, 0.5e0 as h from diffs""",
     "r2_fit_homography": f"""with {KNN}, placed as (select *, {_under('sx', 'sy')} from good)
         select cast(scene_id as bigint) as scene_id, count(*) filter ((hx - dx) ** 2 + (hy - dy) ** 2 <= 25) as inliers, true as corners_agree
         from placed group by 1""",

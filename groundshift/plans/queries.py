@@ -25,7 +25,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import images as S
 from ..sources.reports import report_rows
 from . import fixtures as fx
-from .change_run import run_changes
+from .change_run import run_changes, run_images
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -735,3 +735,43 @@ def e1_run_changes(spark, sf):
 @query
 def e2_run_summary(spark, sf):
     return _run(spark, sf).summary
+
+
+def make_pixel_stub():
+    """A detector that reads pixels: one change per tile, described by how much brighter the earlier date is."""
+    kinds = K.CHANGE_TYPES
+
+    def stub(row: dict) -> str:
+        total = {"earlier": 0, "later": 0}
+        for piece in row["pieces"]:
+            if piece["band"] == 0:
+                total[piece["epoch"]] += int(sum(piece["v"]))
+        brighter = total["earlier"] - total["later"]
+        change = {
+            "category": "house", "change_type": kinds[brighter % 3], "description": f"brighter by {brighter}",
+            "confidence": "high", "bbox": [0.25, 0.25, 0.5, 0.5],
+        }
+        return json.dumps({"summary": "", "changes": [change]}, separators=(",", ":"))
+
+    return stub
+
+
+@query
+def e3_run_images(spark, sf):
+    pairs = fx.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("scene_id"),
+        *[F.lit(v).cast("bigint").alias(n) for n, v in (("width", fx.RASTER_W), ("height", fx.RASTER_H),
+                                                        ("tgt_w", fx.RASTER_W), ("tgt_h", fx.RASTER_H))],
+        F.lit(fx.RASTER_BANDS).alias("n_bands"),
+    )
+    blocks = R.to_blocks(fx.dated_pixels(spark, sf), fx.RASTER_BLOCK)
+    points = fx.raster_keypoints(spark, sf)
+    run = run_images(pairs, blocks, points, points, make_pixel_stub, "stub", size=fx.RASTER_BLOCK)
+    return run.changes.select("scene_id", "n", "change_type", "confidence", "description", *"xywh")
+
+
+@query
+def r4_resize_earlier(spark, sf):
+    frames = fx.raster_pairs(spark, sf, 16, 12)
+    blocks = R.to_blocks(fx.dated_pixels(spark, sf), fx.RASTER_BLOCK)
+    return _checksum(R.resize(blocks, frames, fx.RASTER_BLOCK, "earlier"))
