@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundshift.llm.tables import slices
+from groundshift.llm.tables import release_worker_state, slices
 
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
@@ -204,6 +204,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column(n).to_pylist()

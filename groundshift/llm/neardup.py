@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundshift.llm.graph import components
 from groundshift.llm.groups import BLOCK_ROWS, links
-from groundshift.llm.tables import slices, stored, worker_state
+from groundshift.llm.tables import release_worker_state, slices, stored, worker_state
 from groundshift.llm.words import mixed, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -119,6 +119,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker_state()
         counts, documents = np.zeros(DF_BUCKETS, np.int64), 0
         plain = Weights(np.zeros(DF_BUCKETS), 1)
         for batch in batches:

@@ -50,6 +50,13 @@ def worker_state(key: str, make: Callable):
     return kept[key]
 
 
+def release_worker_state() -> None:
+    """Let a reused Python worker forget what an earlier operator kept; for operators that keep nothing."""
+    home = sys.modules.get("_groundshift_worker_state")
+    if home is not None:
+        vars(home).get("kept", {}).clear()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about `limit` bytes of the text column, whole rows always."""
     texts = batch.column(batch.schema.get_field_index(column))

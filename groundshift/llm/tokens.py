@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from groundshift.llm.tables import slices, small_side, worker_state
 
 END_ID = 1
-CACHED_WORDS = 250_000
+CACHED_WORDS = 320_000
 CACHED_CHARS = 48
 
 
@@ -52,13 +52,12 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> bytes:
         n = len(word)
         if n > 1 and word[-1] in ".," and word[-2].isalpha() and self.plain:
-            ids = self[word[:-1]] + self[word[-1]]
+            return self[word[:-1]] + self[word[-1]]  # a word at the end of a clause; only the word is remembered
+        if self.plain and word.isalpha() and word.islower() and max(word) < "\u0100":
+            found = [t.id for t in self.merge(word.translate(self.table))]
         else:
-            if self.plain and word.isalpha() and word.islower() and max(word) < "\u0100":
-                found = [t.id for t in self.merge(word.translate(self.table))]
-            else:
-                found = self.encode(word, add_special_tokens=False).ids
-            ids = self.pack[len(found)](*found) if len(found) < 64 else np.array(found, dtype="<u4").tobytes()
+            found = self.encode(word, add_special_tokens=False).ids
+        ids = self.pack[len(found)](*found) if len(found) < 64 else np.array(found, dtype="<u4").tobytes()
         if len(self) < CACHED_WORDS and n <= CACHED_CHARS:
             self[word] = ids
         return ids
