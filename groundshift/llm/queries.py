@@ -119,10 +119,10 @@ ORACLES = {
     "op6_top_k": """
         WITH v AS (
             SELECT row_number() OVER () AS key, CAST(vec_id AS BIGINT) AS vec_id,
-                   list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+                   [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS q
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0
         ), scored AS (
             SELECT a.key, a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
             FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.key <> b.key AND len(a.q) = len(b.q)
