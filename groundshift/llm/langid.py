@@ -176,17 +176,26 @@ def fit_languages(labelled: DataFrame, train_rows: int = 2000, max_languages: in
     shares = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, each / r["count"]))])
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = usable.filter(draw < F.try_element_at(shares, F.col("lang"))).select("lang", "text")
-    bags = sample.mapInArrow(_bags, "lang string, bucket array<int>, n array<int>").collect()
-    if not bags:
+    # Arrow keeps the counts as packed numbers on the driver.
+    bags = sample.mapInArrow(_bags, "lang string, bucket array<int>, n array<int>").toArrow()
+    if not bags.num_rows:
         return None
-    bags.sort(key=lambda r: (r["lang"], len(r["bucket"]), r["bucket"], r["n"]))
-    languages = sorted({r["lang"] for r in bags})
+    langs = bags.column("lang").to_pylist()
+    lists = [bags.column(c).combine_chunks() for c in ("bucket", "n")]
+    (at, where), (_, count) = [
+        (np.asarray(c.value_lengths(), dtype=np.int64), np.asarray(c.flatten(), dtype=np.int32)) for c in lists
+    ]
+    ends = np.cumsum(at)
+    spans = [slice(e - m, e) for e, m in zip(ends.tolist(), at.tolist(), strict=True)]
+    # The order of rows that tasks deliver may differ, their contents do not.
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], where[spans[i]].tobytes(), count[spans[i]].tobytes()))
+    languages = sorted(set(langs))
     number = {lang: i for i, lang in enumerate(languages)}
-    x = np.zeros((len(bags), BUCKETS), np.float32)
-    for i, r in enumerate(bags):
-        x[i, r["bucket"]] = r["n"]
+    x = np.zeros((len(langs), BUCKETS), np.float32)
+    for row, i in enumerate(order):
+        x[row, where[spans[i]]] = count[spans[i]]
     x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    return train(x, np.array([number[r["lang"]] for r in bags]), languages)
+    return train(x, np.array([number[langs[i]] for i in order]), languages)
 
 
 def has_letter(text: str | None) -> bool:
