@@ -188,7 +188,9 @@ def fit_languages(labelled: DataFrame, train_rows: int = 2000, max_languages: in
     ends = np.cumsum(at)
     spans = [slice(e - m, e) for e, m in zip(ends.tolist(), at.tolist(), strict=True)]
     # The order of rows that tasks deliver may differ, their contents do not.
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], where[spans[i]].tobytes(), count[spans[i]].tobytes()))
+    # Big-endian bytes compare like the numbers.
+    packed = lambda a, i: a[spans[i]].astype(">i4").tobytes()
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], at[i], packed(where, i), packed(count, i)))
     languages = sorted(set(langs))
     number = {lang: i for i, lang in enumerate(languages)}
     x = np.zeros((len(langs), BUCKETS), np.float32)
