@@ -7,6 +7,10 @@ IoU above the threshold.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
@@ -15,7 +19,8 @@ from ..session import ensure_checkpoint_dir
 from .geometry import CELL, OverlapCells, has_extent
 from .skew import HOT_ROWS, number_hot_rows, number_rows, split_hot
 
-CELL_ROWS = 32
+# Rows that one task visits at once.
+VISIT_ROWS = 2048
 SALTS = 8
 GROUP = ["scene_id", "change_type"]
 
@@ -115,16 +120,13 @@ def _fold_rows(ranked: DataFrame, threshold: float) -> DataFrame:
     return groups.select(*GROUP, F.explode(F.aggregate("rows", empty, visit)).alias("row"))
 
 
-def _order(row: Column) -> Column:
-    return F.struct(row["_rank"], row["_area"], row["task_idx"], row["pos"])
-
-
 def _rounds(det: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """Decide boxes in rounds until every group that is left is small enough to fold.
+    """Decide boxes in rounds until every group that is left is small enough for one visit.
 
-    A box is kept once no undecided box that precedes it can suppress it; it then removes the boxes it
-    suppresses. The result is that of the sequential visit, because a box only waits for boxes that
-    precede it, and the first undecided box of a group never waits.
+    A round visits coarse cells one by one, each with the boxes around it. A box of the cell is kept or dropped as the
+    sequential visit would do, or stays open where that depends on a box whose fate another cell decides. The result is
+    that of the sequential visit, because only certain decisions are taken, and the first open box of a group is always certain.
+    Cells grow from round to round while they hold few boxes, so chains of boxes advance by whole cells.
     """
     ensure_checkpoint_dir(det.sparkSession)
     cells = OverlapCells(threshold)
@@ -142,51 +144,119 @@ def _rounds(det: DataFrame, threshold: float, limit: int) -> DataFrame:
     open_rows = (
         cells.file(first.unionByName(extended.where(~copies)), b)
         .withColumn("salt", F.pmod(F.hash("row.task_idx", "row.pos"), F.lit(SALTS)))
+        .withColumn("rid", F.monotonically_increasing_id())
         .checkpoint()
     )
     kept = [isolated]
+    halvings = 3
     while True:
         sizes = open_rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size"))
-        large = sizes.where(F.col("size") > limit).select(*GROUP)
-        if large.isEmpty():
-            kept.append(_fold_rows(open_rows.select(*GROUP, "row"), threshold))
+        least, most = sizes.agg(F.min("size"), F.max("size")).first()
+        if most is None or most <= limit:
+            kept.append(_picked(open_rows, _visit(open_rows.withColumn("own", F.lit(True)), GROUP, threshold)))
             break
-        kept.append(_fold_rows(open_rows.join(large, GROUP, "left_anti").select(*GROUP, "row"), threshold))
-        open_rows = open_rows.join(large, GROUP, "left_semi")
-        safe = _safe_rows(open_rows, cells).checkpoint()
-        kept.append(safe)
+        if least <= limit:
+            large = sizes.where(F.col("size") > limit).select(*[F.col(c).alias(f"l_{c}") for c in GROUP])
+            small = open_rows.join(large, _same_group("l_"), "left_anti").withColumn("own", F.lit(True))
+            kept.append(_picked(open_rows, _visit(small, GROUP, threshold)))
+            open_rows = open_rows.join(large, _same_group("l_"), "left_semi")
+        safe = _picked(open_rows, _visit_cells(open_rows, cells, halvings), "rid").checkpoint()
+        kept.append(safe.drop("rid"))
         open_rows = _remaining(open_rows, safe, cells).checkpoint()
+        coarse = [F.shiftright(c, halvings) if c in ("cx", "cy") else F.col(c) for c in CELL]
+        filled = open_rows.groupBy(*GROUP, *coarse).agg(F.count(F.lit(1)).alias("n"))
+        mean = filled.agg(F.avg("n")).first()[0] or 0.0
+        halvings = min(halvings + 2, 48) if mean < VISIT_ROWS else max(halvings - 1, 0)
     out = kept[0]
     for part in kept[1:]:
         out = out.unionByName(part)
     return _unpack(out, det.columns)
 
 
-def _safe_rows(open_rows: DataFrame, cells: OverlapCells) -> DataFrame:
-    """Undecided rows that no earlier undecided row can suppress.
+def _same_group(prefix: str) -> Column:
+    """Equal group columns, missing ones included."""
+    same = F.lit(True)
+    for c in GROUP:
+        same = same & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+    return same
+
+
+def _picked(rows: DataFrame, ids: DataFrame, *more: str) -> DataFrame:
+    return rows.join(ids, "rid", "left_semi").select(*GROUP, "row", *more)
 
-    Of each cell the first CELL_ROWS rows are looked at, box by box; the limit on the row number is applied
-    before the shuffle, so a crowded cell moves few rows. Later rows of such a cell wait, and so does
-    any row nearby that they might precede.
+
+def _visit_cells(open_rows: DataFrame, cells: OverlapCells, halvings: int) -> DataFrame:
+    """``rid`` of open rows that are certain to be kept, from a visit of every coarse cell.
+
+    A cell holds its own rows and those around it that can overlap them. It visits the first VISIT_ROWS of them: a row
+    depends on earlier ones only, so later rows can wait. The limit on the row number applies before the shuffle.
     """
-    place = [*GROUP, *CELL]
-    first = W.partitionBy(*place).orderBy("row._rank", "row._area", "row.task_idx", "row.pos")
-    candidates = open_rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= CELL_ROWS)
-    brief = F.struct(_order(F.col("row")).alias("order"), F.col("row._box").alias("box"))
-    contents = candidates.groupBy(*place).agg(
-        F.collect_list(brief).alias("others"), F.max(_order(F.col("row"))).alias("last")
-    )
-    probes = cells.around(
-        candidates.select(*GROUP, _order(F.col("row")).alias("me"), F.col("row._box").alias("b")), F.col("b")
-    )
-    me, mine = F.col("me"), F.col("b")
-    blocked = probes.join(contents, place).where(
-        ((F.size("others") == CELL_ROWS) & (F.col("last") < me))
-        | F.exists("others", lambda o: (o["order"] < me) & (iou(o["box"], mine) > cells.threshold))
+    mine = [F.col(c).alias(f"o_{c}") for c in CELL]
+    brief = open_rows.select(*GROUP, "rid", "row", F.col("row._box").alias("b"), *mine)
+    placed = cells.around(brief, F.col("b"), halvings)
+    own = (F.col("kw") == F.col("o_kw")) & (F.col("kh") == F.col("o_kh"))
+    for c in ("cx", "cy"):
+        own = own & (F.col(c) == F.shiftright(f"o_{c}", halvings))
+    return _visit(placed.withColumn("own", own), [*GROUP, *CELL], cells.threshold, VISIT_ROWS)
+
+
+def _visit(rows: DataFrame, place: list[str], threshold: float, most: int | None = None) -> DataFrame:
+    """``rid`` of the rows marked ``own`` that the sequential visit of their place certainly keeps."""
+    order = [F.col(f"_o.{c}") for c in ("_rank", "_area", "task_idx", "pos")]
+    brief = rows.select(
+        *place, "rid", "own", F.struct(*[f"row.{c}" for c in ("_rank", "_area", "task_idx", "pos")]).alias("_o"),
+        *[F.col(f"row._box.{c}").alias(c) for c in "xywh"],
     )
-    ids = blocked.select(*GROUP, F.col("me.task_idx").alias("t"), F.col("me.pos").alias("p"))
-    return candidates.withColumn("t", F.col("row.task_idx")).withColumn("p", F.col("row.pos")).join(
-        ids, [*GROUP, "t", "p"], "left_anti").select(*GROUP, "row")
+    numbered = brief.withColumn("_n", F.row_number().over(W.partitionBy(*place).orderBy(*order)))
+    if most is not None:
+        numbered = numbered.where(F.col("_n") <= most)
+    sorted_rows = numbered.sortWithinPartitions(*place, "_n")
+    return sorted_rows.select("_n", "rid", "own", *"xywh").mapInArrow(_visitor(threshold), "rid long")
+
+
+def _visitor(threshold: float):
+    """mapInArrow over places one after the other, each starting at ``_n`` = 1."""
+
+    def certain(own: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        n = len(own)
+        dropped, waits, kept = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+        right, low, size = x + w, y + h, w * h
+        for i in range(n):
+            if dropped[i]:
+                continue
+            kept[i] = own[i] and not waits[i]
+            later = slice(i + 1, n)
+            across = np.maximum(0.0, np.minimum(right[i], right[later]) - np.maximum(x[i], x[later]))
+            down = np.maximum(0.0, np.minimum(low[i], low[later]) - np.maximum(y[i], y[later]))
+            inter = across * down
+            union = size[i] + size[later] - inter
+            hit = np.divide(inter, union, out=np.zeros(len(inter)), where=union > 0) > threshold
+            (dropped if kept[i] else waits)[later] |= hit
+        return kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[list[np.ndarray]] = []
+
+        def close() -> np.ndarray:
+            if not pending:
+                return np.empty(0, np.int64)
+            rid, *rest = [np.concatenate(parts) for parts in zip(*pending, strict=True)]
+            pending.clear()
+            return rid[certain(*rest)]
+
+        for batch in batches:
+            number, *columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            starts = np.flatnonzero(number == 1).tolist()
+            found = []
+            for lo, hi in zip([0, *starts], [*starts, len(number)], strict=True):
+                if hi > lo:
+                    if number[lo] == 1:
+                        found.append(close())
+                    pending.append([c[lo:hi] for c in columns])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], names=["rid"])
+        yield pa.RecordBatch.from_arrays([pa.array(close())], names=["rid"])
+
+    return run
 
 
 def _remaining(open_rows: DataFrame, safe: DataFrame, cells: OverlapCells) -> DataFrame:
@@ -196,13 +266,13 @@ def _remaining(open_rows: DataFrame, safe: DataFrame, cells: OverlapCells) -> Da
     crowded cell is shared by SALTS tasks.
     """
     boxes = safe.select(
-        *GROUP, F.col("row._box").alias("k_box"), F.col("row.task_idx").alias("k_task"),
-        F.col("row.pos").alias("k_pos"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+        *GROUP, F.col("row._box").alias("k_box"), F.col("rid").alias("k_rid"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
-    place = [*GROUP, *CELL, "salt"]
-    reach = cells.around(boxes, F.col("k_box")).withColumnsRenamed({c: f"k_{c}" for c in place})
-    itself = (F.col("row.task_idx") == F.col("k_task")) & (F.col("row.pos") == F.col("k_pos"))
-    hit = itself | (iou(F.col("row._box"), F.col("k_box")) > cells.threshold)
+    place = [*CELL, "salt"]
+    reach = cells.around(boxes, F.col("k_box")).withColumnsRenamed({c: f"k_{c}" for c in [*GROUP, *place]})
+    itself = F.col("rid") == F.col("k_rid")
+    hit = _same_group("k_") & (itself | (iou(F.col("row._box"), F.col("k_box")) > cells.threshold))
     for c in place:
         hit = hit & (F.col(c) == F.col(f"k_{c}"))
     return open_rows.join(reach, hit, "left_anti")

@@ -82,19 +82,23 @@ class OverlapCells:
 
         return df.withColumn("kw", F.explode(near(b["w"]))).withColumn("kh", F.explode(near(b["h"])))
 
-    def places_around(self, df: DataFrame, start: Column, extent: Column, cls: str, out: str) -> DataFrame:
+    def places_around(
+        self, df: DataFrame, start: Column, extent: Column, cls: str, out: str, halvings: int = 0
+    ) -> DataFrame:
         """One row per position of class ``cls`` that partners can have along one axis."""
         pitch = self._pitch(F.col(cls))
         longest = F.greatest(extent, F.least(extent / F.lit(self.threshold), pitch))
         reach = F.lit((1.0 - self.threshold) * (1.0 + 1e-9)) * longest
-        return df.withColumn(
-            out, F.explode(F.sequence(F.floor((start - reach) / pitch), F.floor((start + reach) / pitch)))
-        )
+        ends = [F.shiftright(F.floor(end / pitch), halvings) for end in (start - reach, start + reach)]
+        return df.withColumn(out, F.explode(F.sequence(*ends)))
+
+    def around(self, df: DataFrame, b: Column, halvings: int = 0) -> DataFrame:
+        """One row per cell in which partners of a box can lie.
 
-    def around(self, df: DataFrame, b: Column) -> DataFrame:
-        """One row per cell in which partners of a box can lie."""
-        spread = self.places_around(self.classes_around(df, b), b["x"], b["w"], "kw", "cx")
-        return self.places_around(spread, b["y"], b["h"], "kh", "cy")
+        With ``halvings`` cells are taken together, 2 ** halvings along either axis, and positions are halved as often.
+        """
+        spread = self.places_around(self.classes_around(df, b), b["x"], b["w"], "kw", "cx", halvings)
+        return self.places_around(spread, b["y"], b["h"], "kh", "cy", halvings)
 
 
 def has_extent(b: Column) -> Column:

@@ -92,6 +92,45 @@ def test_property_fold_rounds_greedy(spark, boxes):
     assert keys(D.dedupe(fold, strategy="fold")) == want
 
 
+def chain(n, scene=0, kind="added"):
+    """Equal boxes, each overlapping the next, in reading order."""
+    return [(scene, 0, i, kind, "low", i * 0.003, 0.1, 0.01, 0.1) for i in range(n)]
+
+
+def rounds_of(monkeypatch):
+    calls = []
+    visit = D._visit_cells
+    monkeypatch.setattr(D, "_visit_cells", lambda *a: calls.append(1) or visit(*a))
+    return calls
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    rows = chain(40) + chain(40, kind=None)
+    calls = rounds_of(monkeypatch)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert keys(D.dedupe(df.where("change_type = 'added'"), strategy="rounds", limit=4)) == {(0, 0, r[2]) for r in greedy(rows[:40])}
+    assert len(calls) <= 4
+    # A missing type is a group like any other and is decided in rounds too.
+    assert D.dedupe(df, strategy="rounds", limit=4).count() == 2 * len(greedy(rows[:40]))
+
+
+def test_long_chain_and_crowd_in_one_scene(spark, monkeypatch):
+    n, rng = 20_000, random.Random(3)
+    crowd = [(0, 1, i, "removed", "low", 0.1 + rng.random() * 0.02, 0.1 + rng.random() * 0.02, 0.2, 0.2 - i * 1e-9)
+             for i in range(50_000)]
+    rows = chain(n)
+    want, last = set(), None
+    for r in rows:  # only the last kept box reaches this far
+        if last is None or iou(last, r) <= 0.4:
+            want.add(r[:3])
+            last = r
+    want |= {r[:3] for r in greedy(crowd)}
+    calls = rounds_of(monkeypatch)
+    got = keys(D.dedupe(spark.createDataFrame(rows + crowd, SCHEMA)))
+    assert got == want
+    assert len(calls) <= 20
+
+
 def test_threshold_is_strict_and_types_are_apart(spark):
     # 0.4 exactly: 4 of 10 units shared.
     rows = [(0, 0, 0, "added", "high", 0.0, 0.0, 0.7, 0.1), (0, 0, 1, "added", "low", 0.0, 0.0, 0.28, 0.1),
