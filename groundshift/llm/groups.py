@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundshift.llm.tables import stored
+from groundshift.llm.tables import small_side, stored
 
 EDGE = "a string, b string"
 # Rows that one task compares at once; larger groups are cut into blocks.
@@ -96,8 +96,8 @@ def _edges(rows: list[tuple[str, str]]) -> pa.RecordBatch:
 def _to_hubs(prepare: Callable, linked: Callable, rows_at_once: int):
     """mapInArrow over rows sorted by `deal`, hubs first: group, deal, node, payload, is_hub.
 
-    Gives (group, node, hub) with the first hub that the row is linked to, null if there is none, and pairs of hubs that are
-    linked to one row.
+    Gives (group, node, hub, pair): once a row the first hub that it is linked to, null if there is none; and with `pair`
+    set the hubs that are linked to one row or to each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +111,10 @@ def _to_hubs(prepare: Callable, linked: Callable, rows_at_once: int):
                 index = np.arange(len(hubs))
                 for n, (group, node, _) in enumerate(waiting):
                     met = [hubs[h] for h in index[linked(features, len(hubs) + n, index)].tolist()] if len(hubs) else []
-                    out.append((group, node, met[0] if met else None))
-                    pairs.update((group, h, met[0]) for h in met[1:])
+                    out.append((group, node, met[0] if met else None, False))
+                    pairs.update((group, h, met[0], True) for h in met[1:])
+                    if met and node in hubs and node != met[0]:
+                        pairs.add((group, node, met[0], True))
                 waiting.clear()
 
         for batch in batches:
@@ -139,8 +141,26 @@ def _to_hubs(prepare: Callable, linked: Callable, rows_at_once: int):
 
 
 def _rows(rows: list[tuple], group_type: pa.DataType) -> pa.RecordBatch:
-    types = (group_type, pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["group", "node", "hub"])
+    types = (group_type, pa.string(), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["group", "node", "hub", "pair"])
+
+
+def _hub_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over group, met (its pairs of hubs): group, hub, label. The label is one hub of each component of hubs."""
+    for batch in batches:
+        groups, names, labels = [], [], []
+        for i, met in enumerate(batch.column(1).to_pylist()):
+            hubs = sorted({h for pair in met for h in pair.values()})
+            number, forest = {h: n for n, h in enumerate(hubs)}, Forest(len(hubs))
+            for pair in met:
+                forest.join(number[pair["node"]], number[pair["hub"]])
+            groups += [i] * len(hubs)
+            names += hubs
+            labels += [hubs[forest.root(n)] for n in range(len(hubs))]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(groups, pa.int64())), pa.array(names, pa.string()), pa.array(labels, pa.string())],
+            names=["group", "hub", "label"],
+        )
 
 
 def links(members: DataFrame, prepare: Callable, linked: Callable, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -148,9 +168,11 @@ def links(members: DataFrame, prepare: Callable, linked: Callable, block_rows: i
 
     `members` has group (any type), node (string), payload, and blocks (how many blocks of at most about `block_rows` rows the
     group fills). Groups of one block are compared inside one task each. In larger ones every row is compared with
-    `HUBS` hubs, rows of the group chosen by hash; rows not linked to any hub, which a tight group has few of, are
-    compared with all rows, block against block. So no link is lost, no task holds more than two blocks and the hubs, and
-    tight groups of any size take linear work.
+    `HUBS` hubs, rows of the group chosen by hash. Hubs that share a row or are linked form components; the rows on the hubs of one
+    component, the one with most rows, are joined by that already. All other rows, which a tight group has few of, are
+    compared with all rows, block against block. So no link is lost: of two linked rows, either both hang on that
+    component or one is compared with all. No task holds more than two blocks and the hubs, and tight groups of any size
+    take linear work.
     """
     small = members.filter("blocks <= 1").select("group", "node", "payload", F.lit(True).alias("left"))
     run = _per_group(prepare, linked)
@@ -169,12 +191,17 @@ def links(members: DataFrame, prepare: Callable, linked: Callable, block_rows: i
     group_type = members.schema["group"].dataType.simpleString()
     judged = stored(
         asked.repartition("deal").sortWithinPartitions("deal", F.desc("is_hub")).mapInArrow(
-            _to_hubs(prepare, linked, block_rows), f"group {group_type}, node string, hub string"
+            _to_hubs(prepare, linked, block_rows), f"group {group_type}, node string, hub string, pair boolean"
         ),
         "judged",
     )
     stars = judged.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    apart = judged.filter("hub IS NULL").select("group", "node")
+    pairs = judged.filter("pair").groupBy("group").agg(F.collect_set(F.struct("node", "hub")).alias("met"))
+    labels = small_side(pairs.mapInArrow(_hub_labels, f"group {group_type}, hub string, label string"))
+    hung = judged.filter("NOT pair").join(labels, ["group", "hub"], "left").select("group", "node", F.coalesce("label", "hub").alias("label"))
+    sizes = hung.filter("label IS NOT NULL").groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = small_side(sizes.groupBy("group").agg(F.max(F.struct("n", "label"))["label"].alias("joined")))
+    apart = hung.join(largest, "group", "left").filter("label IS NULL OR label <> joined").select("group", "node")
     counts = apart.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     # Half blocks on either side, so that a task holds about one block.
     rest = large.join(counts, "group").withColumn("left_blocks", F.ceil(F.col("n") * 2 / block_rows).cast("int")).withColumn(

@@ -125,6 +125,28 @@ def test_links_of_large_groups_lose_nothing(spark):
     assert {n: r for n, r in root.items()} == {n: 0 if n < 200 else 500 for n in values}
 
 
+def test_links_of_rows_on_different_hubs(spark):
+    """Chains that differ in their names, and so in the places and spacings of their hubs, stay whole each."""
+    reach, length = {f"g{n:02d}": 1 + n % 4 for n in range(48)}, 240
+    values = {g: [n for n in range(length) if n < length // 2 or n > length // 2 + w] for g, w in reach.items()}
+    rows = [(g, f"{g}-{n:04d}", n * 8 + reach[g], 8) for g, mine in values.items() for n in mine]
+    members = spark.createDataFrame(rows, "group string, node string, payload long, blocks int")
+    linked = lambda x, i, js: np.abs(x[js] // 8 - x[i] // 8) <= x[i] % 8
+    edges = links(members, np.array, linked, block_rows=32).collect()
+    parent = {node: node for _, node, _, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in edges:
+        parent[max(root(r["a"]), root(r["b"]))] = min(root(r["a"]), root(r["b"]))
+    for g, mine in values.items():
+        late = min(n for n in mine if n > length // 2)
+        assert {n: root(f"{g}-{n:04d}") for n in mine} == {n: f"{g}-{0 if n < late else late:04d}" for n in mine}
+
+
 def test_sampling_agrees_with_weighted_jaccard():
     weights = neardup.Weights(np.zeros(neardup.DF_BUCKETS), 1)
     words = [f"w{n}" for n in range(400)]
