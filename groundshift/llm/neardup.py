@@ -29,7 +29,6 @@ TEXT_BYTES = 8 << 20
 # document. A steeper one would part large groups of near copies, whose common shingles are frequent for no other
 # reason than the copies, from each other.
 DF_DAMPING = 1.0
-MAX_TF = 256
 
 
 class Weights:
@@ -39,7 +38,6 @@ class Weights:
         df = frequency / max(1, documents)
         self.idf = np.log1p(1 / (df + DF_DAMPING))
         self.log_idf = np.log(self.idf)
-        self.log_tf = np.log(np.arange(1, MAX_TF + 1))
 
     def features(self, texts: list[str | None]):
         """Distinct shingles of each text in order: text number, hash, term frequency, and shingles per text."""
@@ -51,14 +49,14 @@ class Weights:
         first = np.ones(len(hashes), bool)
         first[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
         at = np.flatnonzero(first)
-        tf = np.minimum(np.diff(np.append(at, len(hashes))), MAX_TF)
+        tf = np.diff(np.append(at, len(hashes)))
         return text[at], hashes[at], tf, np.bincount(text[at], minlength=len(texts))
 
     def weigh(self, hashes: np.ndarray, tf: np.ndarray) -> np.ndarray:
         return tf * self.idf[bucket(hashes)]
 
     def log_weight(self, hashes: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        return self.log_tf[tf - 1] + self.log_idf[bucket(hashes)]
+        return np.log(tf) + self.log_idf[bucket(hashes)]
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:

@@ -110,6 +110,18 @@ def test_large_group_of_near_copies(spark, tmp_path):
     assert all(found[2000 + n] == 2000 + n for n in range(50))
 
 
+def test_near_duplicates_count_every_repetition(spark, tmp_path):
+    """Lines repeated 300 and 3000 times differ; what stands beside a line repeated 2000 times weighs little."""
+    line = "one two three four five six seven eight nine ten "
+    other = lambda c: "".join(f"{c}{n} " for n in range(500))
+    texts = {1: line * 300, 2: line * 3000, 3: line * 310, 4: line[4:] * 2000 + other("x"), 5: line[4:] * 2000 + other("y")}
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = classes(neardup.near_duplicates(docs).collect())
+    assert found == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4} == brute_classes(texts, None)
+
+
 def test_links_of_large_groups_lose_nothing(spark):
     """Numbers are linked if they differ by one: two long chains whose rows are linked to few hubs."""
     values = [*range(200), *range(500, 700)]
