@@ -17,6 +17,11 @@ ORDERS = (2, 3, 4)
 DIM = 16
 UNKNOWN = "und"
 REJECT_SHARE = 0.1
+# A text may hold so many times the share of unlearned n-grams of any calibration row, and this share at least. Shares are
+# taken over so many n-grams more than a text has, so a few unlearned ones do not reject a short text.
+UNKNOWN_TIMES = 4.0
+UNKNOWN_LEAST = 0.02
+UNKNOWN_EXTRA = 50
 # Multiplier of the bucket hash, an odd number near 2**32 divided by the golden ratio.
 MIX = np.uint32(2654435769)
 GAP = b"     "
@@ -58,7 +63,11 @@ def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Model:
-    """Embedding and softmax weights, temperature and rejection threshold."""
+    """Embedding and softmax weights, temperature and rejection thresholds.
+
+    `learned` marks the buckets of n-grams met in training; texts with a larger share of others than `unknown_most` are
+    rejected.
+    """
 
     languages: list[str]
     embedding: np.ndarray
@@ -66,6 +75,8 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
+    learned: np.ndarray | None = None
+    unknown_most: float = 1.0
     table: np.ndarray = field(init=False)
 
     def __post_init__(self):
@@ -75,20 +86,35 @@ class Model:
         self.table[:, 0] = 0.0
         self.folded = folded
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        sums, counts = np.zeros((len(texts), len(self.table))), np.zeros(len(texts))
+    def measure(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits, and the share of n-grams that were not met in training."""
+        sums, counts, unknown = np.zeros((len(texts), len(self.table))), np.zeros(len(texts)), np.zeros(len(texts))
+        if self.learned is not None:
+            strange = ~self.learned
+            strange[0] = False
         for bucket, starts in subwords(texts):
             counts += np.add.reduceat((bucket > 0).astype(np.int32), starts)
+            if self.learned is not None:
+                unknown += np.add.reduceat(strange[bucket].astype(np.int32), starts)
             for j, row in enumerate(self.table):
                 sums[:, j] += np.add.reduceat(row[bucket], starts, dtype=np.float64)
         mean = sums / np.maximum(counts, 1)[:, None]
-        return (mean if self.folded else mean @ self.weights) + self.bias
+        return (mean if self.folded else mean @ self.weights) + self.bias, unknown / (counts + UNKNOWN_EXTRA)
+
+    def logits(self, texts: list[str]) -> np.ndarray:
+        return self.measure(texts)[0]
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index and calibrated probability of the best language, and whether the text is rejected."""
+        z, unknown = self.measure(texts)
+        p = softmax(z / self.temperature)
+        best = p.argmax(axis=1)
+        score = p[np.arange(len(p)), best]
+        return best, score, (score < self.reject_below) | (unknown > self.unknown_most)
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Index and calibrated probability of the best language."""
-        p = softmax(self.logits(texts) / self.temperature)
-        best = p.argmax(axis=1)
-        return best, p[np.arange(len(p)), best]
+        return self.judge(texts)[:2]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -96,13 +122,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 30, rate: float = 8.0, batch: int = 32) -> Model:
+def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 30, rate: float = 8.0, batch: int = 32, sizes: np.ndarray | None = None) -> Model:
     """Stochastic gradient descent over rows of bucket shares; one row in five is kept for calibration.
 
     Rows are cut in two at a fixed shuffle. The temperature minimises the calibration rows' loss; the threshold lies a tenth
     of the way from a blind guess to the lowest probability of a calibration row that is predicted rightly. So texts
-    are rejected only if they hardly look like one language more than like any other; texts that mix two learned
-    languages stay.
+    are rejected by it only if they hardly look like one language more than like any other; texts that mix two learned
+    languages stay. Unlearned scripts and languages show in n-grams that no training row holds: the calibration rows say
+    what share of those learned languages have (`sizes`: n-grams of each row), and texts with several times as many are rejected.
     """
     rng = np.random.default_rng(7)
     order = rng.permutation(len(x))
@@ -128,8 +155,15 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 30,
             bias -= 0.1 * step * error.sum(axis=0)
             used = np.flatnonzero(xb.any(axis=0))
             embedding[used] -= step * 20 * (xb[:, used].T @ back)
-    model = Model(languages, embedding, weights, bias)
+    learned = np.zeros(x.shape[1], bool)
+    for row in fit:
+        learned |= x[row] > 0
+    model = Model(languages, embedding, weights, bias, learned=learned)
     if len(held):
+        unknown = x[held] @ (~learned).astype(np.float32)
+        if sizes is not None:
+            unknown = unknown * (sizes[held] / (sizes[held] + UNKNOWN_EXTRA))
+        model.unknown_most = max(UNKNOWN_LEAST, UNKNOWN_TIMES * float(unknown.max()))
         z = (x[held] @ embedding) @ weights + bias
         scales = np.geomspace(0.02, 20, 200)
         losses = [-np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in scales]
@@ -196,8 +230,9 @@ def fit_languages(labelled: DataFrame, train_rows: int = 2000, max_languages: in
     x = np.zeros((len(langs), BUCKETS), np.float32)
     for row, i in enumerate(order):
         x[row, where[spans[i]]] = count[spans[i]]
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    return train(x, np.array([number[langs[i]] for i in order]), languages)
+    sizes = x.sum(axis=1)
+    x /= np.maximum(sizes, 1)[:, None]
+    return train(x, np.array([number[langs[i]] for i in order]), languages, sizes=sizes)
 
 
 def has_letter(text: str | None) -> bool:
@@ -207,8 +242,9 @@ def has_letter(text: str | None) -> bool:
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and `lang_pred, score, rejected` for every whole text.
 
-    `score` is the calibrated probability of the best language. Rejected are texts below the model's threshold, and
-    texts that are null or have no letter, which get `und` and score 0 (as do all texts if nothing was learned).
+    `score` is the calibrated probability of the best language. Rejected are texts below the model's threshold, texts with
+    too many n-grams that no training row holds (other scripts and languages, noise; a language whose n-grams nearly all
+    occur in learned ones passes), and texts that are null or have no letter, which get `und` and score 0 (as do all texts if nothing was learned).
     Row-wise, no shuffle; repeated rows are judged each, an empty table gives no rows.
     """
     source = docs.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("text"))
@@ -222,9 +258,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                 known = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
                 lang, score, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
                 if known:
-                    best, p = model.predict([texts[i] for i in known])
-                    for i, b, s in zip(known, best, p, strict=True):
-                        lang[i], score[i], rejected[i] = model.languages[b], float(s), bool(s < model.reject_below)
+                    for i, b, s, r in zip(known, *model.judge([texts[i] for i in known]), strict=True):
+                        lang[i], score[i], rejected[i] = model.languages[b], float(s), bool(r)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                     names=[*part.schema.names[:n], "lang_pred", "score", "rejected"],

@@ -204,6 +204,25 @@ def test_rejection_of_foreign_text(spark):
     assert all(r["score"] < 0.9 for r in langid.identify(strange, model).collect())
 
 
+FOREIGN = [
+    "中文文本在这里" * 5, "Привет " * 9, "Suomen kieli on kaunis ja vaikea kieli jota puhutaan Suomessa ja Ruotsissa",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "xqzjv kwpq zzxv qjkx vwxq pqzk jxqv",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι", "يولد جميع الناس أحراراً",
+]
+
+
+def test_foreign_text_is_rejected_and_mixed_text_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_languages(docs.select("lang", "text", F.col("doc_id").alias("key")))
+    of = {}
+    for r in docs.filter("n_chars > 200").orderBy("doc_id").collect():
+        of.setdefault(r["lang"], r["text"])
+    mixed = [of[a][:400] + " " + of[b][:400] for a in of for b in of] + [t[:60] for t in of.values()]
+    rows = spark.createDataFrame(list(enumerate(FOREIGN + mixed)), "doc_id long, text string")
+    found = {r["doc_id"]: r["rejected"] for r in langid.identify(rows, model).collect()}
+    assert [found[i] for i in range(len(found))] == [True] * len(FOREIGN) + [False] * len(mixed)
+
+
 def base_spans(text):
     """The base kinds, straight from their definition."""
     out = []
