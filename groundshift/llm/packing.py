@@ -14,24 +14,27 @@ from pyspark.sql import functions as F
 
 from groundshift.llm.tables import slices, small_side, stored
 from groundshift.llm.tokens import END_ID, encoder
+from groundshift.session import ensure_checkpoint_dir
 
 WINDOW = 2048
 QUANTUM = 128
-MAX_QUEUES = 64
+# Queues whose schedule is worked out in closed form on the tasks; that of more queues is sorted as a table.
+CLOSED_QUEUES = 64
 WEIGHT_UNITS = 1 << 20
 
 
 def encode_queues(
     docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source", max_queues: int = MAX_QUEUES,
+    source_col: str = "source", max_queues: int | None = None,
 ) -> DataFrame:
     """Token table in shared storage: `doc_id, queue, part, row, queue_start, n, ids`.
 
     `ids` are little-endian unsigned 32-bit integers with the end id; `queue_start` counts the queue's tokens before the
-    document within its part. One queue a source; with more than `max_queues` sources they are hashed to that many.
+    document within its part. One queue a source, however many; only if `max_queues` is given and there are
+    more sources, these are hashed to that many queues, which sources then share.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    if docs.select(source.alias("s")).distinct().limit(max_queues + 1).count() > max_queues:
+    if max_queues and docs.select(source.alias("s")).distinct().limit(max_queues + 1).count() > max_queues:
         source = F.format_string("queue-%d", F.crc32(source.cast("binary")) % max_queues)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), source.alias("queue"),
@@ -91,16 +94,95 @@ class Schedule:
         return sent
 
 
+def units_of(queues: int) -> int:
+    """Units in which weights are given, so many that a queue of average share has 2**14 at least."""
+    return WEIGHT_UNITS * max(1, -(-queues // CLOSED_QUEUES))
+
+
 def weights_of(totals: dict[str, int], targets: dict[str, float] | None) -> dict[str, int]:
-    """Whole-number weights in units of 2**-20: the given proportions, else the queues' shares of all tokens."""
+    """Whole-number weights in units of 2**-20 (or finer): the given proportions, else the queues' shares of all tokens.
+
+    Targets that name none of the queues are an error, such as names of sources that share queues.
+    """
     share = {q: float((targets or totals).get(q, 0.0)) for q in totals}
-    whole = sum(share.values()) or 1.0
-    return {q: max(1, round(s / whole * WEIGHT_UNITS)) for q, s in share.items()}
+    whole = sum(share.values())
+    if targets and totals and not whole:
+        raise ValueError("the targets name none of the queues")
+    return {q: max(1, round(s / (whole or 1.0) * units_of(len(totals)))) for q, s in share.items()}
+
+
+def _weight_table(totals: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+    """`weights_of` as a table: queue, total, weight."""
+    share = F.col("total").cast("double")
+    if targets:
+        given = totals.sparkSession.createDataFrame([(q, float(v)) for q, v in targets.items()], "queue string, target double")
+        totals, share = totals.join(given, "queue", "left"), F.coalesce("target", F.lit(0.0))
+    shares = totals.select("queue", "total", share.alias("share"))
+    queues, whole = shares.agg(F.count(F.lit(1)), F.sum("share")).first()
+    if targets and queues and not whole:
+        raise ValueError("the targets name none of the queues")
+    units = F.rint(F.col("share") / F.lit(whole or 1.0) * F.lit(units_of(queues))).cast("long")
+    return shares.select("queue", "total", F.greatest(F.lit(1), units).cast("long").alias("weight"))
+
+
+def _sent_before(placed: DataFrame, weights: DataFrame, quantum: int) -> DataFrame:
+    """`queue, block, sent`: tokens sent before every block, by a range sort over the blocks of all queues.
+
+    Every block is listed by the document that holds its first token, so no row lists the blocks of a whole queue. The
+    virtual time (2b + 1) / weight is sorted as a whole number and a fraction, ties by queue, as in `Schedule`.
+    """
+    ensure_checkpoint_dir(placed.sparkSession)
+    first, last = F.ceil(F.col("at") / quantum).cast("long"), F.floor((F.col("at") + F.col("n") - 1) / quantum).cast("long")
+    begun = placed.select("queue", first.alias("first"), last.alias("last")).filter("first <= last")
+    blocks = begun.select("queue", F.explode(F.sequence("first", "last")).alias("block")).join(small_side(weights), "queue")
+    turn = 2 * F.col("block") + 1
+    timed = blocks.select(
+        F.floor((turn - turn % F.col("weight")) / F.col("weight")).cast("long").alias("whole"),
+        ((turn % F.col("weight")) / F.col("weight")).alias("fraction"), "queue", "block",
+        F.least(F.lit(quantum), F.col("total") - F.col("block") * quantum).alias("size"),
+    )
+    order = ["whole", "fraction", "queue", "block"]
+    sorted_blocks = timed.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint().withColumn("range", F.spark_partition_id())
+    sums = sorted_blocks.groupBy("range").agg(F.sum("size").alias("tokens"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("range", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("range").orderBy(*order)
+    return sorted_blocks.withColumn("upto", F.sum("size").over(inside)).join(small_side(bases), "range").select(
+        "queue", "block", (F.col("base") + F.col("upto") - F.col("size")).alias("sent")
+    )
+
+
+def _pack_many(placed: DataFrame, weights: DataFrame, window: int, quantum: int, with_ids: bool) -> DataFrame:
+    """`pack` for any number of queues: the parts of documents are joined with the place of their blocks.
+
+    Ids are shuffled once here. A block has at most `quantum` parts, so no key is hot.
+    """
+    first, last = F.floor(F.col("at") / quantum).cast("long"), F.floor((F.col("at") + F.col("n") - 1) / quantum).cast("long")
+    low = F.greatest("at", F.col("block") * quantum)
+    high = F.least(F.col("at") + F.col("n"), (F.col("block") + 1) * quantum)
+    cut = lambda ids, start, length: F.substring(ids, (4 * start + 1).cast("int"), (4 * length).cast("int"))
+    parts = placed.withColumn("block", F.explode(F.sequence(first, last))).withColumn("low", low).withColumn("size", high - low).select(
+        "doc_id", "queue", "block", (F.col("low") - F.col("at")).alias("begin"), "size", F.col("n").alias("doc_tokens"),
+        (F.col("low") - F.col("block") * quantum).alias("inside"), cut(F.col("ids"), F.col("low") - F.col("at"), F.col("size")).alias("ids"),
+    )
+    timed = parts.join(_sent_before(placed, weights, quantum).hint("merge"), ["queue", "block"]).withColumn("where", F.col("sent") + F.col("inside"))
+    room = F.least("size", F.lit(window) - F.col("where") % window)
+    piece = lambda skip, length: F.struct(skip.cast("long").alias("skip"), length.cast("long").alias("length"))
+    pieces = timed.withColumn("room", room).withColumn(
+        "piece", F.explode(F.filter(F.array(piece(F.lit(0), F.col("room")), piece(F.col("room"), F.col("size") - F.col("room"))), lambda p: p["length"] > 0))
+    )
+    skip, length = F.col("piece.skip"), F.col("piece.length")
+    at, ids = F.col("where") + skip, cut(F.col("ids"), skip, length)
+    return pieces.select(
+        "doc_id", (F.col("begin") + skip).alias("start"), length.alias("length"), F.crc32(ids).alias("ids_crc32"), "doc_tokens",
+        F.floor(at / window).cast("long").alias("sequence_id"), (at % window).alias("offset"), "queue",
+        *([ids.alias("ids")] if with_ids else []),
+    )
 
 
 def pack(
     tokens: DataFrame, targets: dict[str, float] | None = None, window: int = WINDOW, quantum: int = QUANTUM,
-    with_ids: bool = False,
+    with_ids: bool = False, closed_queues: int = CLOSED_QUEUES,
 ) -> DataFrame:
     """Cut a token table into sequences of `window` tokens: one row a piece.
 
@@ -108,15 +190,24 @@ def pack(
     are served by deficit round-robin with `quantum` tokens a turn to proportions `targets` (default: their shares of
     all tokens), see `Schedule`; every window is full but the last one, so at most one sequence needs padding.
 
-    One aggregation sums tokens by part and queue; only queue totals (at most `max_queues` numbers) reach the driver.
-    Positions follow by arithmetic, so no text or id is shuffled and a queue with a third of all tokens is no hot key.
+    One aggregation sums tokens by part and queue; at most `closed_queues` queue totals reach the driver. Up to that many
+    queues positions follow by arithmetic, so no text or id is shuffled and a queue with a third of all tokens is no hot
+    key. With more queues totals stay a table, blocks are sorted by their time, and ids are shuffled once; the pieces
+    are the same either way.
     Parts and their rows are fixed in the stored token table, so retried tasks cut alike.
     Empty tables give no rows; every document has at least its end id, so each yields a piece.
     """
     sums = tokens.groupBy("part", "queue").agg(F.sum("n").alias("sent"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(sums.select("part", "queue", "sent", F.coalesce(F.sum("sent").over(before), F.lit(0)).alias("base")), "bases")
-    totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("sent").alias("n")).collect()}
+    if quantum > window:
+        raise ValueError("a quantum may not exceed the window")
+    by_queue = bases.groupBy("queue").agg(F.sum("sent").alias("total"))
+    totals = {r["queue"]: r["total"] for r in by_queue.limit(closed_queues + 1).collect()}
+    if len(totals) > closed_queues:
+        known = stored(_weight_table(by_queue, targets), "weights")
+        many = tokens.join(small_side(bases.select("part", "queue", "base")), ["part", "queue"])
+        return _pack_many(many.withColumn("at", F.col("base") + F.col("queue_start")), known, window, quantum, with_ids)
     weights = weights_of(totals, targets)
     plan = json.dumps([(q, totals[q], weights[q]) for q in sorted(totals)])
     placed = tokens.join(small_side(bases.select("part", "queue", "base")), ["part", "queue"]).select(
@@ -171,8 +262,6 @@ def pack(
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
     ) + (", ids binary" if with_ids else "")
     names_out = [f.split()[0] for f in schema.split(", ")]
-    if quantum > window:
-        raise ValueError("a quantum may not exceed the window")
     return placed.mapInArrow(run, schema)
 
 

@@ -132,6 +132,26 @@ def test_many_sources_share_queues(spark):
     check_pieces(packing.pack(table).collect(), [(i, "a b c") for i in range(100)])
 
 
+def test_every_source_has_its_own_proportion(spark):
+    """A hundred sources: targets hold for each, and both ways of scheduling give the same pieces."""
+    rows = [(i, f"w{i} " * (30 + i % 7 * 40), f"s{i % 100}") for i in range(300)]
+    table = packing.encode_queues(spark.createDataFrame(rows, "doc_id long, text string, source string"), PATH)
+    assert table.select("queue").distinct().count() == 100
+    targets = {"s1": 0.5, "s2": 0.25} | {f"s{i}": 0.25 / 98 for i in range(100) if i not in (1, 2)}
+    for asked in (None, targets):
+        many = packing.pack(table, asked, window=256, quantum=16, with_ids=True)
+        closed = packing.pack(table, asked, window=256, quantum=16, with_ids=True, closed_queues=1000)
+        assert many.dtypes == closed.dtypes
+        assert sorted(map(tuple, many.collect())) == sorted(map(tuple, closed.collect()))
+    sent = defaultdict(int)
+    for r in many.filter("sequence_id = 0").collect():
+        sent[r["queue"]] += r["length"]
+    assert sent["s1"] + sent["s2"] > 128 and abs(sent["s1"] - 2 * sent["s2"]) <= 48
+    check_pieces(packing.pack(table).collect(), [(r[0], r[1]) for r in rows])
+    with pytest.raises(ValueError):
+        packing.pack(packing.encode_queues(spark.createDataFrame(rows, "doc_id long, text string, source string"), PATH, max_queues=8), targets)
+
+
 def test_token_files_of_the_documents(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = sorted(op4_token_files(spark, SF).collect(), key=lambda r: r["doc_id"])
