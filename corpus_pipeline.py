@@ -28,10 +28,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. Documents without an id cannot be matched up and stay."""
+    """Documents that hold no benchmark item. Rows of the stored table are told apart by position, so ids may be null or repeat."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaked = find_passages(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["leaked_id"], "left_anti")
+    position = "__row_position"
+    numbered = docs.withColumn(position, F.monotonically_increasing_id())
+    leaked = find_passages(numbered, benchmark, id_col=position).select(F.col("doc_id").alias(position)).distinct()
+    return numbered.join(leaked, position, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -448,3 +448,15 @@ def test_pipeline_against_its_parts(spark):
         before = after
     rows = corpus_pipeline.run(spark, sf).collect()
     check_pieces(rows, [(d, r["text"]) for d, r in before.items()])
+
+
+def test_benchmark_passages_leave_rows_without_or_with_repeated_ids(spark, tmp_path):
+    item = next(r["text"] for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist() if len((r["text"] or "").split()) > 20)
+    clean = "nothing of the kind stands in this short text"
+    rows = [(None, f"before {item} after", 1), (None, clean, 2), (7, f"x {item} y", 3), (7, clean, 4), (8, None, 5)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(2).write.parquet(path)
+    docs = spark.read.parquet(path)
+    out = corpus_pipeline.drop_benchmark_passages(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(r["place"] for r in out.collect()) == [2, 4, 5]
