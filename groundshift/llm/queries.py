@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 
 from groundshift.llm.chat import conversation_events, format_conversations, read_back
 from groundshift.llm.decontaminate import find_passages
+from groundshift.llm.divergence import source_divergence
 from groundshift.llm.html import extract_main_text
 from groundshift.llm.kdtree import quantised, top_k
 from groundshift.llm.langid import fit_languages, fold, identify
 from groundshift.llm.neardup import near_duplicates
 from groundshift.llm.packing import encode_queues, pack
+from groundshift.llm.rtree import hard_negatives, labelled_vectors
 from groundshift.llm.secrets import BASE_RULES, find_secrets
 from groundshift.llm.sharding import shard_by_bytes
 from groundshift.llm.tables import shared_path
 from groundshift.llm.tokens import read_token_files, with_checksums, write_token_files
+from groundshift.llm.urls import judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -107,11 +110,28 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the vectors whose id is divisible by 50, three for each of five positives."""
+    vectors = labelled_vectors(_table(spark, sf_dir, "embeddings"))
+    return hard_negatives(vectors, vectors.filter(F.col("id") % 50 == 0))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the term frequencies of the sources of each language differ, and the terms that stand out."""
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the URL of every page; the words of all pages make the dictionary."""
+    pages = _table(spark, sf_dir, "pages")
+    return judge_urls(pages, words_from=pages.select("html"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_packing, op3_language, op4_token_files, op5_main_text, op6_top_k, op7_chat,
-        op8_decontamination, op9_shards, op10_secrets,
+        op8_decontamination, op9_shards, op10_secrets, op11_hard_negatives, op12_source_divergence, op13_url_verdicts,
     )
 }
 
@@ -149,4 +169,64 @@ ORACLES = {
                CAST(sum(length('### ' || role_out || ': ' || text_out || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
         FROM marked GROUP BY conv_id
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT row_number() OVER () AS key, CAST(vec_id AS BIGINT) AS id,
+                   CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len([x for x in embedding if x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0
+        ), scored AS (
+            SELECT a.key, a.id AS anchor_id, b.key AS other, b.id, a.label = b.label AS same,
+                   CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.id % 50 = 0 AND a.key <> b.key AND len(a.q) = len(b.q)
+        ), positives AS (
+            SELECT key, anchor_id, other, id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, id) <= 5
+        ), mined AS (
+            SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
+                   CAST(row_number() OVER (PARTITION BY p.key, p.other ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+            FROM positives p JOIN scored s ON s.key = p.key AND NOT s.same
+              AND 50::HUGEINT * p.positive_score <= 100::HUGEINT * s.score AND 100::HUGEINT * s.score <= 95::HUGEINT * p.positive_score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM mined WHERE rank <= 3
+    """,
+    "op12_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents
+        ), words AS (
+            SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), kept AS (
+            SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT k) >= 10
+        ), langs AS (
+            SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+        ), counts AS (
+            SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL
+        ), cells AS (
+            SELECT g.lang, g.source, kept.term, coalesce(counts.n, 0) AS n, total
+            FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+        ), used AS (
+            SELECT lang, source, sum(n) AS n FROM cells GROUP BY lang, source
+        ), shares AS (
+            SELECT c.lang, c.source, c.term, c.n, 1 + CAST(1000000000::HUGEINT * (c.n + 2) // (u.n + 2 * l.v) AS BIGINT) AS p,
+                   1 + CAST(1000000000::HUGEINT * (c.total + 2) // (l.n + 2 * l.v) AS BIGINT) AS q
+            FROM cells c JOIN used u USING (lang, source) JOIN langs l USING (lang)
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pairs.value, 0) AS BIGINT) AS value
+            FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b
+              ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts
+        )
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
 }
