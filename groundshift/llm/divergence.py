@@ -29,11 +29,18 @@ PAIRS_AT_ONCE = 1 << 20
 TERM_BYTES = bytes(x | 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x > 127 else 32 for x in range(256))
 
 
+RUN = pa.schema([
+    ("shard", pa.int32()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())),
+    ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("documents", pa.list_(pa.int64())),
+])
+
+
 def index_runs(docs: DataFrame, shards: int, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
-    """Runs of the index: `lang, source, shard, terms, counts, documents`, terms ascending within each row.
+    """Runs of the index, one row a run and hash shard: `shard, langs, sources, sizes, terms, counts, documents`.
 
     A task reads its documents once and adds their terms to postings in memory, a count and a number of documents for every term
-    of every (lang, source). A full block leaves as one run, cut by group and hash shard of the term.
+    of every (lang, source). A full block leaves as one run, dealt to shards by a hash of the term; a row lists its groups in order,
+    how many terms each has, and the terms of each in ascending order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,23 +50,25 @@ def index_runs(docs: DataFrame, shards: int, block_entries: int = BLOCK_ENTRIES)
         held = 0
 
         def spill() -> Iterator[pa.RecordBatch]:
-            rows: list[list] = [[], [], [], [], [], []]
+            sections: dict[int, list[list]] = {}
             for group in sorted(counts):
-                mine, seen = counts[group], documents[group]
-                ordered = sorted((zlib.crc32(t) % shards, t) for t in mine)
-                for shard, part in groupby(ordered, itemgetter(0)):
-                    terms = [t for _, t in part]
-                    for column, value in zip(
-                        rows, (*group, shard, terms, [mine[t] for t in terms], [seen[t] for t in terms]), strict=True
+                dealt: dict[int, list[bytes]] = {}
+                for term in counts[group]:
+                    dealt.setdefault(zlib.crc32(term) % shards, []).append(term)
+                for shard, terms in dealt.items():
+                    terms.sort()
+                    section = sections.setdefault(shard, [[], [], [], [], [], []])
+                    for column, values in zip(
+                        section,
+                        ([group[0]], [group[1]], [len(terms)], terms, map(counts[group].__getitem__, terms), map(documents[group].__getitem__, terms)),
+                        strict=True,
                     ):
-                        column.append(value)
-                if len(rows[0]) >= 5000:
-                    yield _run_rows(rows)
-                    for column in rows:
-                        column.clear()
-            yield _run_rows(rows)
+                        column.extend(values)
             counts.clear()
             documents.clear()
+            shards_here = list(sections)
+            for lo in range(0, len(shards_here), 64):
+                yield _run_rows([[shard, *sections.pop(shard)] for shard in shards_here[lo:lo + 64]])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -79,78 +88,85 @@ def index_runs(docs: DataFrame, shards: int, block_entries: int = BLOCK_ENTRIES)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     return _groups_of(docs).select("lang", "source", text).mapInArrow(
-        run, "lang string, source string, shard int, terms array<string>, counts array<long>, documents array<long>"
+        run,
+        "shard int, langs array<string>, sources array<string>, sizes array<long>, terms array<string>, counts array<long>, documents array<long>",
     )
 
 
+def _run_rows(rows: list[list]) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], pa.list_(pa.binary()) if f.name == "terms" else f.type) for i, f in enumerate(RUN)]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, RUN, strict=True)], schema=RUN)
+
+
 def _groups_of(docs: DataFrame) -> DataFrame:
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return docs.withColumns({"lang": name("lang"), "source": name("source")})
 
 
-def _run_rows(rows: list[list]) -> pa.RecordBatch:
-    types = (
-        pa.string(), pa.string(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())
-    )
-    columns = [pa.array(r, t) for r, t in zip(rows, types, strict=True)]
-    columns[3] = columns[3].cast(pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "shard", "terms", "counts", "documents"])
-
-
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """Frequencies `lang, source, term, n, docs` from runs, each group's share of a shard merged by a heap.
+    """Frequencies `lang, source, term, n, docs` from runs: the runs of each hash shard are merged by heaps.
 
-    A group is spread over all shards by the hash of its terms, so no group, however large, is one task's.
+    One heap takes the groups of all runs in order, a second one the terms of a group. Every group is spread over all shards by its
+    terms, so no group, however large, is one task's. A task holds its shard's runs as Arrow arrays and unpacks a group at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sections = None, []
+        shard, sections = None, []
+        for batch in batches:
+            columns = [batch.column(i) for i in range(7)]
+            for i, here in enumerate(columns[0].to_pylist()):
+                if here != shard:
+                    yield from _merged(sections)
+                    shard, sections = here, []
+                # Copied, so that a section does not keep its whole batch.
+                sections.append(tuple(pa.concat_arrays([columns[c].slice(i, 1)]).flatten() for c in range(1, 7)))
+        yield from _merged(sections)
+
+    return runs.repartition("shard").sortWithinPartitions("shard").mapInArrow(
+        run, "lang string, source string, term string, n long, docs long"
+    )
+
 
-        def merged() -> Iterator[pa.RecordBatch]:
-            if not sections:
-                return
-            ordered = heapq.merge(*(zip(*s, strict=True) for s in sections))
+def _parts(section: tuple) -> Iterator[tuple]:
+    """(group, terms, counts, documents) of one section, unpacked when asked for."""
+    langs, sources, sizes, terms, counts, documents = section
+    at = 0
+    for lang, source, n in zip(langs.to_pylist(), sources.to_pylist(), sizes.to_pylist(), strict=True):
+        yield (lang, source), *(c.slice(at, n) for c in (terms, counts, documents))
+        at += n
+
+
+def _merged(sections: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Entries of a shard, equal ones added up, in batches of about 50,000."""
+    out: list[pa.RecordBatch] = []
+    waiting = 0
+    for group, parts in groupby(heapq.merge(*map(_parts, sections), key=itemgetter(0)), itemgetter(0)):
+        runs = [(t.cast(pa.binary()).to_pylist(), n.to_pylist(), d.to_pylist()) for _, t, n, d in parts]
+        if len(runs) == 1:
+            terms, counts, documents = runs[0]
+        else:
             terms, counts, documents = [], [], []
-            for term, n, docs in ordered:
-                if terms and terms[-1] == term:
+            last = None
+            for term, n, docs in heapq.merge(*(zip(*r, strict=True) for r in runs)):
+                if term == last:
                     counts[-1] += n
                     documents[-1] += docs
                 else:
                     terms.append(term)
                     counts.append(n)
                     documents.append(docs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([key[0]] * len(terms), pa.string()), pa.array([key[1]] * len(terms), pa.string()),
-                    pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(documents, pa.int64()),
-                ],
-                names=["lang", "source", "term", "n", "docs"],
-            )
-
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            columns = [
-                *(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.list_(pa.binary())).to_pylist(),
-                batch.column(4).to_pylist(), batch.column(5).to_pylist(),
-            ]
-            for lang, source, shard, terms, counts, documents in zip(*columns, strict=True):
-                if (lang, source, shard) != key:
-                    waiting.extend(merged())
-                    key, sections = (lang, source, shard), []
-                    if len(waiting) >= 500:
-                        yield from _together(waiting)
-                        waiting.clear()
-                sections.append((terms, counts, documents))
-        waiting.extend(merged())
-        yield from _together(waiting)
-
-    key = ["lang", "source", "shard"]
-    return runs.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "lang string, source string, term string, n long, docs long")
-
-
-def _together(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if batches:
-        yield from pa.Table.from_batches(batches).combine_chunks().to_batches()
+                    last = term
+        names = [pa.array([group[i]] * len(terms), pa.string()) for i in (0, 1)]
+        out.append(pa.RecordBatch.from_arrays(
+            [*names, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(documents, pa.int64())],
+            names=["lang", "source", "term", "n", "docs"],
+        ))
+        waiting += len(terms)
+        if waiting >= 50_000:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+            out, waiting = [], 0
+    if out:
+        yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
 def shares(counts: np.ndarray, total) -> np.ndarray:
