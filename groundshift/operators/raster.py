@@ -8,6 +8,7 @@ many rows, keyed by place, so no scene is bound to one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -157,8 +158,8 @@ def grey_blocks(blocks: DataFrame) -> DataFrame:
     return three.select(*at, grey.alias("v"))
 
 
-def crop(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Pieces of the blocks that lie in each tile, with their offset (ox, oy) inside the tile.
+def crop(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces of the blocks that lie in each tile, with their offset (ox, oy) inside the tile and the ``carry`` columns of the tile.
 
     A tile is spread over the blocks it touches, which turns the range condition into an equi-join
     on (scene_id, bx, by). Every tile-block pair meets once, so no duplicates arise.
@@ -168,7 +169,7 @@ def crop(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK) -> DataFrame:
         return F.explode(F.sequence(F.floor(F.col(start) / size), last))
 
     spread = (
-        tiles.select("scene_id", "task_idx", "x0", "y0", "sw", "sh", touched("x0", "sw").alias("bx"))
+        tiles.select("scene_id", "task_idx", *dict.fromkeys(["x0", "y0", "sw", "sh", *carry]), touched("x0", "sw").alias("bx"))
         .withColumn("by", touched("y0", "sh"))
     )
 
@@ -192,11 +193,101 @@ def crop(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK) -> DataFrame:
         "scene_id", "epoch", "task_idx", "band", "bx", "by",
         (F.col("bx") * size + F.col("_l") - F.col("x0")).alias("ox"),
         (F.col("by") * size + F.col("_t") - F.col("y0")).alias("oy"),
-        (F.col("_r") - F.col("_l")).alias("pw"), (F.col("_b") - F.col("_t")).alias("ph"),
+        (F.col("_r") - F.col("_l")).alias("pw"), (F.col("_b") - F.col("_t")).alias("ph"), *carry,
         F.flatten(lines).alias("v"),
     )
 
 
+@lru_cache(maxsize=4096)
+def _cover(offset: int, count: int, extent: int, out: int) -> tuple[int, np.ndarray]:
+    """First output cell that samples offset..offset+count of a side touch, and the overlap of each cell with each sample.
+
+    ``out`` cells share ``extent`` samples. In units of 1/out of a sample every cell is ``extent`` long and overlaps are whole numbers.
+    """
+    first, last = offset * out // extent, ((offset + count) * out - 1) // extent
+    cells, samples = np.arange(first, last + 1)[:, None], np.arange(offset, offset + count)[None, :]
+    overlap = np.minimum((cells + 1) * extent, (samples + 1) * out) - np.maximum(cells * extent, samples * out)
+    return first, np.maximum(overlap, 0).astype(np.float64)
+
+
+def crop_scaled(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, rounded: bool = True) -> DataFrame:
+    """The tiles (x0, y0, sw, sh) reduced to out_w x out_h samples, as blocks of the reduced tile.
+
+    Rows (scene_id, epoch, task_idx, band, bx, by, bw, bh, v). An output sample is the mean of the source samples under it,
+    weighted by overlap. Both directions are reduced where the samples are: a piece of a source block becomes its share of at most
+    as many output samples as it has itself, and only shares are shuffled and added up per output block. Weights are whole
+    numbers, so sums of whole samples are exact in any order. ``out_w`` and ``out_h`` may not exceed sw and sh. Samples that
+    are missing (NaN) count as black.
+    """
+    key = blocks.schema["scene_id"].dataType.simpleString()
+    pieces = crop(blocks, tiles, size, ("sw", "sh", "out_w", "out_h"))
+    kept = ["scene_id", "epoch", "task_idx", "band"]
+    sides = ["ox", "oy", "pw", "ph", "sw", "sh", "out_w", "out_h"]
+    share_type = "bx bigint, by bigint, bw int, bh int, area bigint, x int, y int, w int, h int, v array<double>"
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts = batch.column("v").offsets.to_numpy().tolist()
+            values = np.nan_to_num(batch.column("v").values.to_numpy(zero_copy_only=False), nan=0.0)
+            row, places, parts = [], [], []
+            for i, (ox, oy, pw, ph, sw, sh, out_w, out_h) in enumerate(zip(*(batch.column(n).to_pylist() for n in sides))):
+                x, across = _cover(ox, pw, sw, out_w)
+                y, down = _cover(oy, ph, sh, out_h)
+                part = down @ values[starts[i]:starts[i + 1]].reshape(ph, pw) @ across.T
+                h, w = part.shape
+                for by in range(y // size, (y + h - 1) // size + 1):
+                    top, bottom = max(y, by * size), min(y + h, by * size + size)
+                    for bx in range(x // size, (x + w - 1) // size + 1):
+                        left, right = max(x, bx * size), min(x + w, bx * size + size)
+                        row.append(i)
+                        places.append((
+                            bx, by, min(size, out_w - bx * size), min(size, out_h - by * size), sw * sh,
+                            left - bx * size, top - by * size, right - left, bottom - top,
+                        ))
+                        parts.append(part[top - y:bottom - y, left - x:right - x].ravel())
+            take = pa.array(row, pa.int64())
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4)
+            columns = [pa.array([p[c] for p in places], t) for c, t in enumerate(types)]
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate(parts) if parts else np.zeros(0))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n).take(take) for n in kept), *columns, lists],
+                names=[*kept, "bx", "by", "bw", "bh", "area", "x", "y", "w", "h", "v"],
+            )
+
+    shares = pieces.select(*kept, *sides, "v").mapInArrow(
+        reduce, f"scene_id {key}, epoch string, task_idx int, band int, {share_type}"
+    )
+    place = [*kept, "bx", "by", "bw", "bh", "area"]
+    gathered = shares.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("y", "x", "h", "w", "v"))).alias("_p"))
+    # Several shares of a block overlap at the borders of source blocks only, so a block gathers little more than its samples.
+    flat = gathered.select(
+        *place, *[F.col(f"_p.{n}").alias(n) for n in "yxhw"], F.flatten("_p.v").alias("v")
+    )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [batch.column(n).to_pylist() for n in ("bw", "bh", "area", "y", "x", "h", "w")]
+            starts, values = batch.column("v").offsets.to_numpy().tolist(), batch.column("v").values.to_numpy(zero_copy_only=False)
+            out = []
+            for i, (bw, bh, area, ys, xs, hs, ws) in enumerate(zip(*whole)):
+                block, at = np.zeros((bh, bw)), starts[i]
+                for y, x, h, w in zip(ys, xs, hs, ws):
+                    block[y:y + h, x:x + w] += values[at:at + h * w].reshape(h, w)
+                    at += h * w
+                out.append((block / area).ravel())
+            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+            v = np.concatenate(out) if out else np.zeros(0)
+            lists = pa.ListArray.from_arrays(ends, np.floor(v + 0.5) if rounded else v)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in [*kept, "bx", "by", "bw", "bh"]), lists], names=[*kept, "bx", "by", "bw", "bh", "v"]
+            )
+
+    return flat.mapInArrow(
+        add_up, f"scene_id {key}, epoch string, task_idx int, band int, bx bigint, by bigint, bw int, bh int, v array<double>"
+    )
+
+
 # --- warping ------------------------------------------------------------------------
 
 
@@ -215,11 +306,10 @@ def _back(homography: Column) -> list[Column]:
     ]
 
 
-def _reached(size: int) -> tuple[Column, Column]:
-    """Ranges of source block columns and rows the pixels of an output block can sample.
+def _reached(size: int) -> tuple[Column, Column, Column]:
+    """Whether an output block lies on one side of the horizon, and the source block columns and rows it then can sample.
 
-    A block whose corners all lie on one side of the horizon maps into the box around its mapped
-    corners; otherwise the whole source is in reach.
+    Such a block maps into the box around its mapped corners. For others see ``_tapped_blocks``.
     """
     m = [F.get("back", F.lit(i)) for i in range(9)]
     xs = [(F.col("bx") * size).cast("double"), (F.col("bx") * size + F.col("bw") - 1).cast("double")]
@@ -232,13 +322,41 @@ def _reached(size: int) -> tuple[Column, Column]:
         at = [(m[row] * x + m[row + 1] * y + m[row + 2]) / F.nullif(d, F.lit(0.0)) for (x, y), d in zip(corners, depths)]
         last = F.col(extent) - 1
         # One pixel of slack covers rounding at the corners.
-        low = F.when(proper, F.greatest(F.lit(0.0), F.floor(F.least(*at)) - 1)).otherwise(F.lit(0.0))
-        high = F.when(proper, F.least(last.cast("double"), F.floor(F.greatest(*at)) + 2)).otherwise(last.cast("double"))
+        low = F.greatest(F.lit(0.0), F.floor(F.least(*at)) - 1)
+        high = F.least(last.cast("double"), F.floor(F.greatest(*at)) + 2)
         first, final = F.floor(low / size), F.floor(high / size)
         return F.when(low <= high, F.sequence(first, F.greatest(first, final))).otherwise(
             F.array(F.lit(-1).cast("bigint")))
 
-    return blocks(0, "tgt_w"), blocks(3, "tgt_h")
+    return proper, blocks(0, "tgt_w"), blocks(3, "tgt_h")
+
+
+def _tapped_blocks(size: int):
+    """mapInArrow over output blocks that the horizon crosses: one row per source block that a pixel really samples.
+
+    A pixel has four taps, so such a block reaches no more source blocks than that, wherever near the horizon its pixels
+    fall; one without any tap gives a row with the block -1, -1.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            whole = [batch.column(n).to_pylist() for n in ("bx", "by", "bw", "bh", "tgt_w", "tgt_h")]
+            back = batch.column("back").flatten().to_numpy().reshape(-1, 9)
+            row, found = [], []
+            for i, (bx, by, bw, bh, src_w, src_h) in enumerate(zip(*whole)):
+                cols, rows, weights = _taps(back[i], bx * size, by * size, bw, bh, src_w, src_h)
+                used = weights != 0
+                pairs = np.unique(np.stack([cols[used] // size, rows[used] // size], axis=1), axis=0) if used.any() else np.array([[-1, -1]])
+                row.append(np.full(len(pairs), i))
+                found.append(pairs)
+            take = np.concatenate(row) if row else np.zeros(0, np.int64)
+            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(pa.array(take)) for c in batch.columns), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=[*names, "sbx", "sby"]
+            )
+
+    return run
 
 
 def _taps(back: np.ndarray, x0: int, y0: int, w: int, h: int, src_w: int, src_h: int) -> tuple:
@@ -265,28 +383,35 @@ def resize(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str =
     zero, one = F.lit(0.0), F.lit(1.0)
     across, down = (F.try_divide(F.col(f"work_{c}"), F.col(f"tgt_{c}")) for c in "wh")
     scaling = F.array(across, zero, zero, zero, down, zero, zero, zero, one)
-    return warp(blocks, frames.withColumn("homography", scaling), size, epoch)
+    return warp(blocks, frames.withColumn("homography", scaling), size, epoch, affine=True)
 
 
 def tile_pieces(crops: DataFrame) -> DataFrame:
-    """One row per task with ``pieces``: (epoch, band, ox, oy, pw, ph, v). A row holds one tile pair, whose size is bounded."""
-    piece = F.struct("epoch", "band", "oy", "ox", "pw", "ph", "v")
+    """One row per task with ``pieces``, those of ``crop`` or the blocks of ``crop_scaled``, samples as floats.
+
+    A row holds one tile pair, whose size is bounded: after ``crop_scaled`` by out_w x out_h.
+    """
+    ordered = [c for c in ("oy", "ox", "pw", "ph", "by", "bx", "bw", "bh") if c in crops.columns]
+    piece = F.struct("epoch", "band", *ordered, F.col("v").cast("array<float>").alias("v"))
     return crops.groupBy("scene_id", "task_idx").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
 
 
-def warp(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "later", rounded: bool = True) -> DataFrame:
+def warp(
+    blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "later", rounded: bool = True, affine: bool = False,
+) -> DataFrame:
     """Warp one epoch to the working frame: bilinear, black outside the source.
 
     ``frames`` has scene_id, tgt_w, tgt_h (source extent), work_w, work_h, n_bands and ``homography``
     (nine numbers, source to frame). Each output block is joined to just the source blocks its pixels
-    can sample, and the partial sums are added up per output block; all shuffles are keyed by place.
+    can sample, and the partial sums are added up per output block; all shuffles are keyed by place. Blocks that the horizon of a
+    perspective crosses look up the taps of their own pixels. ``affine`` says that no homography has a horizon.
     """
     key = blocks.schema["scene_id"].dataType.simpleString()
 
     def steps(extent: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(extent) - 1) / size)))
 
-    across, down = _reached(size)
+    proper, across, down = _reached(size)
     outputs = (
         frames.withColumn("back", F.array(*_back(F.col("homography"))))
         .select("scene_id", "tgt_w", "tgt_h", "work_w", "work_h", "n_bands", "back", steps("work_h").alias("by"))
@@ -294,14 +419,19 @@ def warp(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "
         .withColumn("bw", F.least(F.lit(size), F.col("work_w") - F.col("bx") * size).cast("int"))
         .withColumn("bh", F.least(F.lit(size), F.col("work_h") - F.col("by") * size).cast("int"))
         .drop("work_w", "work_h")
-        .withColumn("sbx", F.explode(across)).withColumn("sby", F.explode(down))
     )
+    one_side = outputs if affine else outputs.where(proper)
+    reached = one_side.withColumn("sbx", F.explode(across)).withColumn("sby", F.explode(down))
+    if not affine:
+        types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in outputs.schema.fields)
+        crossed = outputs.where(~F.coalesce(proper, F.lit(False)))
+        reached = reached.unionByName(crossed.mapInArrow(_tapped_blocks(size), f"{types}, sbx bigint, sby bigint"))
     source = blocks.where(F.col("epoch") == epoch).select(
         "scene_id", F.col("band").cast("int").alias("band"), F.col("bx").alias("sbx"), F.col("by").alias("sby"),
         F.col("bw").alias("sbw"), F.col("v").alias("sv"),
     )
     # Output blocks without any source still give black blocks in every band.
-    met = outputs.join(source, ["scene_id", "sbx", "sby"], "left").withColumn(
+    met = reached.join(source, ["scene_id", "sbx", "sby"], "left").withColumn(
         "band", F.explode(F.when(F.col("band").isNull(), F.sequence(F.lit(0), F.col("n_bands") - 1)).otherwise(
             F.array("band")))
     ).select("scene_id", "band", "bx", "by", "bw", "bh", "tgt_w", "tgt_h", "back", "sbx", "sby", "sbw", "sv")

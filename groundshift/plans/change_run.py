@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..operators.dedupe import merge_detections
-from ..operators.detector import Detector, detect
+from ..operators.detector import Detector, detect, detect_stored
 from ..operators.frames import explode_tiles, working_frame
-from ..operators.raster import BLOCK, crop, resize, tile_pieces, warp
+from ..operators.raster import BLOCK, crop_scaled, resize, tile_pieces, warp
 from ..operators.registration import align_status, fit_homography, match_descriptors
 from ..operators.geometry import map_in_place
 from ..operators.report import run_summary
@@ -41,15 +41,26 @@ def run_changes(
     model: str = "",
     parallelism: int | None = None,
     store: bool = True,
+    answers: str | None = None,
+    retry_failed: bool = False,
 ) -> ChangeRun:
     """Detect and merge the changes of all pairs.
 
-    Responses carry the fractions of their tile, so mapping to scene coordinates needs no join.
+    Responses carry the fractions of their tile, so mapping to scene coordinates needs no join. With a folder for ``answers`` they are
+    kept there and a later run, or one after a failure, calls only what is not there yet (see ``detect_stored``).
     """
-    raw = detect(plan_tasks(pairs), make_detector, ["scene_id", "task_idx", *TILE_FRACTIONS], parallelism)
+    raw = _answers(plan_tasks(pairs), make_detector, answers, retry_failed, parallelism=parallelism)
     return merge_responses(raw.withColumn("model", F.lit(model)), store)
 
 
+def _answers(tasks: DataFrame, make_detector, path: str | None, retry_failed: bool, **options) -> DataFrame:
+    carry = ["scene_id", "task_idx", *TILE_FRACTIONS]
+    if path is None:
+        return detect(tasks, make_detector, carry, **options)
+    options.pop("calls", None)
+    return detect_stored(tasks, make_detector, carry, path, retry_failed, **options).drop("attempt")
+
+
 def align_pairs(pairs: DataFrame, later: DataFrame, earlier: DataFrame) -> DataFrame:
     """Pairs (scene_id, width, height, tgt_w, tgt_h) with working frame, homography and alignment status.
 
@@ -59,7 +70,8 @@ def align_pairs(pairs: DataFrame, later: DataFrame, earlier: DataFrame) -> DataF
     frames = working_frame(pairs, max_dim=K.RUN_FRAME_MAX_DIM).where("work_w >= 1 and work_h >= 1")
     ensure_checkpoint_dir(pairs.sparkSession)
     matches = match_descriptors(later, earlier).checkpoint()
-    return align_status(frames, matches, fit_homography(matches, store=False))
+    # One small row a scene, read by warp, resize and tiling: the fit is computed once.
+    return align_status(frames, matches, fit_homography(matches, store=False)).checkpoint()
 
 
 def run_images(
@@ -71,19 +83,24 @@ def run_images(
     model: str = "",
     parallelism: int | None = None,
     size: int = BLOCK,
+    answers: str | None = None,
+    retry_failed: bool = False,
+    **tiling,
 ) -> ChangeRun:
     """The whole run on pixels: align, bring both images to the working frame, cut tiles, detect, merge.
 
     ``pairs`` has scene_id, width, height (earlier image), tgt_w, tgt_h (later image) and n_bands; ``blocks`` the pixel
-    blocks of both epochs. A detector row carries its tile and ``pieces``, the pixels of both epochs in it.
-    Answers that fail are kept with their error, see ``merge_responses``.
+    blocks of both epochs. A detector row carries its tile and ``pieces``, the pixels of both epochs in it, reduced to the tile's output
+    size. Answers that fail are kept with their error, see ``merge_responses``; ``answers`` and ``retry_failed`` are those of
+    ``run_changes``, and ``tiling`` those of ``explode_tiles``.
     """
     aligned = align_pairs(pairs, later, earlier)
     as_earlier = aligned.withColumns({"tgt_w": F.col("width"), "tgt_h": F.col("height")}).drop("homography")
     scene = warp(blocks, aligned, size, "later").unionByName(resize(blocks, as_earlier, size, "earlier"))
-    tiles = explode_tiles(aligned.select("scene_id", "work_w", "work_h"))
-    tasks = tiles.join(tile_pieces(crop(scene, tiles, size)), ["scene_id", "task_idx"], "left")
-    raw = detect(tasks, make_detector, ["scene_id", "task_idx", *TILE_FRACTIONS], parallelism)
+    tiles = explode_tiles(aligned.select("scene_id", "work_w", "work_h"), **tiling)
+    tasks = tiles.join(tile_pieces(crop_scaled(scene, tiles, size)), ["scene_id", "task_idx"], "left")
+    # Tiles are counted without their pixels.
+    raw = _answers(tasks, make_detector, answers, retry_failed, parallelism=parallelism, calls=None if answers else tiles.count())
     return merge_responses(raw.withColumn("model", F.lit(model)))
 
 

@@ -77,6 +77,12 @@ U8_SAMPLE = "cast((px * 7 + py * 13 + band * 29 + scene_id * 17) % 256 as double
 HOMOGRAPHY = [1.0625, 0.03125, 4.0, -0.03125, 0.9375, 8.0, 0.0001220703125, 0.00006103515625, 1.0]
 
 
+# Source to frame, with the horizon across the frame; no pixel lies on it. Its adjugate is exact in doubles.
+PERSPECTIVE = [1.0, 1.0, 2.0009765625, 0.03125, 1.0, 1.00048828125, 0.0625, 0.0, -0.625]
+# The later date of a registered raster scene shows places this much further left and up.
+LATER_SHIFT = (3, 2)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -145,11 +151,12 @@ def dated_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return later.unionByName(pixels(spark, sf_dir, EARLIER_U8_SAMPLE).withColumn("epoch", F.lit("earlier")))
 
 
-def raster_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen keypoints in every even raster scene, at equal places at both dates; none in the others."""
+def raster_keypoints(spark: SparkSession, sf_dir: str, shift: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Sixteen keypoints in every even raster scene, moved left and up by ``shift``; none in the others."""
     scenes_ = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as scene_id").where("scene_id % 2 = 0")
     return scenes_.withColumn("kp_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint")))).select(
-        "scene_id", "kp_id", (F.col("kp_id") * 5 % 31).cast("double").alias("x"), (F.col("kp_id") * 7 % 23).cast("double").alias("y"),
+        "scene_id", "kp_id", (F.col("kp_id") * 5 % 31 - shift[0]).cast("double").alias("x"),
+        (F.col("kp_id") * 7 % 23 - shift[1]).cast("double").alias("y"),
         F.array(F.xxhash64("kp_id"), F.xxhash64("kp_id", F.lit(1))).alias("desc"),
     )
 

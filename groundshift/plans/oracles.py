@@ -434,6 +434,17 @@ ORACLES: dict[str, str] = {
         select t.scene_id, t.task_idx, band, count(*) as n, sum(v) as total,
           sum(v * (((px - x0) * 31 + (py - y0) * 17) % 97)) as placed
         from tiles t join pix p on p.scene_id = t.scene_id and px >= x0 and px < x0 + sw and py >= y0 and py < y0 + sh group by 1, 2, 3""",
+    "g7_crop_scaled": f"""with pix as ({fx.pixels_sql()}),
+        frames as (select s_suppkey as scene_id, {fx.RASTER_W} as work_w, {fx.RASTER_H} as work_h from supplier),
+        {tiles_sql('frames', 10).replace('1500.0e0', '17.0e0').replace('1100.0e0', '7.0e0')},
+        cut as (select t.scene_id, task_idx, band, v, px - x0 as i, py - y0 as j, sw, sh, out_w, out_h
+          from tiles t join pix p on p.scene_id = t.scene_id and px >= x0 and px < x0 + sw and py >= y0 and py < y0 + sh),
+        wide as (select *, unnest(range(i * out_w // sw, ((i + 1) * out_w - 1) // sw + 1)) as ox from cut),
+        high as (select *, unnest(range(j * out_h // sh, ((j + 1) * out_h - 1) // sh + 1)) as oy from wide),
+        reduced as (select scene_id, task_idx, band, ox, oy, floor(sum(v * (least((i + 1) * out_w, (ox + 1) * sw) - greatest(i * out_w, ox * sw))
+            * (least((j + 1) * out_h, (oy + 1) * sh) - greatest(j * out_h, oy * sh))) / any_value(sw * sh) + 0.5e0) as v from high group by 1, 2, 3, 4, 5)
+        select scene_id, task_idx, band, count(*) as n, sum(v) as total, sum(v * ((ox * 31 + oy * 17) % 97)) as placed
+        from reduced group by 1, 2, 3""",
     "j7_knn_hamming": f"with {KNN} select cast(scene_id as bigint) as scene_id, q_id, k, t_id, distance from near where k <= 2",
     "d6_top_two": f"""with {KNN} select cast(scene_id as bigint) as scene_id, q_id, max(case when k = 1 then distance end) as d1,
         max(case when k = 2 then distance end) as d2 from near where k <= 2 group by 1, 2""",
@@ -443,10 +454,14 @@ ORACLES: dict[str, str] = {
     "r3_project_points": f"""with {fx.keypoints_sql()} select cast(scene_id as bigint) as scene_id, kp_id,
         ({_H[0]} * x + {_H[1]} * y + {_H[2]}) / {_depth} as hx, ({_H[3]} * x + {_H[4]} * y + {_H[5]}) / {_depth} as hy from later""",
     "r4_warp_shift": _warp_sql(40, 30, "px - 3.0e0", "py - 2.0e0"),
+    "r4_warp_perspective": _warp_sql(
+        56, 40, "(-0.625e0 * px + 0.625e0 * py + -1.00048828125e0) / (-0.0625e0 * px + 0.0625e0 * py + 0.96875e0)",
+        "(0.082061767578125e0 * px + -0.75006103515625e0 * py + -0.937957763671875e0) / (-0.0625e0 * px + 0.0625e0 * py + 0.96875e0)"),
     "r5_fallback_resize": _warp_sql(64, 48, "px * 0.5e0", "py * 0.5e0"),
     "r4_resize_earlier": _warp_sql(16, 12, "px * 2.0e0", "py * 2.0e0", fx.EARLIER_U8_SAMPLE),
     "e3_run_images": f"""with late as ({fx.pixels_sql(fx.U8_SAMPLE)}), early as ({fx.pixels_sql(fx.EARLIER_U8_SAMPLE)}),
-        sums as (select scene_id, sum(v) as s from late where band = 0 group by 1),
+        sums as (select scene_id, sum(v) as s from late where band = 0
+          and (scene_id % 2 = 1 or px < {fx.RASTER_W - fx.LATER_SHIFT[0]} and py < {fx.RASTER_H - fx.LATER_SHIFT[1]}) group by 1),
         diffs as (select e.scene_id, cast(sum(e.v) - any_value(l.s) as bigint) as brighter from early e join sums l on l.scene_id = e.scene_id
           where e.band = 0 group by 1)
         select scene_id, cast(1 as bigint) as n, case brighter % 3 when 0 then 'added' when 1 then 'removed' else 'modified' end as change_type,
@@ -464,6 +479,12 @@ ORACLES: dict[str, str] = {
           case code % 3 when 0 then 'added' when 1 then 'removed' else 'modified' end || '","description":"tile ' || cast(task_idx as varchar) ||
           '","confidence":"' || case code % 2 when 0 then 'low' else 'medium' end || '","bbox":[0.25,0.25,0.5,0.75]}}]}}' end as raw_text,
           case when code % 5 = 0 then 'no answer ' || cast(code as varchar) end as error from coded""",
+    "v1_detect_resumed": f"""with {TILES}, coded as (select scene_id, task_idx, scene_id + task_idx as code from tiles)
+        select scene_id, task_idx, case when code % 5 <> 0 then '{{"summary":"","changes":[{{"category":"house","change_type":"' ||
+          case code % 3 when 0 then 'added' when 1 then 'removed' else 'modified' end || '","description":"tile ' || cast(task_idx as varchar) ||
+          '","confidence":"' || case code % 2 when 0 then 'low' else 'medium' end || '","bbox":[0.25,0.25,0.5,0.75]}}]}}' end as raw_text,
+          case when code % 5 = 0 then 'no answer ' || cast(code as varchar) end as error,
+          cast(case when scene_id % 3 <> 0 and code % 5 <> 0 then 1 else 2 end as bigint) as attempt from coded""",
     "e1_run_changes": f"{RUN_ALL} select scene_id, n, change_type, confidence, description, x, y, w, h from merged",
     "e2_run_summary": f"{RUN_ALL} select scene_id, summary, model, n_changes, n_tasks, n_failed, first_error, status from run",
 }

@@ -20,8 +20,8 @@ from ..operators import raster as R
 from ..operators import registration as REG
 from ..operators import report as REP
 from ..operators import responses as RE
-from ..operators.detector import detect
-from ..session import ensure_checkpoint_dir
+from ..operators.detector import detect, detect_stored
+from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import images as S
 from ..sources.reports import report_rows
 from . import fixtures as fx
@@ -596,6 +596,17 @@ def g7_crop(spark, sf):
     ).select("scene_id", bigint("task_idx"), bigint("band"), "n", "total", "placed")
 
 
+@query
+def g7_crop_scaled(spark, sf):
+    frames = fx.raster_pairs(spark, sf, fx.RASTER_W, fx.RASTER_H)
+    tiles = FR.explode_tiles(frames, tile_px=10, max_tile_px=7, overview_px=17)
+    long = R.explode_blocks(R.crop_scaled(_blocks(spark, sf), tiles, fx.RASTER_BLOCK), fx.RASTER_BLOCK)
+    return long.groupBy("scene_id", "task_idx", "band").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"),
+        F.sum(F.col("v") * F.pmod(F.col("px") * 31 + F.col("py") * 17, F.lit(97))).alias("placed"),
+    ).select("scene_id", bigint("task_idx"), bigint("band"), "n", "total", "placed")
+
+
 # --- registration ------------------------------------------------------------------------------------
 
 
@@ -672,6 +683,14 @@ def r4_warp_shift(spark, sf):
     return _checksum(R.warp(_blocks(spark, sf), frames, fx.RASTER_BLOCK))
 
 
+@query
+def r4_warp_perspective(spark, sf):
+    """A frame with the horizon inside: pixels beyond it map back to the source from the other side, or miss it."""
+    matrix = F.array(*[F.lit(v) for v in fx.PERSPECTIVE])
+    frames = fx.raster_pairs(spark, sf, 56, 40).withColumn("homography", matrix)
+    return _checksum(R.warp(_blocks(spark, sf), frames, fx.RASTER_BLOCK))
+
+
 @query
 def r5_fallback_resize(spark, sf):
     frames = fx.raster_pairs(spark, sf, 64, 48).withColumn("homography", REG.fallback_homography())
@@ -722,6 +741,16 @@ def v1_detect(spark, sf):
         "scene_id", bigint("task_idx"), "raw_text", "error")
 
 
+@query
+def v1_detect_resumed(spark, sf):
+    """A first run over two thirds of the scenes, then one over all: stored answers stay, failed ones are tried again."""
+    tiles = FR.explode_tiles(_frames(spark, sf)).select("scene_id", "task_idx")
+    path = scratch_path(spark, "answers")
+    detect_stored(tiles.where("scene_id % 3 <> 0"), make_stub, ["scene_id", "task_idx"], path)
+    return detect_stored(tiles, make_stub, ["scene_id", "task_idx"], path, retry_failed=True).select(
+        "scene_id", bigint("task_idx"), "raw_text", "error", bigint("attempt"))
+
+
 def _run(spark, sf):
     pairs = FR.pair_scenes(fx.images(spark, sf)).select("scene_id", "earlier.width", "earlier.height")
     return run_changes(pairs, make_stub, "stub")
@@ -745,7 +774,7 @@ def make_pixel_stub():
         total = {"earlier": 0, "later": 0}
         for piece in row["pieces"]:
             if piece["band"] == 0:
-                total[piece["epoch"]] += int(sum(piece["v"]))
+                total[piece["epoch"]] += int(piece["v"].sum())
         brighter = total["earlier"] - total["later"]
         change = {
             "category": "house", "change_type": kinds[brighter % 3], "description": f"brighter by {brighter}",
@@ -765,8 +794,8 @@ def e3_run_images(spark, sf):
         F.lit(fx.RASTER_BANDS).alias("n_bands"),
     )
     blocks = R.to_blocks(fx.dated_pixels(spark, sf), fx.RASTER_BLOCK)
-    points = fx.raster_keypoints(spark, sf)
-    run = run_images(pairs, blocks, points, points, make_pixel_stub, "stub", size=fx.RASTER_BLOCK)
+    later, earlier = fx.raster_keypoints(spark, sf, fx.LATER_SHIFT), fx.raster_keypoints(spark, sf)
+    run = run_images(pairs, blocks, later, earlier, make_pixel_stub, "stub", size=fx.RASTER_BLOCK)
     return run.changes.select("scene_id", "n", "change_type", "confidence", "description", *"xywh")
 
 

@@ -158,3 +158,60 @@ def test_rasters_without_a_type_are_stretched(spark):
         [(0, "later", 0, x, 0, float(x), None) for x in range(3)],
         "scene_id int, epoch string, band int, px int, py int, v double, dtype string")
     assert [list(r.v) for r in R.rescale_u8(R.to_blocks(pixels)).collect()] == [[0.0, 128.0, 255.0]]
+
+
+def mean_reduced(src, out_w, out_h):
+    """Area means by cumulative sums, one side at a time."""
+    def side(a, out):
+        n = a.shape[0]
+        sums = np.concatenate([np.zeros((1, *a.shape[1:])), np.cumsum(a, axis=0)])
+        at = np.arange(out + 1) * n / out
+        low = np.minimum(np.floor(at).astype(int), n)
+        part = sums[low] + (at - low).reshape(-1, *[1] * (a.ndim - 1)) * (sums[np.minimum(low + 1, n)] - sums[low])
+        return np.diff(part, axis=0) * out / n
+
+    return side(side(src, out_h).swapaxes(0, 1), out_w).swapaxes(0, 1)
+
+
+@pytest.mark.parametrize("size, tile_px, overview_px", [(8, 7, 17), (4, 1, 1), (8, 500, 30), (64, 9, 13)])
+def test_scaled_crops_are_area_means(spark, size, tile_px, overview_px):
+    rng = np.random.default_rng(6)
+    src = rng.normal(0, 50, (23, 31, 2))
+    frames = spark.createDataFrame([(0, 31, 23)], "scene_id int, work_w bigint, work_h bigint")
+    tiles = explode_tiles(frames, tile_px=11, max_tile_px=tile_px, overview_px=overview_px)
+    planned = {t.task_idx: t for t in tiles.collect()}
+    got = {i: np.full((t.out_h, t.out_w, 2), np.nan) for i, t in planned.items()}
+    for p in R.crop_scaled(raster(spark, src, size), tiles, size, rounded=False).collect():
+        area = got[p.task_idx][p.by * size:p.by * size + p.bh, p.bx * size:p.bx * size + p.bw, p.band]
+        assert np.isnan(area).all()
+        area[:] = np.array(p.v).reshape(p.bh, p.bw)
+    for i, t in planned.items():
+        cut = src[t.y0:t.y0 + t.sh, t.x0:t.x0 + t.sw]
+        assert np.allclose(got[i], mean_reduced(cut, t.out_w, t.out_h))
+
+
+def test_missing_samples_count_as_black_in_scaled_crops(spark):
+    src = np.array([[[1.0], [np.nan]], [[3.0], [4.0]]])
+    tiles = spark.createDataFrame([(0, 0, 0, 0, 2, 2, 1, 1)], "scene_id int, task_idx int, x0 long, y0 long, sw long, sh long, out_w long, out_h long")
+    assert [list(r.v) for r in R.crop_scaled(raster(spark, src, 8), tiles, 8, rounded=False).collect()] == [[2.0]]
+
+
+def test_pairs_at_the_horizon_grow_with_pixels(spark):
+    """Output blocks that the horizon crosses look up only the source blocks that their pixels sample."""
+    h = np.array([[1.0, 0, 0], [0, 1, 0], [0.0625, 0, -0.625]])
+    pairs = {}
+    for scale in (1, 4):
+        side, matrix = 64 * scale, h.copy()
+        matrix[2, 0] /= scale
+        m = np.linalg.det(matrix) * np.linalg.inv(matrix)
+        table = spark.createDataFrame(
+            [(bx, by, 8, 8, side, side, [float(v) for v in m.ravel()]) for bx in range(side // 8) for by in range(side // 8)],
+            "bx bigint, by bigint, bw int, bh int, tgt_w bigint, tgt_h bigint, back array<double>")
+        proper, across, down = R._reached(8)
+        crossed = table.where(~proper)
+        assert crossed.count() >= side // 8
+        found = crossed.mapInArrow(
+            R._tapped_blocks(8), "bx bigint, by bigint, bw int, bh int, tgt_w bigint, tgt_h bigint, back array<double>, sbx bigint, sby bigint").count()
+        near = table.where(proper).select(F.sum(F.size(across) * F.size(down))).first()[0]
+        pairs[scale] = found + near
+    assert pairs[4] <= 20 * pairs[1]
