@@ -19,6 +19,8 @@ from ..constants import KEPT_BANDS
 from ..functions.pixels import stretch_u8, to_grey, u16_to_u8
 
 BLOCK = 64
+# Source blocks in the box of an output block beyond which its pixels are looked up one by one.
+WIDE_REACH = 36
 PLACE = ["scene_id", "epoch", "band", "bx", "by"]
 DIRECT_DTYPES = ("u8", "u16")
 
@@ -307,9 +309,9 @@ def _back(homography: Column) -> list[Column]:
 
 
 def _reached(size: int) -> tuple[Column, Column, Column]:
-    """Whether an output block lies on one side of the horizon, and the source block columns and rows it then can sample.
+    """Whether the box around the mapped corners of an output block is a close reach, and its source block columns and rows.
 
-    Such a block maps into the box around its mapped corners. For others see ``_tapped_blocks``.
+    It is where the block lies on one side of the horizon and the box is not wide. For others see ``_tapped_blocks``.
     """
     m = [F.get("back", F.lit(i)) for i in range(9)]
     xs = [(F.col("bx") * size).cast("double"), (F.col("bx") * size + F.col("bw") - 1).cast("double")]
@@ -328,11 +330,12 @@ def _reached(size: int) -> tuple[Column, Column, Column]:
         return F.when(low <= high, F.sequence(first, F.greatest(first, final))).otherwise(
             F.array(F.lit(-1).cast("bigint")))
 
-    return proper, blocks(0, "tgt_w"), blocks(3, "tgt_h")
+    across, down = blocks(0, "tgt_w"), blocks(3, "tgt_h")
+    return proper & (F.size(across) * F.size(down) <= WIDE_REACH), across, down
 
 
 def _tapped_blocks(size: int):
-    """mapInArrow over output blocks that the horizon crosses: one row per source block that a pixel really samples.
+    """mapInArrow over output blocks on or near the horizon: one row per source block that a pixel really samples.
 
     A pixel has four taps, so such a block reaches no more source blocks than that, wherever near the horizon its pixels
     fall; one without any tap gives a row with the block -1, -1.
