@@ -51,8 +51,9 @@ class WordEncoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         n = len(word)
-        if n > 1 and word[-1] in ".," and word[-2].isalpha() and self.plain:
-            return self[word[:-1]] + self[word[-1]]  # a word at the end of a clause; only the word is remembered
+        if n > 1 and word[-1] in ".," and word[-2].isalpha() and self.plain and max(word) < "\u0100":
+            # A word at the end of a clause; only the word is remembered. Beyond Latin-1 folding may add a mark that joins the stop.
+            return self[word[:-1]] + self[word[-1]]
         if self.plain and word.isalpha() and word.islower() and max(word) < "\u0100":
             found = [t.id for t in self.merge(word.translate(self.table))]
         else:
