@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from groundshift.llm.tables import slices, worker_state
 from groundshift.llm.words import hash_words, word_hashes
@@ -195,14 +196,18 @@ def find_passages(
     larger benchmarks take one pass over the documents for each such block.
 
     Null or wordless texts and items match nothing; items shorter than five words must occur unchanged; repeated
-    rows and items are reported each once; empty tables give no rows.
+    rows and items are reported each once; items without an id are not searched; empty tables give no rows. A column of
+    structs, such as `file_rows` gives, may stand for the document's id.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    is_row = isinstance(docs.schema[id_col].dataType, StructType)
+    ids = F.col(id_col) if is_row else F.col(id_col).cast("long")
+    source = docs.select(ids.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter(
         F.col("item_id").isNotNull() & F.col("text").isNotNull()
     ).distinct()
     blocks = max(1, math.ceil(items.count() / items_a_pass))
-    schema = "doc_id long, item_id long, start_word int, end_word int, distance int"
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, item_id long, start_word int, end_word int, distance int"
     found = None
     for block in range(blocks):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
@@ -216,15 +221,13 @@ def _finder(shipped: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = worker_state(f"items_{zlib.crc32(shipped)}", lambda: pickle.loads(shipped))
         for batch in batches:
-            rows = []
             for part in slices(batch, "text", 2 << 20):
                 words, starts, ends = word_hashes(part.column(1).to_pylist())
-                ids = part.column(0).to_pylist()
-                rows += [(ids[d], i, a, b, e) for d, i, a, b, e in index.matches(words, starts, ends)]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in rows], t) for c, t in enumerate(types)],
-                names=["doc_id", "item_id", "start_word", "end_word", "distance"],
-            )
+                rows = list(index.matches(words, starts, ends))
+                found = [pa.array([r[c] for r in rows], pa.int64() if c == 1 else pa.int32()) for c in range(1, 5)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array([int(r[0]) for r in rows], pa.int64())), *found],
+                    names=["doc_id", "item_id", "start_word", "end_word", "distance"],
+                )
 
     return run

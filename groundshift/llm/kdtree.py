@@ -169,7 +169,10 @@ def _trees(vectors: list, ids: list, keys: list, leaf_rows: int) -> dict[int, Tr
 
 
 def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """`key, id, vector`: floor(scale * x) of every component; rows without an id, vector or finite components go."""
+    """`key, id, vector`, stored: floor(scale * x) of every component; rows without an id, vector or finite components go.
+
+    Keys number the rows; they are written with them, as numbers computed again in a later job may differ.
+    """
     as_double = F.transform("embedding", lambda x: x.cast("double"))
     usable = embeddings.select(
         F.monotonically_increasing_id().alias("key"), F.col("vec_id").cast("long").alias("id"), as_double.alias("x")
@@ -178,7 +181,7 @@ def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
         & F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     )
     # floor() of a double is a long and stops at its range; components beyond 2**53 lose nothing that a double holds.
-    return usable.select("key", "id", F.transform("x", lambda v: F.floor(v * scale).cast("double")).alias("vector"))
+    return stored(usable.select("key", "id", F.transform("x", lambda v: F.floor(v * scale).cast("double")).alias("vector")), "quantised")
 
 
 def top_k(
@@ -186,7 +189,7 @@ def top_k(
 ) -> DataFrame:
     """Each query's k highest inner products: `query_id, rank, vec_id, score`, ties to the smaller id.
 
-    `vectors` and `queries` have key (unique per row), id and vector; a query never meets the row with its own key.
+    `vectors` and `queries` have key (unique per row and the same whenever the table is read), id and vector; a query never meets the row with its own key.
     Rows are dealt at random, but by a fixed hash, into shards of about `shard_rows`; a task reads a shard's vectors,
     builds its tree and then streams queries through it. Queries are first answered in one shard; its k-th score goes
     with them to all other shards as the bound below which boxes are not opened. What a shard emits per query is at

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from groundshift.llm.graph import components
 from groundshift.llm.groups import BLOCK_ROWS, links
-from groundshift.llm.tables import release_worker_state, slices, stored, worker_state
+from groundshift.llm.tables import file_rows, free_name, numbered, release_worker_state, slices, stored, worker_state
 from groundshift.llm.words import mixed, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -181,8 +181,9 @@ def signatures(docs: DataFrame, weights: Weights, bands: int = BANDS, rows: int
                     names=["doc_id", "node", "pos", "bytes", "bands", "samples"],
                 )
 
+    pos = docs.schema["pos"].dataType.simpleString()
     return docs.select("doc_id", "node", "pos", "bytes", "text").mapInArrow(
-        run, "doc_id long, node string, pos long, bytes int, bands array<long>, samples binary"
+        run, f"doc_id long, node string, pos {pos}, bytes int, bands array<long>, samples binary"
     )
 
 
@@ -224,14 +225,15 @@ def _jaccard_at_least(least: float):
 
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
-    rows: int = ROWS,
+    rows: int = ROWS, row_col: str | None = None,
 ) -> DataFrame:
     """The near-duplicate class of every document: `doc_id, class_id, copies, pos, stays`.
 
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles, weighted by TF-IDF, is at least
     `similarity`; classes are the connected components of links, equal texts included. `class_id` is the smallest doc_id
     of the class, `copies` its rows; `stays` marks one row of each class, the one with the smallest doc_id, then the
-    first in input order. `pos` numbers the input's rows (monotonically_increasing_id), so pass a stored table.
+    first in input order. `pos` tells the input's rows apart: the column `row_col`, which must be unique, orderable and the same whenever
+    the table is read (see `file_rows`); without it the table is written once with numbers.
 
     Two row-wise passes over the texts count document frequencies and draw 48 consistent weighted samples a text.
     Then only distinct texts go on: those that share a band are compared by samples inside their bands, what agrees well
@@ -242,9 +244,12 @@ def near_duplicates(
     Null texts are classes of their own; texts without words are alike only if equal; texts of fewer than five words
     have one shingle. Rows without an id count as larger than all ids. An empty table gives no rows.
     """
+    if row_col is None:
+        row_col = free_name(docs, "row_number")
+        docs = numbered(docs, row_col)
     source = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col).cast("string")).alias("node"),
-        F.monotonically_increasing_id().alias("pos"), F.octet_length(F.col(text_col).cast("string")).alias("bytes"),
+        F.col(row_col).alias("pos"), F.octet_length(F.col(text_col).cast("string")).alias("bytes"),
         F.col(text_col).cast("string").alias("text"),
     )
     weights = Weights(*document_frequencies(docs, text_col))
@@ -279,7 +284,7 @@ def near_duplicates(
         texts, lambda rows: WeightedSets(weights, rows), _jaccard_at_least(similarity), block_rows=TEXT_ROWS
     )
     roots = components(edges)
-    classes = signed.select("doc_id", "pos", F.coalesce("node", F.concat(F.lit("null-"), "pos")).alias("node")).join(
+    classes = signed.select("doc_id", "pos", F.coalesce("node", F.concat(F.lit("null-"), F.col("pos").cast("string"))).alias("node")).join(
         roots.hint("merge"), "node", "left"
     ).select("doc_id", "pos", F.coalesce("root", "node").alias("class"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos")
@@ -290,8 +295,8 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of a stored table without all but one of each near-duplicate class; columns stay."""
-    position = "__row_position"
-    kept = near_duplicates(docs, **options).filter("stays").select(F.col("pos").alias(position))
-    numbered = docs.withColumn(position, F.monotonically_increasing_id())
-    return numbered.join(kept.hint("merge"), position, "left_semi").drop(position)
+    """The rows of a table without all but one of each near-duplicate class; columns stay. Pass a table as read from files."""
+    row = free_name(docs, "row_number")
+    located = file_rows(docs, row)
+    kept = near_duplicates(located, row_col=row, **options).filter("stays").select(F.col("pos").alias(row))
+    return located.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)

@@ -17,7 +17,7 @@ from groundshift.llm.packing import encode_queues, pack
 from groundshift.llm.rtree import hard_negatives, labelled_vectors
 from groundshift.llm.secrets import BASE_RULES, find_secrets
 from groundshift.llm.sharding import shard_by_bytes
-from groundshift.llm.tables import shared_path
+from groundshift.llm.tables import file_rows, shared_path
 from groundshift.llm.tokens import read_token_files, with_checksums, write_token_files
 from groundshift.llm.urls import judge_urls
 
@@ -30,7 +30,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document with the id of its near-duplicate class."""
-    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copies")
+    docs = file_rows(_table(spark, sf_dir, "documents"), "row_number")
+    return near_duplicates(docs, row_col="row_number").select("doc_id", "class_id", "copies")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,32 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The table with a (file, row) column that tells its rows apart, written once so that later jobs read the same numbers."""
+    number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return stored(df.withColumn(name, number), "numbered")
+
+
+def file_rows(df: DataFrame, name: str) -> DataFrame:
+    """As `numbered`, without writing, for a table as read from files or a filter or projection of one; others are written.
+
+    File (64 bits of its path) and row within it do not depend on how files are cut and packed into tasks, as numbers from
+    monotonically_increasing_id do, which is why these may not be computed twice over a table. Do not pass a join of files.
+    """
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return df.withColumn(name, place)
+    except AnalysisException:  # not read from files
+        return numbered(df, name)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the table, counted, has at most `rows` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
