@@ -12,7 +12,7 @@ from groundshift.llm.neardup import drop_near_duplicates
 from groundshift.llm.packing import encode_queues, pack
 from groundshift.llm.queries import TOKENIZER
 from groundshift.llm.secrets import redact
-from groundshift.llm.tables import shared_path
+from groundshift.llm.tables import file_rows, free_name, shared_path
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item. Rows of the stored table are told apart by position, so ids may be null or repeat."""
+    """Documents that hold no benchmark item. Rows are told apart by file and row, so ids may be null or repeat."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    position = "__row_position"
-    numbered = docs.withColumn(position, F.monotonically_increasing_id())
-    leaked = find_passages(numbered, benchmark, id_col=position).select(F.col("doc_id").alias(position)).distinct()
-    return numbered.join(leaked, position, "left_anti").select(*docs.columns)
+    row = free_name(docs, "row_number")
+    located = file_rows(docs, row)
+    leaked = find_passages(located, benchmark, id_col=row).select(F.col("doc_id").alias(row)).distinct()
+    return located.join(leaked, row, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
