@@ -345,6 +345,47 @@ def test_pages_of_other_shapes(spark):
     assert html.extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def page_weights(spark):
+    return html.fit_weights(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def test_the_scan_decides(spark, page_weights):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert sum(html.extract(p, page_weights) != html.extract(p, page_weights, scan=False) for p in pages) > 0.9 * len(pages)
+
+
+BODY = "<h1>Title of it</h1><p>One two three four five six.</p><p>Seven eight <a href=x>nine</a> ten eleven.</p>"
+TEXT = "Title of it\nOne two three four five six.\nSeven eight nine ten eleven."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div class=toplinks><a>Home</a> <a>About us</a> <a>Contact</a></div><article>{BODY}</article>", TEXT),
+    (f"<article>{BODY}</article><div class=legal>Imprint and terms</div>", TEXT),
+    (f'<div class="layout has-sidebar"><article>{BODY}</article></div>', TEXT),
+    (f'<div class="layout has-sidebar">{BODY}</div>', TEXT),
+    (f'<article>{BODY}<div class="notice-board">Kept for what it says</div><p class="reply">She gave a reply</p></article>',
+     TEXT + "\nKept for what it says\nShe gave a reply"),
+    (f'<article>{BODY}<div class="ad">Buy this now</div><p>Last words of it.</p></article>', TEXT + "\nLast words of it."),
+    (f'<article>{BODY}<section class="comments"><p>First!</p></section></article><footer>c</footer>', TEXT),
+    (f"<nav><ul><li><a>One</a></li></ul></nav><article>{BODY}<ul><li>An item</li><li><a>Linked item</a></li></ul><p>After it.</p></article>",
+     TEXT + "\nAn item\nLinked item\nAfter it."),
+    (f"<aside>Beside it all</aside><article>{BODY}<form>Name <input></form><footer>Below", TEXT),
+    (f"<header><h1>Site</h1></header><main><header><h1>Title of it</h1></header>{BODY[len('<h1>Title of it</h1>'):]}</main>", TEXT),
+])
+def test_main_text_by_learned_weights(page_weights, page, text):
+    assert html.extract(page, page_weights) == text
+
+
+def test_deep_and_stray_elements_take_linear_time(page_weights):
+    import time
+
+    for page in ("<div>" * 50_000 + "</i>" * 50_000 + "<p>text of it", "<p><b>" * 25_000 + "x", "</div>" * 100_000, "<form>" * 50_000):
+        start = time.perf_counter()
+        html.extract(page, page_weights)
+        assert time.perf_counter() - start < 4
+
+
 def test_best_region():
     rng = random.Random(1)
     for _ in range(300):
