@@ -7,7 +7,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
-from operator import itemgetter
+from operator import itemgetter, ne
 
 import numpy as np
 import pyarrow as pa
@@ -104,9 +104,10 @@ def _groups_of(docs: DataFrame) -> DataFrame:
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """Frequencies `lang, source, term, n, docs` from runs: the runs of each hash shard are merged by heaps.
+    """Frequencies `lang, source, term, n, docs` from runs, merged per hash shard.
 
-    One heap takes the groups of all runs in order, a second one the terms of a group. Every group is spread over all shards by its
+    A heap takes the groups of all runs of a shard in order; the ascending terms of one group are merged by a sort that starts from
+    them as runs. Every group is spread over all shards by its
     terms, so no group, however large, is one task's. A task holds its shard's runs as Arrow arrays and unpacks a group at a time.
     """
 
@@ -141,24 +142,19 @@ def _merged(sections: list[tuple]) -> Iterator[pa.RecordBatch]:
     out: list[pa.RecordBatch] = []
     waiting = 0
     for group, parts in groupby(heapq.merge(*map(_parts, sections), key=itemgetter(0)), itemgetter(0)):
-        runs = [(t.cast(pa.binary()).to_pylist(), n.to_pylist(), d.to_pylist()) for _, t, n, d in parts]
-        if len(runs) == 1:
-            terms, counts, documents = runs[0]
-        else:
-            terms, counts, documents = [], [], []
-            last = None
-            for term, n, docs in heapq.merge(*(zip(*r, strict=True) for r in runs)):
-                if term == last:
-                    counts[-1] += n
-                    documents[-1] += docs
-                else:
-                    terms.append(term)
-                    counts.append(n)
-                    documents.append(docs)
-                    last = term
+        runs = [p[1:] for p in parts]
+        terms, counts, documents = (pa.concat_arrays([r[c] for r in runs]) for c in range(3))
+        terms = terms.cast(pa.binary()).to_pylist()
+        if len(runs) > 1:
+            # The sort finds the runs, which ascend already, and merges them.
+            order = sorted(range(len(terms)), key=terms.__getitem__)
+            terms = [terms[i] for i in order]
+            first = np.flatnonzero([True, *map(ne, terms[1:], terms)])
+            counts, documents = (np.add.reduceat(c.to_numpy()[order], first) for c in (counts, documents))
+            terms = [terms[i] for i in first.tolist()]
         names = [pa.array([group[i]] * len(terms), pa.string()) for i in (0, 1)]
         out.append(pa.RecordBatch.from_arrays(
-            [*names, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(documents, pa.int64())],
+            [*names, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts), pa.array(documents)],
             names=["lang", "source", "term", "n", "docs"],
         ))
         waiting += len(terms)
@@ -342,7 +338,7 @@ def source_divergence(
     Null text, lang and source count as empty. Groups without terms take part in pairs; a language without kept terms has pairs of
     value 0 and no terms. Repeated documents count each. Ties go to the item smaller in UTF-8. An empty table gives no rows.
     """
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     frequencies = stored(merge_runs(index_runs(docs, shards, block_entries)), "frequencies").repartition("lang", "term")
     kept = frequencies.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total")).filter(
         F.col("docs") >= min_documents
