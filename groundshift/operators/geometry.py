@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.boxes import BOX_TYPE, box, iou, to_percent, to_pixels, to_scene
+from ..session import ensure_checkpoint_dir
 
 BOX_FIELDS = list("xywh")
 
@@ -151,66 +152,104 @@ def iou_pairs(boxes: DataFrame, threshold: float = K.DEDUPE_IOU) -> DataFrame:
 # --- spotlight -----------------------------------------------------------------------
 
 
-def lit_points(points: DataFrame, boxes: DataFrame, cells: int = 16) -> DataFrame:
+# Points, or pieces of boxes, of one cell beyond which it is cut into sixteen, and how often that may happen.
+CROWDED_CELL = 20_000
+DESCENTS = 4
+
+
+def lit_points(points: DataFrame, boxes: DataFrame, cells: int = 16, crowded: int = CROWDED_CELL) -> DataFrame:
     """Points (scene_id, px, py) inside any visible box of their scene."""
-    return _spotlight(points, boxes, cells, "left_semi")
+    return _spotlight(points, boxes, cells, "left_semi", crowded)
 
 
-def dim_points(points: DataFrame, boxes: DataFrame, cells: int = 16) -> DataFrame:
+def dim_points(points: DataFrame, boxes: DataFrame, cells: int = 16, crowded: int = CROWDED_CELL) -> DataFrame:
     """Points outside every visible box of their scene."""
-    return _spotlight(points, boxes, cells, "left_anti")
-
+    return _spotlight(points, boxes, cells, "left_anti", crowded)
 
-def _spotlight(points: DataFrame, boxes: DataFrame, cells: int, how: str) -> DataFrame:
-    """Existence join on cells of the unit square; no pair is ever emitted.
 
-    Boxes are clipped to the cells they touch. A cell that one box covers wholly keeps that single
-    entry; elsewhere equal clipped pieces collapse. Boxes are half open: x <= px < x + w.
-    """
+def _pieces(spans: DataFrame, cells: int) -> DataFrame:
+    """Spans (scene_id, x0, y0, x1, y1) clipped to the cells they touch; equal pieces collapse, ``whole`` ones cover their cell."""
     n = F.lit(float(cells))
     last = F.lit(cells - 1).cast("bigint")
 
-    def touched(start: str, extent: str) -> Column:
-        lo = F.greatest(F.lit(0).cast("bigint"), F.floor(F.col(start) * n))
-        hi = F.least(last, F.ceil((F.col(start) + F.col(extent)) * n) - 1)
-        return F.filter(F.sequence(F.least(lo, last), F.greatest(hi, F.least(lo, last))), lambda c: c <= hi)
-
-    visible = boxes.where(has_extent(box()))
-    if "visible" in boxes.columns:
-        visible = visible.where("visible")
-    spread = (
-        visible.select("scene_id", *BOX_FIELDS, F.explode(touched("x", "w")).alias("cx"))
-        .withColumn("cy", F.explode(touched("y", "h")))
-    )
+    def touched(low: str, high: str) -> Column:
+        lo = F.greatest(F.lit(0).cast("bigint"), F.floor(F.col(low) * n))
+        hi = F.least(last, F.ceil(F.col(high) * n) - 1)
+        return F.explode(F.filter(F.sequence(F.least(lo, last), F.greatest(hi, F.least(lo, last))), lambda c: c <= hi))
 
-    def side(cell: str, start: str, extent: str) -> tuple[Column, Column]:
-        low, high = F.col(cell) / n, (F.col(cell) + 1) / n
-        return F.greatest(low, F.col(start)), F.least(high, F.col(start) + F.col(extent))
+    def clipped(cell: str, low: str, high: str) -> list[Column]:
+        return [F.greatest(F.col(cell) / n, F.col(low)).alias(low), F.least((F.col(cell) + 1) / n, F.col(high)).alias(high)]
 
-    (x0, x1), (y0, y1) = side("cx", "x", "w"), side("cy", "y", "h")
-    place = ["scene_id", "cx", "cy"]
-    pieces = spread.select(*place, x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")).distinct()
+    spread = spans.withColumn("cx", touched("x0", "x1")).withColumn("cy", touched("y0", "y1"))
     whole = (
         (F.col("x0") == F.col("cx") / n) & (F.col("x1") == (F.col("cx") + 1) / n)
         & (F.col("y0") == F.col("cy") / n) & (F.col("y1") == (F.col("cy") + 1) / n)
     )
-    full = pieces.where(whole)
-    parts = pieces.where(~whole).join(full.select(*place), place, "left_anti")
-    targets = full.unionByName(parts)
-    located = points.withColumn("_cx", F.least(last, F.floor(F.col("px") * n))).withColumn(
-        "_cy", F.least(last, F.floor(F.col("py") * n))
-    )
-    p, t = located.alias("p"), targets.alias("t")
-    inside = (
-        (F.col("p.scene_id") == F.col("t.scene_id")) & (F.col("p._cx") == F.col("t.cx"))
-        & (F.col("p._cy") == F.col("t.cy"))
-        & (F.col("p.px") >= F.col("t.x0")) & (F.col("p.px") < F.col("t.x1"))
-        & (F.col("p.py") >= F.col("t.y0")) & (F.col("p.py") < F.col("t.y1"))
+    return spread.select(*PLACE, *clipped("cx", "x0", "x1"), *clipped("cy", "y0", "y1")).distinct().withColumn("whole", whole)
+
+
+PLACE = ["scene_id", "cx", "cy"]
+
+
+def crowded_cells(located: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
+    """Cells with partial pieces that hold more than ``limit`` points or pieces; both are counted before the shuffle."""
+    points = located.groupBy("scene_id", F.col("_cx").alias("cx"), F.col("_cy").alias("cy")).agg(F.count(F.lit(1)).alias("p"))
+    pieces = parts.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("b"))
+    return points.join(pieces, PLACE).where((F.col("p") > limit) | (F.col("b") > limit)).select(*PLACE)
+
+
+def _spotlight(points: DataFrame, boxes: DataFrame, cells: int, how: str, crowded: int) -> DataFrame:
+    """Existence join on the cells of a quadtree over the unit square; no pair is ever emitted.
+
+    Boxes are clipped to the cells they touch. A cell that one box covers wholly keeps that single entry. Cells
+    start at ``cells`` by ``cells``; a partly covered one with more than ``crowded`` points or pieces is cut into sixteen, and only its
+    points and pieces go down with it, so a scene with very many of either spreads over as many cells as it needs. Points that
+    share one place cannot be parted; there AQE splits the join. Boxes are half open: x <= px < x + w.
+    """
+    visible = boxes.where(has_extent(box()))
+    if "visible" in boxes.columns:
+        visible = visible.where("visible")
+    spans = visible.select(
+        "scene_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"),
+        (F.col("y") + F.col("h")).alias("y1"),
     )
-    return p.join(t, inside, how).select(*[F.col(f"p.{c}") for c in points.columns])
+    columns, rest, out = points.columns, points, None
+    for descent in range(DESCENTS + 1):
+        n = F.lit(float(cells * 4 ** descent))
+        last = F.lit(cells * 4 ** descent - 1).cast("bigint")
+        pieces = _pieces(spans, cells * 4 ** descent)
+        full = pieces.where("whole")
+        parts = pieces.where(~F.col("whole")).join(full.select(*PLACE), PLACE, "left_anti")
+        located = rest.withColumn("_cx", F.least(last, F.floor(F.col("px") * n))).withColumn(
+            "_cy", F.least(last, F.floor(F.col("py") * n))
+        )
+        deeper = None
+        if descent < DESCENTS:
+            ensure_checkpoint_dir(points.sparkSession)
+            deeper = crowded_cells(located, parts, crowded).checkpoint()
+            deeper = None if deeper.isEmpty() else deeper
+        here, targets = located, full.unionByName(parts)
+        if deeper is not None:
+            at = [F.col("scene_id"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy")]
+            names = ["scene_id", "_cx", "_cy"]
+            here = located.join(deeper.select(*at), names, "left_anti")
+            rest = located.join(deeper.select(*at), names, "left_semi").select(*columns).checkpoint()
+            spans = parts.join(deeper, PLACE, "left_semi").select("scene_id", "x0", "y0", "x1", "y1").checkpoint()
+        p, t = here.alias("p"), targets.alias("t")
+        inside = (
+            (F.col("p.scene_id") == F.col("t.scene_id")) & (F.col("p._cx") == F.col("t.cx"))
+            & (F.col("p._cy") == F.col("t.cy"))
+            & (F.col("p.px") >= F.col("t.x0")) & (F.col("p.px") < F.col("t.x1"))
+            & (F.col("p.py") >= F.col("t.y0")) & (F.col("p.py") < F.col("t.y1"))
+        )
+        found = p.join(t, inside, how).select(*[F.col(f"p.{c}") for c in columns])
+        out = found if out is None else out.unionByName(found)
+        if deeper is None:
+            return out
+    return out
 
 
 __all__ = [
-    "BOX_TYPE", "CELL", "OverlapCells", "dim_points", "has_extent", "iou_pairs", "lit_points", "map_in_place",
+    "BOX_TYPE", "CELL", "OverlapCells", "crowded_cells", "dim_points", "has_extent", "iou_pairs", "lit_points", "map_in_place",
     "map_to_global", "rescale_boxes",
 ]

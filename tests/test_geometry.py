@@ -72,3 +72,33 @@ def test_pixel_boxes_fall_back_to_square(spark):
                                "x double, y double, w double, h double, width int, height int")
     got = df.select(to_pixels(box(), 1000, F.col("width"), F.col("height")).alias("b")).select("b.*").collect()
     assert [tuple(r) for r in got] == [(500, 250, 250, 125), (500, 500, 250, 250)]
+
+
+@pytest.mark.parametrize("crowded", [3, 40])
+def test_spotlight_of_crowded_cells_matches_brute_force(spark, crowded):
+    """Most points, and many boxes, in a few small places; also points that share one place."""
+    rng = random.Random(4)
+    spot = lambda s: (0.31 + rng.random() * 0.01, 0.62 + rng.random() * 0.01)
+    points = [(i, 0, *spot(0)) for i in range(1200)] + [(2000 + i, 0, 0.31, 0.62) for i in range(100)]
+    points += [(3000 + i, 1, rng.random(), rng.random()) for i in range(300)] + [(4000, 0, 1.0, 1.0), (4001, 0, 0.999999, 0.999999)]
+    boxes = [(0, *spot(0), rng.random() * 0.003, rng.random() * 0.003) for _ in range(150)]
+    boxes += [(0, 0.305, 0.61, 0.008, 0.02), (0, 0.99, 0.99, 0.01, 0.01), (1, 0.2, 0.2, 0.4, 0.4), (1, 0.25, 0.25, 0.3125, 0.0625)]
+    b = spark.createDataFrame(boxes, "scene_id int, x double, y double, w double, h double")
+    p = spark.createDataFrame(points, "id int, scene_id int, px double, py double")
+    want = {i for i, s, x, y in points if any(s == t and bx <= x < bx + w and by <= y < by + h for t, bx, by, w, h in boxes)}
+    assert {r.id for r in G.lit_points(p, b, crowded=crowded).collect()} == want
+    assert sorted(r.id for r in G.dim_points(p, b, crowded=crowded).collect()) == sorted({q[0] for q in points} - want)
+
+
+def test_a_crowded_scene_spreads_over_many_cells(spark):
+    """A third of all points in one sixteenth of one scene: they do not stay in the cells of the first level."""
+    points = spark.range(30_000).select(
+        F.col("id"), F.when(F.col("id") < 10_000, 0).otherwise(F.col("id") % 500 + 1).alias("scene_id"),
+        (F.lit(0.5) + F.rand(1) / 16).alias("px"), (F.lit(0.25) + F.rand(2) / 16).alias("py"),
+    ).checkpoint()
+    parts = G._pieces(spark.createDataFrame([(0, 0.5, 0.25, 0.55, 0.3)], "scene_id long, x0 double, y0 double, x1 double, y1 double"), 16)
+    located = points.select("*", F.floor(F.col("px") * 16).alias("_cx"), F.floor(F.col("py") * 16).alias("_cy"))
+    assert G.crowded_cells(located, parts, 500).count() == 1
+    finer = G._pieces(parts.select("scene_id", "x0", "y0", "x1", "y1"), 64)
+    located = points.select("*", F.floor(F.col("px") * 64).alias("_cx"), F.floor(F.col("py") * 64).alias("_cy"))
+    assert finer.where("whole").count() == 9 and G.crowded_cells(located, finer.where("not whole"), 500).count() > 3
