@@ -18,7 +18,7 @@ HEADLINE = [
     "g8_map_to_global", "g13_lit_points", "n3_parse_responses", "n6_response_boxes", "s8_build_requests",
     "s9_report_rows", "f4_visible_flag", "a6_summary_pick", "a8_progress", "x10_rescale_u8", "g7_crop",
     "j7_knn_hamming", "r1_match_descriptors", "r2_fit_homography", "r5_fallback_resize", "v1_detect",
-    "e1_run_changes", "e3_run_images",
+    "e1_run_changes", "e3_run_images", "g7_crop_scaled", "r4_warp_perspective",
 ]
 
 

@@ -90,11 +90,22 @@ def detect(
                 return None, str(problem)
 
         with ThreadPoolExecutor(in_flight) as pool:
-            run = pool.map if in_flight > 1 else map
             for batch in batches:
                 columns = [python_values(c) for c in batch.columns]
-                rows = (dict(zip(batch.schema.names, values)) for values in zip(*columns))
-                answers = list(run(attempt, rows))
+                rows = [dict(zip(batch.schema.names, values)) for values in zip(*columns)]
+                answers: list = [None] * len(rows)
+                # The threads take the next open row from one iterator, so a slow call holds up nothing but itself.
+                open_rows = iter(range(len(rows)))
+
+                def work() -> None:
+                    for i in open_rows:
+                        answers[i] = attempt(rows[i])
+
+                if in_flight > 1 and len(rows) > 1:
+                    for running in [pool.submit(work) for _ in range(min(in_flight, len(rows)))]:
+                        running.result()
+                else:
+                    work()
                 texts = [pa.array([a[i] for a in answers], pa.string()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *texts], names=names)
 

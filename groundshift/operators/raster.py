@@ -19,7 +19,7 @@ from ..constants import KEPT_BANDS
 from ..functions.pixels import stretch_u8, to_grey, u16_to_u8
 
 BLOCK = 64
-# Source blocks in the box of an output block beyond which its pixels are looked up one by one.
+# Source blocks in the box around an output block's corners beyond which its pixels are looked up.
 WIDE_REACH = 36
 PLACE = ["scene_id", "epoch", "band", "bx", "by"]
 DIRECT_DTYPES = ("u8", "u16")
@@ -308,20 +308,17 @@ def _back(homography: Column) -> list[Column]:
     ]
 
 
-def _reached(size: int) -> tuple[Column, Column, Column]:
-    """Whether the box around the mapped corners of an output block is a close reach, and its source block columns and rows.
+def _reached(size: int) -> tuple[Column, Column]:
+    """Ranges of source block columns and rows that an output block can sample under a map without a horizon.
 
-    It is where the block lies on one side of the horizon and the box is not wide. For others see ``_tapped_blocks``.
+    The block maps into the box around its mapped corners.
     """
     m = [F.get("back", F.lit(i)) for i in range(9)]
     xs = [(F.col("bx") * size).cast("double"), (F.col("bx") * size + F.col("bw") - 1).cast("double")]
     ys = [(F.col("by") * size).cast("double"), (F.col("by") * size + F.col("bh") - 1).cast("double")]
-    corners = [(x, y) for x in xs for y in ys]
-    depths = [m[6] * x + m[7] * y + m[8] for x, y in corners]
-    proper = (F.least(*depths) > 0) | (F.greatest(*depths) < 0)
 
     def blocks(row: int, extent: str) -> Column:
-        at = [(m[row] * x + m[row + 1] * y + m[row + 2]) / F.nullif(d, F.lit(0.0)) for (x, y), d in zip(corners, depths)]
+        at = [(m[row] * x + m[row + 1] * y + m[row + 2]) / F.nullif(m[8], F.lit(0.0)) for x in xs for y in ys]
         last = F.col(extent) - 1
         # One pixel of slack covers rounding at the corners.
         low = F.greatest(F.lit(0.0), F.floor(F.least(*at)) - 1)
@@ -330,33 +327,53 @@ def _reached(size: int) -> tuple[Column, Column, Column]:
         return F.when(low <= high, F.sequence(first, F.greatest(first, final))).otherwise(
             F.array(F.lit(-1).cast("bigint")))
 
-    across, down = blocks(0, "tgt_w"), blocks(3, "tgt_h")
-    return proper & (F.size(across) * F.size(down) <= WIDE_REACH), across, down
+    return blocks(0, "tgt_w"), blocks(3, "tgt_h")
 
 
-def _tapped_blocks(size: int):
-    """mapInArrow over output blocks on or near the horizon: one row per source block that a pixel really samples.
+def _reach(size: int):
+    """mapInArrow over output blocks: one row (..., sbx, sby) per source block that their pixels can sample, at least one.
 
-    A pixel has four taps, so such a block reaches no more source blocks than that, wherever near the horizon its pixels
-    fall; one without any tap gives a row with the block -1, -1.
+    A block on one side of the horizon maps into the box around its corners. Where the horizon crosses the block, or that box is wide,
+    the taps of its pixels are looked up: a pixel has four, so the block reaches no more source blocks than that, wherever
+    its pixels fall. A block without any gives the source block -1, -1.
     """
+    nothing = np.array([[-1, -1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            whole = [batch.column(n).to_pylist() for n in ("bx", "by", "bw", "bh", "tgt_w", "tgt_h")]
-            back = batch.column("back").flatten().to_numpy().reshape(-1, 9)
+            bx, by, bw, bh, src_w, src_h = (batch.column(n).to_numpy() for n in ("bx", "by", "bw", "bh", "tgt_w", "tgt_h"))
+            back = batch.column("back").flatten().to_numpy(zero_copy_only=False).reshape(-1, 9)
+            xs = np.stack([bx * size, bx * size, bx * size + bw - 1, bx * size + bw - 1])
+            ys = np.stack([by * size, by * size + bh - 1] * 2)
+            at_x, at_y, depth = (back[:, i] * xs + back[:, i + 1] * ys + back[:, i + 2] for i in (0, 3, 6))
+            one_side = (depth > 0).all(axis=0) | (depth < 0).all(axis=0)
+            spans = []
+            with np.errstate(all="ignore"):
+                for at, extent in ((at_x / depth, src_w), (at_y / depth, src_h)):
+                    # One pixel of slack covers rounding at the corners.
+                    low = np.clip(np.floor(at.min(axis=0)) - 1, 0, extent)
+                    high = np.clip(np.floor(at.max(axis=0)) + 2, -1, extent - 1)
+                    spans += [np.where(one_side, low, 0).astype(np.int64), np.where(one_side, high, -1).astype(np.int64)]
+            left, right, top, bottom = spans
+            counts = (right // size - left // size + 1) * (bottom // size - top // size + 1)
             row, found = [], []
-            for i, (bx, by, bw, bh, src_w, src_h) in enumerate(zip(*whole)):
-                cols, rows, weights = _taps(back[i], bx * size, by * size, bw, bh, src_w, src_h)
-                used = weights != 0
-                pairs = np.unique(np.stack([cols[used] // size, rows[used] // size], axis=1), axis=0) if used.any() else np.array([[-1, -1]])
+            for i in range(len(batch)):
+                if one_side[i] and (left[i] > right[i] or top[i] > bottom[i]):
+                    pairs = nothing
+                elif one_side[i] and counts[i] <= WIDE_REACH:
+                    columns, lines = np.arange(left[i] // size, right[i] // size + 1), np.arange(top[i] // size, bottom[i] // size + 1)
+                    pairs = np.stack([np.repeat(columns, len(lines)), np.tile(lines, len(columns))], axis=1)
+                else:
+                    cols, rows, weights = _taps(back[i], bx[i] * size, by[i] * size, bw[i], bh[i], src_w[i], src_h[i])
+                    used = weights != 0
+                    pairs = np.unique(np.stack([cols[used] // size, rows[used] // size], axis=1), axis=0) if used.any() else nothing
                 row.append(np.full(len(pairs), i))
                 found.append(pairs)
-            take = np.concatenate(row) if row else np.zeros(0, np.int64)
+            take = pa.array(np.concatenate(row) if row else np.zeros(0, np.int64))
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(c.take(pa.array(take)) for c in batch.columns), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=[*names, "sbx", "sby"]
+                [*(c.take(take) for c in batch.columns), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
+                names=[*batch.schema.names, "sbx", "sby"],
             )
 
     return run
@@ -407,14 +424,13 @@ def warp(
     ``frames`` has scene_id, tgt_w, tgt_h (source extent), work_w, work_h, n_bands and ``homography``
     (nine numbers, source to frame). Each output block is joined to just the source blocks its pixels
     can sample, and the partial sums are added up per output block; all shuffles are keyed by place. Blocks that the horizon of a
-    perspective crosses look up the taps of their own pixels. ``affine`` says that no homography has a horizon.
+    perspective crosses look up the taps of their own pixels. ``affine`` says that no homography has a horizon and keeps this step on the JVM.
     """
     key = blocks.schema["scene_id"].dataType.simpleString()
 
     def steps(extent: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(extent) - 1) / size)))
 
-    proper, across, down = _reached(size)
     outputs = (
         frames.withColumn("back", F.array(*_back(F.col("homography"))))
         .select("scene_id", "tgt_w", "tgt_h", "work_w", "work_h", "n_bands", "back", steps("work_h").alias("by"))
@@ -423,12 +439,12 @@ def warp(
         .withColumn("bh", F.least(F.lit(size), F.col("work_h") - F.col("by") * size).cast("int"))
         .drop("work_w", "work_h")
     )
-    one_side = outputs if affine else outputs.where(proper)
-    reached = one_side.withColumn("sbx", F.explode(across)).withColumn("sby", F.explode(down))
-    if not affine:
+    if affine:
+        across, down = _reached(size)
+        reached = outputs.withColumn("sbx", F.explode(across)).withColumn("sby", F.explode(down))
+    else:
         types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in outputs.schema.fields)
-        crossed = outputs.where(~F.coalesce(proper, F.lit(False)))
-        reached = reached.unionByName(crossed.mapInArrow(_tapped_blocks(size), f"{types}, sbx bigint, sby bigint"))
+        reached = outputs.mapInArrow(_reach(size), f"{types}, sbx bigint, sby bigint")
     source = blocks.where(F.col("epoch") == epoch).select(
         "scene_id", F.col("band").cast("int").alias("band"), F.col("bx").alias("sbx"), F.col("by").alias("sby"),
         F.col("bw").alias("sbw"), F.col("v").alias("sv"),
