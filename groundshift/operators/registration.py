@@ -117,10 +117,11 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return bits
 
 
-def _pivots(train: DataFrame, count: int) -> DataFrame:
-    """Up to ``count`` descriptors of each scene, chosen by hash, as one list."""
-    slot = F.pmod(F.xxhash64("kp_id", F.lit(5)), F.lit(count))
-    chosen = train.groupBy("scene_id", slot.alias("_slot")).agg(
+def _pivots(train: DataFrame, count: int, block: int) -> DataFrame:
+    """Up to ``count`` descriptors of each scene, four per ``block`` keypoints, chosen by hash, as one list."""
+    sizes = train.groupBy("scene_id").agg(F.least(F.lit(count), F.ceil(F.count(F.lit(1)) * 4 / block)).alias("_slots"))
+    slot = F.pmod(F.xxhash64("kp_id", F.lit(5)), F.col("_slots"))
+    chosen = train.join(sizes, "scene_id").groupBy("scene_id", slot.alias("_slot")).agg(
         F.min_by("desc", F.struct(F.xxhash64("kp_id"), "kp_id")).alias("desc")
     )
     return chosen.groupBy("scene_id").agg(F.array_sort(F.array_distinct(F.collect_list("desc"))).alias("_pivots"))
@@ -163,17 +164,19 @@ def _celled(keypoints: DataFrame, pivots: DataFrame, block: int, prefix: str) ->
 def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``_nearest_two`` for the queries of a block that the train block can still serve: those within its reach of their bound."""
     for batch in batches:
+        rows = []
         for r in batch.itertuples(index=False):
             q = np.asarray(r.q_desc, np.int64).view(np.uint64).reshape(len(r.q_id), -1)
             centre = np.asarray(r.centre, np.int64).view(np.uint64).reshape(1, -1)
             # No train row is nearer than the distance from the centre less the block's radius. Ties may have a smaller id.
             near = hamming(q, centre)[:, 0] - r.t_far <= np.asarray(r.bound)
             if near.any():
-                kept = {"q_id": np.asarray(r.q_id)[near], "q_x": np.asarray(r.q_x)[near], "q_y": np.asarray(r.q_y)[near],
-                        "q_desc": q[near].view(np.int64).ravel()}
-                one = pd.DataFrame([{c: kept.get(c, getattr(r, c)) for c in (
-                    "scene_id", "q_id", "q_x", "q_y", "q_desc", "t_id", "t_x", "t_y", "t_desc")}])
-                yield from _nearest_two(iter([one]))
+                kept = [np.asarray(c)[near] for c in (r.q_id, r.q_x, r.q_y)]
+                rows.append((r.scene_id, *kept, q[near].view(np.int64).ravel(), r.t_id, r.t_x, r.t_y, r.t_desc))
+        if rows:
+            names = ["scene_id", "q_id", "q_x", "q_y", "q_desc", "t_id", "t_x", "t_y", "t_desc"]
+            found = list(_nearest_two(iter([pd.DataFrame(rows, columns=names)])))
+            yield pd.concat(found, ignore_index=True)
 
 
 def pruned_pairs(query: DataFrame, train: DataFrame, first: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -211,7 +214,7 @@ def pruned_candidates(query: DataFrame, train: DataFrame, block: int, pivots: in
     the comparison with the pivots is added. Scenes are cut into (cell, part) blocks, so no scene is bound to one task.
     """
     key = query.schema["scene_id"].dataType.simpleString()
-    centres = _pivots(train, pivots).checkpoint()
+    centres = _pivots(train, pivots, block).checkpoint()
     q, t = _celled(query, centres, block, "q"), _celled(train, centres, block, "t")
     columns = ["scene_id", "q_id", "q_x", "q_y", "q_desc", "t_id", "t_x", "t_y", "t_desc"]
     own = q.join(t, (q["scene_id"] == t["scene_id"]) & (q["q_cell"] == t["t_cell"])).drop(t["scene_id"]).select(*columns)

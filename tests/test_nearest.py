@@ -60,7 +60,7 @@ def test_nearest_two_equal_a_plain_search(spark, scenes, block, pivots):
 
 def test_clustered_descriptors_need_few_distances(spark, scenes):
     query, train = (spark.createDataFrame([r for r in rows if r[0] == 1 and r[1] < 5000], SCHEMA) for rows in scenes)
-    centres = REG._pivots(train, 64).checkpoint()
+    centres = REG._pivots(train, 64, 50).checkpoint()
     q, t = REG._celled(query, centres, 50, "q"), REG._celled(train, centres, 50, "t")
     pairs = q.join(t, q["q_cell"] == t["t_cell"])
     own = pairs.select(F.sum(F.size("q_id") * F.size("t_id"))).first()[0]
