@@ -122,21 +122,44 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 30, rate: float = 8.0, batch: int = 32, sizes: np.ndarray | None = None) -> Model:
+class Bags:
+    """Bucket shares of many texts, kept as the buckets that occur; `bags[rows]` gives some rows in full."""
+
+    def __init__(self, buckets: list[np.ndarray], counts: list[np.ndarray], width: int = BUCKETS):
+        self.buckets, self.width = buckets, width
+        self.sizes = np.array([c.sum() for c in counts], np.float32)
+        self.shares = [c.astype(np.float32) / max(np.float32(1), n) for c, n in zip(counts, self.sizes, strict=True)]
+
+    def __len__(self) -> int:
+        return len(self.buckets)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.width), np.float32)
+        for n, i in enumerate(rows):
+            out[n, self.buckets[i]] = self.shares[i]
+        return out
+
+    def times(self, rows: np.ndarray, matrix: np.ndarray, at_once: int = 512) -> np.ndarray:
+        """The product of some rows with a matrix, a few rows at once."""
+        parts = [self[rows[lo:lo + at_once]] @ matrix for lo in range(0, len(rows), at_once)]
+        return np.concatenate(parts) if parts else np.zeros((0, *matrix.shape[1:]), np.float32)
+
+
+def train(x: Bags, y: np.ndarray, languages: list[str], epochs: int = 30, rate: float = 8.0, batch: int = 32) -> Model:
     """Stochastic gradient descent over rows of bucket shares; one row in five is kept for calibration.
 
     Rows are cut in two at a fixed shuffle. The temperature minimises the calibration rows' loss; the threshold lies a tenth
     of the way from a blind guess to the lowest probability of a calibration row that is predicted rightly. So texts
     are rejected by it only if they hardly look like one language more than like any other; texts that mix two learned
     languages stay. Unlearned scripts and languages show in n-grams that no training row holds: the calibration rows say
-    what share of those learned languages have (`sizes`: n-grams of each row), and texts with several times as many are rejected.
+    what share of those learned languages have, and texts with several times as many are rejected.
     """
     rng = np.random.default_rng(7)
     order = rng.permutation(len(x))
     held = order[: len(x) // 5]
     fit = order[len(x) // 5:]
     n = len(languages)
-    embedding = rng.normal(0, 1 / DIM, (x.shape[1], DIM)).astype(np.float32)
+    embedding = rng.normal(0, 1 / DIM, (x.width, DIM)).astype(np.float32)
     weights, bias = rng.normal(0, 0.5, (DIM, n)).astype(np.float32), np.zeros(n, np.float32)
     # Centre the classes: rare languages weigh as much as frequent ones.
     share = np.bincount(y[fit], minlength=n) / max(1, len(fit))
@@ -155,16 +178,15 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = 30,
             bias -= 0.1 * step * error.sum(axis=0)
             used = np.flatnonzero(xb.any(axis=0))
             embedding[used] -= step * 20 * (xb[:, used].T @ back)
-    learned = np.zeros(x.shape[1], bool)
+    learned = np.zeros(x.width, bool)
     for row in fit:
-        learned |= x[row] > 0
+        learned[x.buckets[row]] = True
     model = Model(languages, embedding, weights, bias, learned=learned)
     if len(held):
-        unknown = x[held] @ (~learned).astype(np.float32)
-        if sizes is not None:
-            unknown = unknown * (sizes[held] / (sizes[held] + UNKNOWN_EXTRA))
+        unknown = x.times(held, (~learned).astype(np.float32))
+        unknown = unknown * (x.sizes[held] / (x.sizes[held] + UNKNOWN_EXTRA))
         model.unknown_most = max(UNKNOWN_LEAST, UNKNOWN_TIMES * float(unknown.max()))
-        z = (x[held] @ embedding) @ weights + bias
+        z = x.times(held, embedding) @ weights + bias
         scales = np.geomspace(0.02, 20, 200)
         losses = [-np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in scales]
         model.temperature = float(scales[int(np.argmin(losses))])
@@ -195,21 +217,24 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit_languages(labelled: DataFrame, train_rows: int = 2000, max_languages: int = 500) -> Model | None:
+def fit_languages(labelled: DataFrame, train_rows: int = 2000, least_rows: int = 5) -> Model | None:
     """Train on `lang, text, key` rows; about `train_rows` of them, alike for each language, are used.
 
-    The sample is chosen by a hash of the key, the same at every run; it is the one bound here, a parameter. Bucket
-    counts of sampled texts (whole texts, a few thousand numbers each) reach the driver. The most frequent
-    `max_languages` languages are learned. None if there is no labelled row.
+    The sample is chosen by a hash of the key, the same at every run; it is the one bound here, a parameter. With so many
+    languages that less than `least_rows` rows of each would do, about that many are used of each, and one at least. Bucket
+    counts of sampled texts (whole texts, a few thousand numbers each) reach the driver. Every language of a labelled row is
+    learned, however rare; the model has 64 numbers for each. None if there is no labelled row.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return None
-    each = max(1, train_rows // len(sizes))
-    shares = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, each / r["count"]))])
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = usable.filter(draw < F.try_element_at(shares, F.col("lang"))).select("lang", "text")
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("first")).toArrow()
+    if not sizes.num_rows:
+        return None
+    each = max(least_rows, train_rows // sizes.num_rows)
+    shares = F.broadcast(usable.sparkSession.createDataFrame(sizes)).select(
+        "lang", F.greatest(F.lit(each) / F.col("n"), F.col("first") + F.lit(0.5 / (1 << 30))).alias("share")
+    )
+    sample = usable.join(shares, "lang").filter(draw < F.col("share")).select("lang", "text")
     # Arrow keeps the counts as packed numbers on the driver.
     bags = sample.mapInArrow(_bags, "lang string, bucket array<int>, n array<int>").toArrow()
     if not bags.num_rows:
@@ -227,12 +252,8 @@ def fit_languages(labelled: DataFrame, train_rows: int = 2000, max_languages: in
     order = sorted(range(len(langs)), key=lambda i: (langs[i], at[i], packed(where, i), packed(count, i)))
     languages = sorted(set(langs))
     number = {lang: i for i, lang in enumerate(languages)}
-    x = np.zeros((len(langs), BUCKETS), np.float32)
-    for row, i in enumerate(order):
-        x[row, where[spans[i]]] = count[spans[i]]
-    sizes = x.sum(axis=1)
-    x /= np.maximum(sizes, 1)[:, None]
-    return train(x, np.array([number[langs[i]] for i in order]), languages, sizes=sizes)
+    x = Bags([where[spans[i]] for i in order], [count[spans[i]] for i in order])
+    return train(x, np.array([number[langs[i]] for i in order]), languages)
 
 
 def has_letter(text: str | None) -> bool:
