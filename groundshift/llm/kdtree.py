@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from groundshift.llm.tables import stored
 
-SHARD_ROWS = 16_384
+# Rows of a shard and queries that go through it in one task, at least and at most: small tables spread, large ones copy less.
+SHARD_ROWS = (4096, 65_536)
+QUERY_BLOCK = (512, 16_384)
+SPREAD = 64
 LEAF_ROWS = 256
 EXACT = float(1 << 53)
 
@@ -88,14 +91,14 @@ def _searcher(k: int, leaf_rows: int):
     out_schema = pa.schema([("query_key", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, trees, vectors, ids, keys = None, None, [], [], []
+        deal, trees, vectors, ids, keys = None, None, [], [], []
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             values = cols["vector"]
             flat = np.asarray(values.flatten(), dtype=np.float64)
             sizes = np.asarray(pa.compute.list_value_length(values))
             ends = np.cumsum(sizes)
-            shards, is_query = cols["shard"].to_numpy(), np.asarray(cols["is_query"].to_pylist(), dtype=bool)
+            deals, is_query = cols["deal"].to_numpy(), np.asarray(cols["is_query"].to_pylist(), dtype=bool)
             id_, key, least = cols["id"].to_numpy(), cols["key"].to_numpy(), cols["least"].to_pylist()
             result: tuple[list, list, list, list] = ([], [], [], [])
             asked: dict[int, list[int]] = {}
@@ -121,10 +124,10 @@ def _searcher(k: int, leaf_rows: int):
                 asked.clear()
 
             for i in range(len(batch)):
-                if shards[i] != shard:
+                if deals[i] != deal:
                     if trees is not None:
                         answer()
-                    shard, trees, vectors, ids, keys = shards[i], None, [], [], []
+                    deal, trees, vectors, ids, keys = deals[i], None, [], [], []
                 if not is_query[i]:
                     vectors.append(flat[ends[i] - sizes[i]: ends[i]].copy())
                     ids.append(id_[i])
@@ -185,39 +188,48 @@ def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
 
 
 def top_k(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS
+    vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int | None = None, leaf_rows: int = LEAF_ROWS,
+    query_block: int | None = None,
 ) -> DataFrame:
     """Each query's k highest inner products: `query_id, rank, vec_id, score`, ties to the smaller id.
 
     `vectors` and `queries` have key (unique per row and the same whenever the table is read), id and vector; a query never meets the row with its own key.
-    Rows are dealt at random, but by a fixed hash, into shards of about `shard_rows`; a task reads a shard's vectors,
-    builds its tree and then streams queries through it. Queries are first answered in one shard; its k-th score goes
-    with them to all other shards as the bound below which boxes are not opened. What a shard emits per query is at
+    Rows are dealt at random, but by a fixed hash, into shards of about `shard_rows`, queries into blocks of about `query_block` (by
+    default a 64th of the rows, within bounds). A task reads a shard's vectors, builds its tree and then streams one block of queries
+    through it. Queries are first answered in one shard; its k-th score goes with them to all other shards as the bound
+    below which boxes are not opened. What a shard emits per query is at
     most k rows. An exact search compares queries with candidates by definition, so work grows with their product.
 
     Scores beyond the range of long stop at its ends. Vectors of another length than the query's take no part. Fewer than k candidates give fewer rows, empty tables none.
     """
-    n_shards = max(1, math.ceil(vectors.count() / shard_rows))
+    def parts(rows: int, size: int | None, bounds: tuple[int, int]) -> int:
+        return max(1, math.ceil(rows / (size or min(max(rows // SPREAD, bounds[0]), bounds[1]))))
+
+    n_shards = parts(vectors.count(), shard_rows, SHARD_ROWS)
+    n_blocks = parts(queries.count(), query_block, QUERY_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     search = _searcher(k, leaf_rows)
     schema = "query_key long, query_id long, vec_id long, score long"
-    dealt = vectors.select(
-        F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"),
-        "id", "key", F.lit(None).cast("long").alias("least"), "vector",
-    )
+    columns = [(F.col("block").cast("long") * n_shards + F.col("shard")).alias("deal"), "is_query", "id", "key", "least", "vector"]
+    dealt = vectors.withColumns({
+        "shard": F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"), "is_query": F.lit(False), "least": F.lit(None).cast("long"),
+    }).withColumn("block", every(n_blocks)).select(*columns)
 
     def ask(asked: DataFrame) -> DataFrame:
-        both = dealt.unionByName(asked.select("shard", F.lit(True).alias("is_query"), "id", "key", "least", "vector"))
-        return both.repartition("shard").sortWithinPartitions("shard", "is_query").mapInArrow(search, schema)
-
-    home = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(n_shards)).cast("int")
-    first = stored(ask(queries.select(home.alias("shard"), "id", "key", F.lit(None).cast("long").alias("least"), "vector")), "topk")
+        both = dealt.unionByName(asked.withColumn("is_query", F.lit(True)).select(*columns))
+        return both.repartition("deal").sortWithinPartitions("deal", "is_query").mapInArrow(search, schema)
+
+    placed = queries.withColumns({
+        "block": F.pmod(F.xxhash64("key", F.lit(2)), F.lit(n_blocks)).cast("int"),
+        "home": F.pmod(F.xxhash64("key", F.lit(1)), F.lit(n_shards)).cast("int"),
+    })
+    first = stored(ask(placed.withColumns({"shard": F.col("home"), "least": F.lit(None).cast("long")})), "topk")
     found = first
     if n_shards > 1:
         kth = first.groupBy(F.col("query_key").alias("key")).agg(
             F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least")
         )
-        others = F.filter(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: s != home)
-        rest = queries.join(kth, "key", "left").select(F.explode(others).alias("shard"), "id", "key", "least", "vector")
+        rest = placed.join(kth, "key", "left").withColumn("shard", every(n_shards)).filter("shard <> home")
         found = first.unionByName(ask(rest))
     best = Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
