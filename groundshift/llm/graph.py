@@ -8,14 +8,29 @@ from pyspark.sql import functions as F
 from groundshift.session import ensure_checkpoint_dir
 
 MAX_ROUNDS = 100
+# Neighbours from which a node's minimum is broadcast instead of joined by key; grows so that at most 2 x HOT_NODES nodes have it.
+HOT_NEIGHBOURS = 1024
+HOT_NODES = 25_000
+
+
+def with_least(ways: DataFrame, least: DataFrame, hot: int) -> DataFrame:
+    """`ways` (u, v) with `m` of their `u` from `least` (u, m, n): nodes with more than `hot` rows meet theirs by broadcast.
+
+    Their ways stay where they are; all others are joined by key, so no key brings more than `hot` rows to a task.
+    """
+    large = F.broadcast(least.filter(F.col("n") > hot).select("u", F.col("m").alias("hot_m")))
+    marked = ways.join(large, "u", "left")
+    by_key = marked.filter("hot_m IS NULL").join(least.filter(F.col("n") <= hot).hint("merge"), "u").select("u", "v", "m")
+    return by_key.unionByName(marked.filter("hot_m IS NOT NULL").select("u", "v", F.col("hot_m").alias("m")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """`node, root` for every node of `a, b` edges; the root is the smallest node of its component.
 
     Alternates large-star and small-star steps: each hangs neighbours on the smallest one they see, first those above a
-    node, then those below, until nothing changes. Minima are aggregated before the shuffle and joined back, so a node with
-    very many neighbours is never gathered. Every round is checkpointed; rounds grow with the logarithm of the nodes.
+    node, then those below, until nothing changes. Minima are aggregated before the shuffle and joined back; those of nodes with very
+    many neighbours, whose number is bounded, are broadcast, so such a node is never gathered, nor are its rows one key. Every
+    round is checkpointed; rounds grow with the logarithm of the nodes.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     both = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
@@ -25,14 +40,15 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+        hot = max(HOT_NEIGHBOURS, state[0] // HOT_NODES)
         # Large star: both directions; larger neighbours move to the smallest neighbour.
         ways = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = ways.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = ways.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        large = with_least(ways.filter("v > u"), least, hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = large.filter("u <> v").distinct()
         # Small star: smaller neighbours, and the node itself, move to the smallest of them.
-        low = kept.groupBy("u").agg(F.min("v").alias("m"))
-        small = kept.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = kept.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(kept, low, hot).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         both = small.filter("u <> v").distinct().checkpoint()
     else:
         raise RuntimeError("components did not converge")

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from groundshift.llm import decontaminate, neardup
+from groundshift.llm import decontaminate, graph, neardup
 from groundshift.llm.groups import links
 from groundshift.llm.kdtree import quantised, top_k
 from groundshift.llm.queries import op6_top_k
@@ -196,12 +198,12 @@ def brute_top(vectors, k):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [50, 16384])
-def test_top_k_equals_brute_force(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows,query_block", [(50, 4), (50, None), (None, 7), (None, None)])
+def test_top_k_equals_brute_force(spark, shard_rows, query_block):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     raw = [(r["vec_id"], [int(np.floor(64.0 * float(x))) for x in r["embedding"]]) for r in table.collect()]
     vectors = quantised(table)
-    rows = top_k(vectors, vectors.filter("id % 20 = 0"), 20, shard_rows, 16).collect()
+    rows = top_k(vectors, vectors.filter("id % 20 = 0"), 20, shard_rows, 16, query_block).collect()
     found: dict = {}
     for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
         found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -295,3 +297,86 @@ def test_many_items_take_several_passes(spark):
     assert one == many
     assert decontaminate.find_passages(docs.limit(0), items).count() == 0
     assert decontaminate.find_passages(docs, items.limit(0)).count() == 0
+
+
+def plain_match(item, text, most):
+    """(distance, start, end) over all stretches, by the textbook table."""
+    best = None
+    for start in range(len(text) + 1):
+        row = list(range(len(item) + 1))
+        for end in range(start, len(text) + 1):
+            if end > start:
+                before, row = row, [row[0] + 1]
+                for i, word in enumerate(item, start=1):
+                    row.append(min(before[i - 1] + (word != text[end - 1]), before[i] + 1, row[i - 1] + 1))
+            best = min(best or (row[-1], end, start), (row[-1], end, start))
+    return (best[0], best[2], best[1]) if best[0] <= most else None
+
+
+def test_best_matches_equal_plain_tables():
+    rng = np.random.default_rng(5)
+    items = [rng.integers(0, 4, rng.integers(1, 14)).astype(np.uint64) for _ in range(150)]
+    texts = [rng.integers(0, 4, rng.integers(0, 22)).astype(np.uint64) for _ in items]
+    most = [int(rng.integers(0, len(i) + 1)) for i in items]
+    got = decontaminate.best_matches(items, texts, most)
+    assert got == [plain_match(i.tolist(), t.tolist(), m) for i, t, m in zip(items, texts, most, strict=True)]
+
+
+def test_long_item_and_items_with_one_opening_are_quick():
+    rng = np.random.default_rng(6)
+    words = lambda n: rng.integers(1, 1 << 60, n).astype(np.uint64)
+    long = words(2000)
+    began = time.perf_counter()
+    assert decontaminate.edit_distance_within(long, np.concatenate([long[:900], long[950:]]), 400) == (50, 0, 1950)
+    assert time.perf_counter() - began < 1
+    opening = words(20)
+    items = [(i, np.concatenate([opening, words(40)])) for i in range(1000)]
+    index = decontaminate.Index(items, 0.2, decontaminate.WALKS, decontaminate.TABLES, decontaminate.SAMPLED)
+    doc = np.concatenate([words(50), items[7][1], words(50), opening, words(50)])
+    began = time.perf_counter()
+    assert list(index.matches(doc, np.array([0]), np.array([len(doc)]))) == [(0, 7, 50, 110, 0)]
+    assert time.perf_counter() - began < 5
+
+
+def test_benchmark_in_passes_by_bytes(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    one = {tuple(r) for r in decontaminate.find_passages(docs, items).collect()}
+    many = {tuple(r) for r in decontaminate.find_passages(docs, items, bytes_a_pass=4000).collect()}
+    assert one == many and one
+
+
+def plain_components(edges):
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("limit", [2, 1024])
+def test_components_with_hubs_equal_plain_ones(spark, monkeypatch, limit):
+    monkeypatch.setattr(graph, "HOT_NEIGHBOURS", limit)
+    rng = random.Random(8)
+    name = "n{:05d}".format
+    star = [(name(9999), name(i)) for i in range(400)]  # a hub above all its neighbours
+    low = [(name(1000), name(1001 + i)) for i in range(300)]  # and one below
+    chain = [(name(2000 + i), name(2001 + i)) for i in range(60)]
+    loose = [(name(rng.randrange(3000, 3400)), name(rng.randrange(3000, 3400))) for _ in range(250)]
+    edges = [e for e in star + low + chain + loose if e[0] != e[1]]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges + edges[:50], "a string, b string")).collect()}
+    assert got == plain_components(edges)
+
+
+def test_rows_of_a_hub_spread_over_tasks(spark):
+    ways = spark.range(20000).selectExpr("'hub' as u", "concat('n', id) as v").repartition(8)
+    least = ways.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    met = graph.with_least(ways, least, 1024)
+    assert met.count() == 20000
+    sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 4 * 20000 / 8

@@ -217,6 +217,38 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_measure_equals_a_plain_loop_over_n_grams():
+    rng = np.random.default_rng(3)
+    texts = ["", "A", "the cat  sat", "Ça va? Straße 12 İ", "x" * 50, "中文 文本 a b", " lead and trail "]
+    learned = rng.random(langid.BUCKETS) < 0.5
+    for n in (3, 40):  # folded tables and embeddings
+        model = langid.Model(
+            [str(i) for i in range(n)], rng.normal(size=(langid.BUCKETS, langid.DIM)).astype(np.float32),
+            rng.normal(size=(langid.DIM, n)).astype(np.float32), rng.normal(size=n).astype(np.float32), learned=learned.copy(),
+        )
+        got, unknown = model.measure(texts)
+        for text, row, share in zip(texts, got, unknown, strict=True):
+            plain = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in text.lower().encode())
+            padded = b" " + plain + b" "
+            grams = [padded[i:i + o] for o in langid.ORDERS for i in range(len(padded) - o + 1)]
+            buckets = []
+            for gram in grams:
+                if b"  " not in gram:
+                    code = int.from_bytes(gram[-4:], "big")
+                    buckets.append(max(1, ((code * int(langid.MIX) + len(gram) * 40503) % 2**32) >> 18))
+            total = sum((model.embedding[b].astype(float) for b in buckets), np.zeros(langid.DIM))
+            assert np.allclose(row, total / max(1, len(buckets)) @ model.weights + model.bias, atol=1e-4)
+            assert np.isclose(share, sum(not learned[b] for b in buckets) / (len(buckets) + langid.UNKNOWN_EXTRA))
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, f"tale{i % 700}a word{i % 700}b of{i % 700}", f"l{i % 700:03d}") for i in range(4200)]
+    rows += [(9000, "one rare text", "rare")]
+    table = spark.createDataFrame(rows, "key long, text string, lang string")
+    model = langid.fit_languages(table, train_rows=600, least_rows=2)
+    assert set(model.languages) == {r[2] for r in rows}
+
+
 def test_rejection_of_foreign_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit_languages(docs.select("lang", "text", F.col("doc_id").alias("key")))
