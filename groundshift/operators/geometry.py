@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions.boxes import BOX_TYPE, box, iou, to_percent, to_pixels, to_scene
 from ..session import ensure_checkpoint_dir
+from .skew import crowded_parts, deal_parts
 
 BOX_FIELDS = list("xywh")
 
@@ -107,21 +108,29 @@ def has_extent(b: Column) -> Column:
     return (b["w"] > 0) & (b["h"] > 0)
 
 
-def iou_pairs(boxes: DataFrame, threshold: float = K.DEDUPE_IOU) -> DataFrame:
+# Distinct boxes of one overlap cell beyond which its pairs are compared in several tasks.
+CROWDED_BOXES = 2048
+
+
+def iou_pairs(boxes: DataFrame, threshold: float = K.DEDUPE_IOU, crowded: int = CROWDED_BOXES) -> DataFrame:
     """Overlapping pairs of boxes of one scene and change type, over distinct boxes.
 
     Copies of one box are counted before the join (a_n, b_n), so a group of copies contributes one
     row per partner instead of the product of its sizes: a pair stands for a_n * b_n detections, and a
     row that pairs a box with itself for its a_n copies. ``a`` is the smaller box in (x, y, w, h) order.
+    Cells with more than ``crowded`` distinct boxes are cut into parts on both sides, and every part of one side meets every
+    part of the other in a key of its own, so a crowd is compared by many tasks.
     """
     cells = OverlapCells(threshold)
+    ensure_checkpoint_dir(boxes.sparkSession)
     keys = ["scene_id", "change_type"]
     distinct = (
         boxes.where(has_extent(box()))
         .groupBy(*keys, *BOX_FIELDS).agg(F.count(F.lit(1)).alias("n"))
         .select(*keys, box().alias("b"), "n")
     )
-    filed = cells.file(distinct, F.col("b"))
+    # Counted and read by both sides.
+    filed = cells.file(distinct, F.col("b")).checkpoint()
     # A pair is found once: from its box of the higher extent class, or from the left one of a class.
     own = filed.select(*keys, F.col("b").alias("p"), F.col("n").alias("p_n"), F.col("kw").alias("p_kw"),
                        F.col("kh").alias("p_kh"), F.col("cx").alias("p_cx"))
@@ -134,7 +143,16 @@ def iou_pairs(boxes: DataFrame, threshold: float = K.DEDUPE_IOU) -> DataFrame:
     left = cells.places_around(across, p["y"], p["h"], "kh", "cy").withColumn("lower", lower).drop("p_kw", "p_kh", "p_cx")
     right = filed.select(*keys, F.col("b").alias("q"), F.col("n").alias("q_n"), *CELL)
     once = F.col("lower") | (p < q) | ((p == q) & (F.col("p_n") > 1))
-    found = left.join(right, [*keys, *CELL]).where(once & (iou(p, q) > threshold))
+    place = [*keys, *CELL]
+    crowds = crowded_parts(filed, place, crowded)
+    if crowds is not None:
+        left = deal_parts(left, crowds, place, "left_part", "right_part", p)
+        right = deal_parts(right, crowds, place, "right_part", "left_part", q)
+        place = [*place, "left_part", "right_part"]
+        # The work follows pairs, not bytes, so partitions must not be merged for being small.
+        n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = left.repartition(n, *place), right.repartition(n, *place)
+    found = left.join(right, place).where(once & (iou(p, q) > threshold))
     ordered = p <= q
 
     def side(low: str, high: str) -> Column:

@@ -43,6 +43,27 @@ def split_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> HotSplit
     )
 
 
+def crowded_parts(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
+    """``keys`` with more than ``limit`` rows and into how many ``parts`` of about that many to cut them; None without any."""
+    crowds = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    ensure_checkpoint_dir(df.sparkSession)
+    crowds = crowds.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("parts")).checkpoint()
+    found = crowds.count()
+    if not found:
+        return None
+    return F.broadcast(crowds) if found <= BROADCAST_KEYS else crowds
+
+
+def deal_parts(df: DataFrame, crowds: DataFrame, keys: list[str], own: str, other: str, row: Column) -> DataFrame:
+    """Deal the rows of crowded keys to their parts (column ``own``), once for every part of the other side (``other``).
+
+    Two tables dealt with ``own`` and ``other`` swapped meet each pair of their rows exactly once by equality of both columns.
+    """
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = df.join(crowds, keys, "left").withColumn(own, F.pmod(F.xxhash64(row), parts).cast("int"))
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+
+
 def number_rows(
     df: DataFrame,
     keys: list[str],

@@ -10,12 +10,12 @@ from groundshift.operators import geometry as G
 from groundshift.operators.frames import explode_tiles
 
 
-@pytest.mark.parametrize("threshold", [0.1, 0.4, 0.8])
-def test_pairs_match_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold,crowded", [(0.1, 3), (0.4, 2048), (0.4, 2), (0.8, 1)])
+def test_pairs_match_brute_force(spark, threshold, crowded):
     rows = make_rows(11, 300, spread=0.3)
     rows += [(*r[:2], r[2] + 1000, *r[3:]) for r in rows[:40]]
     got = {}
-    for p in G.iou_pairs(spark.createDataFrame(rows, SCHEMA), threshold).collect():
+    for p in G.iou_pairs(spark.createDataFrame(rows, SCHEMA), threshold, crowded).collect():
         a, b = (p.a_x, p.a_y, p.a_w, p.a_h), (p.b_x, p.b_y, p.b_w, p.b_h)
         key = (p.scene_id, p.change_type, a, b)
         assert key not in got and a <= b
@@ -102,3 +102,12 @@ def test_a_crowded_scene_spreads_over_many_cells(spark):
     finer = G._pieces(parts.select("scene_id", "x0", "y0", "x1", "y1"), 64)
     located = points.select("*", F.floor(F.col("px") * 64).alias("_cx"), F.floor(F.col("py") * 64).alias("_cy"))
     assert finer.where("whole").count() == 9 and G.crowded_cells(located, finer.where("not whole"), 500).count() > 3
+
+
+def test_pairs_of_a_crowd_spread_over_tasks(spark):
+    crowd = spark.range(2000).selectExpr(
+        "1L as scene_id", "'new' as change_type", "named_struct('x', 0.5 + id * 1e-7, 'y', 0.5, 'w', 0.1, 'h', 0.1) as b"
+    ).select("scene_id", "change_type", "b.*")
+    pairs = G.iou_pairs(crowd, 0.5, crowded=50)
+    sizes = sorted(r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(sizes) == 2000 * 1999 // 2 and sizes[-1] <= 4 * sizes[len(sizes) // 2] and len(sizes) > 1
