@@ -129,12 +129,13 @@ def detect_stored(
     path: str,
     retry_failed: bool = False,
     calls_per_wave: int = CALLS_PER_WAVE,
+    retry: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """Answers of all tasks (scene_id, task_idx, ...), kept at ``path`` so that no stored call is ever repeated.
 
-    Tasks with a stored answer are left out by an anti join; with ``retry_failed`` only an answer without an error counts. What
-    is left is called in waves of about ``calls_per_wave`` rows, dealt by scene, and each wave is appended when it is done: a run
+    Tasks with a stored answer are left out by an anti join; with ``retry_failed`` only an answer without an error counts, and the
+    answers of tasks in ``retry`` (scene_id, task_idx) do not count. What is left is called in waves of about ``calls_per_wave`` rows, dealt by scene, and each wave is appended when it is done: a run
     that is killed loses the calls of its last wave only, and the next run goes on from there. Returns ``carry``, raw_text,
     error and attempt, the newest answer of every given task. ``carry`` must hold scene_id and task_idx; ``path`` must be shared
     by all executors, and one run at a time may write there. Other options are those of ``detect``.
@@ -143,6 +144,7 @@ def detect_stored(
     known = stored_answers(tasks, carry, path)
     attempt = (known.agg(F.max("attempt")).first()[0] or 0) + 1
     done = known.where("error is null") if retry_failed else known
+    done = done if retry is None else done.join(retry.select(*TASK_KEY), TASK_KEY, "left_anti")
     open_tasks = tasks.join(done.select(*TASK_KEY).distinct(), TASK_KEY, "left_anti").select(*tasks.columns)
     calls = open_tasks.count()
     waves = -(-calls // calls_per_wave)
@@ -151,7 +153,11 @@ def detect_stored(
         part = open_tasks.where(F.pmod(F.xxhash64("scene_id", F.lit(7)), F.lit(waves)) == wave) if waves > 1 else open_tasks
         answers = detect(part, make_detector, carry, calls=-(-calls // waves), **options)
         answers.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(path)
-    answers = spark.read.schema(known.schema).parquet(path)
+    newest = newest_answers(spark.read.schema(known.schema).parquet(path))
+    return newest.join(tasks.select(*TASK_KEY), TASK_KEY, "left_semi").select(*known.columns)
+
+
+def newest_answers(answers: DataFrame) -> DataFrame:
+    """The answer of the last attempt at every task."""
     others = [c for c in answers.columns if c not in TASK_KEY]
-    newest = answers.groupBy(*TASK_KEY).agg(F.max_by(F.struct(*others), "attempt").alias("_a")).select(*TASK_KEY, "_a.*")
-    return newest.join(tasks.select(*TASK_KEY), TASK_KEY, "left_semi").select(*answers.columns)
+    return answers.groupBy(*TASK_KEY).agg(F.max_by(F.struct(*others), "attempt").alias("_a")).select(*TASK_KEY, "_a.*")

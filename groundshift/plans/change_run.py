@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..operators.dedupe import merge_detections
-from ..operators.detector import Detector, detect, detect_stored
+from ..operators.detector import Detector, detect, detect_stored, newest_answers, stored_answers
 from ..operators.frames import explode_tiles, working_frame
 from ..operators.raster import BLOCK, crop_scaled, resize, tile_pieces, warp
 from ..operators.registration import align_status, fit_homography, match_descriptors
@@ -17,6 +17,7 @@ from ..operators.geometry import map_in_place
 from ..operators.report import run_summary
 from ..operators.responses import explode_changes, normalise_changes, parse_responses
 from ..session import ensure_checkpoint_dir
+from ..sources.reports import write_scenes
 
 TILE_FRACTIONS = ["gx", "gy", "gw", "gh"]
 
@@ -61,6 +62,28 @@ def _answers(tasks: DataFrame, make_detector, path: str | None, retry_failed: bo
     return detect_stored(tasks, make_detector, carry, path, retry_failed, **options).drop("attempt")
 
 
+def rerun_failed(
+    pairs: DataFrame, make_detector: Callable[[], Detector], answers: str, changes: str, model: str = "", parallelism: int | None = None,
+) -> ChangeRun:
+    """Call the quarantined tasks of a stored run again and merge only their scenes; the tables of these scenes.
+
+    ``answers`` is the folder of a run by ``run_changes`` over the same pairs, ``changes`` what ``write_scenes`` wrote of it. Tasks whose
+    newest answer is an error or cannot be parsed are called once more, and new changes replace the partitions of their
+    scenes. Other scenes are neither read nor written, and the result equals that of a full run with the same answers: a
+    failed task has no boxes, so a scene that had changes keeps some. Without failed tasks nothing is called or written.
+    """
+    carry = ["scene_id", "task_idx", *TILE_FRACTIONS]
+    tasks = plan_tasks(pairs)
+    ensure_checkpoint_dir(pairs.sparkSession)
+    known = newest_answers(stored_answers(tasks, carry, answers))
+    failed = parse_responses(known).where("failed").select("scene_id", "task_idx").checkpoint()
+    mine = tasks.join(failed.select("scene_id").distinct(), "scene_id", "left_semi")
+    raw = detect_stored(mine, make_detector, carry, answers, retry=failed, parallelism=parallelism).drop("attempt")
+    run = merge_responses(raw.withColumn("model", F.lit(model)))
+    write_scenes(run.changes, changes)
+    return run
+
+
 def align_pairs(pairs: DataFrame, later: DataFrame, earlier: DataFrame) -> DataFrame:
     """Pairs (scene_id, width, height, tgt_w, tgt_h) with working frame, homography and alignment status.
 

@@ -34,3 +34,9 @@ def write_failures(failed: DataFrame, path: str) -> None:
     """Write the quarantine table of failed tasks."""
     columns = [c for c in failed.columns if c != "changes"]
     failed.select(*columns).write.mode("overwrite").parquet(path)
+
+
+def write_scenes(changes: DataFrame, path: str) -> None:
+    """Write changes as Parquet, one partition a scene; the scenes in the table replace theirs, all others keep their files."""
+    writer = changes.repartition("scene_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("scene_id").parquet(path)

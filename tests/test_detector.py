@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from groundshift.plans.change_run import rerun_failed, run_changes
+from groundshift.sources.reports import write_scenes
 from groundshift.operators.detector import detect, detect_stored, python_values, spread_calls
 
 
@@ -155,3 +157,38 @@ def test_no_tasks(spark, tmp_path):
     none = tasks(spark, 0)
     assert detect(none, lambda: str, ["scene_id"]).collect() == []
     assert detect_stored(none, lambda: str, ["scene_id", "task_idx"], str(tmp_path / "answers")).collect() == []
+
+
+def answering(bad=(), garbled=()):
+    """One box a task, in a place of its own; some scenes' second task fails or answers nonsense."""
+    def make():
+        def call(row):
+            if row["task_idx"] == 1 and row["scene_id"] in bad:
+                raise ValueError("down")
+            if row["task_idx"] == 1 and row["scene_id"] in garbled:
+                return "not JSON"
+            box = '{"x": 0.1, "y": 0.2, "w": 0.3, "h": 0.2}'
+            return '{"summary": "s", "changes": [{"type": "new", "category": "building", "description": "d", "confidence": 0.9, "bbox": %s}]}' % box
+        return call
+    return make
+
+
+def test_rerun_merges_touched_scenes_only(spark, tmp_path):
+    pairs = spark.range(6).selectExpr("id as scene_id", "2000 as width", "1500 as height")
+    table = str(tmp_path / "changes")
+    files = lambda: {f.relative_to(table): f.stat().st_mtime_ns for f in (tmp_path / "changes").rglob("*.parquet")}
+    columns = lambda df: sorted(map(str, (r.asDict() for r in df.select(sorted(df.columns)).collect())))
+    first = run_changes(pairs, answering(bad=(2,), garbled=(4,)), answers=str(tmp_path / "answers"))
+    write_scenes(first.changes, table)
+    before = files()
+    rerun_failed(pairs, answering(), str(tmp_path / "answers"), table)
+    after = files()
+    scene = lambda f: f.parts[0]
+    assert {scene(f) for f in set(before) ^ set(after)} == {"scene_id=2", "scene_id=4"}
+    assert all(after[f] == t for f, t in before.items() if scene(f) not in ("scene_id=2", "scene_id=4"))
+    stored = spark.read.parquet(str(tmp_path / "answers"))
+    assert {(r.scene_id, r.task_idx) for r in stored.where("attempt = 2").collect()} == {(2, 1), (4, 1)}
+    full = run_changes(pairs, answering()).changes
+    assert columns(spark.read.parquet(table).withColumn("scene_id", F.col("scene_id").cast("long"))) == columns(full)
+    kept = files()
+    assert rerun_failed(pairs, answering(), str(tmp_path / "answers"), table).changes.count() == 0 and files() == kept
