@@ -57,6 +57,28 @@ def test_scan_and_decode(spark, tmp_path):
     assert (got == colour).all()
 
 
+def test_files_above_the_limit_are_listed_but_never_opened(spark, tmp_path):
+    grey = np.arange(24, dtype=np.uint8).reshape(4, 6)
+    good = tiff(grey, 8)
+    (tmp_path / "good.tif").write_bytes(good)
+    (tmp_path / "broken.tif").write_bytes(good[:20])
+    large = tmp_path / "large.tif"
+    with large.open("wb") as f:
+        f.truncate(1000)
+    decoded = S.decode_images(spark, str(tmp_path), max_bytes=500)
+    # A file that is gone after the listing would fail the job if it were opened.
+    large.unlink()
+    rows = {r.path.rsplit("/", 1)[1]: r for r in decoded.collect()}
+    assert set(rows) == {"good.tif", "broken.tif"} and rows["good.tif"].byte_len == len(good)
+    with large.open("wb") as f:
+        f.truncate(1000)
+    rejected = {r.path.rsplit("/", 1)[1]: r.reject_reason for r in S.rejected_images(spark, str(tmp_path), 500).collect()}
+    assert rejected == {"large.tif": "size 1000 exceeds 500 bytes", "broken.tif": "Image could not be decoded"}
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert S.decode_images(spark, str(empty)).count() == 0 and S.rejected_images(spark, str(empty)).count() == 0
+
+
 def test_size_guard(spark):
     df = spark.createDataFrame([(None,), (157286400,), (157286401,)], "byte_len bigint")
     got = [r.reject_reason for r in S.split_accepted(df).collect()]
