@@ -23,6 +23,8 @@ BLOCK_MATCHES = 4096
 PIVOTS = 64
 # Trials of a scene: with 80 % wrong matches, 2,000 draw a clean sample in 96 % of scenes.
 HYPOTHESES = 2000
+# Fixed value: a scene is done when its support makes it this likely that one of its samples so far was free of wrong matches.
+CONFIDENCE = 0.995
 
 
 def _blocked(keypoints: DataFrame, block: int, prefix: str) -> DataFrame:
@@ -301,12 +303,12 @@ def _equations(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 
 
 def _draws(seed: int, n: int, count: int) -> np.ndarray:
-    """``count`` samples of four different numbers below n, the same at every call."""
-    rng = np.random.default_rng(abs(int(seed)))
+    """``count`` samples of four different numbers below n; more samples begin with the same ones."""
+    chance = np.random.default_rng(abs(int(seed))).random((count, 4))
     picks = np.empty((count, 4), np.int64)
     for i in range(4):
         # A number among those not drawn yet: step over the earlier ones in ascending order.
-        at = rng.integers(0, n - i, count)
+        at = (chance[:, i] * (n - i)).astype(np.int64)
         for earlier in np.sort(picks[:, :i], axis=1).T:
             at += at >= earlier
         picks[:, i] = at
@@ -327,124 +329,178 @@ def _solve(src: np.ndarray, dst: np.ndarray, ts: np.ndarray, td: np.ndarray) ->
     return h
 
 
-def _hypotheses(batches: Iterator[pd.DataFrame], count: int) -> Iterator[pd.DataFrame]:
-    """``count`` homographies per scene; rows hold either all matches or those drawn, four per sample."""
+def _rounds(trials: int) -> list[int]:
+    """Numbers of trials after which a scene may be done; each round costs about as much as all before it, times three."""
+    ends = [trials]
+    while ends[0] > 200:
+        ends.insert(0, ends[0] // 4)
+    return ends
+
+
+def _enough(inliers: int, matches: int, trials: int) -> bool:
+    """Whether ``trials`` samples were enough, given the share of matches that support the best of them."""
+    return (1 - (inliers / matches) ** 4) ** trials <= 1 - CONFIDENCE
+
+
+def _hypotheses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Homographies of large scenes; rows hold the drawn matches of a round, four per sample."""
     for batch in batches:
         rows = []
         for r in batch.itertuples(index=False):
-            src, dst = np.stack([r.sx, r.sy], 1), np.stack([r.dx, r.dy], 1)
             ts, td = _scaling(r.msx, r.msy, r.mss), _scaling(r.mdx, r.mdy, r.mds)
-            if not r.drawn:
-                picks = _draws(r.seed, len(src), count).ravel()
-                src, dst = src[picks], dst[picks]
-            h = _solve(src.reshape(-1, 4, 2), dst.reshape(-1, 4, 2), ts, td)
+            h = _solve(np.stack([r.sx, r.sy], 1).reshape(-1, 4, 2), np.stack([r.dx, r.dy], 1).reshape(-1, 4, 2), ts, td)
             rows.append((r.scene_id, h.ravel(), ts.ravel(), td.ravel()))
         yield pd.DataFrame(rows, columns=["scene_id", "hyps", "ts", "td"])
 
 
-def _all_draws(batches: Iterator[pd.DataFrame], count: int) -> Iterator[pd.DataFrame]:
-    """The numbers of the matches that a scene's samples use: (scene_id, at, number)."""
+def _all_draws(batches: Iterator[pd.DataFrame], first: int, last: int) -> Iterator[pd.DataFrame]:
+    """The numbers of the matches that samples ``first`` to ``last`` of a scene use: (scene_id, at, number)."""
     for batch in batches:
         for r in batch.itertuples(index=False):
-            picks = _draws(r.seed, r.n, count).ravel()
+            picks = _draws(r.seed, r.n, last)[first:].ravel()
             yield pd.DataFrame({"scene_id": r.scene_id, "at": np.arange(len(picks)), "number": picks + 1})
 
 
-def _samples(matches: DataFrame, count: int) -> DataFrame:
-    """What ``_hypotheses`` reads, one row per scene.
-
-    Samples are drawn from all matches of a scene. A scene of one block brings its matches; a larger one numbers
-    them, and only the drawn ones meet in one row, at most four per sample.
-    """
-    key = matches.schema["scene_id"].dataType.simpleString()
-    points = ["sx", "sy", "dx", "dy"]
-    square = lambda x, y: F.avg(F.col(x) * F.col(x) + F.col(y) * F.col(y))
-    stats = matches.groupBy("scene_id").agg(
-        F.count(F.lit(1)).alias("n"), F.xxhash64(F.first("scene_id")).alias("seed"),
-        *[F.avg(p).alias(f"m{p}") for p in points], square("sx", "sy").alias("mss"), square("dx", "dy").alias("mds"),
-    ).where("n >= 4")
-    numbers = [*[f"m{p}" for p in points], "mss", "mds"]
-    row = F.struct("q_id", *points)
-    small = matches.where(F.col("match_count") <= BLOCK_MATCHES).groupBy("scene_id").agg(
-        F.array_sort(F.collect_list(row)).alias("_m")
-    ).withColumn("drawn", F.lit(False))
-    large = matches.where(F.col("match_count") > BLOCK_MATCHES)
-    if not large.isEmpty():
-        wanted = stats.where(F.col("n") > BLOCK_MATCHES).select("scene_id", "seed", "n").mapInPandas(
-            lambda it: _all_draws(it, count), f"scene_id {key}, at bigint, number bigint")
-        numbered = number_rows(large, ["scene_id"], [F.col("q_id").asc(), F.col("t_id").asc()], "number")
-        drawn = numbered.join(wanted, ["scene_id", "number"]).groupBy("scene_id").agg(
-            F.array_sort(F.collect_list(F.struct("at", *points))).alias("_d"))
-        gathered = small.select("scene_id", "drawn", *[F.col(f"_m.{p}").alias(p) for p in points]).unionByName(
-            drawn.select("scene_id", F.lit(True).alias("drawn"), *[F.col(f"_d.{p}").alias(p) for p in points]))
-    else:
-        gathered = small.select("scene_id", "drawn", *[F.col(f"_m.{p}").alias(p) for p in points])
-    return gathered.join(stats.select("scene_id", "seed", *numbers), "scene_id")
-
-
 def _inliers(h: np.ndarray, src: np.ndarray, dst: np.ndarray, threshold: float) -> np.ndarray:
     with np.errstate(all="ignore"):
         error = ((_apply(h, src) - dst) ** 2).sum(-1)
     return error <= threshold ** 2
 
 
+def _counts(h: np.ndarray, src: np.ndarray, dst: np.ndarray, threshold: float) -> np.ndarray:
+    """Matches within the threshold of each homography; some homographies at a time bound the temporary arrays."""
+    return np.concatenate([_inliers(h[at:at + 128], src, dst, threshold).sum(1) for at in range(0, len(h), 128)])
+
+
+def _normal(rough: np.ndarray, src: np.ndarray, dst: np.ndarray, ts: np.ndarray, td: np.ndarray, threshold: float) -> np.ndarray:
+    """Normal equations of the matches that support ``rough``."""
+    good = _inliers(rough.reshape(1, 3, 3), src, dst, threshold)[0]
+    a = _equations(_apply(ts, src[good]), _apply(td, dst[good]))
+    return a.T @ a
+
+
+def _refined(product: np.ndarray, rough: np.ndarray, ts: np.ndarray, td: np.ndarray) -> np.ndarray:
+    """The least-squares homography of normal equations."""
+    fine = np.linalg.eigh(product)[1][:, 0].reshape(3, 3)
+    h = np.linalg.inv(td) @ fine @ ts
+    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else rough.reshape(3, 3)
+
+
+def _best_sample(
+    src: np.ndarray, dst: np.ndarray, ts: np.ndarray, td: np.ndarray, seed: int, threshold: float, trials: int
+) -> tuple[int, np.ndarray, int]:
+    """Support, homography and number of the trials of one scene, which end as soon as they are enough."""
+    best, rough, done = 0, None, 0
+    for end in _rounds(trials):
+        picks = _draws(seed, len(src), end)[done:].ravel()
+        h = _solve(src[picks].reshape(-1, 4, 2), dst[picks].reshape(-1, 4, 2), ts, td).reshape(-1, 3, 3)
+        count = _counts(h, src, dst, threshold)
+        at, done = int(count.argmax()), end
+        if count[at] > best:
+            best, rough = int(count[at]), h[at]
+        if _enough(best, len(src), done):
+            break
+    return best, rough, done
+
+
 def fit_homography(
     matches: DataFrame, threshold: float = K.RANSAC_PX, hypotheses: int = HYPOTHESES, store: bool = True
 ) -> DataFrame:
-    """Homography (later to earlier) per scene by random sample consensus, refined on its inliers.
+    """Homography (later to earlier) per scene by random sample consensus, refined on its inliers, and its ``trials``.
+
+    ``matches`` comes from ``match_gate``. Samples are drawn deterministically from all matches of a scene, in growing rounds; a
+    scene ends with the round after which, at the share of matches that support its best sample, one sample is free of wrong
+    matches with probability ``CONFIDENCE``, at ``hypotheses`` samples the latest. Support is counted over all matches. A scene of up to
+    one block of matches is fitted in one row; larger ones are counted in blocks, so a scene of any size spreads over tasks.
+    The refinement is a least-squares fit from summed normal equations. Scenes without a usable sample give no row. Matches are read
+    several times, so they are checkpointed here unless ``store`` is False.
+    """
+    ensure_checkpoint_dir(matches.sparkSession)
+    matches = matches.checkpoint() if store else matches
+    small = _fit_rows(matches.where(F.col("match_count") <= BLOCK_MATCHES), threshold, hypotheses)
+    large = matches.where(F.col("match_count") > BLOCK_MATCHES)
+    return small if large.isEmpty() else small.unionByName(_fit_blocks(large, threshold, hypotheses))
+
+
+def _fit_rows(matches: DataFrame, threshold: float, trials: int) -> DataFrame:
+    """Fits of scenes whose matches lie in one row each."""
+    key = matches.schema["scene_id"].dataType.simpleString()
+    points = ["sx", "sy", "dx", "dy"]
+    rows = matches.groupBy("scene_id").agg(
+        F.xxhash64(F.first("scene_id")).alias("seed"), F.array_sort(F.collect_list(F.struct("q_id", *points))).alias("_m"),
+    ).select("scene_id", "seed", *[F.col(f"_m.{p}").alias(p) for p in points])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                src, dst = np.stack([r.sx, r.sy], 1), np.stack([r.dx, r.dy], 1)
+                if len(src) < 4:
+                    continue
+                ts, td = (_scaling(*p.mean(0), (p ** 2).sum(1).mean()) for p in (src, dst))
+                inliers, rough, done = _best_sample(src, dst, ts, td, r.seed, threshold, trials)
+                if inliers >= 4:
+                    h = _refined(_normal(rough, src, dst, ts, td, threshold), rough, ts, td)
+                    out.append((r.scene_id, h.ravel(), inliers, done))
+            yield pd.DataFrame(out, columns=["scene_id", "homography", "inliers", "trials"])
+
+    return rows.mapInPandas(fit, f"scene_id {key}, homography array<double>, inliers bigint, trials int")
 
-    ``matches`` comes from ``match_gate``. Samples are drawn deterministically from all matches of a scene; support
-    is counted over all matches, in blocks, so a scene of any size spreads over tasks. The refinement is a least-squares fit from summed normal equations. Scenes
-    without a usable sample give no row. Matches are read three times, so they are checkpointed here
-    unless ``store`` is False.
+
+def _fit_blocks(matches: DataFrame, threshold: float, trials: int) -> DataFrame:
+    """Fits of scenes of many blocks of matches.
+
+    Matches are numbered once; in a round only the drawn ones of the scenes that are still open meet in one row, four per sample, and
+    their homographies meet all blocks. What a round decided is written, so the next one reads open scenes only.
     """
-    if store:
-        ensure_checkpoint_dir(matches.sparkSession)
-        matches = matches.checkpoint()
     key = matches.schema["scene_id"].dataType.simpleString()
     points = ["sx", "sy", "dx", "dy"]
-    hyps = _samples(matches, hypotheses).mapInPandas(
-        lambda it: _hypotheses(it, hypotheses),
-        f"scene_id {key}, hyps array<double>, ts array<double>, td array<double>",
-    )
-    blocks = (
-        matches.withColumn("n_blk", F.ceil(F.col("match_count") / BLOCK_MATCHES))
-        .withColumn("blk", F.pmod(F.xxhash64("q_id"), F.col("n_blk")))
-        .groupBy("scene_id", "blk", "n_blk").agg(
-            F.array_sort(F.collect_list(F.struct("q_id", *points))).alias("_m"))
-        .select("scene_id", "n_blk", *[F.col(f"_m.{p}").alias(p) for p in points])
-    )
+    square = lambda x, y: F.avg(F.col(x) * F.col(x) + F.col(y) * F.col(y))
+    numbers = [*[f"m{p}" for p in points], "mss", "mds"]
+    stats = matches.groupBy("scene_id").agg(
+        F.count(F.lit(1)).alias("n"), F.xxhash64(F.first("scene_id")).alias("seed"),
+        *[F.avg(p).alias(f"m{p}") for p in points], square("sx", "sy").alias("mss"), square("dx", "dy").alias("mds"),
+    ).checkpoint()
+    numbered = number_rows(matches, ["scene_id"], [F.col("q_id").asc(), F.col("t_id").asc()], "number").select(
+        "scene_id", "number", *points).checkpoint()
+    blocks = numbered.withColumn("blk", F.floor((F.col("number") - 1) / BLOCK_MATCHES)).groupBy("scene_id", "blk").agg(
+        F.array_sort(F.collect_list(F.struct("number", *points))).alias("_m")
+    ).select("scene_id", *[F.col(f"_m.{p}").alias(p) for p in points])
 
     def support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 src, dst = np.stack([r.sx, r.sy], 1), np.stack([r.dx, r.dy], 1)
                 h = np.asarray(r.hyps).reshape(-1, 3, 3)
-                # Some hypotheses at a time bound the temporary arrays.
-                count = np.concatenate([
-                    _inliers(h[at:at + 128], src, dst, threshold).sum(1) for at in range(0, len(h), 128)
-                ])
-                # A scene in one block needs only its winner; otherwise blocks are added up first.
-                keep = [int(count.argmax())] if r.n_blk == 1 else list(range(len(h)))
-                yield pd.DataFrame({
-                    "scene_id": r.scene_id, "hyp": keep, "count": count[keep], "rough": list(h[keep].reshape(-1, 9)),
-                    "ts": [r.ts] * len(keep), "td": [r.td] * len(keep),
-                })
-
-    counts = blocks.join(hyps, "scene_id").mapInPandas(
-        support,
-        f"scene_id {key}, hyp int, count bigint, rough array<double>, ts array<double>, td array<double>",
-    )
-    # The winner carries its numbers along, so the hypotheses are computed and read once.
-    winner = (
-        counts.groupBy("scene_id", "hyp").agg(
-            F.sum("count").alias("count"), *[F.first(c).alias(c) for c in ("rough", "ts", "td")])
-        .groupBy("scene_id").agg(
-            F.max(F.struct("count", (-F.col("hyp")).alias("neg"), "rough", "ts", "td")).alias("_b"))
-        .where(F.col("_b.count") >= 4)
-        .select("scene_id", F.col("_b.count").alias("inliers"), "_b.rough", "_b.ts", "_b.td")
-    )
+                yield pd.DataFrame({"scene_id": r.scene_id, "hyp": np.arange(len(h)), "part": _counts(h, src, dst, threshold)})
 
+    types = "hyps array<double>, ts array<double>, td array<double>"
+    open_scenes, best, first = stats, None, 0
+    for last in _rounds(trials):
+        wanted = open_scenes.select("scene_id", "seed", "n").mapInPandas(
+            lambda it, a=first, b=last: _all_draws(it, a, b), f"scene_id {key}, at bigint, number bigint")
+        drawn = numbered.join(wanted, ["scene_id", "number"]).groupBy("scene_id").agg(
+            F.array_sort(F.collect_list(F.struct("at", *points))).alias("_d"))
+        hyps = drawn.select("scene_id", *[F.col(f"_d.{p}").alias(p) for p in points]).join(
+            open_scenes.select("scene_id", *numbers), "scene_id").mapInPandas(_hypotheses, f"scene_id {key}, {types}").checkpoint()
+        counts = blocks.join(hyps.select("scene_id", "hyps"), "scene_id").mapInPandas(
+            support, f"scene_id {key}, hyp int, part bigint").groupBy("scene_id", "hyp").agg(F.sum("part").alias("count"))
+        winner = counts.groupBy("scene_id").agg(F.max(F.struct("count", (-F.col("hyp")).alias("neg"))).alias("_b")).join(
+            hyps, "scene_id").select(
+            "scene_id", F.col("_b.count").alias("inliers"), F.lit(last).alias("trials"),
+            F.slice("hyps", 1 - 9 * F.col("_b.neg"), F.lit(9)).alias("rough"), "ts", "td")
+        # Of equal support the earlier sample stays; its scene has come as far as this round all the same.
+        both = winner if best is None else winner.unionByName(best)
+        best = both.groupBy("scene_id").agg(
+            F.max_by(F.struct("inliers", "rough", "ts", "td"), F.struct("inliers", -F.col("trials"))).alias("_w"), F.max("trials").alias("trials"),
+        ).select("scene_id", "trials", "_w.*").checkpoint()
+        share = F.col("inliers") / F.col("n")
+        missed = F.pow(1 - F.pow(share, F.lit(4)), F.lit(last))
+        open_scenes = open_scenes.join(best.select("scene_id", "inliers"), "scene_id", "left").where(
+            F.coalesce(missed > 1 - CONFIDENCE, F.lit(True))).drop("inliers").checkpoint()
+        first = last
+        if open_scenes.isEmpty():
+            break
     upper = [(i, j) for i in range(9) for j in range(i, 9)]
 
     def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -452,21 +508,15 @@ def fit_homography(
             out = []
             for r in batch.itertuples(index=False):
                 src, dst = np.stack([r.sx, r.sy], 1), np.stack([r.dx, r.dy], 1)
-                good = _inliers(np.asarray(r.rough).reshape(1, 3, 3), src, dst, threshold)[0]
                 ts, td = np.asarray(r.ts).reshape(3, 3), np.asarray(r.td).reshape(3, 3)
-                a = _equations(_apply(ts, src[good]), _apply(td, dst[good]))
-                product = a.T @ a
-                out.append((r.scene_id, r.inliers, r.rough, r.ts, r.td, [product[i, j] for i, j in upper]))
-            yield pd.DataFrame(out, columns=["scene_id", "inliers", "rough", "ts", "td", "part"])
-
-    parts = blocks.join(winner, "scene_id").mapInPandas(
-        normal,
-        f"scene_id {key}, inliers bigint, rough array<double>, ts array<double>, td array<double>, part array<double>",
-    )
-    sums = parts.groupBy("scene_id").agg(
-        *[F.first(c).alias(c) for c in ("inliers", "rough", "ts", "td")],
-        F.array(*[F.sum(F.get("part", F.lit(i))) for i in range(len(upper))]).alias("total"),
-    )
+                product = _normal(np.asarray(r.rough), src, dst, ts, td, threshold)
+                out.append((r.scene_id, [product[i, j] for i, j in upper]))
+            yield pd.DataFrame(out, columns=["scene_id", "part"])
+
+    supported = best.where("inliers >= 4")
+    sums = blocks.join(supported.select("scene_id", "rough", "ts", "td"), "scene_id").mapInPandas(
+        normal, f"scene_id {key}, part array<double>").groupBy("scene_id").agg(
+        F.array(*[F.sum(F.get("part", F.lit(i))) for i in range(len(upper))]).alias("total")).join(supported, "scene_id")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -475,13 +525,11 @@ def fit_homography(
                 product = np.zeros((9, 9))
                 for (i, j), value in zip(upper, r.total):
                     product[i, j] = product[j, i] = value
-                fine = np.linalg.eigh(product)[1][:, 0].reshape(3, 3)
-                h = np.linalg.inv(np.asarray(r.td).reshape(3, 3)) @ fine @ np.asarray(r.ts).reshape(3, 3)
-                h = h / h[2, 2] if abs(h[2, 2]) > 1e-12 else np.asarray(r.rough).reshape(3, 3)
-                out.append((r.scene_id, h.ravel(), r.inliers))
-            yield pd.DataFrame(out, columns=["scene_id", "homography", "inliers"])
+                h = _refined(product, np.asarray(r.rough), np.asarray(r.ts).reshape(3, 3), np.asarray(r.td).reshape(3, 3))
+                out.append((r.scene_id, h.ravel(), r.inliers, r.trials))
+            yield pd.DataFrame(out, columns=["scene_id", "homography", "inliers", "trials"])
 
-    return sums.mapInPandas(solve, f"scene_id {key}, homography array<double>, inliers bigint")
+    return sums.mapInPandas(solve, f"scene_id {key}, homography array<double>, inliers bigint, trials int")
 
 
 def project_points(points: DataFrame, x: str = "x", y: str = "y", homography: str = "homography") -> DataFrame:

@@ -94,10 +94,71 @@ def test_many_matches_and_outliers(spark):
     assert fit.inliers >= 0.99 * (~wrong).sum()
 
 
+def _plain_trials(src, dst, seed, trials):
+    """Support after each trial, one homography at a time."""
+    ts, td = (REG._scaling(*p.mean(0), (p ** 2).sum(1).mean()) for p in (src, dst))
+    best, seen = 0, []
+    for pick in REG._draws(seed, len(src), trials):
+        h = REG._solve(src[pick][None], dst[pick][None], ts, td).reshape(1, 3, 3)
+        best = max(best, int(REG._inliers(h, src, dst, 5.0).sum()))
+        seen.append(best)
+    return seen
+
+
+@pytest.mark.parametrize("wrong", [0.0, 0.3, 0.6, 0.97])
+def test_trials_end_when_they_are_enough(spark, monkeypatch, wrong):
+    """A scene in one row and the same scene in blocks take the same trials; clean scenes take few, hopeless ones all."""
+    rng = np.random.default_rng(7)
+    n = 400
+    src = rng.random((n, 2)) * 1000
+    q = np.c_[src, np.ones(n)] @ H.T
+    dst = q[:, :2] / q[:, 2:]
+    bad = rng.random(n) < wrong
+    dst[bad] = rng.random((int(bad.sum()), 2)) * 1000
+    rows = [(5, i, i, *map(float, (*src[i], *dst[i])), n) for i in range(n)]
+    matches = spark.createDataFrame(
+        rows, "scene_id int, q_id bigint, t_id bigint, sx double, sy double, dx double, dy double, match_count bigint")
+    seed = matches.selectExpr("xxhash64(scene_id) as seed").first().seed
+    seen = _plain_trials(src, dst, seed, REG.HYPOTHESES)
+    ends = [e for e in REG._rounds(REG.HYPOTHESES) if REG._enough(seen[e - 1], n, e)]
+    want = ends[0] if ends else REG.HYPOTHESES
+    one = REG.fit_homography(matches).first()
+    assert (one.trials, one.inliers) == (want, seen[want - 1])
+    monkeypatch.setattr(REG, "BLOCK_MATCHES", 64)
+    many = REG.fit_homography(matches).first()
+    assert (many.trials, many.inliers) == (one.trials, one.inliers)
+    if wrong < 0.9:
+        assert one.inliers >= 0.98 * (~bad).sum() and np.allclose(one.homography, many.homography, atol=1e-6, rtol=1e-6)
+    assert (one.trials == REG._rounds(REG.HYPOTHESES)[0]) == (wrong <= 0.3)
+
+
+def test_scenes_of_all_sizes_and_hopeless_ones(spark, monkeypatch):
+    """Scenes in one row, in blocks, decided early or late and without any fit stand side by side."""
+    monkeypatch.setattr(REG, "BLOCK_MATCHES", 100)
+    rng = np.random.default_rng(9)
+    rows = []
+    for scene, (n, wrong) in enumerate([(60, 0.0), (300, 0.0), (300, 0.7), (40, 1.0), (300, 1.0)]):
+        src = np.zeros((n, 2)) if wrong == 1 else rng.random((n, 2)) * 1000
+        q = np.c_[src, np.ones(n)] @ H.T
+        dst = q[:, :2] / q[:, 2:]
+        bad = rng.random(n) < wrong
+        dst[bad] = rng.random((int(bad.sum()), 2)) * 1000
+        rows += [(scene, i, i, *map(float, (*src[i], *dst[i])), n) for i in range(n)]
+    matches = spark.createDataFrame(
+        rows, "scene_id int, q_id bigint, t_id bigint, sx double, sy double, dx double, dy double, match_count bigint")
+    fits = {r.scene_id: r for r in REG.fit_homography(matches).collect()}
+    assert set(fits) == {0, 1, 2}  # all points in one place determine nothing
+    assert fits[0].trials == fits[1].trials < fits[2].trials
+    for r in fits.values():
+        assert np.allclose(np.array(r.homography).reshape(3, 3), H, atol=1e-3, rtol=1e-2)
+    assert REG.fit_homography(matches.where("false")).count() == 0
+
+
 def test_samples_hold_four_different_matches():
     picks = REG._draws(3, 4, 500)
     assert all(sorted(p) == [0, 1, 2, 3] for p in picks.tolist())
     wide = REG._draws(3, 10**9, 500)
+    assert (REG._draws(3, 10**9, 2000)[:500] == wide).all()
     assert len({tuple(p) for p in wide.tolist()}) == 500 and wide.max() > 9 * 10**8
 
 
