@@ -7,6 +7,9 @@ many rows, keyed by place, so no scene is bound to one task.
 
 from __future__ import annotations
 
+import base64
+import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import KEPT_BANDS
 from ..functions.pixels import stretch_u8, to_grey, u16_to_u8
+from .detector import python_values
 
 BLOCK = 64
 # Source blocks in the box around an output block's corners beyond which its pixels are looked up.
@@ -416,6 +420,50 @@ def tile_pieces(crops: DataFrame) -> DataFrame:
     return crops.groupBy("scene_id", "task_idx").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
 
 
+def png(samples: np.ndarray) -> bytes:
+    """An eight-bit PNG file of samples (rows, columns, bands) with one or three bands."""
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    h, w, bands = samples.shape
+    lines = np.zeros((h, 1 + w * bands), np.uint8)
+    lines[:, 1:] = samples.reshape(h, -1)
+    head = struct.pack(">IIBBBBB", w, h, 8, 2 if bands == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def tile_images(tasks: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Add ``reference`` and ``target``, the earlier and later image of a task as PNG data URLs, in place of ``pieces``.
+
+    ``tasks`` has out_w, out_h and the pieces of ``crop_scaled``, with samples of 0 to 255 (others are clipped). Three bands give a
+    colour image, fewer a grey one of the first; places without a piece are black, and a date without any piece has no image.
+    """
+    kept = [c for c in tasks.columns if c != "pieces"]
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tasks.select(*kept).schema.fields)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls = {"earlier": [], "later": []}
+            columns = [batch.column(n).to_pylist() for n in ("out_w", "out_h")]
+            # One row at a time becomes Python values: a batch may hold many tiles.
+            for i, (w, h) in enumerate(zip(*columns)):
+                pieces = python_values(batch.column("pieces").slice(i, 1))[0] or []
+                for epoch, out in urls.items():
+                    mine = [p for p in pieces if p["epoch"] == epoch]
+                    bands = 3 if any(p["band"] == 2 for p in mine) else 1
+                    image = np.zeros((h, w, bands), np.uint8)
+                    for p in mine:
+                        if p["band"] < bands:
+                            y, x = p["by"] * size, p["bx"] * size
+                            part = np.clip(np.nan_to_num(p["v"]), 0, 255).reshape(p["bh"], p["bw"])
+                            image[y:y + p["bh"], x:x + p["bw"], p["band"]] = part
+                    out.append("data:image/png;base64," + base64.b64encode(png(image)).decode() if mine else None)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in kept), *(pa.array(u, pa.string()) for u in urls.values())], names=[*kept, "reference", "target"])
+
+    return tasks.mapInArrow(encode, f"{types}, reference string, target string")
+
+
 def warp(
     blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "later", rounded: bool = True, affine: bool = False,
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
+from ..functions.text import data_url_parts, first_text
 from ..operators.dedupe import merge_detections
 from ..operators.detector import Detector, detect, detect_stored, newest_answers, stored_answers
 from ..operators.frames import explode_tiles, working_frame
@@ -15,7 +16,9 @@ from ..operators.raster import BLOCK, crop_scaled, resize, tile_pieces, warp
 from ..operators.registration import align_status, fit_homography, match_descriptors
 from ..operators.geometry import map_in_place
 from ..operators.report import run_summary
-from ..operators.responses import explode_changes, normalise_changes, parse_responses
+from ..operators.responses import (
+    RequestText, build_requests, classify_errors, explode_changes, normalise_changes, parse_responses, resolve_model, validate_requests,
+)
 from ..session import ensure_checkpoint_dir
 from ..sources.reports import write_scenes
 
@@ -54,8 +57,8 @@ def run_changes(
     return merge_responses(raw.withColumn("model", F.lit(model)), store)
 
 
-def _answers(tasks: DataFrame, make_detector, path: str | None, retry_failed: bool, **options) -> DataFrame:
-    carry = ["scene_id", "task_idx", *TILE_FRACTIONS]
+def _answers(tasks: DataFrame, make_detector, path: str | None, retry_failed: bool, more: tuple[str, ...] = (), **options) -> DataFrame:
+    carry = ["scene_id", "task_idx", *TILE_FRACTIONS, *more]
     if path is None:
         return detect(tasks, make_detector, carry, **options)
     options.pop("calls", None)
@@ -117,14 +120,58 @@ def run_images(
     size. Answers that fail are kept with their error, see ``merge_responses``; ``answers`` and ``retry_failed`` are those of
     ``run_changes``, and ``tiling`` those of ``explode_tiles``.
     """
+    tasks, tiles = image_tasks(pairs, blocks, later, earlier, size, **tiling)
+    # Tiles are counted without their pixels.
+    raw = _answers(tasks, make_detector, answers, retry_failed, parallelism=parallelism, calls=None if answers else tiles.count())
+    return merge_responses(raw.withColumn("model", F.lit(model)))
+
+
+def image_tasks(
+    pairs: DataFrame, blocks: DataFrame, later: DataFrame, earlier: DataFrame, size: int = BLOCK, **tiling,
+) -> tuple[DataFrame, DataFrame]:
+    """Detector tasks with the ``pieces`` of their aligned, reduced tiles, and the tiles alone; arguments as for ``run_images``."""
     aligned = align_pairs(pairs, later, earlier)
     as_earlier = aligned.withColumns({"tgt_w": F.col("width"), "tgt_h": F.col("height")}).drop("homography")
     scene = warp(blocks, aligned, size, "later").unionByName(resize(blocks, as_earlier, size, "earlier"))
     tiles = explode_tiles(aligned.select("scene_id", "work_w", "work_h"), **tiling)
-    tasks = tiles.join(tile_pieces(crop_scaled(scene, tiles, size)), ["scene_id", "task_idx"], "left")
-    # Tiles are counted without their pixels.
-    raw = _answers(tasks, make_detector, answers, retry_failed, parallelism=parallelism, calls=None if answers else tiles.count())
-    return merge_responses(raw.withColumn("model", F.lit(model)))
+    return tiles.join(tile_pieces(crop_scaled(scene, tiles, size)), ["scene_id", "task_idx"], "left"), tiles
+
+
+def run_requests(
+    tasks: DataFrame,
+    providers: DataFrame,
+    default_provider: str,
+    make_send: Callable[[], Callable[[str], str]],
+    lang: str | None = None,
+    text: RequestText | None = None,
+    parallelism: int | None = None,
+    answers: str | None = None,
+    retry_failed: bool = False,
+) -> ChangeRun:
+    """Ask a model service about tiles and merge its answers.
+
+    ``tasks`` are tiles with both images as data URLs, ``reference`` and ``target``, and the wanted ``provider`` and ``model``, which are
+    resolved against ``providers`` as ``resolve_model`` does. ``make_send`` returns a callable from the request, as JSON text, to the
+    body of the response, whose first text block is the answer; any other body is an empty answer, which fails to parse.
+    Tiles without two images, or with something else than image data URLs, are failed rows and nothing is sent. Responses
+    carry the resolved model and ``error_class``. ``answers`` and ``retry_failed`` are those of ``run_changes``.
+    """
+    def make_detector() -> Detector:
+        send = make_send()
+        return lambda row: send(row["request_json"])
+
+    key = ["scene_id", "task_idx", *TILE_FRACTIONS]
+    checked = validate_requests(tasks).withColumns({"earlier": data_url_parts(F.col("reference")), "later": data_url_parts(F.col("target"))})
+    unreadable = F.when(F.col("earlier").isNull() | F.col("later").isNull(), "image data URLs are required")
+    resolved = resolve_model(checked.withColumn("reject_reason", F.coalesce("reject_reason", unreadable)), providers, default_provider)
+    good = build_requests(resolved.where("reject_reason is null").withColumn("model", F.col("resolved_model")), lang, text)
+    sent = _answers(good.select(*key, "model", "request_json"), make_detector, answers, retry_failed, ("model",), parallelism=parallelism)
+    body = F.from_json("raw_text", "content array<struct<type: string, text: string>>")
+    raw = sent.withColumn("raw_text", F.when(F.col("error").isNull(), first_text(body["content"])))
+    rejected = resolved.where("reject_reason is not null").select(
+        *key, F.col("resolved_model").alias("model"), F.lit(None).cast("string").alias("raw_text"), F.col("reject_reason").alias("error"))
+    every = raw.unionByName(rejected).withColumn("http_status", F.lit(None).cast("int"))
+    return merge_responses(classify_errors(every).drop("http_status"))
 
 
 def merge_responses(raw: DataFrame, store: bool = True) -> ChangeRun:
