@@ -487,4 +487,12 @@ ORACLES: dict[str, str] = {
           cast(case when scene_id % 3 <> 0 and code % 5 <> 0 then 1 else 2 end as bigint) as attempt from coded""",
     "e1_run_changes": f"{RUN_ALL} select scene_id, n, change_type, confidence, description, x, y, w, h from merged",
     "e2_run_summary": f"{RUN_ALL} select scene_id, summary, model, n_changes, n_tasks, n_failed, first_error, status from run",
+    "e4_run_requests": """with coded as (select doc_id as scene_id, doc_id % 7 as code, coalesce(text, '') as whole from documents)
+        select scene_id, case code when 3 then 's-one' when 4 then 'n-small' else 'n-large' end as model, code in (1, 2, 3) as failed,
+          case when code = 3 then 'auth' when code in (1, 2) then 'other' end as error_class,
+          case code when 1 then 'reference and target are required' when 2 then 'image data URLs are required'
+            when 3 then '403 for this model' end as failure,
+          case when code not in (1, 2, 3) then
+            concat(length(base64(encode(whole))), ' and ', length(base64(encode(array_to_string(list_slice(string_split(whole, ''), 1, 10), ''))))) end
+            as description from coded""",
 }

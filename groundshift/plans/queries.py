@@ -25,7 +25,7 @@ from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import images as S
 from ..sources.reports import report_rows
 from . import fixtures as fx
-from .change_run import run_changes, run_images
+from .change_run import run_changes, run_images, run_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -804,3 +804,38 @@ def r4_resize_earlier(spark, sf):
     frames = fx.raster_pairs(spark, sf, 16, 12)
     blocks = R.to_blocks(fx.dated_pixels(spark, sf), fx.RASTER_BLOCK)
     return _checksum(R.resize(blocks, frames, fx.RASTER_BLOCK, "earlier"))
+
+
+def make_service_stub():
+    """A model service that reports the sizes of both images of a request, and refuses models of one provider."""
+    def send(request: str) -> str:
+        asked = json.loads(request)
+        if asked["model"] == "s-one":
+            raise PermissionError("403 for this model")
+        blocks = asked["messages"][0]["content"]
+        before, after = (len(b["source"]["data"]) for b in blocks if b["type"] == "image")
+        change = {"category": "plot", "change_type": "modified", "description": f"{before} and {after}", "confidence": "low", "bbox": [0, 0, 1, 1]}
+        answer = json.dumps({"summary": "", "changes": [change]})
+        return json.dumps({"content": [{"type": "text", "text": f" ```json\n{answer}\n``` "}]})
+
+    return send
+
+
+@query
+def e4_run_requests(spark, sf):
+    """Every document is a scene of one tile, its text and its first ten characters the two images."""
+    def image(text):
+        return X.to_data_url(F.encode(text, "utf-8"), "image/png")
+
+    code = F.col("doc_id") % 7
+    whole = F.coalesce("text", F.lit(""))
+    tasks = fx.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("scene_id"), F.lit(0).alias("task_idx"),
+        *[F.lit(v).alias(n) for n, v in (("gx", 0.0), ("gy", 0.0), ("gw", 1.0), ("gh", 1.0))],
+        F.when(code != 1, image(whole)).alias("reference"),
+        F.when(code == 2, F.lit("no image")).otherwise(image(F.left(whole, F.lit(10)))).alias("target"),
+        F.when(code == 3, F.lit("south")).alias("provider"), F.when(code == 4, F.lit("n-small")).alias("model"),
+    )
+    run = run_requests(tasks, _providers(spark), "north", make_service_stub, "de")
+    found = run.changes.select("scene_id", "description")
+    return run.responses.join(found, "scene_id", "left").select("scene_id", "model", "failed", "error_class", "failure", "description")
