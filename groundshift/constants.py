@@ -34,6 +34,10 @@ DEFAULT_CHANGE_TYPE = "modified"
 DEFAULT_CONFIDENCE = "medium"
 UNKNOWN_ERROR = "unknown error"
 
+# --- fixed values: the sentence of runs without a summary, in four parts around the counts of changes and regions, and its plural ending
+COUNTED_NOUN, COUNTED_PLURAL = " change", "s"
+COUNTED_VERB, COUNTED_END = " detected across ", " regions."
+
 # --- fixed values: patterns ----------------------------------------------------------
 # Characters that web string trimming and the response pattern treat as white space.
 WEB_SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -59,8 +63,8 @@ LABELS = [
     ("en", "report.heading", "Change report ({n})"),
     ("en", "report.headingOf", "Change report ({n} of {total})"),
     ("en", "error.someFailed",
-     "{failed} of {total} regions failed — results may be incomplete. Error: {err}"),
-    ("en", "error.allFailed", "{failed} of {total} regions failed. Error: {err}"),
+     "No usable answer for {failed} of the {total} tiles, so changes may be missing. First problem: {err}"),
+    ("en", "error.allFailed", "None of the {total} tiles gave a usable answer ({failed} failures). First problem: {err}"),
     ("de", "type.added", "hinzugefügt"),
     ("de", "type.removed", "entfernt"),
     ("de", "type.modified", "verändert"),
@@ -75,6 +79,6 @@ LABELS = [
     ("de", "report.heading", "Veränderungsbericht ({n})"),
     ("de", "report.headingOf", "Veränderungsbericht ({n} von {total})"),
     ("de", "error.someFailed",
-     "{failed} von {total} Regionen fehlgeschlagen — Ergebnisse evtl. unvollständig. Fehler: {err}"),
-    ("de", "error.allFailed", "{failed} von {total} Regionen fehlgeschlagen. Fehler: {err}"),
+     "Zu {failed} von {total} Kacheln fehlt eine brauchbare Antwort, Veränderungen können fehlen. Erstes Problem: {err}"),
+    ("de", "error.allFailed", "Zu keiner der {total} Kacheln kam eine brauchbare Antwort ({failed} Fehler). Erstes Problem: {err}"),
 ]

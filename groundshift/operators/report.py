@@ -91,8 +91,8 @@ def run_summary(responses: DataFrame, changes: DataFrame) -> DataFrame:
     merged = changes.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_changes"))
     n = F.coalesce("n_changes", F.lit(0).cast("bigint"))
     counted = F.concat(
-        n.cast("string"), F.lit(" change"), F.when(n == 1, "").otherwise("s"),
-        F.lit(" detected across "), F.col("n_tasks").cast("string"), F.lit(" regions."),
+        n.cast("string"), F.lit(K.COUNTED_NOUN), F.when(n == 1, "").otherwise(K.COUNTED_PLURAL),
+        F.lit(K.COUNTED_VERB), F.col("n_tasks").cast("string"), F.lit(K.COUNTED_END),
     )
     failed = F.col("n_failed") > 0
     return tasks.join(merged, "scene_id", "left").select(

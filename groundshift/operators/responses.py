@@ -59,6 +59,9 @@ class RequestText:
     )
 
 
+# The field names of the schema and of the request are those of the wire format.
+
+
 def response_schema() -> dict:
     """JSON schema the detector is asked to follow."""
     change = {
