@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions.boxes import BOX_TYPE, box, iou, to_percent, to_pixels, to_scene
 from ..session import ensure_checkpoint_dir
-from .skew import crowded_parts, deal_parts
+from .skew import crowded_parts, deal_parts, shuffled
 
 BOX_FIELDS = list("xywh")
 
@@ -17,11 +17,11 @@ BOX_FIELDS = list("xywh")
 def map_to_global(det: DataFrame, tiles: DataFrame) -> DataFrame:
     """Replace tile-local x, y, w, h by scene coordinates.
 
-    Joins on (scene_id, task_idx) with only the four tile fractions on the right. Rows that carry
+    Joins on (scene_id, task_idx) by shuffle, with only the four tile fractions on the right. Rows that carry
     gx, gy, gw, gh already should use ``map_in_place``, which needs no join.
     """
     fractions = tiles.select("scene_id", "task_idx", "gx", "gy", "gw", "gh")
-    return map_in_place(det.join(fractions, ["scene_id", "task_idx"]))
+    return map_in_place(det.join(shuffled(fractions), ["scene_id", "task_idx"]))
 
 
 def map_in_place(det: DataFrame) -> DataFrame:

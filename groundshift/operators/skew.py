@@ -13,6 +13,14 @@ HOT_ROWS = 4096
 BROADCAST_KEYS = 100_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Mark a side of a join whose size Spark cannot know, because explodes or Python steps multiply its rows.
+
+    Such a side looks as small as the table it comes from and would be collected on the driver to be broadcast.
+    """
+    return df.hint("merge")
+
+
 @dataclass
 class HotSplit:
     """Rows of ordinary keys, and rows of keys above the limit (None when there are none)."""

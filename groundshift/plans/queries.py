@@ -21,6 +21,7 @@ from ..operators import registration as REG
 from ..operators import report as REP
 from ..operators import responses as RE
 from ..operators.detector import detect, detect_stored
+from ..operators.skew import shuffled
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import images as S
 from ..sources.reports import report_rows
@@ -253,7 +254,7 @@ def g8_map_to_global(spark, sf):
     # Every box gets a scene and a task that exist.
     sizes = tiles.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_tasks"))
     n_scenes = fx.table(spark, sf, "part").count()
-    det = fx.detections(spark, sf).withColumn("scene_id", F.col("scene_id") % n_scenes).join(sizes, "scene_id")
+    det = fx.detections(spark, sf).withColumn("scene_id", F.col("scene_id") % n_scenes).join(shuffled(sizes), "scene_id")
     det = det.withColumn("task_idx", (F.col("det_id") % F.col("n_tasks")).cast("int")).drop("n_tasks")
     return G.map_to_global(det, tiles).select("det_id", "scene_id", bigint("task_idx"), *"xywh")
 
