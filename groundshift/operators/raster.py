@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import KEPT_BANDS
 from ..functions.pixels import stretch_u8, to_grey, u16_to_u8
 from .detector import python_values
+from .skew import shuffled
 
 BLOCK = 64
 # Source blocks in the box around an output block's corners beyond which its pixels are looked up.
@@ -187,7 +188,7 @@ def crop(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, carry: tuple[st
 
     (left, right), (top, bottom) = overlap("bx", "bw", "x0", "sw"), overlap("by", "bh", "y0", "sh")
     met = (
-        blocks.join(spread, ["scene_id", "bx", "by"])
+        blocks.join(shuffled(spread), ["scene_id", "bx", "by"])
         .withColumn("_l", left).withColumn("_r", right).withColumn("_t", top).withColumn("_b", bottom)
         .where((F.col("_r") > F.col("_l")) & (F.col("_b") > F.col("_t")))
     )
@@ -498,7 +499,7 @@ def warp(
         F.col("bw").alias("sbw"), F.col("v").alias("sv"),
     )
     # Output blocks without any source still give black blocks in every band.
-    met = reached.join(source, ["scene_id", "sbx", "sby"], "left").withColumn(
+    met = reached.join(shuffled(source), ["scene_id", "sbx", "sby"], "left").withColumn(
         "band", F.explode(F.when(F.col("band").isNull(), F.sequence(F.lit(0), F.col("n_bands") - 1)).otherwise(
             F.array("band")))
     ).select("scene_id", "band", "bx", "by", "bw", "bh", "tgt_w", "tgt_h", "back", "sbx", "sby", "sbw", "sv")
