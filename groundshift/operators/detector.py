@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .skew import shuffled
+
 Detector = Callable[[dict], str]
 
 CALLS_PER_TASK = 2048
@@ -144,8 +146,8 @@ def detect_stored(
     known = stored_answers(tasks, carry, path)
     attempt = (known.agg(F.max("attempt")).first()[0] or 0) + 1
     done = known.where("error is null") if retry_failed else known
-    done = done if retry is None else done.join(retry.select(*TASK_KEY), TASK_KEY, "left_anti")
-    open_tasks = tasks.join(done.select(*TASK_KEY).distinct(), TASK_KEY, "left_anti").select(*tasks.columns)
+    done = done if retry is None else done.join(shuffled(retry.select(*TASK_KEY)), TASK_KEY, "left_anti")
+    open_tasks = tasks.join(shuffled(done.select(*TASK_KEY).distinct()), TASK_KEY, "left_anti").select(*tasks.columns)
     calls = open_tasks.count()
     waves = -(-calls // calls_per_wave)
     for wave in range(waves):
@@ -154,7 +156,7 @@ def detect_stored(
         answers = detect(part, make_detector, carry, calls=-(-calls // waves), **options)
         answers.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(path)
     newest = newest_answers(spark.read.schema(known.schema).parquet(path))
-    return newest.join(tasks.select(*TASK_KEY), TASK_KEY, "left_semi").select(*known.columns)
+    return newest.join(shuffled(tasks.select(*TASK_KEY)), TASK_KEY, "left_semi").select(*known.columns)
 
 
 def newest_answers(answers: DataFrame) -> DataFrame:
