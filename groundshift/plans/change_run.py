@@ -19,6 +19,7 @@ from ..operators.report import run_summary
 from ..operators.responses import (
     RequestText, build_requests, classify_errors, explode_changes, normalise_changes, parse_responses, resolve_model, validate_requests,
 )
+from ..operators.skew import shuffled
 from ..session import ensure_checkpoint_dir
 from ..sources.reports import write_scenes
 
@@ -134,7 +135,7 @@ def image_tasks(
     as_earlier = aligned.withColumns({"tgt_w": F.col("width"), "tgt_h": F.col("height")}).drop("homography")
     scene = warp(blocks, aligned, size, "later").unionByName(resize(blocks, as_earlier, size, "earlier"))
     tiles = explode_tiles(aligned.select("scene_id", "work_w", "work_h"), **tiling)
-    return tiles.join(tile_pieces(crop_scaled(scene, tiles, size)), ["scene_id", "task_idx"], "left"), tiles
+    return tiles.join(shuffled(tile_pieces(crop_scaled(scene, tiles, size))), ["scene_id", "task_idx"], "left"), tiles
 
 
 def run_requests(
