@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..session import ensure_checkpoint_dir
-from .skew import number_rows
+from .skew import number_rows, shuffled
 
 BLOCK_KEYPOINTS = 2048
 BLOCK_MATCHES = 4096
@@ -43,6 +43,18 @@ def _blocked(keypoints: DataFrame, block: int, prefix: str) -> DataFrame:
     )
 
 
+def _two_nearest(q: np.ndarray, t: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many of the two nearest rows of ``t`` there are, and their distances and places for every row of ``q``, one after the other."""
+    k = min(2, len(t))
+    found = []
+    for at in range(0, len(q), 256):
+        # Train rows are in id order, so distance and position in one number break ties by id.
+        code = hamming(q[at:at + 256], t) * len(t) + np.arange(len(t))
+        found.append(np.partition(code, k - 1, axis=1)[:, :k])
+    code = np.concatenate(found).ravel()
+    return k, code // len(t), code % len(t)
+
+
 def _nearest_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The two nearest train rows of every query row, per pair of blocks."""
     for batch in batches:
@@ -50,20 +62,10 @@ def _nearest_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = np.asarray(r.t_id)
             q = np.asarray(r.q_desc, np.int64).view(np.uint64).reshape(len(r.q_id), -1)
             t = np.asarray(r.t_desc, np.int64).view(np.uint64).reshape(len(ids), -1)
-            k = min(2, len(ids))
-            found = []
-            for at in range(0, len(q), 256):
-                bits = np.zeros((len(q[at:at + 256]), len(ids)), np.int64)
-                for word in range(q.shape[1]):
-                    bits += np.bitwise_count(q[at:at + 256, word, None] ^ t[None, :, word])
-                # Train rows are in id order, so distance and position in one number break ties by id.
-                code = bits * len(ids) + np.arange(len(ids))
-                found.append(np.partition(code, k - 1, axis=1)[:, :k])
-            code = np.concatenate(found).ravel()
-            pos = code % len(ids)
+            k, far, pos = _two_nearest(q, t)
             yield pd.DataFrame({
                 "scene_id": r.scene_id, "q_id": np.repeat(r.q_id, k), "qx": np.repeat(r.q_x, k),
-                "qy": np.repeat(r.q_y, k), "d": code // len(ids), "t_id": ids[pos],
+                "qy": np.repeat(r.q_y, k), "d": far, "t_id": ids[pos],
                 "tx": np.asarray(r.t_x)[pos], "ty": np.asarray(r.t_y)[pos],
             })
 
@@ -87,7 +89,7 @@ def nearest_two(query: DataFrame, train: DataFrame, block: int = BLOCK_KEYPOINTS
         few_q, few_t = (df.join(large, "scene_id", "left_anti") for df in (query, train))
         found = pruned_candidates(*many, block, pivots)
     key = query.schema["scene_id"].dataType.simpleString()
-    met = _blocked(few_q, block, "q").join(_blocked(few_t, block, "t"), "scene_id").select(
+    met = _blocked(few_q, block, "q").join(shuffled(_blocked(few_t, block, "t")), "scene_id").select(
         "scene_id", "q_id", "q_x", "q_y", "q_desc", "t_id", "t_x", "t_y", "t_desc"
     )
     direct = met.mapInPandas(_nearest_two, f"scene_id {key}, {NEAR_ROWS}")
@@ -165,20 +167,30 @@ def _celled(keypoints: DataFrame, pivots: DataFrame, block: int, prefix: str) ->
 
 def _pruned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``_nearest_two`` for the queries of a block that the train block can still serve: those within its reach of their bound."""
+    names = ["scene_id", "q_id", "qx", "qy", "d", "t_id", "tx", "ty"]
     for batch in batches:
-        rows = []
+        parts = []
         for r in batch.itertuples(index=False):
             q = np.asarray(r.q_desc, np.int64).view(np.uint64).reshape(len(r.q_id), -1)
+            bound = np.asarray(r.bound)
             centre = np.asarray(r.centre, np.int64).view(np.uint64).reshape(1, -1)
             # No train row is nearer than the distance from the centre less the block's radius. Ties may have a smaller id.
-            near = hamming(q, centre)[:, 0] - r.t_far <= np.asarray(r.bound)
+            near = hamming(q, centre)[:, 0] - r.t_far <= bound
             if near.any():
-                kept = [np.asarray(c)[near] for c in (r.q_id, r.q_x, r.q_y)]
-                rows.append((r.scene_id, *kept, q[near].view(np.int64).ravel(), r.t_id, r.t_x, r.t_y, r.t_desc))
-        if rows:
-            names = ["scene_id", "q_id", "q_x", "q_y", "q_desc", "t_id", "t_x", "t_y", "t_desc"]
-            found = list(_nearest_two(iter([pd.DataFrame(rows, columns=names)])))
-            yield pd.concat(found, ignore_index=True)
+                t = np.asarray(r.t_desc, np.int64).view(np.uint64).reshape(len(r.t_id), -1)
+                k, far, pos = _two_nearest(q[near], t)
+                # Two rows within the bound are known already, so rows beyond it are never among the best two.
+                good = far <= np.repeat(bound[near], k)
+                mine, pos = np.repeat(np.flatnonzero(near), k)[good], pos[good]
+                parts.append((np.full(len(mine), r.scene_id), *(np.asarray(c)[mine] for c in (r.q_id, r.q_x, r.q_y)),
+                              far[good], *(np.asarray(c)[pos] for c in (r.t_id, r.t_x, r.t_y))))
+        if parts:
+            yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*parts))})
+
+
+def _query_key(*names: str) -> list[Column]:
+    """What tells queries apart: id and place, as an id may repeat. A missing coordinate may have become NaN or null."""
+    return [F.col(names[0]), *[F.nanvl(c, F.lit(None).cast("double")) for c in names[1:]]]
 
 
 def pruned_pairs(query: DataFrame, train: DataFrame, first: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -187,12 +199,16 @@ def pruned_pairs(query: DataFrame, train: DataFrame, first: DataFrame, pivots: D
     ``bound`` has the second distance found so far for each query of the block. Blocks are left out where the distance of their
     pivots less both radii exceeds the largest bound: by the triangle inequality none of their rows can be nearer.
     """
-    second = first.groupBy("scene_id", "q_id").agg(
+    second = first.groupBy(F.col("scene_id").alias("s_scene"), *[c.alias(f"s_{i}") for i, c in enumerate(_query_key("q_id", "qx", "qy"))]).agg(
         F.when(F.count(F.lit(1)) >= 2, F.max("d")).otherwise(F.lit(1 << 30)).alias("d2")
     )
-    ids = query.select("scene_id", "q_cell", "q_part", F.explode("q_id").alias("q_id"))
-    bounds = ids.join(second, ["scene_id", "q_id"]).groupBy("scene_id", "q_cell", "q_part").agg(
-        F.array_sort(F.collect_list(F.struct("q_id", "d2"))).alias("_b"), F.max("d2").alias("reach")
+    ids = query.select("scene_id", "q_cell", "q_part", F.explode(F.arrays_zip("q_id", "q_x", "q_y")).alias("_q")).select(
+        "scene_id", "q_cell", "q_part", "_q.*")
+    same = F.col("scene_id") == F.col("s_scene")
+    for i, c in enumerate(_query_key("q_id", "q_x", "q_y")):
+        same = same & c.eqNullSafe(F.col(f"s_{i}"))
+    bounds = ids.join(shuffled(second), same).groupBy("scene_id", "q_cell", "q_part").agg(
+        F.array_sort(F.collect_list(F.struct("q_id", "q_x", "q_y", "d2"))).alias("_b"), F.max("d2").alias("reach")
     ).select("scene_id", "q_cell", "q_part", F.col("_b.d2").alias("bound"), "reach")
     gap = F.aggregate(
         F.zip_with(F.get("_pivots", F.col("q_cell")), F.get("_pivots", F.col("t_cell")), lambda a, b: F.bit_count(a.bitwiseXOR(b))),
@@ -212,16 +228,18 @@ def pruned_candidates(query: DataFrame, train: DataFrame, block: int, pivots: in
 
     Keypoints are grouped by their nearest pivot, of up to ``pivots`` a scene, into blocks with a radius. Queries first meet the train
     blocks of their own cell; the second distance found there is a bound with which only blocks and queries go on that the triangle
-    inequality cannot rule out. Exact: in clustered descriptors little is left, in descriptors without structure nothing is saved but
-    the comparison with the pivots is added. Scenes are cut into (cell, part) blocks, so no scene is bound to one task.
+    inequality cannot rule out, and only rows within the bound leave a task. ``block`` gives the number of pivots; blocks hold up to
+    ``BLOCK_KEYPOINTS`` keypoints of a cell, or ``block`` if that is more, since the pairs of blocks grow with the square of their number. Exact: in clustered
+    descriptors little is left, in descriptors without structure nothing is saved but the comparison with the pivots is added. Scenes are cut into (cell, part) blocks, so no scene is bound to one task.
     """
     key = query.schema["scene_id"].dataType.simpleString()
     centres = _pivots(train, pivots, block).checkpoint()
-    q, t = _celled(query, centres, block, "q"), _celled(train, centres, block, "t")
+    rows = max(block, BLOCK_KEYPOINTS)
+    q, t = _celled(query, centres, rows, "q"), _celled(train, centres, rows, "t")
     columns = ["scene_id", "q_id", "q_x", "q_y", "q_desc", "t_id", "t_x", "t_y", "t_desc"]
     own = q.join(t, (q["scene_id"] == t["scene_id"]) & (q["q_cell"] == t["t_cell"])).drop(t["scene_id"]).select(*columns)
     first = own.mapInPandas(_nearest_two, f"scene_id {key}, {NEAR_ROWS}")
-    rank = F.row_number().over(Window.partitionBy("scene_id", "q_id").orderBy("d", "t_id"))
+    rank = F.row_number().over(Window.partitionBy("scene_id", *_query_key("q_id", "qx", "qy")).orderBy("d", "t_id"))
     first = first.withColumn("_k", rank).where("_k <= 2").drop("_k").checkpoint()
     others = pruned_pairs(q, t, first, centres).select(*columns, "t_far", "centre", "bound")
     return first.unionByName(others.mapInPandas(_pruned, f"scene_id {key}, {NEAR_ROWS}"))

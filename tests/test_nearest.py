@@ -1,6 +1,7 @@
 """Nearest descriptors of large scenes against a plain search."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,29 @@ def test_clustered_descriptors_need_few_distances(spark, scenes):
 def test_no_keypoints(spark, scenes):
     none, train = spark.createDataFrame([], SCHEMA), spark.createDataFrame(scenes[1], SCHEMA)
     assert REG.nearest_two(none, train, 50).collect() == [] and REG.nearest_two(train, none, 50).collect() == []
+
+
+def test_only_rows_within_the_bound_leave_a_task():
+    rng = np.random.default_rng(3)
+    q, t = (rng.integers(0, 2 ** 62, (n, 2)) for n in (6, 9))
+    ids, far = np.arange(9), np.bitwise_count((q[:, None] ^ t[None]).view(np.uint64)).sum(axis=2).astype(int)
+    bound = np.array([0, 200, far[2].min(), far[3].min() - 1, 1 << 30, 0])
+    row = (1, ids[:6], ids[:6] * 1.0, ids[:6] * 1.0, q.ravel(), ids, ids * 1.0, ids * 1.0, t.ravel(), 128, t[0], bound)
+    names = ["scene_id", "q_id", "q_x", "q_y", "q_desc", "t_id", "t_x", "t_y", "t_desc", "t_far", "centre", "bound"]
+    got = pd.concat(REG._pruned(iter([pd.DataFrame([row], columns=names)])))
+    wanted = [(i, d) for i in range(6) for d in sorted(far[i])[:2] if d <= bound[i]]
+    assert sorted(zip(got["q_id"], got["d"])) == wanted
+
+
+def test_blocks_of_a_cell_are_not_smaller_than_the_fixed_size(spark):
+    """Small ``block`` values make cells, not pairs of tiny blocks; ids that repeat in another place keep their own rows."""
+    rng = np.random.default_rng(4)
+    train = clustered(rng, 1, 600, rng.integers(0, 2, (600, 128), dtype=np.uint8), 0)
+    query = clustered(rng, 1, 100, rng.integers(0, 2, (100, 128), dtype=np.uint8), 0)
+    query += [(1, i, -5.0, y, d) for (_, i, _, y, _), (_, _, _, _, d) in zip(query[:50], query[50:])]
+    q, t = (spark.createDataFrame(rows, SCHEMA) for rows in (query, train))
+    placed = REG._celled(t, REG._pivots(t, 8, 16).checkpoint(), max(16, REG.BLOCK_KEYPOINTS), "t")
+    assert placed.count() == placed.select("t_cell").distinct().count() <= 8
+    near = {(r.q_id, r.qx): [(n.d, n.t_id) for n in r.near] for r in REG.nearest_two(q, t, 16).collect()}
+    for at, (_, i, x, y, d) in enumerate(query):
+        assert near[i, x] == plain([(1, at, x, y, d)], train)[1, at]
