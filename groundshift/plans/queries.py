@@ -20,7 +20,7 @@ from ..operators import raster as R
 from ..operators import registration as REG
 from ..operators import report as REP
 from ..operators import responses as RE
-from ..operators.detector import detect, detect_stored
+from ..operators.detector import detect, detect_stored, spread_calls
 from ..operators.skew import shuffled
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import images as S
@@ -28,6 +28,9 @@ from ..sources.reports import report_rows
 from . import fixtures as fx
 from .change_run import run_changes, run_images, run_requests
 
+# Scenes whose tiles one task makes.
+SCENES_PER_TASK = 16384
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -238,7 +241,8 @@ def g6_crop_size(spark, sf):
 
 @query
 def u1_ordered_tasks(spark, sf):
-    tiles = FR.explode_tiles(_frames(spark, sf))
+    # Spread before their rows are multiplied, so that no task sorts the tiles of very many scenes.
+    tiles = FR.explode_tiles(spread_calls(_frames(spark, sf), calls_per_task=SCENES_PER_TASK, keys=["scene_id"]))
     return tiles.groupBy("scene_id").agg(
         F.count(F.lit(1)).alias("n_tasks"), F.min_by("label", "task_idx").alias("first_label"),
         F.max_by("label", "task_idx").alias("last_label"),
