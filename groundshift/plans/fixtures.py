@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.detector import spread_calls
 from ..session import configure
 
 Fields = list[tuple[str, str]]
@@ -66,6 +67,8 @@ RESPONSES: Fields = [
 
 # Raster per supplier: 32 x 24 samples in four bands, later epoch.
 RASTER_W, RASTER_H, RASTER_BANDS, RASTER_BLOCK = 32, 24, 4, 16
+# Scenes whose samples one task makes.
+RASTER_SCENES = 256
 U16_SAMPLE = "cast((px * 7 + py * 13 + band * 29 + scene_id * 17) * 211 % 65536 as double)"
 FLOAT_SAMPLE = (
     "case when (px + py + scene_id) % 50 = 0 then cast('NaN' as double)"
@@ -127,7 +130,9 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(spark: SparkSession, sf_dir: str, sample: str = U16_SAMPLE) -> DataFrame:
     configure(spark)
-    at = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as scene_id")
+    # A small table of scenes is one task, which would make all samples; spread by scene, blocks also need no shuffle of samples.
+    at = spread_calls(
+        table(spark, sf_dir, "supplier").selectExpr("s_suppkey as scene_id"), calls_per_task=RASTER_SCENES, keys=["scene_id"])
     for name, count in (("px", RASTER_W), ("py", RASTER_H), ("band", RASTER_BANDS)):
         at = at.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     return at.withColumn("epoch", F.lit("later")).withColumn("v", F.expr(sample))
