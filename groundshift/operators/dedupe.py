@@ -15,14 +15,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import constants as K
 from ..functions.boxes import area, box, iou
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from .geometry import CELL, OverlapCells, has_extent
-from .skew import HOT_ROWS, number_hot_rows, number_rows, split_hot
+from .skew import HOT_ROWS, number_hot_rows, number_rows, shuffled, split_hot
 
 # Rows that one task visits at once.
 VISIT_ROWS = 2048
+# Rows of a visit compared with all later ones at once.
+PAIR_ROWS = 256
 SALTS = 8
 GROUP = ["scene_id", "change_type"]
+ORDER = ["_rank", "_area", "task_idx", "pos"]
 
 
 def confidence_rank(confidence: Column) -> Column:
@@ -127,8 +130,9 @@ def _rounds(det: DataFrame, threshold: float, limit: int) -> DataFrame:
     sequential visit would do, or stays open where that depends on a box whose fate another cell decides. The result is
     that of the sequential visit, because only certain decisions are taken, and the first open box of a group is always certain.
     Cells grow from round to round while they hold few boxes, so chains of boxes advance by whole cells.
+
+    Whole rows are written once and shuffled once more at the end; rounds move and store boxes, order and row numbers only.
     """
-    ensure_checkpoint_dir(det.sparkSession)
     cells = OverlapCells(threshold)
     ranked = _ranked(det)
     b = F.col("row._box")
@@ -141,36 +145,41 @@ def _rounds(det: DataFrame, threshold: float, limit: int) -> DataFrame:
         .groupBy(*GROUP, F.col("row._box").alias("_box")).agg(F.min("row").alias("row"))
         .select(*GROUP, "row")
     )
-    open_rows = (
-        cells.file(first.unionByName(extended.where(~copies)), b)
-        .withColumn("salt", F.pmod(F.hash("row.task_idx", "row.pos"), F.lit(SALTS)))
-        .withColumn("rid", F.monotonically_increasing_id())
-        .checkpoint()
-    )
-    kept = [isolated]
+    whole = stored(first.unionByName(extended.where(~copies)).withColumn("rid", F.monotonically_increasing_id()), "boxes")
+    order = F.struct(*[F.col(f"row.{c}").alias(c) for c in ORDER])
+    open_rows = cells.file(whole.select(*GROUP, "rid", order.alias("_o"), F.col("row._box").alias("b")), F.col("b")).withColumn(
+        "salt", F.pmod(F.hash("_o.task_idx", "_o.pos"), F.lit(SALTS)))
+    kept = []
     halvings = 3
     while True:
         sizes = open_rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("size"))
         least, most = sizes.agg(F.min("size"), F.max("size")).first()
         if most is None or most <= limit:
-            kept.append(_picked(open_rows, _visit(open_rows.withColumn("own", F.lit(True)), GROUP, threshold)))
+            kept.append(_visit(open_rows.withColumn("own", F.lit(True)), GROUP, threshold).where("kept").select("rid"))
             break
         if least <= limit:
             large = sizes.where(F.col("size") > limit).select(*[F.col(c).alias(f"l_{c}") for c in GROUP])
             small = open_rows.join(large, _same_group("l_"), "left_anti").withColumn("own", F.lit(True))
-            kept.append(_picked(open_rows, _visit(small, GROUP, threshold)))
+            kept.append(_visit(small, GROUP, threshold).where("kept").select("rid"))
             open_rows = open_rows.join(large, _same_group("l_"), "left_semi")
-        safe = _picked(open_rows, _visit_cells(open_rows, cells, halvings), "rid").checkpoint()
-        kept.append(safe.drop("rid"))
-        open_rows = _remaining(open_rows, safe, cells).checkpoint()
+        decided = stored(_visit_cells(open_rows, cells, halvings), "decided")
+        kept.append(decided.where("kept").select("rid"))
+        undecided = open_rows.join(shuffled(decided), "rid", "left_anti")
+        # A cell that was cut has not met all rows that its kept boxes suppress.
+        cut = decided.where("kept and cut").select("rid")
+        if not cut.isEmpty():
+            undecided = _remaining(undecided, open_rows.join(shuffled(cut), "rid", "left_semi"), cells)
+        open_rows = stored(undecided, "open")
         coarse = [F.shiftright(c, halvings) if c in ("cx", "cy") else F.col(c) for c in CELL]
         filled = open_rows.groupBy(*GROUP, *coarse).agg(F.count(F.lit(1)).alias("n"))
         mean = filled.agg(F.avg("n")).first()[0] or 0.0
         halvings = min(halvings + 2, 48) if mean < VISIT_ROWS else max(halvings - 1, 0)
-    out = kept[0]
+    rids = kept[0]
     for part in kept[1:]:
-        out = out.unionByName(part)
-    return _unpack(out, det.columns)
+        rids = rids.unionByName(part)
+    # Row numbers come out of Python steps, whose size Spark does not know.
+    picked = whole.join(shuffled(rids), "rid", "left_semi").select(*GROUP, "row")
+    return _unpack(isolated.unionByName(picked), det.columns)
 
 
 def _same_group(prefix: str) -> Column:
@@ -181,68 +190,75 @@ def _same_group(prefix: str) -> Column:
     return same
 
 
-def _picked(rows: DataFrame, ids: DataFrame, *more: str) -> DataFrame:
-    return rows.join(ids, "rid", "left_semi").select(*GROUP, "row", *more)
-
-
 def _visit_cells(open_rows: DataFrame, cells: OverlapCells, halvings: int) -> DataFrame:
-    """``rid`` of open rows that are certain to be kept, from a visit of every coarse cell.
+    """Decisions (rid, kept, cut) on open rows from a visit of every coarse cell; certain ones only.
 
-    A cell holds its own rows and those around it that can overlap them. It visits the first VISIT_ROWS of them: a row
-    depends on earlier ones only, so later rows can wait. The limit on the row number applies before the shuffle.
+    A cell holds its own rows and those around it that can overlap them, so all rows that a kept one suppresses are there, whatever
+    their own cell. It visits the first VISIT_ROWS of them: a row depends on earlier ones only, so later rows can wait. The limit on
+    the row number applies before the shuffle.
     """
-    mine = [F.col(c).alias(f"o_{c}") for c in CELL]
-    brief = open_rows.select(*GROUP, "rid", "row", F.col("row._box").alias("b"), *mine)
+    brief = open_rows.select(*GROUP, "rid", "_o", "b", *[F.col(c).alias(f"o_{c}") for c in CELL])
     placed = cells.around(brief, F.col("b"), halvings)
     own = (F.col("kw") == F.col("o_kw")) & (F.col("kh") == F.col("o_kh"))
     for c in ("cx", "cy"):
         own = own & (F.col(c) == F.shiftright(f"o_{c}", halvings))
-    return _visit(placed.withColumn("own", own), [*GROUP, *CELL], cells.threshold, VISIT_ROWS)
+    visited = _visit(placed.withColumn("own", own), [*GROUP, *CELL], cells.threshold, VISIT_ROWS)
+    return visited.groupBy("rid").agg(F.max("kept").alias("kept"), F.max("cut").alias("cut"))
 
 
 def _visit(rows: DataFrame, place: list[str], threshold: float, most: int | None = None) -> DataFrame:
-    """``rid`` of the rows marked ``own`` that the sequential visit of their place certainly keeps."""
-    order = [F.col(f"_o.{c}") for c in ("_rank", "_area", "task_idx", "pos")]
-    brief = rows.select(
-        *place, "rid", "own", F.struct(*[f"row.{c}" for c in ("_rank", "_area", "task_idx", "pos")]).alias("_o"),
-        *[F.col(f"row._box.{c}").alias(c) for c in "xywh"],
-    )
+    """Decisions (rid, kept, cut) that the sequential visit of each place makes for certain, in the first ``most`` rows.
+
+    Rows marked ``own`` are kept or dropped, others only dropped; the rest is not listed. ``cut`` says that the place has later rows.
+    """
+    brief = rows.select(*place, "rid", "own", "_o", *[F.col(f"b.{c}").alias(c) for c in "xywh"])
+    order = [F.col(f"_o.{c}") for c in ORDER]
     numbered = brief.withColumn("_n", F.row_number().over(W.partitionBy(*place).orderBy(*order)))
     if most is not None:
-        numbered = numbered.where(F.col("_n") <= most)
+        numbered = numbered.where(F.col("_n") <= most + 1)
     sorted_rows = numbered.sortWithinPartitions(*place, "_n")
-    return sorted_rows.select("_n", "rid", "own", *"xywh").mapInArrow(_visitor(threshold), "rid long")
+    return sorted_rows.select("_n", "rid", "own", *"xywh").mapInArrow(_visitor(threshold, most), "rid long, kept boolean, cut boolean")
 
 
-def _visitor(threshold: float):
+def _visitor(threshold: float, most: int | None):
     """mapInArrow over places one after the other, each starting at ``_n`` = 1."""
 
-    def certain(own: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def certain(own: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(own)
-        dropped, waits, kept = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+        dropped, waits = np.zeros(n, bool), np.zeros(n, bool)
         right, low, size = x + w, y + h, w * h
-        for i in range(n):
-            if dropped[i]:
-                continue
-            kept[i] = own[i] and not waits[i]
-            later = slice(i + 1, n)
-            across = np.maximum(0.0, np.minimum(right[i], right[later]) - np.maximum(x[i], x[later]))
-            down = np.maximum(0.0, np.minimum(low[i], low[later]) - np.maximum(y[i], y[later]))
+        for lo in range(0, n if own.any() else 0, PAIR_ROWS):
+            rows, later = lo + np.flatnonzero(~dropped[lo:lo + PAIR_ROWS]), slice(lo, n)
+            at = rows[:, None]
+            across = np.maximum(0.0, np.minimum(right[at], right[later]) - np.maximum(x[at], x[later]))
+            down = np.maximum(0.0, np.minimum(low[at], low[later]) - np.maximum(y[at], y[later]))
             inter = across * down
-            union = size[i] + size[later] - inter
-            hit = np.divide(inter, union, out=np.zeros(len(inter)), where=union > 0) > threshold
-            (dropped if kept[i] else waits)[later] |= hit
-        return kept
+            union = size[at] + size[later] - inter
+            hit = np.divide(inter, union, out=np.zeros(inter.shape), where=union > 0) > threshold
+            hit &= np.arange(lo, n) > at
+            some = hit.any(axis=1)
+            for i, hits in zip(rows[some].tolist(), hit[some], strict=True):
+                if not dropped[i]:
+                    (dropped if own[i] and not waits[i] else waits)[later] |= hits
+        return own & ~waits & ~dropped, dropped
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[list[np.ndarray]] = []
+        nothing = [np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)]
 
-        def close() -> np.ndarray:
+        def close() -> list[np.ndarray]:
             if not pending:
-                return np.empty(0, np.int64)
-            rid, *rest = [np.concatenate(parts) for parts in zip(*pending, strict=True)]
+                return nothing
+            rid, *rest = [np.concatenate(parts)[:most] for parts in zip(*pending, strict=True)]
+            cut = most is not None and sum(len(parts[0]) for parts in pending) > most
             pending.clear()
-            return rid[certain(*rest)]
+            kept, dropped = certain(*rest)
+            listed = kept | dropped
+            return [rid[listed], kept[listed], np.full(listed.sum(), cut)]
+
+        def decisions(found: list[list[np.ndarray]]) -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(parts)) for parts in zip(nothing, *found, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["rid", "kept", "cut"])
 
         for batch in batches:
             number, *columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -253,26 +269,25 @@ def _visitor(threshold: float):
                     if number[lo] == 1:
                         found.append(close())
                     pending.append([c[lo:hi] for c in columns])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], names=["rid"])
-        yield pa.RecordBatch.from_arrays([pa.array(close())], names=["rid"])
+            yield decisions(found)
+        yield decisions([close()])
 
     return run
 
 
 def _remaining(open_rows: DataFrame, safe: DataFrame, cells: OverlapCells) -> DataFrame:
-    """Undecided rows without those just kept and those they suppress.
+    """Undecided rows without those that the rows just kept suppress.
 
     Kept rows are spread over the cells and salts around them; undecided rows stay in place, so a
     crowded cell is shared by SALTS tasks.
     """
     boxes = safe.select(
-        *GROUP, F.col("row._box").alias("k_box"), F.col("rid").alias("k_rid"),
+        *GROUP, F.col("b").alias("k_box"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
     )
     place = [*CELL, "salt"]
     reach = cells.around(boxes, F.col("k_box")).withColumnsRenamed({c: f"k_{c}" for c in [*GROUP, *place]})
-    itself = F.col("rid") == F.col("k_rid")
-    hit = _same_group("k_") & (itself | (iou(F.col("row._box"), F.col("k_box")) > cells.threshold))
+    hit = _same_group("k_") & (iou(F.col("b"), F.col("k_box")) > cells.threshold)
     for c in place:
         hit = hit & (F.col(c) == F.col(f"k_{c}"))
     return open_rows.join(reach, hit, "left_anti")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE splits oversized join partitions; forcing it also covers joins that feed an aggregation on
 # the same key. Duplicate JSON keys keep the last value, as the response parser expects.
@@ -49,6 +49,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back; cuts lineage. Untyped columns, which no file holds, take a checkpoint."""
+    path = scratch_path(df.sparkSession, label)
+    if "void" in df.schema.simpleString():
+        return df.checkpoint()
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     spark = (

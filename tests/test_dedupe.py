@@ -2,6 +2,7 @@ import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from groundshift.operators import dedupe as D
 from groundshift.operators.skew import number_rows, split_hot
@@ -131,6 +132,24 @@ def test_long_chain_and_crowd_in_one_scene(spark, monkeypatch):
     assert len(calls) <= 20
 
 
+def test_rounds_store_boxes_not_rows(spark, monkeypatch):
+    """Whole rows are written once; a round stores numbers and boxes, and drops what it suppresses in its own visit."""
+    rows = make_rows(5, 300, spread=0.3)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("description", F.lit("a long text"))
+    made, joined = [], []
+    stored, remaining = D.stored, D._remaining
+    monkeypatch.setattr(D, "stored", lambda d, label: made.append((label, d.schema.simpleString())) or stored(d, label))
+    monkeypatch.setattr(D, "_remaining", lambda *a: joined.append(1) or remaining(*a))
+    want = {(r[0], r[1], r[2]) for r in greedy(rows)}
+    assert keys(D.dedupe(df, strategy="rounds", limit=8)) == want
+    assert [label for label, schema in made if "description" in schema] == ["boxes"]
+    assert {label for label, _ in made} == {"boxes", "decided", "open"} and not joined
+    # Cells that hold more rows than a visit takes leave rows that their kept boxes suppress.
+    monkeypatch.setattr(D, "VISIT_ROWS", 16)
+    assert keys(D.dedupe(df, strategy="rounds", limit=8)) == want
+    assert joined
+
+
 def test_threshold_is_strict_and_types_are_apart(spark):
     # 0.4 exactly: 4 of 10 units shared.
     rows = [(0, 0, 0, "added", "high", 0.0, 0.0, 0.7, 0.1), (0, 0, 1, "added", "low", 0.0, 0.0, 0.28, 0.1),
