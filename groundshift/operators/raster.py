@@ -45,7 +45,7 @@ def to_blocks(pixels: DataFrame, size: int = BLOCK) -> DataFrame:
         (F.max(F.pmod("px", F.lit(size))) + 1).cast("int").alias("bw"),
         (F.max(F.pmod("py", F.lit(size))) + 1).cast("int").alias("bh"),
         *[F.min(c).alias(c) for c in extra],
-        F.array_sort(F.collect_list(sample)).alias("_s"),
+        F.sort_array(F.collect_list(sample)).alias("_s"),
     )
     # A full block has its samples in order already; only others are placed one by one.
     whole = (F.size("_s") == F.col("bw") * F.col("bh")) & (F.size(F.array_distinct("_s.at")) == F.size("_s"))

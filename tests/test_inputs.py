@@ -13,3 +13,11 @@ def test_samples_are_made_by_many_tasks_and_blocks_need_no_shuffle(spark, tmp_pa
     assert pixels.count() == len(keys) * fx.RASTER_W * fx.RASTER_H * fx.RASTER_BANDS
     plan = R.to_blocks(pixels, fx.RASTER_BLOCK)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_samples_of_a_block_are_sorted_without_a_comparator_lambda(spark):
+    pixels = spark.range(4).selectExpr("0 as scene_id", "'later' as epoch", "0 as band", "int(1 - id % 2) as px", "int(id div 2) as py", "double(id) as v")
+    made = R.to_blocks(pixels, 2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan
+    assert [list(r.v) for r in made.collect()] == [[1.0, 0.0, 3.0, 2.0]]
