@@ -134,7 +134,7 @@ def test_long_chain_and_crowd_in_one_scene(spark, monkeypatch):
 
 def test_rounds_store_boxes_not_rows(spark, monkeypatch):
     """Whole rows are written once; a round stores numbers and boxes, and drops what it suppresses in its own visit."""
-    rows = make_rows(5, 300, spread=0.3)
+    rows = make_rows(5, 60, scenes=1, spread=0.2)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("description", F.lit("a long text"))
     made, joined = [], []
     stored, remaining = D.stored, D._remaining
@@ -145,7 +145,7 @@ def test_rounds_store_boxes_not_rows(spark, monkeypatch):
     assert [label for label, schema in made if "description" in schema] == ["boxes"]
     assert {label for label, _ in made} == {"boxes", "decided", "open"} and not joined
     # Cells that hold more rows than a visit takes leave rows that their kept boxes suppress.
-    monkeypatch.setattr(D, "VISIT_ROWS", 16)
+    monkeypatch.setattr(D, "VISIT_ROWS", 12)
     assert keys(D.dedupe(df, strategy="rounds", limit=8)) == want
     assert joined
 
