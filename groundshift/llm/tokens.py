@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,14 +19,18 @@ from groundshift.llm.tables import slices, small_side, worker_state
 END_ID = 1
 CACHED_WORDS = 320_000
 CACHED_CHARS = 48
+# Bytes that mark by hash which pieces were seen before; a power of two.
+SEEN_MARKS = 1 << 22
 
 
 class WordEncoder(dict):
-    """Ids of space-free pieces of text as little-endian bytes, remembered for the first `CACHED_WORDS` pieces.
+    """Ids of space-free pieces of text as little-endian bytes, remembered for the first `CACHED_WORDS` pieces that come back.
 
     For tokenizers that drop white space and never merge across it, a text's ids are those of its pieces in order. Shortcuts
-    are taken only where probes show that the tokenizer allows them: Latin-1 texts are lower-cased first, and plain
-    words go to the merges directly, without the surrounding steps.
+    are taken only where probes show that the tokenizer allows them: Latin-1 texts are lower-cased first, plain
+    words go to the merges directly, without the surrounding steps, and signs after a letter are encoded apart from what they follow.
+    Most pieces of a corpus come once, so a piece is remembered when it comes again; a mark that two pieces share only
+    remembers one of them sooner.
     """
 
     LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
@@ -46,21 +51,33 @@ class WordEncoder(dict):
             slow(c) == slow(c.lower()) for c in map(chr, range(32, 256))
         )
         self.plain = self.folds and all([t.id for t in self.merge(w.translate(self.table))] == slow(w) for w in self.PROBES)
+        # Signs that end a word and that no added token holds; a run of them is one piece, whatever word it follows.
+        added = "".join(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        signs = "".join(c for c in string.punctuation if c not in added)
+        splits = lambda tail: slow("ab" + tail) == slow("ab") + slow(tail) and slow("z\u00e9" + tail) == slow("z\u00e9") + slow(tail)
+        self.signs = signs if self.plain and all(splits(c + d) for c in signs for d in ["", *signs]) else ""
         self.pack = {n: struct.Struct(f"<{n}I").pack for n in range(64)}
+        self.seen = bytearray(SEEN_MARKS)
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
-        n = len(word)
-        if n > 1 and word[-1] in ".," and word[-2].isalpha() and self.plain and max(word) < "\u0100":
-            # A word at the end of a clause; only the word is remembered. Beyond Latin-1 folding may add a mark that joins the stop.
-            return self[word[:-1]] + self[word[-1]]
-        if self.plain and word.isalpha() and word.islower() and max(word) < "\u0100":
-            found = [t.id for t in self.merge(word.translate(self.table))]
+        stem = word.rstrip(self.signs)
+        n = len(stem)
+        if 0 < n < len(word) and stem[-1].isalpha() and (word.isascii() or max(word) < "\u0100"):
+            # A word before signs. Beyond Latin-1 folding may add a mark that joins them.
+            ids = self[stem] + self[word[n:]]
         else:
-            found = self.encode(word, add_special_tokens=False).ids
-        ids = self.pack[len(found)](*found) if len(found) < 64 else np.array(found, dtype="<u4").tobytes()
-        if len(self) < CACHED_WORDS and n <= CACHED_CHARS:
-            self[word] = ids
+            if self.plain and word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0100"):
+                found = [t.id for t in self.merge(word.translate(self.table))]
+            else:
+                found = self.encode(word, add_special_tokens=False).ids
+            ids = self.pack[len(found)](*found) if len(found) < 64 else np.array(found, dtype="<u4").tobytes()
+        if len(self) < CACHED_WORDS and len(word) <= CACHED_CHARS:
+            mark = hash(word) & (SEEN_MARKS - 1)
+            if self.seen[mark]:
+                self[word] = ids
+            else:
+                self.seen[mark] = 1
         return ids
 
     def document(self, text: str, end: bytes) -> bytes:

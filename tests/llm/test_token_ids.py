@@ -1,6 +1,7 @@
 """Ids of odd words equal the library's."""
 
 import random
+import string
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -22,3 +23,22 @@ def test_ids_equal_the_library():
         if [int.from_bytes(raw[i:i + 4], "little") for i in range(0, len(raw), 4)] != whole.ids:
             wrong.append(text)
     assert wrong == []
+
+
+def test_signs_after_words_need_no_full_run_and_single_words_no_memory():
+    words, library = WordEncoder(PATH), Tokenizer.from_file(PATH)
+    rng, runs = random.Random(4), []
+    stems = ["".join(rng.choice("abcdéüßµª") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = [s + "".join(rng.choice(string.punctuation) for _ in range(rng.randint(1, 4))) for s in stems]
+    texts += ["x<|endoftext|>", "x<|endoftext|>,", "<|endoftext|>%", "it's.", "'s'", "a'b%", "1%", "²%", "a1.%", "(a)%%", "é́.", "word%%% word## word%%%"]
+    for text, whole in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        raw = words.document(text, b"")
+        assert [int.from_bytes(raw[i:i + 4], "little") for i in range(0, len(raw), 4)] == whole.ids, text
+    words, full = WordEncoder(PATH), words.encode
+    words.encode = lambda w, **how: runs.append(w) or full(w, **how)
+    before = len(words)
+    words.document(" ".join(f"{s}%%% {s}zz,." for s in dict.fromkeys(stems)), b"")
+    assert set(runs) <= {"%%%", ",.", *(s for s in stems if not s.islower())}
+    assert len(words) - before <= 20
+    words.document(" ".join(stems), b"")
+    assert len(words) - before >= len(set(stems)) - 5
