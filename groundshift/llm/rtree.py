@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +69,12 @@ class RTree:
 
     def intervals(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least and largest inner product of the query with any point of each box, added up coordinate by coordinate."""
-        up, down = np.maximum(query, 0), np.minimum(query, 0)
-        return self.low @ up + self.high @ down, self.high @ up + self.low @ down
+        return _intervals(self.low, self.high, query)
+
+
+def _intervals(low: np.ndarray, high: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.maximum(query, 0), np.minimum(query, 0)
+    return low @ up + high @ down, high @ up + low @ down
 
 
 class Wanted:
@@ -76,46 +82,65 @@ class Wanted:
 
     def __init__(self, k: int, least, most, floor=-math.inf):
         self.k, self.least, self.most = k, max(least, floor), most
-        self.ids, self.scores = np.empty(0, np.int64), np.empty(0, object)
+        self.best: list[tuple] = []
 
-    def open_to(self, low, high) -> bool:
-        """Whether a box with scores from low to high can hold a wanted row; a tie with the k-th may."""
-        return high >= self.least and low <= self.most
+    @property
+    def ids(self) -> np.ndarray:
+        return np.array([i for _, i in self.best], np.int64)
 
-    def offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        take = (scores >= self.least) & (scores <= self.most)
-        if not take.any():
-            return
-        ids, scores = np.concatenate([self.ids, ids[take]]), np.concatenate([self.scores.astype(scores.dtype), scores[take]])
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.ids, self.scores = ids[order], scores[order]
-        if len(order) == self.k:
-            self.least = max(self.least, self.scores[-1])
-
-
-def search(trees: list[RTree], query: np.ndarray, key: int, wanted: list[Wanted]) -> None:
-    """Best-first over the boxes of several trees for one query; `key` is the query's own row, which is no answer."""
-    queue, bounds = [], []
-    for t, tree in enumerate(trees):
-        bounds.append(tree.intervals(query))
-        heapq.heappush(queue, (-bounds[t][1][tree.root], t, tree.root))
+    @property
+    def scores(self) -> np.ndarray:
+        return np.array([-s for s, _ in self.best])
+
+    def offer(self, ids: list[int], scores: list) -> None:
+        """Take what is wanted of rows given by descending score, ties by id; a tie with the k-th counts by its id."""
+        first = bisect_left(scores, -self.most, key=neg)
+        better = [(-s, i) for s, i in zip(scores[first:first + self.k], ids[first:first + self.k], strict=True) if s >= self.least]
+        if better:
+            self.best = sorted(self.best + better)[: self.k]
+            if len(self.best) == self.k:
+                self.least = max(self.least, -self.best[-1][0])
+
+
+def search(trees: list[RTree], query: np.ndarray, key: int, wanted: list[Wanted], bounds: list | None = None) -> None:
+    """Best-first over the boxes of several trees for one query; `key` is the query's own row, which is no answer.
+
+    The best leaf is scored first, then the best two, four and so on together, so that few calls score them and the bounds that
+    the first ones give hold for the many; at most twice the leaves of a search one by one are scored. `bounds` are the trees' intervals.
+    """
+    bounds = bounds or [tuple(b.tolist() for b in tree.intervals(query)) for tree in trees]
+    queue = [(-high[tree.root], t, tree.root) for t, (tree, (_, high)) in enumerate(zip(trees, bounds, strict=True))]
+    heapq.heapify(queue)
+    width = 1
     while queue:
-        top, t, node = heapq.heappop(queue)
-        if all(-top < w.least for w in wanted):
-            break
-        low, high = bounds[t]
-        if not any(w.open_to(low[node], high[node]) for w in wanted):
-            continue
-        tree = trees[t]
-        if tree.children[node] is not None:
-            for child in tree.children[node]:
-                if any(w.open_to(low[child], high[child]) for w in wanted):
-                    heapq.heappush(queue, (-high[child], t, child))
+        # A box that no window reaches holds no wanted row; a tie with the k-th may be one.
+        least, most = min(w.least for w in wanted), max(w.most for w in wanted)
+        leaves: list[tuple[RTree, slice]] = []
+        while queue and len(leaves) < width:
+            top, t, node = heapq.heappop(queue)
+            low, high = bounds[t]
+            if -top < least:
+                queue.clear()
+            elif low[node] <= most:
+                children = trees[t].children[node]
+                if children is None:
+                    leaves.append((trees[t], slice(*trees[t].spans[node])))
+                else:
+                    for child in children:
+                        if high[child] >= least and low[child] <= most:
+                            heapq.heappush(queue, (-high[child], t, child))
+        width *= 2
+        if not leaves:
             continue
-        lo, hi = tree.spans[node]
-        scores, others = tree.rows[lo:hi] @ query, tree.keys[lo:hi] != key
-        for w in wanted:
-            w.offer(tree.ids[lo:hi][others], scores[others])
+        scores = np.concatenate([tree.rows[span] @ query for tree, span in leaves])
+        keys = np.concatenate([tree.keys[span] for tree, span in leaves])
+        use = np.flatnonzero((scores >= least) & (scores <= most) & (keys != key))
+        if len(use):
+            ids, scores = np.concatenate([tree.ids[span] for tree, span in leaves])[use], scores[use]
+            order = np.lexsort((ids, -scores))
+            ids, scores = ids[order].tolist(), scores[order].tolist()
+            for w in wanted:
+                w.offer(ids, scores)
 
 
 RESULT = pa.schema([
@@ -147,21 +172,23 @@ def _searcher(same_label: bool, k: int, leaf_rows: int) -> Callable:
                     continue
                 if trees is None:
                     trees, held = _forest(held, leaf_rows), []
-                of_size = [(lb, t) for (size, lb), t in trees.items() if size == len(vector) and (lb == label) == same_label]
-                peak, query = np.abs(vector).max(initial=0.0), vector
-                if any(len(vector) * peak * t.peak >= EXACT / 4 for _, t in of_size):
+                grove = trees.get(len(vector))
+                chosen = grove.chosen(label, same_label) if grove else []
+                query = vector
+                if chosen and len(vector) * np.abs(vector).max(initial=0.0) * max(grove.trees[n].peak for n in chosen) >= EXACT / 4:
                     query = np.array([int(x) for x in vector], dtype=object)
                 wanted = [
                     Wanted(k, -math.inf if w["least"] is None else w["least"], math.inf if w["most"] is None else w["most"],
                            -math.inf if w["floor"] is None else w["floor"])
                     for w in cols["windows"][i]
                 ]
-                if wanted and of_size:
-                    search([t.over(query) for _, t in of_size], query, cols["key"][i], wanted)
+                if wanted and chosen:
+                    bounds = grove.bounds(query, chosen)
+                    search([grove.trees[n].over(query) for n in chosen], query, cols["key"][i], wanted, bounds)
                 for w, window in zip(wanted, cols["windows"][i], strict=True):
                     out.extend(
-                        (cols["key"][i], cols["id"][i], window["slot"], int(f), _long(s), window["positive"], window["score"])
-                        for f, s in zip(w.ids, w.scores, strict=True)
+                        (cols["key"][i], cols["id"][i], window["slot"], f, _long(-s), window["positive"], window["score"])
+                        for s, f in w.best
                     )
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(RESULT)], schema=RESULT)
 
@@ -182,17 +209,40 @@ class _Tree(RTree):
         return self
 
 
-def _forest(held: list[tuple], leaf_rows: int) -> dict[tuple, _Tree]:
-    """One tree for every (vector length, label) of a shard."""
-    members: dict[tuple, list] = {}
+class _Grove:
+    """The trees of the vectors of one length, one a label, with all their boxes in one table."""
+
+    def __init__(self, trees: dict[int, _Tree]):
+        self.labels, self.trees = list(trees), list(trees.values())
+        self.low, self.high = (np.concatenate([getattr(t, side) for t in self.trees]) for side in ("low", "high"))
+        self.ends = np.cumsum([len(t.children) for t in self.trees]).tolist()
+
+    def chosen(self, label: int, same_label: bool) -> list[int]:
+        return [n for n, other in enumerate(self.labels) if (other == label) == same_label]
+
+    def bounds(self, query: np.ndarray, chosen: list[int]) -> list[tuple[list, list]] | None:
+        """The intervals of the chosen trees from one pass over all boxes; None for queries of Python integers."""
+        if query.dtype == object:
+            return None
+        low, high = (b.tolist() for b in _intervals(self.low, self.high, query))
+        spans = [slice(self.ends[n] - len(self.trees[n].children), self.ends[n]) for n in chosen]
+        return [(low[span], high[span]) for span in spans]
+
+
+def _forest(held: list[tuple], leaf_rows: int) -> dict[int, _Grove]:
+    """One tree for every (vector length, label) of a shard, by length."""
+    members: dict[int, dict[int, list]] = {}
     for size, label, *row in held:
-        members.setdefault((size, label), []).append(row)
+        members.setdefault(size, {}).setdefault(label, []).append(row)
     return {
-        of: _Tree(
-            np.array([v for *_, v in rows], np.float64).reshape(len(rows), of[0]), np.array([r[0] for r in rows], np.int64),
-            np.array([r[1] for r in rows], np.int64), leaf_rows,
-        )
-        for of, rows in members.items()
+        size: _Grove({
+            label: _Tree(
+                np.array([v for *_, v in rows], np.float64).reshape(len(rows), size), np.array([r[0] for r in rows], np.int64),
+                np.array([r[1] for r in rows], np.int64), leaf_rows,
+            )
+            for label, rows in by_label.items()
+        })
+        for size, by_label in members.items()
     }
 
 

@@ -106,6 +106,32 @@ def test_clustered_boxes_are_pruned():
     assert sum(opened) < 300
 
 
+def test_boxes_that_overlap_are_scored_in_few_calls():
+    rng = np.random.default_rng(6)
+    rows = np.floor(rng.normal(0, 9, (3000, 48)))
+    trees = [rtree.RTree(rows[n::3], np.arange(3000)[n::3] // 2, np.arange(3000)[n::3], 16) for n in range(3)]
+    calls = []
+
+    class Counted(rtree.Wanted):
+        def offer(self, ids, scores):
+            calls.append(len(ids))
+            super().offer(ids, scores)
+
+    for own in range(20):
+        scores = (rows @ rows[own]).tolist()
+        windows = [(3, -math.inf, math.inf), (5, 100, 400), (4, 250, 250), (2, 10**9, 10**9)]
+        for k, least, most in windows:
+            want = Counted(k, least, most)
+            calls.clear()
+            rtree.search(trees, rows[own], own, [want])
+            fit = sorted((-s, i // 2) for i, s in enumerate(scores) if i != own and least <= s <= most)[:k]
+            assert [(-s, i) for s, i in zip(want.scores.tolist(), want.ids.tolist(), strict=True)] == fit
+            assert len(calls) <= 9
+        together = [rtree.Wanted(*w) for w in windows]
+        rtree.search(trees, rows[own], own, together)
+        assert [w.best for w in together] == [sorted((-s, i // 2) for i, s in enumerate(scores) if i != own and a <= s <= b)[:k] for k, a, b in windows]
+
+
 # --- source divergence ------------------------------------------------------------------
 
 
