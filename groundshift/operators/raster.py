@@ -11,11 +11,12 @@ import base64
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import KEPT_BANDS
@@ -26,6 +27,8 @@ from .skew import shuffled
 BLOCK = 64
 # Source blocks in the box around an output block's corners beyond which its pixels are looked up.
 WIDE_REACH = 36
+# Source samples of pieces cut alike that are reduced at once.
+REDUCED_TOGETHER = 1 << 20
 PLACE = ["scene_id", "epoch", "band", "bx", "by"]
 DIRECT_DTYPES = ("u8", "u16")
 
@@ -205,7 +208,6 @@ def crop(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, carry: tuple[st
     )
 
 
-@lru_cache(maxsize=4096)
 def _cover(offset: int, count: int, extent: int, out: int) -> tuple[int, np.ndarray]:
     """First output cell that samples offset..offset+count of a side touch, and the overlap of each cell with each sample.
 
@@ -234,28 +236,37 @@ def crop_scaled(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, rounded:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = batch.column("v").offsets.to_numpy().tolist()
+            starts = batch.column("v").offsets.to_numpy()
             values = np.nan_to_num(batch.column("v").values.to_numpy(zero_copy_only=False), nan=0.0)
-            row, places, parts = [], [], []
-            for i, (ox, oy, pw, ph, sw, sh, out_w, out_h) in enumerate(zip(*(batch.column(n).to_pylist() for n in sides))):
+            # Bands of a piece, and other pieces cut alike, share their weights and are reduced together.
+            alike: dict[tuple, list[int]] = {}
+            for i, at in enumerate(zip(*(batch.column(n).to_pylist() for n in sides))):
+                alike.setdefault(at, []).append(i)
+            rows, places, sizes, parts = [], [], [], []
+            for (ox, oy, pw, ph, sw, sh, out_w, out_h), members in alike.items():
                 x, across = _cover(ox, pw, sw, out_w)
                 y, down = _cover(oy, ph, sh, out_h)
-                part = down @ values[starts[i]:starts[i + 1]].reshape(ph, pw) @ across.T
-                h, w = part.shape
-                for by in range(y // size, (y + h - 1) // size + 1):
-                    top, bottom = max(y, by * size), min(y + h, by * size + size)
-                    for bx in range(x // size, (x + w - 1) // size + 1):
-                        left, right = max(x, bx * size), min(x + w, bx * size + size)
-                        row.append(i)
-                        places.append((
-                            bx, by, min(size, out_w - bx * size), min(size, out_h - by * size), sw * sh,
-                            left - bx * size, top - by * size, right - left, bottom - top,
-                        ))
-                        parts.append(part[top - y:bottom - y, left - x:right - x].ravel())
-            take = pa.array(row, pa.int64())
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4)
-            columns = [pa.array([p[c] for p in places], t) for c, t in enumerate(types)]
-            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+                h, w = len(down), len(across)
+                many = max(1, REDUCED_TOGETHER // (ph * pw))
+                for lo in range(0, len(members), many):
+                    some = np.array(members[lo:lo + many])
+                    part = down @ values[starts[some][:, None] + np.arange(ph * pw)].reshape(-1, ph, pw) @ across.T
+                    for by in range(y // size, (y + h - 1) // size + 1):
+                        top, bottom = max(y, by * size), min(y + h, by * size + size)
+                        for bx in range(x // size, (x + w - 1) // size + 1):
+                            left, right = max(x, bx * size), min(x + w, bx * size + size)
+                            rows.append(some)
+                            places.append((
+                                bx, by, min(size, out_w - bx * size), min(size, out_h - by * size), sw * sh,
+                                left - bx * size, top - by * size, right - left, bottom - top,
+                            ))
+                            sizes.append((right - left) * (bottom - top))
+                            parts.append(part[:, top - y:bottom - y, left - x:right - x].ravel())
+            counts = [len(some) for some in rows]
+            take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+            types = (np.int64, np.int64, np.int32, np.int32, np.int64, *[np.int32] * 4)
+            columns = [pa.array(np.repeat(np.array([p[c] for p in places], t), counts)) for c, t in enumerate(types)]
+            ends = np.concatenate([[0], np.cumsum(np.repeat(np.array(sizes, np.int64), counts))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate(parts) if parts else np.zeros(0))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n).take(take) for n in kept), *columns, lists],
@@ -265,32 +276,42 @@ def crop_scaled(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, rounded:
     shares = pieces.select(*kept, *sides, "v").mapInArrow(
         reduce, f"scene_id {key}, epoch string, task_idx int, band int, {share_type}"
     )
+    # Shares meet only here, so they are shuffled and sorted as they are; lists gathered before the shuffle would be sorted twice.
     place = [*kept, "bx", "by", "bw", "bh", "area"]
-    gathered = shares.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("y", "x", "h", "w", "v"))).alias("_p"))
-    # Several shares of a block overlap at the borders of source blocks only, so a block gathers little more than its samples.
-    flat = gathered.select(
-        *place, *[F.col(f"_p.{n}").alias(n) for n in "yxhw"], F.flatten("_p.v").alias("v")
-    )
+    met = shares.repartition(*place).sortWithinPartitions(*place, "y", "x", "h", "w", "v")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = [batch.column(n).to_pylist() for n in ("bw", "bh", "area", "y", "x", "h", "w")]
-            starts, values = batch.column("v").offsets.to_numpy().tolist(), batch.column("v").values.to_numpy(zero_copy_only=False)
-            out = []
-            for i, (bw, bh, area, ys, xs, hs, ws) in enumerate(zip(*whole)):
-                block, at = np.zeros((bh, bw)), starts[i]
-                for y, x, h, w in zip(ys, xs, hs, ws):
-                    block[y:y + h, x:x + w] += values[at:at + h * w].reshape(h, w)
-                    at += h * w
-                out.append((block / area).ravel())
-            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
-            v = np.concatenate(out) if out else np.zeros(0)
-            lists = pa.ListArray.from_arrays(ends, np.floor(v + 0.5) if rounded else v)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in [*kept, "bx", "by", "bw", "bh"]), lists], names=[*kept, "bx", "by", "bw", "bh", "v"]
-            )
-
-    return flat.mapInArrow(
+        held = None
+        for batch in chain(batches, [None]):
+            rows, held = held, None
+            if batch is not None and len(batch):
+                rows = batch if rows is None else pa.concat_batches([rows, batch])
+            if rows is None:
+                continue
+            # The shares of a block follow each other; those of the last block may go on in the next batch.
+            codes = [pa.compute.dictionary_encode(rows.column(n), null_encoding="encode").indices.to_numpy() for n in place]
+            new = np.any([np.diff(c, prepend=-1) != 0 for c in codes], axis=0)
+            first = np.flatnonzero(new)
+            if batch is not None:
+                held, rows, new, first = rows.slice(first[-1]), rows.slice(0, first[-1]), new[:first[-1]], first[:-1]
+            if not len(rows):
+                continue
+            whole = rows.take(pa.array(first)).select([*kept, "bx", "by", "bw", "bh", "area"])
+            bw, bh, area = (whole.column(n).to_numpy() for n in ("bw", "bh", "area"))
+            ends = np.concatenate([[0], np.cumsum(bw.astype(np.int64) * bh)])
+            # Every sample of every share finds its place in its block; shares of a block are added in their order.
+            block = np.cumsum(new) - 1
+            y, x, h, w = (rows.column(n).to_numpy() for n in "yxhw")
+            sizes = h.astype(np.int64) * w
+            share = np.repeat(np.arange(len(sizes)), sizes)
+            inside = np.arange(len(share)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            line, column = np.divmod(inside, w[share])
+            at = (ends[block] + y * bw[block].astype(np.int64) + x)[share] + line * bw[block[share]] + column
+            v = np.bincount(at, rows.column("v").flatten().to_numpy(), int(ends[-1])) / np.repeat(area, np.diff(ends))
+            lists = pa.ListArray.from_arrays(ends.astype(np.int32), np.floor(v + 0.5) if rounded else v)
+            yield pa.RecordBatch.from_arrays([*whole.columns[:-1], lists], names=[*whole.schema.names[:-1], "v"])
+
+    return met.mapInArrow(
         add_up, f"scene_id {key}, epoch string, task_idx int, band int, bx bigint, by bigint, bw int, bh int, v array<double>"
     )
 

@@ -233,3 +233,24 @@ def test_pairs_at_the_horizon_grow_with_pixels(spark):
             R._reach(8), "bx bigint, by bigint, bw int, bh int, tgt_w bigint, tgt_h bigint, back array<double>, sbx bigint, sby bigint").count()
         assert pairs[scale] > table.count()
     assert pairs[4] <= 20 * pairs[1]
+
+
+def test_shares_of_scaled_crops_are_added_in_sorted_order_without_lists(spark):
+    """Blocks whose shares are cut by Arrow batches and repeated tiles, whose shares add up, included."""
+    src = np.arange(24 * 20 * 2, dtype=float).reshape(20, 24, 2) * 7 % 251
+    tiles = spark.createDataFrame(
+        [(0, 0, 0, 0, 24, 20, 5, 3), (0, 1, 3, 2, 17, 15, 17, 15), (0, 2, 1, 1, 20, 18, 9, 9), (0, 2, 1, 1, 20, 18, 9, 9)],
+        "scene_id int, task_idx int, x0 long, y0 long, sw long, sh long, out_w long, out_h long")
+    made = R.crop_scaled(raster(spark, src, 4), tiles, 4, rounded=False)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(struct(y" not in plan and plan.count("REPARTITION_BY_COL") == 1
+    wanted = {0: mean_reduced(src, 5, 3), 1: src[2:17, 3:20], 2: 2 * mean_reduced(src[1:19, 1:21], 9, 9)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = made.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 2 * (2 * 1 + 5 * 4 + 3 * 3)
+    for p in rows:
+        there = wanted[p.task_idx][p.by * 4:p.by * 4 + p.bh, p.bx * 4:p.bx * 4 + p.bw, p.band]
+        assert np.allclose(np.array(p.v).reshape(p.bh, p.bw), there)
