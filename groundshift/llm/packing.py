@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,17 +48,17 @@ def encode_queues(
         upto: dict[str, int] = {}
         for batch in batches:
             for piece in slices(batch, "text"):
-                ids = [words.document(t, end) for t in piece.column(2).to_pylist()]
+                ids = words.documents(piece.column(2).to_pylist(), end)
+                n, sizes = len(ids), pa.compute.binary_length(ids).to_numpy().astype(np.int64) // 4
                 starts = []
-                for queue, raw in zip(piece.column(1).to_pylist(), ids, strict=True):
+                for queue, size in zip(piece.column(1).to_pylist(), sizes.tolist(), strict=True):
                     starts.append(upto.get(queue, 0))
-                    upto[queue] = starts[-1] + len(raw) // 4
-                n = len(ids)
+                    upto[queue] = starts[-1] + size
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0), piece.column(1), pa.array(np.full(n, part, np.int32)),
                         pa.array(np.arange(row, row + n)), pa.array(starts, pa.int64()),
-                        pa.array([len(raw) // 4 for raw in ids], pa.int64()), pa.array(ids, pa.binary()),
+                        pa.array(sizes), ids,
                     ],
                     names=["doc_id", "queue", "part", "row", "queue_start", "n", "ids"],
                 )

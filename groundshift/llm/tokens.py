@@ -80,14 +80,27 @@ class WordEncoder(dict):
                 self.seen[mark] = 1
         return ids
 
-    def document(self, text: str, end: bytes) -> bytes:
+    def folded(self, text: str) -> str:
         if self.folds:
             try:
                 text.encode("latin-1")
                 text = text.lower()
             except UnicodeEncodeError:
                 pass  # folding such texts before composing them could change them
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + end
+        return text.replace("\n", " ")
+
+    def document(self, text: str, end: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, self.folded(text).split(" "))) + end
+
+    def documents(self, texts: list[str], end: bytes) -> pa.BinaryArray:
+        """As `document` for each text; every different piece of all of them is looked up once."""
+        # A line feed, which no piece holds, stands for the end id.
+        pieces = pa.compute.split_pattern(pa.array([self.folded(t) + " \n" for t in texts], pa.string()), " ")
+        coded = pieces.flatten().dictionary_encode()
+        ids = pa.array([end if w == "\n" else self[w] for w in coded.dictionary.to_pylist()], pa.binary()).take(coded.indices)
+        _, ends, data = ids.buffers()
+        offsets = np.frombuffer(ends, np.int32)[pieces.offsets.to_numpy()]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), data])
 
 
 def encoder(path: str) -> WordEncoder:
@@ -119,18 +132,17 @@ def write_token_files(
         words, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in slices(batch, "text"):
-                raw = [words.document(t, end) for t in piece.column(1).to_pylist()]
-                ends = np.cumsum([len(r) // 4 for r in raw])
-                offsets = np.concatenate([[0], ends])
-                ids = np.frombuffer(b"".join(raw), dtype="<i4")
+                _, ends, data = words.documents(piece.column(1).to_pylist(), end).buffers()
+                offsets = np.frombuffer(ends, np.int32) // 4
+                ids = np.frombuffer(data, dtype="<i4", count=int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column(0), pa.array(np.full(len(raw), part, np.int32)), pa.array(start + offsets[:-1]),
-                        pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)),
+                        piece.column(0), pa.array(np.full(len(piece), part, np.int32)), pa.array(start + offsets[:-1].astype(np.int64)),
+                        pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)),
                     ],
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
-                start += int(ends[-1])
+                start += int(offsets[-1])
 
     written = ordered.mapInArrow(encode, "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
     (

@@ -42,3 +42,18 @@ def test_signs_after_words_need_no_full_run_and_single_words_no_memory():
     assert len(words) - before <= 20
     words.document(" ".join(stems), b"")
     assert len(words) - before >= len(set(stems)) - 5
+
+
+def test_texts_of_a_batch_look_up_each_different_piece_once():
+    words, looked = WordEncoder(PATH), []
+    texts = ["", " ", "\n", "word  word\n\nWORD word.", "été 日本 word", "<|endoftext|> word\n", "\n\n a\n", "x" * 90 + " word"]
+    made = words.documents(texts, b"\1\0\0\0").to_pylist()
+    assert made == [words.document(t, b"\1\0\0\0") for t in texts]
+
+    class Counted(WordEncoder):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    Counted(PATH).documents(["word word word\nword"] * 50, b"")
+    assert looked.count("word") == 1
