@@ -25,10 +25,17 @@ from .detector import python_values
 from .skew import shuffled
 
 BLOCK = 64
+# Places side by side in a block whose samples are put together before any list is made.
+RUN = 16
 # Source blocks in the box around an output block's corners beyond which its pixels are looked up.
 WIDE_REACH = 36
 # Source samples of pieces cut alike that are reduced at once.
-REDUCED_TOGETHER = 1 << 20
+REDUCED_TOGETHER = 1 << 17
+# Output pixels whose taps are taken or whose shares are added at once; few enough to stay in a core's cache.
+TAPPED_TOGETHER = 1 << 16
+ADDED_TOGETHER = 1 << 17
+# Shares of samples that leave a task in one batch.
+PACKED_TOGETHER = 1 << 24
 PLACE = ["scene_id", "epoch", "band", "bx", "by"]
 DIRECT_DTYPES = ("u8", "u16")
 
@@ -39,21 +46,41 @@ def to_blocks(pixels: DataFrame, size: int = BLOCK) -> DataFrame:
     Samples stand where their px and py say. Places without a sample hold NaN; of several samples of one place the
     largest counts. A block ends at its outermost sample.
     """
-    # One number gives the row-major place inside the block, so the sort compares single numbers.
-    place = (F.pmod("py", F.lit(size)) * size + F.pmod("px", F.lit(size))).cast("int")
-    sample = F.struct(place.alias("at"), F.col("v").cast("double").alias("v"))
-    placed = pixels.withColumn("bx", F.floor(F.col("px") / size)).withColumn("by", F.floor(F.col("py") / size))
+    # One number gives the row-major place inside the block. Runs of places are put together first, by numbers alone: of all
+    # rows, only runs are gathered in lists and sorted.
+    place = F.pmod("py", F.lit(size)) * size + F.pmod("px", F.lit(size))
     extra = [c for c in pixels.columns if c not in ("scene_id", "epoch", "band", "px", "py", "v")]
-    gathered = placed.groupBy(*PLACE).agg(
-        (F.max(F.pmod("px", F.lit(size))) + 1).cast("int").alias("bw"),
-        (F.max(F.pmod("py", F.lit(size))) + 1).cast("int").alias("bh"),
-        *[F.min(c).alias(c) for c in extra],
-        F.sort_array(F.collect_list(sample)).alias("_s"),
+    within = F.pmod("_at", F.lit(RUN))
+    runs = (
+        pixels.select(
+            "scene_id", "epoch", "band", F.floor(F.col("px") / size).alias("bx"), F.floor(F.col("py") / size).alias("by"),
+            (F.pmod("px", F.lit(size)) + 1).cast("int").alias("_right"), (F.pmod("py", F.lit(size)) + 1).cast("int").alias("_low"),
+            place.cast("int").alias("_at"), F.col("v").cast("double").alias("v"), *extra,
+        )
+        .groupBy(*PLACE, F.floor(F.col("_at") / RUN).cast("int").alias("_run"))
+        .agg(
+            F.max("_right").alias("_right"), F.max("_low").alias("_low"), *[F.min(c).alias(c) for c in extra],
+            F.count(F.lit(1)).alias("_n"), F.bit_or(F.expr(f"shiftleft(1, pmod(_at, {RUN}))")).alias("_there"),
+            *[F.max(F.when(within == i, F.col("v"))).alias(f"_v{i}") for i in range(RUN)],
+        )
+    )
+    run = F.struct("_run", "_there", F.array(*[f"_v{i}" for i in range(RUN)]).alias("_v"))
+    gathered = runs.groupBy(*PLACE).agg(
+        F.max("_right").alias("bw"), F.max("_low").alias("bh"), *[F.min(c).alias(c) for c in extra],
+        F.sum("_n").alias("_n"), F.min("_there").alias("_all"), F.sort_array(F.collect_list(run)).alias("_r"),
     )
     # A full block has its samples in order already; only others are placed one by one.
-    whole = (F.size("_s") == F.col("bw") * F.col("bh")) & (F.size(F.array_distinct("_s.at")) == F.size("_s"))
-    by_place = F.map_from_entries(F.filter("_s", lambda s, i: ~F.coalesce(
-        F.get(F.col("_s.at"), i + 1) == s["at"], F.lit(False))))
+    full = (F.col("_n") == F.col("bw") * F.col("bh")) & (F.size("_r") * RUN == F.col("_n")) & (F.col("_all") == (1 << RUN) - 1)
+    return gathered.withColumn("v", F.when(full, F.flatten("_r._v")).otherwise(_placed(size))).drop("_r", "_n", "_all")
+
+
+def _placed(size: int) -> Column:
+    """The samples of the sorted runs ``_r`` of a block that are not all there or do not begin and end with a run."""
+    samples = F.flatten(F.transform("_r", lambda r: F.filter(
+        F.transform(r["_v"], lambda v, i: F.struct(
+            (r["_run"] * RUN + i).alias("at"), v.alias("v"), F.get(F.lit([1 << k for k in range(RUN)]), i).bitwiseAND(r["_there"]).alias("there"))),
+        lambda s: s["there"] != 0)))
+    by_place = F.map_from_entries(F.transform(samples, lambda s: F.struct(s["at"], s["v"])))
     filled = F.transform(
         F.sequence(F.lit(0), F.col("bw") * F.col("bh") - 1),
         lambda i: F.coalesce(
@@ -61,7 +88,9 @@ def to_blocks(pixels: DataFrame, size: int = BLOCK) -> DataFrame:
             F.lit(float("nan")),
         ),
     )
-    return gathered.withColumn("v", F.when(whole, F.col("_s.v")).otherwise(filled)).drop("_s")
+    # Without missing or double samples the rows' order is that of the block.
+    each_once = (F.col("_n") == F.col("bw") * F.col("bh")) & (F.size(samples) == F.col("_n"))
+    return F.when(each_once, F.transform(samples, lambda s: s["v"])).otherwise(filled)
 
 
 def image_blocks(decoded: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -199,12 +228,19 @@ def crop(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, carry: tuple[st
         F.sequence(F.col("_t"), F.col("_b") - 1),
         lambda y: F.slice("v", y * F.col("bw") + F.col("_l") + 1, F.col("_r") - F.col("_l")),
     )
+    # Inner blocks of a tile are taken as they are, and full lines in one cut.
+    wide = (F.col("_l") == 0) & (F.col("_r") == F.col("bw"))
+    cut = (
+        F.when(wide & (F.col("_t") == 0) & (F.col("_b") == F.col("bh")), F.col("v"))
+        .when(wide, F.slice("v", F.col("_t") * F.col("bw") + 1, (F.col("_b") - F.col("_t")) * F.col("bw")))
+        .otherwise(F.flatten(lines))
+    )
     return met.select(
         "scene_id", "epoch", "task_idx", "band", "bx", "by",
         (F.col("bx") * size + F.col("_l") - F.col("x0")).alias("ox"),
         (F.col("by") * size + F.col("_t") - F.col("y0")).alias("oy"),
         (F.col("_r") - F.col("_l")).alias("pw"), (F.col("_b") - F.col("_t")).alias("ph"), *carry,
-        F.flatten(lines).alias("v"),
+        cut.alias("v"),
     )
 
 
@@ -219,20 +255,62 @@ def _cover(offset: int, count: int, extent: int, out: int) -> tuple[int, np.ndar
     return first, np.maximum(overlap, 0).astype(np.float64)
 
 
-def crop_scaled(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, rounded: bool = True) -> DataFrame:
+def _packed(parts: list[np.ndarray], counts: np.ndarray, kind: type) -> pa.Array:
+    """Numbers as the bytes of a binary column, ``counts`` of them a row: Spark copies these at once, lists number by number."""
+    data = np.concatenate(parts).astype(kind, copy=False) if parts else np.zeros(0, kind)
+    ends = np.concatenate([[0], np.cumsum(counts)]) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each row of a ``_packed`` column has, and all of them."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32, len(column) + 1, column.offset * 4)
+    data = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(kind) if ends[-1] > ends[0] else np.zeros(0, kind)
+    return np.diff(ends) // data.itemsize, data
+
+
+def _whole_groups(
+    batches: Iterator[pa.RecordBatch], keys: list[str], most: int,
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows sorted by ``keys``, cut after groups into parts of about ``most`` rows: rows, the group of each row, the first row of each group."""
+    held = None
+    for batch in chain(batches, [None]):
+        rows, held = held, None
+        if batch is not None and len(batch):
+            rows = batch if rows is None else pa.concat_batches([rows, batch])
+        if rows is None:
+            continue
+        # The rows of a group follow each other; those of the last group may go on in the next batch.
+        codes = [pa.compute.dictionary_encode(rows.column(n), null_encoding="encode").indices.to_numpy() for n in keys]
+        new = np.any([np.diff(c, prepend=-1) != 0 for c in codes], axis=0)
+        first = np.flatnonzero(new)
+        if batch is not None:
+            held, rows, new, first = rows.slice(first[-1]), rows.slice(0, first[-1]), new[:first[-1]], first[:-1]
+        group, lo = np.cumsum(new) - 1, 0
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + most)))
+            a, b = first[lo], first[hi] if hi < len(first) else len(rows)
+            yield rows.slice(a, b - a), group[a:b] - lo, first[lo:hi] - a
+            lo = hi
+
+
+def crop_scaled(
+    blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, rounded: bool = True, sample: str = "double",
+) -> DataFrame:
     """The tiles (x0, y0, sw, sh) reduced to out_w x out_h samples, as blocks of the reduced tile.
 
     Rows (scene_id, epoch, task_idx, band, bx, by, bw, bh, v). An output sample is the mean of the source samples under it,
     weighted by overlap. Both directions are reduced where the samples are: a piece of a source block becomes its share of at most
     as many output samples as it has itself, and only shares are shuffled and added up per output block. Weights are whole
     numbers, so sums of whole samples are exact in any order. ``out_w`` and ``out_h`` may not exceed sw and sh. Samples that
-    are missing (NaN) count as black.
+    are missing (NaN) count as black. ``sample`` is the type of the samples given back, "double" or "float".
     """
     key = blocks.schema["scene_id"].dataType.simpleString()
     pieces = crop(blocks, tiles, size, ("sw", "sh", "out_w", "out_h"))
     kept = ["scene_id", "epoch", "task_idx", "band"]
     sides = ["ox", "oy", "pw", "ph", "sw", "sh", "out_w", "out_h"]
-    share_type = "bx bigint, by bigint, bw int, bh int, area bigint, x int, y int, w int, h int, v array<double>"
+    share_type = "bx bigint, by bigint, bw int, bh int, area bigint, x int, y int, w int, h int, v binary"
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +320,19 @@ def crop_scaled(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, rounded:
             alike: dict[tuple, list[int]] = {}
             for i, at in enumerate(zip(*(batch.column(n).to_pylist() for n in sides))):
                 alike.setdefault(at, []).append(i)
-            rows, places, sizes, parts = [], [], [], []
+            rows, places, parts, held = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                counts = [len(some) for some in rows]
+                take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+                types = (np.int64, np.int64, np.int32, np.int32, np.int64, *[np.int32] * 4)
+                columns = [np.repeat(np.array([p[c] for p in places], t), counts) for c, t in enumerate(types)]
+                return pa.RecordBatch.from_arrays(
+                    [*(batch.column(n).take(take) for n in kept), *map(pa.array, columns),
+                     _packed(parts, columns[-1].astype(np.int64) * columns[-2], np.float64)],
+                    names=[*kept, "bx", "by", "bw", "bh", "area", "x", "y", "w", "h", "v"],
+                )
+
             for (ox, oy, pw, ph, sw, sh, out_w, out_h), members in alike.items():
                 x, across = _cover(ox, pw, sw, out_w)
                 y, down = _cover(oy, ph, sh, out_h)
@@ -250,7 +340,10 @@ def crop_scaled(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, rounded:
                 many = max(1, REDUCED_TOGETHER // (ph * pw))
                 for lo in range(0, len(members), many):
                     some = np.array(members[lo:lo + many])
-                    part = down @ values[starts[some][:, None] + np.arange(ph * pw)].reshape(-1, ph, pw) @ across.T
+                    part = values[starts[some][:, None] + np.arange(ph * pw)].reshape(-1, ph, pw)
+                    # A side that keeps its size weighs each sample alike.
+                    part = part * float(sh) if sh == out_h else down @ part
+                    part = part * float(sw) if sw == out_w else part @ across.T
                     for by in range(y // size, (y + h - 1) // size + 1):
                         top, bottom = max(y, by * size), min(y + h, by * size + size)
                         for bx in range(x // size, (x + w - 1) // size + 1):
@@ -260,18 +353,12 @@ def crop_scaled(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, rounded:
                                 bx, by, min(size, out_w - bx * size), min(size, out_h - by * size), sw * sh,
                                 left - bx * size, top - by * size, right - left, bottom - top,
                             ))
-                            sizes.append((right - left) * (bottom - top))
                             parts.append(part[:, top - y:bottom - y, left - x:right - x].ravel())
-            counts = [len(some) for some in rows]
-            take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            types = (np.int64, np.int64, np.int32, np.int32, np.int64, *[np.int32] * 4)
-            columns = [pa.array(np.repeat(np.array([p[c] for p in places], t), counts)) for c, t in enumerate(types)]
-            ends = np.concatenate([[0], np.cumsum(np.repeat(np.array(sizes, np.int64), counts))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(ends, np.concatenate(parts) if parts else np.zeros(0))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n).take(take) for n in kept), *columns, lists],
-                names=[*kept, "bx", "by", "bw", "bh", "area", "x", "y", "w", "h", "v"],
-            )
+                            held += len(parts[-1])
+                    if held > PACKED_TOGETHER:
+                        yield made()
+                        rows, places, parts, held = [], [], [], 0
+            yield made()
 
     shares = pieces.select(*kept, *sides, "v").mapInArrow(
         reduce, f"scene_id {key}, epoch string, task_idx int, band int, {share_type}"
@@ -281,38 +368,28 @@ def crop_scaled(blocks: DataFrame, tiles: DataFrame, size: int = BLOCK, rounded:
     met = shares.repartition(*place).sortWithinPartitions(*place, "y", "x", "h", "w", "v")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in chain(batches, [None]):
-            rows, held = held, None
-            if batch is not None and len(batch):
-                rows = batch if rows is None else pa.concat_batches([rows, batch])
-            if rows is None:
-                continue
-            # The shares of a block follow each other; those of the last block may go on in the next batch.
-            codes = [pa.compute.dictionary_encode(rows.column(n), null_encoding="encode").indices.to_numpy() for n in place]
-            new = np.any([np.diff(c, prepend=-1) != 0 for c in codes], axis=0)
-            first = np.flatnonzero(new)
-            if batch is not None:
-                held, rows, new, first = rows.slice(first[-1]), rows.slice(0, first[-1]), new[:first[-1]], first[:-1]
-            if not len(rows):
-                continue
+        for rows, block, first in _whole_groups(batches, place, max(1, ADDED_TOGETHER // size ** 2)):
             whole = rows.take(pa.array(first)).select([*kept, "bx", "by", "bw", "bh", "area"])
             bw, bh, area = (whole.column(n).to_numpy() for n in ("bw", "bh", "area"))
             ends = np.concatenate([[0], np.cumsum(bw.astype(np.int64) * bh)])
             # Every sample of every share finds its place in its block; shares of a block are added in their order.
-            block = np.cumsum(new) - 1
             y, x, h, w = (rows.column(n).to_numpy() for n in "yxhw")
-            sizes = h.astype(np.int64) * w
-            share = np.repeat(np.arange(len(sizes)), sizes)
-            inside = np.arange(len(share)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            line, column = np.divmod(inside, w[share])
-            at = (ends[block] + y * bw[block].astype(np.int64) + x)[share] + line * bw[block[share]] + column
-            v = np.bincount(at, rows.column("v").flatten().to_numpy(), int(ends[-1])) / np.repeat(area, np.diff(ends))
-            lists = pa.ListArray.from_arrays(ends.astype(np.int32), np.floor(v + 0.5) if rounded else v)
+            sizes, width = h.astype(np.int64) * w, bw[block].astype(np.int64)
+            start = np.cumsum(sizes) - sizes
+            at = np.arange(int(sizes.sum())) + np.repeat(ends[block] + y * width + x - start, sizes)
+            # Lines of a share narrower than its block stand apart.
+            narrow = w < width
+            if narrow.any():
+                n = sizes[narrow]
+                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at[np.repeat(narrow, sizes)] += inside // np.repeat(w[narrow], n) * np.repeat((width - w)[narrow], n)
+            v = np.bincount(at, _unpacked(rows.column("v"), np.float64)[1], int(ends[-1])) / np.repeat(area, np.diff(ends))
+            v = np.floor(v + 0.5) if rounded else v
+            lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(v.astype(np.float32) if sample == "float" else v))
             yield pa.RecordBatch.from_arrays([*whole.columns[:-1], lists], names=[*whole.schema.names[:-1], "v"])
 
     return met.mapInArrow(
-        add_up, f"scene_id {key}, epoch string, task_idx int, band int, bx bigint, by bigint, bw int, bh int, v array<double>"
+        add_up, f"scene_id {key}, epoch string, task_idx int, band int, bx bigint, by bigint, bw int, bh int, v array<{sample}>"
     )
 
 
@@ -346,9 +423,9 @@ def _reached(size: int) -> tuple[Column, Column]:
     def blocks(row: int, extent: str) -> Column:
         at = [(m[row] * x + m[row + 1] * y + m[row + 2]) / F.nullif(m[8], F.lit(0.0)) for x in xs for y in ys]
         last = F.col(extent) - 1
-        # One pixel of slack covers rounding at the corners.
-        low = F.greatest(F.lit(0.0), F.floor(F.least(*at)) - 1)
-        high = F.least(last.cast("double"), F.floor(F.greatest(*at)) + 2)
+        # Rounding keeps the order of positions along a line, so no pixel lies beyond the corners. A whole position has one tap.
+        low = F.greatest(F.lit(0.0), F.floor(F.least(*at)))
+        high = F.least(last.cast("double"), F.ceil(F.greatest(*at)))
         first, final = F.floor(low / size), F.floor(high / size)
         return F.when(low <= high, F.sequence(first, F.greatest(first, final))).otherwise(
             F.array(F.lit(-1).cast("bigint")))
@@ -373,12 +450,13 @@ def _reach(size: int):
             ys = np.stack([by * size, by * size + bh - 1] * 2)
             at_x, at_y, depth = (back[:, i] * xs + back[:, i + 1] * ys + back[:, i + 2] for i in (0, 3, 6))
             one_side = (depth > 0).all(axis=0) | (depth < 0).all(axis=0)
+            # One pixel of slack covers rounding at the corners; without perspective rounding keeps the order along a line.
+            slack = np.where((back[:, 6] == 0) & (back[:, 7] == 0), 0, 1)
             spans = []
             with np.errstate(all="ignore"):
                 for at, extent in ((at_x / depth, src_w), (at_y / depth, src_h)):
-                    # One pixel of slack covers rounding at the corners.
-                    low = np.clip(np.floor(at.min(axis=0)) - 1, 0, extent)
-                    high = np.clip(np.floor(at.max(axis=0)) + 2, -1, extent - 1)
+                    low = np.clip(np.floor(at.min(axis=0)) - slack, 0, extent)
+                    high = np.clip(np.ceil(at.max(axis=0)) + slack, -1, extent - 1)
                     spans += [np.where(one_side, low, 0).astype(np.int64), np.where(one_side, high, -1).astype(np.int64)]
             left, right, top, bottom = spans
             counts = (right // size - left // size + 1) * (bottom // size - top // size + 1)
@@ -424,6 +502,38 @@ def _taps(back: np.ndarray, x0: int, y0: int, w: int, h: int, src_w: int, src_h:
     return cols, rows, np.where((cols >= 0) & (rows >= 0) & (cols < src_w) & (rows < src_h), weights, 0.0)
 
 
+def _block_taps(
+    back: np.ndarray, x0: np.ndarray, y0: np.ndarray, w: int, h: int, src_w: np.ndarray, src_h: np.ndarray,
+    left: np.ndarray, top: np.ndarray, size: int,
+) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The taps of many output blocks of one size in one source block each, whose corner is at ``left`` and ``top``.
+
+    Block and pixel of every output pixel with a tap there, and column, line and weight of its four taps in ``_taps``' order;
+    those outside the source block weigh nothing.
+    """
+    xs, ys = (x0[:, None] + np.arange(w, dtype=float))[:, None, :], (y0[:, None] + np.arange(h, dtype=float))[:, :, None]
+    m = back.T[:, :, None, None]
+    wide, high = np.minimum(src_w - left, size), np.minimum(src_h - top, size)
+    with np.errstate(all="ignore"):
+        sx, sy, depth = (m[i] * xs + m[i + 1] * ys + m[i + 2] for i in (0, 3, 6))
+        sx, sy = sx / depth, sy / depth
+        x_from, y_from, x_to, y_to = (v[:, None, None] for v in (left - 1, top - 1, left + wide, top + high))
+        at = np.flatnonzero((sx >= x_from) & (sx < x_to) & (sy >= y_from) & (sy < y_to))
+    block, pixel = np.divmod(at, w * h)
+    sx, sy = sx.ravel()[at], sy.ravel()[at]
+    fx, fy = np.floor(sx), np.floor(sy)
+    part_x, part_y = sx - fx, sy - fy
+    col, line = fx.astype(np.int64) - left[block], fy.astype(np.int64) - top[block]
+    wide, high = wide[block], high[block]
+    in_x = [np.where((col + i >= 0) & (col + i < wide), part, 0.0) for i, part in ((0, 1 - part_x), (1, part_x))]
+    in_y = [np.where((line + i >= 0) & (line + i < high), part, 0.0) for i, part in ((0, 1 - part_y), (1, part_y))]
+    weights = [in_x[0] * in_y[0], in_x[1] * in_y[0], in_x[0] * in_y[1], in_x[1] * in_y[1]]
+    used = (weights[0] != 0) | (weights[1] != 0) | (weights[2] != 0) | (weights[3] != 0)
+    if not used.all():
+        block, pixel, col, line, weights = block[used], pixel[used], col[used], line[used], [v[used] for v in weights]
+    return block, pixel, [(col + i, line + j, v) for (i, j), v in zip(((0, 0), (1, 0), (0, 1), (1, 1)), weights)]
+
+
 def resize(blocks: DataFrame, frames: DataFrame, size: int = BLOCK, epoch: str = "earlier") -> DataFrame:
     """Bring one epoch to the working frame by scaling alone; ``frames`` as for ``warp`` without ``homography``."""
     zero, one = F.lit(0.0), F.lit(1.0)
@@ -439,7 +549,7 @@ def tile_pieces(crops: DataFrame) -> DataFrame:
     """
     ordered = [c for c in ("oy", "ox", "pw", "ph", "by", "bx", "bw", "bh") if c in crops.columns]
     piece = F.struct("epoch", "band", *ordered, F.col("v").cast("array<float>").alias("v"))
-    return crops.groupBy("scene_id", "task_idx").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return crops.groupBy("scene_id", "task_idx").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
 
 
 def png(samples: np.ndarray) -> bytes:
@@ -529,65 +639,81 @@ def warp(
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scene = batch.column("scene_id").to_pylist()
-            whole = {
-                n: batch.column(n).to_numpy(zero_copy_only=False).tolist()
-                for n in ("bx", "by", "bw", "bh", "tgt_w", "tgt_h", "sbx", "sby")
-            }
-            stride = batch.column("sbw").fill_null(0).to_numpy().tolist()
-            back = batch.column("back").flatten().to_numpy().reshape(-1, 9)
-            source, found = batch.column("sv"), batch.column("sv").is_valid().to_pylist()
-            starts, values = source.offsets.to_numpy().tolist(), source.values.to_numpy(zero_copy_only=False)
-            shares, at, place = [], [], None
-            for i, row in enumerate(zip(*whole.values())):
-                bx, by, bw, bh, src_w, src_h, sbx, sby = row
-                if not found[i]:
-                    shares.append(np.zeros(0))
-                    at.append(np.zeros(0, np.int32))
-                    continue
+            source = batch.column("sv")
+            there = np.flatnonzero(source.is_valid().to_numpy(zero_copy_only=False))
+            # Output blocks whose source block is missing keep a row, without samples.
+            rows, counts = [np.flatnonzero(source.is_null().to_numpy(zero_copy_only=False))], [np.zeros(len(batch) - len(there), np.int64)]
+            at, shares, held = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                take, each = pa.array(np.concatenate(rows)), np.concatenate(counts)
+                return pa.RecordBatch.from_arrays(
+                    [*[batch.column(n).take(take) for n in kept], _packed(at, each, np.int32), _packed(shares, each, np.float64)],
+                    names=[*kept, "at", "share"])
+
+            if len(there):
+                starts, values = source.offsets.to_numpy().astype(np.int64), source.values.to_numpy(zero_copy_only=False)
+                values = values if len(values) else np.zeros(1)
+                sbw = batch.column("sbw").fill_null(0).to_numpy().astype(np.int64)
+                back = batch.column("back").take(pa.array(there)).flatten().to_numpy(zero_copy_only=False).reshape(-1, 9)
+                scene = pa.compute.dictionary_encode(batch.column("scene_id"), null_encoding="encode").indices.to_numpy()[there]
+                whole = [batch.column(n).to_numpy(zero_copy_only=False)[there].astype(np.int64) for n in ("bx", "by", "bw", "bh", "tgt_w", "tgt_h", "sbx", "sby")]
                 # The bands of one place follow each other and share their taps.
-                if (scene[i], row) != place:
-                    cols, rows, weights = _taps(back[i], bx * size, by * size, bw, bh, src_w, src_h)
-                    cols, rows = cols - sbx * size, rows - sby * size
-                    inside = (cols >= 0) & (cols < size) & (rows >= 0) & (rows < size) & (weights != 0)
-                    # Taps of one pixel are added up here, so one number per pixel and source block is shuffled.
-                    pixel, tap = np.unique(np.nonzero(inside)[1].astype(np.int32), return_inverse=True)
-                    index, weight = (rows * stride[i] + cols)[inside], weights[inside]
-                    place = (scene[i], row)
-                shares.append(np.bincount(tap, values[starts[i]:starts[i + 1]][index] * weight, len(pixel)))
-                at.append(pixel)
-            ends = np.cumsum([0, *map(len, at)], dtype=np.int32)
-            lists = [pa.ListArray.from_arrays(ends, np.concatenate(parts)) for parts in (at, shares)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *lists], names=[*kept, "at", "share"])
+                new = np.any([np.diff(c, prepend=c[0] - 1) != 0 for c in (scene, *whole)], axis=0)
+                new[1:] |= (back[1:] != back[:-1]).any(axis=1)
+                first = np.flatnonzero(new)
+                bands = np.diff(first, append=len(there))
+                bw, bh = whole[2][first], whole[3][first]
+                for w, h in sorted(set(zip(bw.tolist(), bh.tolist()))):
+                    alike = np.flatnonzero((bw == w) & (bh == h))
+                    many = max(1, TAPPED_TOGETHER // (w * h))
+                    for lo in range(0, len(alike), many):
+                        some = alike[lo:lo + many]
+                        one = first[some]
+                        bx, by, _, _, src_w, src_h, sbx, sby = (c[one] for c in whole)
+                        place, pixel, taps = _block_taps(back[one], bx * size, by * size, w, h, src_w, src_h, sbx * size, sby * size, size)
+                        for band in range(int(bands[some].max())):
+                            has = bands[some] > band
+                            mine = slice(None) if has.all() else has[place]
+                            owner, row = place[mine], there[np.minimum(one + band, len(there) - 1)]
+                            start, stride, length = starts[row][owner], sbw[row][owner], (starts[row + 1] - starts[row])[owner]
+                            total = np.zeros(len(owner))
+                            for col, line, weight in taps:
+                                weight = weight[mine]
+                                used = weight != 0
+                                index = line[mine] * stride + col[mine]
+                                if (used & (index >= length)).any():
+                                    raise IndexError("a source block is smaller than the extent of its image")
+                                total += np.where(used, values[np.where(used, start + index, 0)], 0.0) * weight
+                            rows.append(row[has])
+                            counts.append(np.bincount(owner, minlength=len(some))[has])
+                            at.append(pixel[mine])
+                            shares.append(total)
+                            held += len(total)
+                            if held > PACKED_TOGETHER:
+                                yield made()
+                                rows, counts, at, shares, held = [], [], [], [], 0
+            if rows:
+                yield made()
 
     partial = met.mapInArrow(
         sample,
         f"scene_id {key}, band int, bx bigint, by bigint, bw int, bh int, sbx bigint, sby bigint,"
-        " at array<int>, share array<double>",
+        " at binary, share binary",
     )
     out_keys = ["scene_id", "band", "bx", "by", "bw", "bh"]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = (batch.column("bw").to_numpy() * batch.column("bh").to_numpy()).tolist()
-            starts = batch.column("at").offsets.to_numpy().tolist()
-            at = batch.column("at").values.to_numpy(zero_copy_only=False)
-            share_starts = batch.column("share").offsets.to_numpy().tolist()
-            share = batch.column("share").values.to_numpy(zero_copy_only=False)
-            sums = [
-                np.bincount(at[starts[i]:starts[i + 1]], share[share_starts[i]:share_starts[i + 1]], n)
-                for i, n in enumerate(counts)
-            ]
-            flat = np.concatenate(sums).astype(np.float64) if sums else np.zeros(0)
-            flat = np.floor(flat + 0.5) if rounded else flat
-            v = pa.ListArray.from_arrays(np.cumsum([0, *counts], dtype=np.int32), flat)
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in out_keys], v], names=[*out_keys, "v"])
-
-    # A pixel has at most four shares, so an output block gathers at most 4 * size^2 of them however
-    # many source blocks they come from. The sort fixes the order of the sum.
-    gathered = partial.groupBy(*out_keys).agg(
-        F.array_sort(F.collect_list(F.struct("sby", "sbx", "at", "share"))).alias("_p")
-    ).select(*out_keys, F.flatten("_p.at").alias("at"), F.flatten("_p.share").alias("share"))
-    summed = gathered.mapInArrow(
+        for rows, block, first in _whole_groups(batches, out_keys, max(1, ADDED_TOGETHER // size ** 2)):
+            whole = rows.take(pa.array(first)).select(out_keys)
+            ends = np.concatenate([[0], np.cumsum(whole.column("bw").to_numpy().astype(np.int64) * whole.column("bh").to_numpy())])
+            counts, at = _unpacked(rows.column("at"), np.int32)
+            at = np.repeat(ends[block], counts) + at
+            v = np.bincount(at, _unpacked(rows.column("share"), np.float64)[1], int(ends[-1])).astype(np.float64)
+            lists = pa.ListArray.from_arrays(ends.astype(np.int32), np.floor(v + 0.5) if rounded else v)
+            yield pa.RecordBatch.from_arrays([*whole.columns, lists], names=[*out_keys, "v"])
+
+    # Shares meet only here, so they are shuffled and sorted as they are. The sort fixes the order of the sum.
+    summed = partial.repartition(*out_keys).sortWithinPartitions(*out_keys, "sby", "sbx", "at", "share").mapInArrow(
         add_up, f"scene_id {key}, band int, bx bigint, by bigint, bw int, bh int, v array<double>")
     return summed.select("scene_id", F.lit(epoch).alias("epoch"), "band", "bx", "by", "bw", "bh", "v")

@@ -15,10 +15,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..session import ensure_checkpoint_dir
+from .detector import spread_calls
 from .skew import number_rows, shuffled
 
 BLOCK_KEYPOINTS = 2048
 BLOCK_MATCHES = 4096
+# Distances taken at once between small blocks, and matches fitted by one task: both cost much for their few bytes.
+COMPARED_TOGETHER = 1 << 19
+MATCHES_PER_TASK = 1 << 16
 # Pivots around which the descriptors of a large scene are grouped.
 PIVOTS = 64
 # Trials of a scene: with 80 % wrong matches, 2,000 draw a clean sample in 96 % of scenes.
@@ -56,18 +60,47 @@ def _two_nearest(q: np.ndarray, t: np.ndarray) -> tuple[int, np.ndarray, np.ndar
 
 
 def _nearest_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The two nearest train rows of every query row, per pair of blocks."""
+    """The two nearest train rows of every query row, per pair of blocks; small pairs of blocks of the same sizes are compared together."""
+    lists = ["q_id", "q_x", "q_y", "q_desc", "t_id", "t_x", "t_y", "t_desc"]
     for batch in batches:
-        for r in batch.itertuples(index=False):
-            ids = np.asarray(r.t_id)
-            q = np.asarray(r.q_desc, np.int64).view(np.uint64).reshape(len(r.q_id), -1)
-            t = np.asarray(r.t_desc, np.int64).view(np.uint64).reshape(len(ids), -1)
-            k, far, pos = _two_nearest(q, t)
-            yield pd.DataFrame({
-                "scene_id": r.scene_id, "q_id": np.repeat(r.q_id, k), "qx": np.repeat(r.q_x, k),
-                "qy": np.repeat(r.q_y, k), "d": far, "t_id": ids[pos],
-                "tx": np.asarray(r.t_x)[pos], "ty": np.asarray(r.t_y)[pos],
-            })
+        scene, columns = batch["scene_id"].to_numpy(), [batch[c].to_numpy() for c in lists]
+        sizes: dict[tuple, list[int]] = {}
+        for i, r in enumerate(zip(*columns)):
+            sizes.setdefault(tuple((len(c), getattr(c, "dtype", None)) for c in r), []).append(i)
+        parts, held = [], 0
+        for (q_size, *_, t_size, _, _, _), members in sizes.items():
+            n, m = q_size[0], t_size[0]
+            many = max(1, COMPARED_TOGETHER // (n * m))
+            for lo in range(0, len(members), many):
+                some = members[lo:lo + many]
+                q_id, qx, qy, q, t_id, tx, ty, t = (np.stack([np.asarray(c[i]) for i in some]) for c in columns)
+                q, t = (np.asarray(w, np.int64).view(np.uint64).reshape(len(some), rows, -1) for w, rows in ((q, n), (t, m)))
+                if len(some) == 1:
+                    k, far, pos = _two_nearest(q[0], t[0])
+                else:
+                    k = min(2, m)
+                    code = np.partition(hamming(q, t) * m + np.arange(m), k - 1, axis=2)[:, :, :k].ravel()
+                    far, pos = code // m, code % m
+                pair = np.repeat(np.arange(len(some)), n * k)
+                parts.append(pd.DataFrame({
+                    "scene_id": scene[some][pair], "q_id": np.repeat(q_id.ravel(), k), "qx": np.repeat(qx.ravel(), k),
+                    "qy": np.repeat(qy.ravel(), k), "d": far, "t_id": t_id[pair, pos], "tx": tx[pair, pos], "ty": ty[pair, pos],
+                }))
+                held += len(pair)
+                # Frames of other types are not put together: whole numbers would lose digits.
+                if held >= 1 << 17:
+                    yield from _alike(parts)
+                    parts, held = [], 0
+        yield from _alike(parts)
+
+
+def _alike(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames of each combination of column types put together."""
+    kinds: dict[tuple, list[pd.DataFrame]] = {}
+    for part in parts:
+        kinds.setdefault(tuple(part.dtypes), []).append(part)
+    for some in kinds.values():
+        yield some[0] if len(some) == 1 else pd.concat(some, ignore_index=True)
 
 
 NEAR_ROWS = "q_id bigint, qx double, qy double, d int, t_id bigint, tx double, ty double"
@@ -114,10 +147,10 @@ def _words(column: pa.Array) -> np.ndarray:
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of every row of ``a`` and every row of ``b``."""
-    bits = np.zeros((len(a), len(b)), np.int64)
-    for word in range(a.shape[1]):
-        bits += np.bitwise_count(a[:, word, None] ^ b[None, :, word])
+    """Differing bits of every row of ``a`` and every row of ``b``; of several pairs of these, stacked, for each pair."""
+    bits = np.zeros((*a.shape[:-1], b.shape[-2]), np.int64)
+    for word in range(a.shape[-1]):
+        bits += np.bitwise_count(a[..., :, None, word] ^ b[..., None, :, word])
     return bits
 
 
@@ -338,7 +371,10 @@ def _solve(src: np.ndarray, dst: np.ndarray, ts: np.ndarray, td: np.ndarray) ->
     system = _equations(_apply(ts, src), _apply(td, dst))
     left, right = system[:, :, :8], -system[:, :, 8]
     with np.errstate(all="ignore"):
-        usable = np.linalg.cond(left) < 1e8
+        # The condition is at most 2 / |det| * (norm / sqrt(n)) ** n, which decides most samples; others take their singular values.
+        usable = 2 / np.abs(np.linalg.det(left)) * (np.square(left).sum((1, 2)) / 8) ** 4 < 1e7
+        if not usable.all():
+            usable[~usable] = np.linalg.cond(left[~usable]) < 1e8
     h = np.full((len(src), 9), np.nan)
     if usable.any():
         entries = np.linalg.solve(left[usable], right[usable][..., None])[..., 0]
@@ -444,7 +480,7 @@ def _fit_rows(matches: DataFrame, threshold: float, trials: int) -> DataFrame:
     """Fits of scenes whose matches lie in one row each."""
     key = matches.schema["scene_id"].dataType.simpleString()
     points = ["sx", "sy", "dx", "dy"]
-    rows = matches.groupBy("scene_id").agg(
+    rows = spread_calls(matches, calls_per_task=MATCHES_PER_TASK, keys=["scene_id"]).groupBy("scene_id").agg(
         F.xxhash64(F.first("scene_id")).alias("seed"), F.array_sort(F.collect_list(F.struct("q_id", *points))).alias("_m"),
     ).select("scene_id", "seed", *[F.col(f"_m.{p}").alias(p) for p in points])
 

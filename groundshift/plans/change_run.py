@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import constants as K
 from ..functions.text import data_url_parts, first_text
 from ..operators.dedupe import merge_detections
-from ..operators.detector import Detector, detect, detect_stored, newest_answers, stored_answers
+from ..operators.detector import Detector, detect, detect_stored, newest_answers, spread_calls, stored_answers
 from ..operators.frames import explode_tiles, working_frame
 from ..operators.raster import BLOCK, crop_scaled, resize, tile_pieces, warp
 from ..operators.registration import align_status, fit_homography, match_descriptors
@@ -24,6 +24,8 @@ from ..session import ensure_checkpoint_dir
 from ..sources.reports import write_scenes
 
 TILE_FRACTIONS = ["gx", "gy", "gw", "gh"]
+# Aligned scenes whose blocks one task plans.
+FRAMES_PER_TASK = 4096
 
 
 @dataclass
@@ -97,8 +99,9 @@ def align_pairs(pairs: DataFrame, later: DataFrame, earlier: DataFrame) -> DataF
     frames = working_frame(pairs, max_dim=K.RUN_FRAME_MAX_DIM).where("work_w >= 1 and work_h >= 1")
     ensure_checkpoint_dir(pairs.sparkSession)
     matches = match_descriptors(later, earlier).checkpoint()
-    # One small row a scene, read by warp, resize and tiling: the fit is computed once.
-    return align_status(frames, matches, fit_homography(matches, store=False)).checkpoint()
+    # One small row a scene, read by warp, resize and tiling: the fit is computed once, and rows that become many blocks are spread.
+    aligned = align_status(frames, matches, fit_homography(matches, store=False))
+    return spread_calls(aligned, frames.count(), FRAMES_PER_TASK, keys=["scene_id"]).checkpoint()
 
 
 def run_images(
@@ -135,7 +138,7 @@ def image_tasks(
     as_earlier = aligned.withColumns({"tgt_w": F.col("width"), "tgt_h": F.col("height")}).drop("homography")
     scene = warp(blocks, aligned, size, "later").unionByName(resize(blocks, as_earlier, size, "earlier"))
     tiles = explode_tiles(aligned.select("scene_id", "work_w", "work_h"), **tiling)
-    return tiles.join(shuffled(tile_pieces(crop_scaled(scene, tiles, size))), ["scene_id", "task_idx"], "left"), tiles
+    return tiles.join(shuffled(tile_pieces(crop_scaled(scene, tiles, size, sample="float"))), ["scene_id", "task_idx"], "left"), tiles
 
 
 def run_requests(
